@@ -36,7 +36,7 @@ LABELLED = 20_000
 #: Features in the lexicon at most, those with the clearest odds; it is sent to all executors.
 LEXICON = 20_000
 #: Standard errors, weight of the prior in counts, score of a word outside the lexicon, E of significance.
-Z, PRIOR, DRIFT, EXPECT = 2.5, 20.0, 0.5, 0.01
+Z, PRIOR, DRIFT, EXPECT = 3.0, 20.0, 0.4, 0.01
 #: A feature must occur in so many toxic documents, and lengths of the prefixes.
 LEAST, PREFIXES = 3, (6, 5, 4)
 _WORD = re.compile(r"[^\W_]+")
@@ -272,3 +272,22 @@ def op5_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``at``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    names, where = docs.columns, docs.columns.index(text_col)
+
+    def run(batches):
+        model = shared.value
+        memo = model.lookup()
+        for x in batches:
+            keep = []
+            for t in x.column(where).to_pylist():
+                n, best, _ = scan(model, memo, t)
+                keep.append(model.probability(model.evidence(best, n)) < at)
+            yield pa.RecordBatch.from_arrays(x.filter(pa.array(keep, pa.bool_())).columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)

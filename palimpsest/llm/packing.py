@@ -43,9 +43,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The vocabulary splits texts into words before its merges, so that each distinct word is encoded
-    once and looked up from then on. Texts with characters outside a range in which splitting is
-    known to be the same here are encoded whole. The cache is emptied at ``most`` words.
+    The vocabulary splits texts at white space and into words before its merges, so that what stands
+    between white space is encoded once and looked up from then on. New words are encoded many at a
+    time: a word's last id, and no other, ends a word. Texts with characters outside a range in which
+    splitting is known to be the same here are encoded whole. The cache is emptied at ``most`` entries.
     """
 
     _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -55,20 +56,35 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.cache = Tokenizer.from_file(path), most, {}
-        self.encode_batch = getattr(self.whole, "encode_batch_fast", self.whole.encode_batch)
+        self.whole, self.most, self.chunks, self.words = Tokenizer.from_file(path), most, {}, {}
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        split = [self._WORD.findall(c) for c in new]
+        words = list(set().union(*split).difference(self.words)) if split else []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = self._ids(" ".join(part))
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                self.words[w] = data[start:end]
+                start = end
+        get = self.words.__getitem__
+        for c, ws in zip(new, split, strict=True):
+            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(get, ws))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or not self._KNOWN.fullmatch(t) else self._WORD.findall(t.lower()) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {}
-        new = list(set().union(*(s for s in split if s)).difference(self.cache)) if any(split) else []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts, strict=True)]
+        split = [None if "<|" in t or not self._KNOWN.fullmatch(t) else t.lower().split() for t in texts]
+        if len(self.chunks) + len(self.words) > self.most:
+            self.chunks, self.words = {}, {}
+        self._learn(list(set().union(*(s for s in split if s)).difference(self.chunks)))
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, s)) if s is not None else self._ids(t).tobytes() for s, t in zip(split, texts, strict=True)]
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

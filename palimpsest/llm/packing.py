@@ -52,11 +52,11 @@ class Tokens:
     _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     _KNOWN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧]*")
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.chunks, self.words = Tokenizer.from_file(path), most, {}, {}
+        self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -66,24 +66,25 @@ class Tokens:
 
     def _learn(self, new: list[str]) -> None:
         split = [self._WORD.findall(c) for c in new]
-        words = list(set().union(*split).difference(self.words)) if split else []
+        words = list(set().union(*split).difference(self.known)) if split else []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             ids = self._ids(" ".join(part))
             data, start = ids.tobytes(), 0
             for w, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-                self.words[w] = data[start:end]
+                self.known[w] = data[start:end]
                 start = end
-        get = self.words.__getitem__
+        get = self.known.__getitem__
         for c, ws in zip(new, split, strict=True):
-            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(get, ws))
+            if len(ws) != 1:  # else it is a word, and known by now
+                self.known[c] = b"".join(map(get, ws))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [None if "<|" in t or not self._KNOWN.fullmatch(t) else t.lower().split() for t in texts]
-        if len(self.chunks) + len(self.words) > self.most:
-            self.chunks, self.words = {}, {}
-        self._learn(list(set().union(*(s for s in split if s)).difference(self.chunks)))
-        get = self.chunks.__getitem__
+        if len(self.known) > self.most:
+            self.known = {}
+        self._learn(list(set().union(*(s for s in split if s)).difference(self.known)))
+        get = self.known.__getitem__
         return [b"".join(map(get, s)) if s is not None else self._ids(t).tobytes() for s, t in zip(split, texts, strict=True)]
 
 

@@ -6,8 +6,10 @@ p_d. It is a linear discriminant over shares of characters and words: class mean
 covariance, both sums of a single aggregation. A document of t tokens (words) then counts t p_d
 towards domain d, and nonnegative rates r, how often a document is used, are fitted so that the
 expected totals, the sums of r t p_d, match the targets. The least-squares problem is solved by
-projected gradient steps from r = 1, scaled by the inverse Gram matrix of the rows whose rate isn't
-held at 0: r <- max(0, r - t (p . v)), with v the scaled residual. A step is one distributed aggregation of as
+projected gradient steps from r = 1, in the metric in which every token counts alike (a document's
+gradient t (p . residual) is divided by its t, so that long documents aren't repeated in place of
+many short ones) and scaled by the inverse Gram matrix of the rows whose rate isn't held at 0:
+r <- max(0, r - p . v), with v the scaled residual. A step is one distributed aggregation of as
 many numbers as there are domains; rates stay an expression over the steps' vectors.
 
 Defined results: a null or empty text has no tokens, its features are 0 and its rate stays 1;
@@ -131,15 +133,17 @@ def rate(steps: list[list[float]]) -> Column:
     """The rate of a row after the steps, folded over their vectors so that the expression stays small."""
     if not steps:
         return F.lit(1.0)
-    row = F.array(F.struct((F.col("tokens") / F.lit(SCALE)).alias("t"), *[F.col(f"p_{d}").alias(d) for d in DOMAINS]))
+    row = F.array(F.struct(*[F.col(f"p_{d}").alias(d) for d in DOMAINS]))
     vectors = F.array(*[F.struct(*[F.lit(float(x)).alias(d) for x, d in zip(v, DOMAINS, strict=True)]) for v in steps])
 
     def fold(x):
-        return F.aggregate(vectors, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - x["t"] * sum((v[d] * x[d] for d in DOMAINS), F.lit(0.0))))
+        return F.aggregate(vectors, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - sum((v[d] * x[d] for d in DOMAINS), F.lit(0.0))))
 
     return F.element_at(F.transform(row, fold), 1)
 
 
+#: Times its own tokens that the spared domain has at least.
+SPARE = 1.02
 #: Tokens are counted in units of this in the steps, which keeps the numbers near 1.
 SCALE = 1000.0
 
@@ -152,7 +156,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, round
     targets = targets or TARGETS
     w = [F.col("tokens") / F.lit(SCALE) * F.col(f"p_{d}") for d in DOMAINS]
     n = len(DOMAINS)
-    g = members.agg(*[F.sum(x).alias(f"t{i}") for i, x in enumerate(w)], *[F.sum(w[i] * w[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    scale = [(f"g{i}_{j}", w[i] * F.col(f"p_{DOMAINS[j]}")) for i in range(n) for j in range(i, n)]
+    g = members.agg(*[F.sum(x).alias(f"t{i}") for i, x in enumerate(w)], *[F.sum(x).alias(k) for k, x in scale]).first()
     have = [g[f"t{i}"] or 0.0 for i in range(n)]
     live = [i for i in range(n) if have[i] > 1e-9 * max(1e-300, sum(have)) and targets.get(DOMAINS[i], 0) > 0]
     if not live:
@@ -160,9 +165,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, round
     share = {i: targets[DOMAINS[i]] / sum(targets[DOMAINS[j]] for j in live) for i in live}
     budget = sum(have[i] for i in live)
     if spare in DOMAINS and (s := DOMAINS.index(spare)) in live:
-        budget = max(budget, have[s] / share[s])
+        budget = max(budget, SPARE * have[s] / share[s])
     want = [share.get(i, 0.0) * budget if i in live else have[i] for i in range(n)]
-    scale = [(f"g{i}_{j}", w[i] * w[j]) for i in range(n) for j in range(i, n)]
     steps: list[list[float]] = []
     now, gram, best = have, g, None
     for _ in range(rounds):

@@ -117,16 +117,19 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     toxic = toxic_words(sample)
     model = fit_classifier(sample, toxic)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({f"_{k}": c.cast("double") for k, c in _features(text, toxic).items()})
-    logs = {d: F.lit(c) + sum((F.lit(w) * F.col(f"_{k}") for k, w in ws.items()), F.lit(0.0)) for d, (c, ws) in model.items()}
-    if not logs:
-        logs = {DOMAINS[0]: F.lit(0.0)}
-    out = out.withColumns({f"_l_{d}": x for d, x in logs.items()})
-    most = F.greatest(*[F.col(f"_l_{d}") for d in logs]) if len(logs) > 1 else F.col(f"_l_{next(iter(logs))}")
-    out = out.withColumn("_most", most)
-    whole = sum((F.exp(F.col(f"_l_{d}") - F.col("_most")) for d in logs), F.lit(0.0))
-    shares = {f"p_{d}": (F.exp(F.col(f"_l_{d}") - F.col("_most")) / whole if d in logs else F.lit(0.0)) for d in DOMAINS}
-    return out.withColumns(shares).withColumn("tokens", F.col("_tokens")).select(*docs.columns, "tokens", *shares)
+    # each step is bound once, so that a filter on the outcome doesn't repeat the features below it
+    features = F.struct(*[c.cast("double").alias(k) for k, c in _features(text, toxic).items()])
+
+    def logs(x):
+        one = {d: F.lit(c) + sum((F.lit(w) * x[k] for k, w in ws.items()), F.lit(0.0)) for d, (c, ws) in model.items()} or {DOMAINS[0]: F.lit(0.0)}
+        return F.struct(x["tokens"].alias("tokens"), *[one.get(d, F.lit(float("-inf"))).alias(d) for d in DOMAINS])
+
+    def shares(x):
+        powers = {d: F.exp(x[d] - F.greatest(*[x[e] for e in DOMAINS])) for d in DOMAINS}
+        return F.struct(x["tokens"].alias("tokens"), *[(powers[d] / sum(powers.values(), F.lit(0.0))).alias(f"p_{d}") for d in DOMAINS])
+
+    bound = F.element_at(F.transform(F.transform(F.array(features), logs), shares), 1)
+    return docs.withColumn("_m", bound).select(*docs.columns, "_m.*")
 
 
 def rate(steps: list[list[float]]) -> Column:
@@ -200,7 +203,7 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     members = settle(with_p.select("tokens", *[f"p_{d}" for d in DOMAINS]))
     drawn = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate(fit_rates(members, targets)) + drawn).cast("int")
-    return with_p.withColumn("_k", times).where("_k > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*docs.columns)
+    return with_p.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,11 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256), 1, 15), 16, 10).cast("long")
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once and written once, which keeps plans small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _rounds(text: Column, step, rounds: int = 6) -> Column:
     """A Feistel network over the halves of a string; ``step(a, b, i)`` gives what a becomes under b.
 
@@ -82,12 +87,16 @@ def _digits(text: Column, key: str, kind: str) -> Column:
 def _shift(text: Column, by: Column) -> Column:
     """Each letter or digit moved within its alphabet by a number drawn from ``by`` and its place."""
 
+    every = "".join(ALPHABETS)
+    starts = [1 + sum(map(len, ALPHABETS[:k])) for k in range(len(ALPHABETS))]
+    lines = F.array(*[F.struct(F.lit(x).alias("start"), F.lit(len(y)).alias("n")) for x, y in zip(starts, ALPHABETS, strict=True)])
+
     def one(c, i):
-        step, out = _hash("", by, i.cast("string")), c
-        for letters in ALPHABETS:
-            at, n = F.position(c, F.lit(letters)), F.lit(len(letters))
-            out = F.when(at > 0, F.substring(F.lit(letters), (F.pmod(at - 1 + F.pmod(step, n), n) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+        def moved(at):
+            line = F.element_at(F.filter(lines, lambda x: x["start"] <= at), -1)
+            return F.when(at == 0, c).otherwise(_let(line, lambda x: F.substring(F.lit(every), (x["start"] + F.pmod(at - x["start"] + F.pmod(_hash("", by, i.cast("string")), x["n"]), x["n"])).cast("int"), F.lit(1))))
+
+        return _let(F.position(c, F.lit(every)), moved)
 
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
@@ -128,7 +137,7 @@ def _card(m: Column, key: str) -> Column:
     def filled(new):
         return _refill(m, F.concat(new, F.pmod(_luhn(new) + last - _luhn(head), F.lit(10)).cast("string")))
 
-    return F.element_at(F.transform(F.array(_digits(head, key, "card")), filled), 1)
+    return _let(_digits(head, key, "card"), filled)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -139,7 +148,7 @@ def _ip(m: Column, key: str) -> Column:
     for least, most in ((1, 126), (128, 191), (192, 223)):
         n = most - least + 1
         first = F.when(octets[0].between(least, most), F.pmod(octets[0] - least + F.pmod(_hash(key, F.lit(f"ip{least}")), F.lit(n - 1)) + 1, F.lit(n)) + least).otherwise(first)
-    return F.element_at(F.transform(F.array(low), lambda x: F.concat_ws(".", first.cast("int"), F.floor(x["a"] / 16), x["a"] % 16 * 16 + F.floor(x["b"] / 256), x["b"] % 256)), 1)
+    return _let(low, lambda x: F.concat_ws(".", first.cast("int"), F.floor(x["a"] / 16), x["a"] % 16 * 16 + F.floor(x["b"] / 256), x["b"] % 256))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -152,7 +161,7 @@ def _phone(m: Column, key: str) -> Column:
     def filled(new):
         return _refill(rest, F.when(kept, F.concat(F.substring(new, 1, 3), F.lit("555"), F.substring(new, 4, 4))).otherwise(new))
 
-    return F.concat(country, F.element_at(F.transform(F.array(_digits(free, key, "phone")), filled), 1))
+    return F.concat(country, _let(_digits(free, key, "phone"), filled))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -192,22 +201,25 @@ def kind_of(m: Column) -> Column:
 
 def surrogate(m: Column, key: str = KEY) -> Column:
     """What stands for an entity. The same entity has the same surrogate everywhere."""
-    kind = kind_of(m)
-    return (
-        F.when(kind == "email", _email(m, key))
+    return _let(
+        kind_of(m),
+        lambda kind: F.when(kind == "email", _email(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "name", _name(m, key))
         .when(kind == "card", _card(m, key))
         .when(kind == "ssn", _refill(m, _digits(_only_digits(m), key, "ssn")))
-        .otherwise(_phone(m, key))
+        .otherwise(_phone(m, key)),
     )
 
 
 def canonical(m: Column) -> Column:
     """An entity without its case and punctuation; a name without its title."""
-    kind = kind_of(m)
-    plain = F.when(kind.isin("card", "ssn"), _only_digits(m)).when(kind == "phone", F.right(_only_digits(m), F.lit(10)))
-    return plain.when(kind == "name", F.regexp_replace(m, r"^\S+ ", "")).otherwise(F.lower(m))
+
+    def plain(kind):
+        digits = F.when(kind.isin("card", "ssn"), _only_digits(m)).when(kind == "phone", F.right(_only_digits(m), F.lit(10)))
+        return digits.when(kind == "name", F.regexp_replace(m, r"^\S+ ", "")).otherwise(F.lower(m))
+
+    return _let(kind_of(m), plain)
 
 
 def entities(text: Column) -> Column:
@@ -227,7 +239,7 @@ def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
     """(kind, surrogate, n): surrogates that would stand for n > 1 entities of the corpus, or (n = 0) for
     themselves; of these there should be none. Entities are made distinct before they are shuffled."""
     seen = docs.select(F.explode(entities(F.col(text_col))).alias("m")).distinct()
-    pairs = seen.select(kind_of(F.col("m")).alias("kind"), canonical(F.col("m")).alias("entity"), canonical(surrogate(F.col("m"), key)).alias("surrogate")).distinct()
+    pairs = seen.select(kind_of(F.col("m")).alias("kind"), canonical(F.col("m")).alias("entity"), _let(surrogate(F.col("m"), key), canonical).alias("surrogate")).distinct()
     by = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("same"))
     return by.where("n > 1 or same").select("kind", "surrogate", F.when(F.col("same"), 0).otherwise(F.col("n")).alias("n"))
 

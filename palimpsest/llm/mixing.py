@@ -14,7 +14,8 @@ many numbers as there are domains; rates stay an expression over the steps' vect
 
 Defined results: a null or empty text has no tokens, its features are 0 and its rate stays 1;
 repeated rows each have a rate; without labels of a class that class has no mass, and targets are
-scaled over the classes that have; an empty table gives none; further columns pass through. Rows of
+scaled over the classes that have; an empty table gives none; further columns pass through, but for
+those that are called like the results (``tokens``, ``p_<domain>``, ``rate``), which these replace. Rows of
 labels with nulls don't count, and several labels of a document make it toxic, poor or good, in
 that order.
 """
@@ -129,7 +130,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return F.struct(x["tokens"].alias("tokens"), *[(powers[d] / sum(powers.values(), F.lit(0.0))).alias(f"p_{d}") for d in DOMAINS])
 
     bound = F.element_at(F.transform(F.transform(F.array(features), logs), shares), 1)
-    return docs.withColumn("_m", bound).select(*docs.columns, "_m.*")
+    own = {"tokens", *(f"p_{d}" for d in DOMAINS)}
+    return docs.select(*[c for c in docs.columns if c not in own], bound.alias("_m")).select(*[c for c in docs.columns if c not in own], "_m.*")
 
 
 def rate(steps: list[list[float]]) -> Column:
@@ -199,11 +201,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: the whole part, and once more with the
     chance of the rest, drawn from a hash of the row."""
-    with_p = posteriors(docs, labels, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    with_p = posteriors(rows, labels, "_id", "_text")
     members = settle(with_p.select("tokens", *[f"p_{d}" for d in DOMAINS]))
-    drawn = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.pmod(F.xxhash64(F.lit("mix"), "_id", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate(fit_rates(members, targets)) + drawn).cast("int")
-    return with_p.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return with_p.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ every document (coreference), in whatever case or punctuation it is written. ``c
 both over a corpus: it lists surrogates that stand for more than one entity.
 
 Defined results: a null text stays null, an empty one empty; texts without entities stay as they
-are; repeated rows are treated alike; an empty table gives none; further columns pass through.
+are; repeated rows are treated alike; an empty table gives none; further columns pass through, but for
+one called ``n_entities``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -228,11 +229,11 @@ def entities(text: Column) -> Column:
 
 def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and the number of entities in ``n_entities``."""
-    found = docs.withColumn("_found", entities(F.col(text_col)))
+    found = docs.withColumn("__found", entities(F.col(text_col)))
     gaps = F.split(F.col(text_col), PATTERN, -1)
-    new = F.array_join(F.zip_with(gaps, "_found", lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(surrogate(m, key)))), "")
-    n = F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found"))
-    return found.withColumn(text_col, F.when(n > 0, new).otherwise(F.col(text_col))).withColumn("n_entities", n.cast("long")).drop("_found")
+    new = F.array_join(F.zip_with(gaps, "__found", lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(surrogate(m, key)))), "")
+    n = F.when(F.col("__found").isNull(), 0).otherwise(F.size("__found"))
+    return found.withColumn(text_col, F.when(n > 0, new).otherwise(F.col(text_col))).withColumn("n_entities", n.cast("long")).drop("__found")
 
 
 def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:

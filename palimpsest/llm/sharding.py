@@ -6,7 +6,7 @@ running sum inside it every row its place among all bytes; shard s takes the pla
 s * total / shards on. What is gathered is one row per partition.
 
 Equal texts come next to each other. A group of equal texts goes whole to the shard of its first
-byte, unless it takes more than ``SPLIT`` of a shard's target: such a group is cut like other rows.
+byte, unless it takes more than ``split`` of a shard's target: such a group is cut like other rows.
 
 Defined results: a null text has no bytes, and its row, like an empty one's, the overhead alone;
 null ids and repeated rows get places of their own; an empty table gives none; further columns
@@ -23,7 +23,7 @@ from .common import settle, table
 SHARDS, OVERHEAD, SPLIT = 40, 16, 0.005
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", split: float = SPLIT) -> DataFrame:
     """(id, size, text_crc32, shard, slot): a row per row."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
@@ -32,8 +32,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     if not total["n"]:
         return rows.select("id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     target = total["bytes"] / shards
-    # the groups over SPLIT of a shard number under shards / SPLIT, which bounds the broadcast
-    large = rows.groupBy("h", "size", "text_crc32").agg(F.sum("size").alias("b")).where(F.col("b") > SPLIT * target).select(F.col("h").alias("_h"), F.col("size").alias("_z"), F.col("text_crc32").alias("_c"))
+    # the groups over ``split`` of a shard number under shards / split, which bounds the broadcast
+    large = rows.groupBy("h", "size", "text_crc32").agg(F.sum("size").alias("b")).where(F.col("b") > split * target).select(F.col("h").alias("_h"), F.col("size").alias("_z"), F.col("text_crc32").alias("_c"))
     marked = rows.join(F.broadcast(large), (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_z")) & (F.col("text_crc32") == F.col("_c")), "left")
     marked = marked.select("id", "size", "text_crc32", "h", F.when(F.col("_h").isNull(), 0).otherwise(F.xxhash64("id")).alias("cut"))
     key = ["h", "text_crc32", "size", "cut"]

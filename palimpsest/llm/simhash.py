@@ -139,12 +139,10 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096) -> DataFrame
     first = masks(radius, list(range(64)))
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k1")) for v, m in enumerate(first)]))
     one = fps.select("fp", tables.alias("t")).select("fp", F.col("t.v").alias("v"), F.col("t.k1").alias("k1"))
-    # the key of table v is told from another table's by its number, which is mixed in
-    keyed = one.withColumn("k0", F.xxhash64("v", "k1"))
     total = len(first) * fps.count()
     limit = max(bucket, total // 10_000)
-    hot = keyed.groupBy("v", "k1").count().where(F.col("count") > limit).select(F.col("v").alias("hv"), F.col("k1").alias("hk"))
-    met = keyed.join(F.broadcast(hot), (F.col("v") == F.col("hv")) & (F.col("k1") == F.col("hk")), "left")
+    hot = one.groupBy("v", "k1").count().where(F.col("count") > limit).select(F.col("v").alias("hv"), F.col("k1").alias("hk"))
+    met = one.join(F.broadcast(hot), (F.col("v") == F.col("hv")) & (F.col("k1") == F.col("hk")), "left")
     second = [masks(radius, [i for i in range(64) if not m >> i & 1]) for m in first]
     whole = F.array(F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("k2")))
     per_table = F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in second])
@@ -170,10 +168,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id names their class; of rows with that same id, one; rows without an id stay."""
-    kept = classes(docs, id_col, text_col, radius).where(F.col("id").isNull() | (F.col("id") == F.col("component_id")))
-    ids = kept.where("id is not null").select(F.col("id").alias("_id")).distinct()
-    rest = docs.join(ids, docs[id_col].cast("long") == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return rest.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = classes(docs, id_col, text_col, radius).where(F.col("id") == F.col("component_id"))
+    ids = kept.select(F.col("id").alias("_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_key"))  # whatever its columns are called
+    one = rows.join(ids, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"])
+    return one.unionByName(rows.where("_key is null")).select("_row.*")
 
 
 def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:

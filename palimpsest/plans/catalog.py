@@ -16,7 +16,12 @@ from ..sources import backup, spool
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-NOW = F.lit("2024-07-01 00:00:00").cast("timestamp")
+
+
+def _now():
+    return F.lit("2024-07-01 00:00:00").cast("timestamp")
+
+
 PROMPT = "which clown or idiot wrote the token: that thand, erer and heon?"
 TERMS = X.terms_of(PROMPT)
 PROJECT = "src6"
@@ -44,7 +49,7 @@ def oracles() -> dict[str, str]:
 
 def _memory(spark, d) -> DataFrame:
     """Notes with the times as instants: ``seen`` is the last change."""
-    m = A.memory(spark, d).withColumn("seen", NOW - F.make_interval(hours=F.col("age_hours").cast("int")))
+    m = A.memory(spark, d).withColumn("seen", _now() - F.make_interval(hours=F.col("age_hours").cast("int")))
     return m.withColumn("updated_at", F.date_format("seen", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
@@ -73,7 +78,7 @@ FROM bm JOIN memory ON k = path WHERE score > 0.5 ORDER BY score * {_IMP} * {_RE
 def recall_fulltext_topk(spark, d):
     m = _memory(spark, d)
     hits = recall.bm25(m.where(recall.live()), "path", "content", TERMS).where("score > 0.5")
-    score = F.col("score") * S.importance_factor(F.col("importance")) * S.recency_factor(F.col("path"), F.col("seen"), NOW)
+    score = F.col("score") * S.importance_factor(F.col("importance")) * S.recency_factor(F.col("path"), F.col("seen"), _now())
     return recall.top(m.join(hits, "path").select("path", score.alias("score")), 20, "path").select("path", F.round("score", 6).alias("score"))
 
 
@@ -104,13 +109,13 @@ f AS (SELECT path, sum(s) AS rrf FROM r GROUP BY path)"""
 @query(f"SELECT path, project, round(rrf * {_IMP} * {_REC}, 9) AS score FROM f JOIN memory USING (path) ORDER BY 3 DESC, path LIMIT 5", _FUSE)
 def recall_hybrid_rrf(spark, d):
     m, (e, q) = _memory(spark, d), _vector(spark, d)
-    return recall.hybrid_merge(recall.fulltext_search(m, TERMS), recall.vector_search(e, q), m, None, NOW)
+    return recall.hybrid_merge(recall.fulltext_search(m, TERMS), recall.vector_search(e, q), m, None, _now())
 
 
 @query(f"SELECT path, project, round((rrf + CASE WHEN project = '{PROJECT}' THEN 0.025 ELSE 0 END) * {_IMP} * {_REC}, 9) AS score FROM f JOIN memory USING (path) ORDER BY 3 DESC, path LIMIT 5", _FUSE)
 def recall_project_boost(spark, d):
     m, (e, q) = _memory(spark, d), _vector(spark, d)
-    return recall.hybrid_merge(recall.fulltext_search(m, TERMS), recall.vector_search(e, q), m, PROJECT, NOW)
+    return recall.hybrid_merge(recall.fulltext_search(m, TERMS), recall.vector_search(e, q), m, PROJECT, _now())
 
 
 @query("SELECT event_id, event_name, substr(trim(regexp_replace(coalesce(prompt, tool_response, ''), '\\s+', ' ', 'g')), 1, 200) AS snippet, round(score, 6) AS score FROM bm JOIN event ON k = event_id WHERE score > 1.0 ORDER BY score DESC, event_id LIMIT 3", _bm25("event", "event_id", "coalesce(prompt, tool_response, '')"))
@@ -128,7 +133,7 @@ def session_start_buckets(spark, d):
 @query(f"SELECT path, round({_IMP} * {_REC} / greatest(length(content), 1), 9) AS density FROM memory WHERE {_LIVE} ORDER BY {_IMP} * {_REC} / greatest(length(content), 1) DESC, path LIMIT 50")
 def value_density_rank(spark, d):
     m = _memory(spark, d).where(recall.live())
-    v = S.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), NOW)
+    v = S.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), _now())
     return m.select("path", v.alias("density")).orderBy(F.desc("density"), "path").limit(50).select("path", F.round("density", 9).alias("density"))
 
 
@@ -140,7 +145,7 @@ def existing_context_budget(spark, d):
 
 @query()
 def session_start_packing(spark, d):
-    rows = recall.session_start(_memory(spark, d), PROJECT).withColumn("density", S.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), NOW))
+    rows = recall.session_start(_memory(spark, d), PROJECT).withColumn("density", S.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), _now()))
     text, paths = recall.render_session_start(rows.select("section", "path", "content", "density").collect(), PROJECT)
     return spark.createDataFrame([(i, p, len(text)) for i, p in enumerate(paths)], "place int, path string, chars int")
 
@@ -514,7 +519,7 @@ def auto_resolve_winner(spark, d):
 @query(f"SELECT path FROM memory WHERE {_LIVE} AND path NOT LIKE 'profile/%' AND age_hours > 60 * 24")
 def archive_candidates(spark, d):
     m = _memory(spark, d).withColumn("last_accessed_at", F.lit(None).cast("string"))
-    return consolidate.stale(m, F.date_format(NOW - F.expr("INTERVAL 60 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).select("path")
+    return consolidate.stale(m, F.date_format(_now() - F.expr("INTERVAL 60 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).select("path")
 
 
 # --- mutations, ingest, backup ---

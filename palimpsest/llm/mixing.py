@@ -39,28 +39,42 @@ FEATURES = ("f_mark", "f_upper", "f_digit", "f_line", "f_toxic")
 MARKS = "|!%$&*#"
 
 
+_SPLIT = "\t\n\x0b\f\r" + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[\s\p{Punct}]+")
+    """Lower-case words between white space and punctuation, with empty ones among them."""
+    return F.split(F.translate(F.lower(text), _SPLIT, " " * len(_SPLIT)), " ")
 
 
 def _features(text: Column, toxic: list[str]) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1))
-    words = F.size(F.split(text, " "))
+    # one pass turns each class of characters into one character, whose share is then cheap to take
+    sets = {"\x01": MARKS, "\x02": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\x03": "0123456789"}
+    classed = F.translate(text, "".join(sets.values()), "".join(k * len(v) for k, v in sets.items()))
+    found = F.array_intersect(_words(text), F.array(*[F.lit(w) for w in toxic])) if toxic else F.array()
 
-    def share(set_: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, set_, ""))) / chars
+    def count(of: Column, c: str) -> Column:
+        return F.length(of) - F.length(F.replace(of, F.lit(c), F.lit("")))
 
-    found = F.array_intersect(_words(text), F.array(*[F.lit(w) for w in toxic])) if toxic else F.array()
     return {
-        "f_mark": F.sqrt(share(MARKS)),
-        "f_upper": F.sqrt(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        "f_digit": F.sqrt(share("0123456789")),
-        "f_line": F.sqrt(share("\n")),
+        "classed": classed,
+        "f_mark": lambda x: F.sqrt(count(x, "\x01") / chars),
+        "f_upper": lambda x: F.sqrt(count(x, "\x02") / chars),
+        "f_digit": lambda x: F.sqrt(count(x, "\x03") / chars),
+        "f_line": F.sqrt(count(text, "\n") / chars),
         "f_toxic": F.least(F.size(found) / F.lit(3.0), F.lit(1.0)),
-        "tokens": F.when(F.length(text) == 0, 0).otherwise(words).cast("double"),
+        "tokens": F.when(F.length(text) == 0, 0).otherwise(count(text, " ") + 1).cast("double"),
     }
 
 
+def _feature_row(text: Column, toxic: list[str]) -> Column:
+    """An array of one struct of the features."""
+    f = _features(text, toxic)
+    classed = f.pop("classed")
+    return F.transform(F.array(classed), lambda x: F.struct(*[(c(x) if callable(c) else c).cast("double").alias(k) for k, c in f.items()]))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(t, y): texts of the bounded sample of labelled rows and their domain's number."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
@@ -97,8 +111,8 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 
 def fit_classifier(sample: DataFrame, toxic: list[str]) -> dict[str, tuple[float, dict[str, float]]]:
     """For each domain that has rows, the constant and weights of its log-posterior."""
-    f = [c for c in FEATURES]
-    rows = sample.select("y", *[c.cast("double").alias(k) for k, c in _features(F.col("t"), toxic).items() if k in f])
+    f = list(FEATURES)
+    rows = sample.select("y", F.inline(_feature_row(F.col("t"), toxic)))
     sums = rows.groupBy("y").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in f], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(f) for b in f[i:]]).collect()
     total = sum(r["n"] for r in sums)
     means = {r["y"]: [r[c] / r["n"] for c in f] for r in sums}
@@ -119,7 +133,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = fit_classifier(sample, toxic)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # each step is bound once, so that a filter on the outcome doesn't repeat the features below it
-    features = F.struct(*[c.cast("double").alias(k) for k, c in _features(text, toxic).items()])
+    features = _feature_row(text, toxic)
 
     def logs(x):
         one = {d: F.lit(c) + sum((F.lit(w) * x[k] for k, w in ws.items()), F.lit(0.0)) for d, (c, ws) in model.items()} or {DOMAINS[0]: F.lit(0.0)}
@@ -129,7 +143,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         powers = {d: F.exp(x[d] - F.greatest(*[x[e] for e in DOMAINS])) for d in DOMAINS}
         return F.struct(x["tokens"].alias("tokens"), *[(powers[d] / sum(powers.values(), F.lit(0.0))).alias(f"p_{d}") for d in DOMAINS])
 
-    bound = F.element_at(F.transform(F.transform(F.array(features), logs), shares), 1)
+    bound = F.element_at(F.transform(F.transform(features, logs), shares), 1)
     own = {"tokens", *(f"p_{d}" for d in DOMAINS)}
     return docs.select(*[c for c in docs.columns if c not in own], bound.alias("_m")).select(*[c for c in docs.columns if c not in own], "_m.*")
 

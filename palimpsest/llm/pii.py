@@ -7,10 +7,12 @@ and case, a card keeps whether its check digit holds, an address its class of fi
 given name becomes one of the same gender.
 
 Distinctness holds by construction, so that no table of entities has to be shuffled: every type is
-mapped by a keyed Feistel network or keyed permutation over the entities of one format, which is a
-bijection. As the map depends on nothing but key and entity, an entity has the same surrogate in
+mapped by a keyed permutation over the entities of one format: a Feistel network, then one digit or
+letter moved on, then the network backwards. So it is a bijection, and no entity stands for itself,
+however many of a small format there are. As the map depends on nothing but key and entity, an entity has the same surrogate in
 every document (coreference), in whatever case or punctuation it is written. ``collisions`` checks
-both over a corpus: it lists surrogates that stand for more than one entity.
+both over a corpus: it lists surrogates that stand for more than one entity. What has no letter or
+digit of ALPHABETS (a name in another script) stays as it is.
 
 Defined results: a null text stays null, an empty one empty; texts without entities stay as they
 are; repeated rows are treated alike; an empty table gives none; further columns pass through, but for
@@ -50,7 +52,7 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 #: The text that any entity has somewhere; what lacks it isn't searched.
-HINT = rf"@|\d\d|\b(?:{_TITLE})\b"
+HINT = rf"@|\d\d|\d\.\d\.|\b(?:{_TITLE})\b"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -63,29 +65,48 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _rounds(text: Column, step, rounds: int = 6) -> Column:
-    """A Feistel network over the halves of a string; ``step(a, b, i)`` gives what a becomes under b.
+def _fold(start: Column, step, finish, back: bool = False) -> Column:
+    """Six rounds of a Feistel network over a struct (a, b), or the same undone; ``step(a, b, i, sign)``
+    gives what a becomes under b, and with sign -1 what it was. Each round is computed once."""
+    if back:
+        return F.aggregate(F.sequence(F.lit(6), F.lit(1)), start, lambda x, i: F.struct(step(x["b"], x["a"], i, -1).alias("a"), x["a"].alias("b")), finish)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda x, i: F.struct(x["b"].alias("a"), step(x["a"], x["b"], i, 1).alias("b")), finish)
 
-    Folded rather than nested, so that each round is computed once.
-    """
-    half = F.floor(F.length(text) / 2).cast("int")
-    start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text) - half).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, i: F.struct(x["b"].alias("a"), step(x["a"], x["b"], i).alias("b")), lambda x: F.concat(x["a"], x["b"]))
+
+def _rounds(text: Column, step, moved) -> Column:
+    """A keyed permutation of strings without fixed points: the network over a string's halves, then
+    ``moved``, a permutation without fixed points, then the network backwards."""
+
+    def pair(t):
+        half = F.floor(F.length(t) / 2).cast("int")
+        return F.struct(F.substring(t, F.lit(1), half).alias("a"), F.substring(t, half + 1, F.length(t) - half).alias("b"))
+
+    def joined(x):
+        return F.concat(x["a"], x["b"])
+
+    return _let(_let(_fold(pair(text), step, joined), moved), lambda x: _fold(pair(x), step, joined, back=True))
+
+
+def _next(text: Column) -> Column:
+    """The string with its first letter or digit replaced by the next of its alphabet, in a circle."""
+    every, turned = "".join(ALPHABETS), "".join(x[1:] + x[0] for x in ALPHABETS)
+    before = F.length(F.regexp_extract(text, f"^[^{every}]*", 0))
+    return F.concat(F.substring(text, F.lit(1), before), F.translate(F.substring(text, before + 1, F.lit(1)), every, turned), F.substring(text, before + 2, F.length(text)))
 
 
 def _digits(text: Column, key: str, kind: str) -> Column:
-    """A keyed bijection of digit strings of one length (to 36) onto themselves."""
+    """A keyed bijection of digit strings of one length (to 36) onto themselves, without fixed points."""
 
-    def step(a, b, i):
+    def step(a, b, i, sign):
         size = F.rpad(F.lit("1"), F.length(a) + 1, "0").cast("long")
         number = F.when(F.length(a) == 0, "0").otherwise(a).cast("long")
-        new = F.pmod(number + _hash(key, F.lit(kind), i.cast("string"), F.length(a).cast("string"), b), size)
+        new = F.pmod(number + sign * _hash(key, F.lit(kind), i.cast("string"), F.length(a).cast("string"), b), size)
         return F.when(F.length(a) == 0, F.lit("")).otherwise(F.lpad(new.cast("string"), F.length(a), "0"))
 
-    return _rounds(text, step)
+    return _rounds(text, step, _next)
 
 
-def _shift(text: Column, by: Column) -> Column:
+def _shift(text: Column, by: Column, sign: int) -> Column:
     """Each letter or digit moved within its alphabet by a number drawn from ``by`` and its place."""
 
     every = "".join(ALPHABETS)
@@ -95,7 +116,7 @@ def _shift(text: Column, by: Column) -> Column:
     def one(c, i):
         def moved(at):
             line = F.element_at(F.filter(lines, lambda x: x["start"] <= at), -1)
-            return F.when(at == 0, c).otherwise(_let(line, lambda x: F.substring(F.lit(every), (x["start"] + F.pmod(at - x["start"] + F.pmod(_hash("", by, i.cast("string")), x["n"]), x["n"])).cast("int"), F.lit(1))))
+            return F.when(at == 0, c).otherwise(_let(line, lambda x: F.substring(F.lit(every), (x["start"] + F.pmod(at - x["start"] + sign * F.pmod(_hash("", by, i.cast("string")), x["n"]), x["n"])).cast("int"), F.lit(1))))
 
         return _let(F.position(c, F.lit(every)), moved)
 
@@ -103,9 +124,14 @@ def _shift(text: Column, by: Column) -> Column:
 
 
 def _letters(text: Column, key: str, kind: str, tweak: Column | None = None) -> Column:
-    """A keyed bijection of strings that keeps length, scripts and case; case doesn't change the rest."""
+    """A keyed bijection of strings that keeps length, scripts and case, without fixed points; case
+    doesn't change the rest."""
     more = [] if tweak is None else [tweak]
-    return _rounds(text, lambda a, b, i: _shift(a, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), i.cast("string"), F.lower(b), *more), 256)))
+
+    def step(a, b, i, sign):
+        return _shift(a, F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), i.cast("string"), F.lower(b), *more), 256), sign)
+
+    return _rounds(text, step, _next)
 
 
 def _refill(shape: Column, digits: Column) -> Column:
@@ -144,7 +170,14 @@ def _card(m: Column, key: str) -> Column:
 def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     start = F.struct((octets[1] * 16 + F.floor(octets[2] / 16)).cast("long").alias("a"), (octets[2] % 16 * 256 + octets[3]).cast("long").alias("b"))
-    low = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, lambda x, i: F.struct(x["b"].alias("a"), F.pmod(x["a"] + _hash(key, F.lit("ip"), i.cast("string"), x["b"].cast("string")), F.lit(4096)).alias("b")))
+
+    def step(a, b, i, sign):
+        return F.pmod(a + sign * _hash(key, F.lit("ip"), i.cast("string"), b.cast("string")), F.lit(4096))
+
+    def moved(x):
+        return _fold(F.struct(F.pmod(x["a"] + 1, F.lit(4096)).alias("a"), x["b"].alias("b")), step, lambda y: y, back=True)
+
+    low = _let(_fold(start, step, lambda x: x), moved)
     first = octets[0]
     for least, most in ((1, 126), (128, 191), (192, 223)):
         n = most - least + 1
@@ -152,17 +185,31 @@ def _ip(m: Column, key: str) -> Column:
     return _let(low, lambda x: F.concat_ws(".", first.cast("int"), F.floor(x["a"] / 16), x["a"] % 16 * 16 + F.floor(x["b"] / 256), x["b"] % 256))
 
 
+def _country(m: Column) -> Column:
+    """The part of a telephone number that surrogates keep: +1 before ten digits, what stands before
+    the first mark, or three digits."""
+    return F.regexp_extract(m, r"^\+(?:1(?=\d{10}$)|\d{1,3}(?=[ .(-])|\d{3})", 0)
+
+
+def _subscriber(m: Column) -> Column:
+    return _only_digits(F.substring(m, F.length(_country(m)) + 1, F.length(m)))
+
+
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    country = _country(m)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
-    digits = _only_digits(rest)
-    kept = (F.length(digits) == 10) & (F.substring(digits, 4, 3) == "555")  # an exchange that has no subscribers stays one
-    free = F.when(kept, F.concat(F.substring(digits, 1, 3), F.substring(digits, 7, 4))).otherwise(digits)
+    digits = _subscriber(m)
 
-    def filled(new):
-        return _refill(rest, F.when(kept, F.concat(F.substring(new, 1, 3), F.lit("555"), F.substring(new, 4, 4))).otherwise(new))
+    def reserved(x):  # an exchange that has no subscribers stays one, and none else becomes one
+        return (F.length(x) == 10) & (F.substring(x, 4, 3) == "555")
+
+    def filled(x):
+        new = _digits(F.concat(F.substring(x, 1, 3), F.substring(x, 7, 4)), key, "phone")
+        kept = _let(new, lambda y: F.concat(F.substring(y, 1, 3), F.lit("555"), F.substring(y, 4, 4)))
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(6)), x, lambda y, i: F.when((i == 1) | reserved(y), _digits(y, key, "phone")).otherwise(y))
+        return _refill(rest, F.when(reserved(x), kept).otherwise(walk))
 
-    return F.concat(country, _let(_digits(free, key, "phone"), filled))
+    return F.concat(country, _let(digits, filled))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -214,10 +261,10 @@ def surrogate(m: Column, key: str = KEY) -> Column:
 
 
 def canonical(m: Column) -> Column:
-    """An entity without its case and punctuation; a name without its title."""
+    """An entity without its case and punctuation; a name without its title, a number without its country."""
 
     def plain(kind):
-        digits = F.when(kind.isin("card", "ssn"), _only_digits(m)).when(kind == "phone", F.right(_only_digits(m), F.lit(10)))
+        digits = F.when(kind.isin("card", "ssn"), _only_digits(m)).when(kind == "phone", _subscriber(m))
         return digits.when(kind == "name", F.regexp_replace(m, r"^\S+ ", "")).otherwise(F.lower(m))
 
     return _let(kind_of(m), plain)
@@ -238,7 +285,8 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
 
 def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """(kind, surrogate, n): surrogates that would stand for n > 1 entities of the corpus, or (n = 0) for
-    themselves; of these there should be none. Entities are made distinct before they are shuffled."""
+    themselves, as what has no letter or digit of ALPHABETS does. Entities are made distinct before they
+    are shuffled."""
     seen = docs.select(F.explode(entities(F.col(text_col))).alias("m")).distinct()
     pairs = seen.select(kind_of(F.col("m")).alias("kind"), canonical(F.col("m")).alias("entity"), _let(surrogate(F.col("m"), key), canonical).alias("surrogate")).distinct()
     by = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("same"))
@@ -248,12 +296,11 @@ def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
 def pseudonymized(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``replaced`` under the first of the keys ``key``, ``key/1``, ... under which the corpus has no collision.
 
-    By construction the first key serves but for entities that would stand for themselves; the check
-    is one pass over the distinct entities.
+    By construction the first key serves; the check is one pass over the distinct entities.
     """
     for i in range(8):
         now = key if i == 0 else f"{key}/{i}"
-        if collisions(docs, text_col, now).limit(1).count() == 0:
+        if collisions(docs, text_col, now).where("n > 1").limit(1).count() == 0:
             return replaced(docs, text_col, now)
     raise ValueError("every key tried gives collisions")
 

@@ -127,6 +127,22 @@ def test_surrogates(spark):
     assert pii.replaced(d.limit(0)).count() == 0
 
 
+def test_surrogates_of_small_formats(spark):
+    """All entities of small formats: one surrogate each, shared by none, never the entity itself."""
+    from pyspark.sql import functions as fn
+
+    low = "abcdefghijklmnopqrstuvwxyz"
+    told = [f"{a}{b}@example.com" for a in ["", *low] for b in low] + [f"{a}{i}@example.com" for a in low.upper() for i in range(10)]
+    told += [f"({i}) 555-{j:04d}" for i in range(100, 110) for j in range(20)] + [f"{i}-55{j}-{i:04d}" for i in range(200, 210) for j in range(10)]
+    told += [f"{a}.{b}.0.{c}" for a in (10, 127, 230) for b in range(5) for c in range(5)] + [f"Mr {a}{b}" for a in low.upper() for b in low]
+    told += ["1.2.3.4", "+1 (136) 555-7479", "+11365557479", "+49301234567", "+49 30 1234567"]
+    m = fn.explode(pii.entities(fn.col("t"))).alias("m")
+    d = spark.createDataFrame([(t,) for t in told], "t string").select(m).select(pii.kind_of(fn.col("m")).alias("kind"), pii.canonical(fn.col("m")).alias("entity"), pii.canonical(pii.surrogate(fn.col("m"))).alias("surrogate"))
+    pairs = {(r.kind, r.entity, r.surrogate) for r in d.collect()}
+    assert len({p[:2] for p in pairs}) == len({(k, s) for k, _, s in pairs}) == len(pairs) > 1500
+    assert not [p for p in pairs if p[1] == p[2]]
+
+
 def test_surrogates_stay_distinct(spark):
     texts_ = [f"a{i:03d}@example.com +1 (2{i // 100}{i % 10}) 555-{1000 + i} 10.0.{i % 200}.{i // 200} {4000000000000000 + i * 7}" for i in range(400)]
     d = spark.createDataFrame([(x,) for x in texts_], "text string")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import history, patterns, sessions, stats
-from .sources import backup, spool
+from .api import Api, serve_tools, server
+from .functions.embedding import hashed
+from .operators import history, sessions, stats
 from .service import Engine
+from .sources import backup, files, spool
 from .store import Store
 from .streaming.ingest import drain
 
@@ -20,14 +23,20 @@ COMMANDS = {
     "supersede": "winner loser", "flag": "a b", "auto-resolve": "", "ingest": "spool", "write-event": "spool json", "sessions": "", "session": "key", "stats": "",
     "patterns": "", "archive": "days", "unarchive": "path", "backup": "folder", "restore": "folder", "rehearse-restore": "folder", "edit": "path content", "delete": "path",
     "propose": "path content", "render": "file", "health": "", "diff": "path",
+    "render-to": "folder target", "as-of": "path at", "promote": "pattern", "embed-backfill": "", "reindex": "model dim", "consolidate": "", "migrate": "", "eval-retrieval": "file", "log": "file", "serve": "port", "tools": "",
 }
 
 
+def joined(a: str, b: str) -> tuple[str, str]:
+    """The merge of two notes that needs no model: both bodies, one after the other."""
+    return f"general/merged-{hashlib.sha1(f'{a}|{b}'.encode()).hexdigest()[:6]}.md", f"{a}\n\n{b}"
+
+
 def run(spark: SparkSession, root: str, command: str, args: list[str]):
     store = Store(spark, root)
-    engine = Engine(store)
+    engine = Engine(store, embed=hashed)
     read = store.read
-    versions = lambda: history.timeline(read("memory").select("path", F.col("updated_at").alias("ts"), "content"), read("memory_revision").select("path", "ts", "operation", "actor", F.col("content_snapshot").alias("content")))
+    versions = engine.versions
     table = {
         "list": lambda: read("memory").select("path", "project", "status", "updated_at").orderBy(F.desc_nulls_last("updated_at"), "path"),
         "show": lambda path: read("memory").where(F.col("path") == path),
@@ -45,7 +54,15 @@ def run(spark: SparkSession, root: str, command: str, args: list[str]):
         "sessions": lambda: sessions.with_counts(read("session"), read("event")).orderBy(F.desc("created_at")).limit(20),
         "session": lambda key: sessions.walk(read("event"), key),
         "stats": lambda: stats.totals(read("memory")),
-        "patterns": lambda: patterns.repeated_commands(read("event").select(F.get_json_object("tool_input", "$.command").alias("command"), "cwd")),
+        "patterns": engine.patterns, "promote": engine.promote, "as-of": engine.as_of, "migrate": engine.migrate,
+        "embed-backfill": lambda: engine.backfill_embeddings("hashed", 64),
+        "reindex": lambda model, dim: engine.backfill_embeddings(model, int(dim)),
+        "consolidate": lambda: engine.consolidate(joined),
+        "eval-retrieval": lambda file: engine.evaluate([(x["query"], x["path"]) for x in map(json.loads, open(file, encoding="utf-8"))]),
+        "render-to": lambda folder, target: files.write_rendered(engine, folder, target),
+        "log": lambda file: files.log_tail(spark, file),
+        "serve": lambda port: server(Api(engine), port=int(port)).serve_forever(),
+        "tools": lambda: serve_tools(Api(engine)),
         "archive": lambda days: engine.archive(int(days)),
         "unarchive": lambda path: engine.set_archived([path], False),
         "backup": lambda folder: backup.backup(store, folder),

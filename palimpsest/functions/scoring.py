@@ -59,4 +59,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def coerced_importance(value: Column) -> Column:
     """1 to 10, or null where it isn't a number."""
-    return F.greatest(F.lit(1), F.least(F.lit(10), value.try_cast("double").try_cast("int")))
+    n = value.try_cast("double").try_cast("int")
+    return F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), n)))  # both skip nulls

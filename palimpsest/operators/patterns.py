@@ -69,21 +69,23 @@ def prompt_clusters(prompts: DataFrame, least: int = LEAST, similar: float = SIM
     return few.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(cluster, "exemplar string, n int, events array<string>")
 
 
-def drafts(patterns: DataFrame) -> DataFrame:
-    """Note drafts (path, content) from command patterns (id, command, n)."""
+def drafts(patterns: DataFrame, columns: bool = False):
+    """Note drafts (path, content) from command patterns (id, command, n), or just their columns."""
     binary = F.coalesce(F.nullif(F.regexp_replace(F.substring_index("command", " ", 1), "[^A-Za-z0-9_-]", ""), F.lit("")), F.lit("tool"))
     head = F.concat(F.lit("---\ntitle: "), binary, F.lit(" usage\nkind: tool\npromoted_from_pattern: "), F.col("id"), F.lit("\n---\n\n"))
     text = F.concat(F.lit("Frequently-run command (observed "), F.col("n").cast("string"), F.lit("x across sessions):\n\n```\n"), F.col("command"), F.lit("\n```\n"))
-    return patterns.select(F.concat(F.lit("tools/"), binary, F.lit("/usage.md")).alias("path"), F.concat(head, text).alias("content"))
+    out = (F.concat(F.lit("tools/"), binary, F.lit("/usage.md")).alias("path"), F.concat(head, text).alias("content"))
+    return out if columns else patterns.select(*out)
 
 
-def file_drafts(patterns: DataFrame) -> DataFrame:
+def file_drafts(patterns: DataFrame, columns: bool = False):
     """Note drafts from file patterns (id, file_path, n, tools)."""
     name = F.substring_index("file_path", "/", -1)
     tools = F.array_join(F.transform(F.map_entries("tools"), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
     head = F.concat(F.lit("---\ntitle: Hot file — "), name, F.lit("\nkind: project\npromoted_from_pattern: "), F.col("id"), F.lit("\n---\n\n"))
     text = F.concat(F.lit("`"), F.col("file_path"), F.lit("` is touched repeatedly ("), F.col("n").cast("string"), F.lit("x; "), tools, F.lit(").\n"))
-    return patterns.select(F.concat(F.lit("project/hot-file-"), slug(F.regexp_replace(name, r"\.[^.]*$", "")), F.lit(".md")).alias("path"), F.concat(head, text).alias("content"))
+    out = (F.concat(F.lit("project/hot-file-"), slug(F.regexp_replace(name, r"\.[^.]*$", "")), F.lit(".md")).alias("path"), F.concat(head, text).alias("content"))
+    return out if columns else patterns.select(*out)
 
 
 def prompt_drafts(clusters: DataFrame) -> DataFrame:
@@ -91,3 +93,12 @@ def prompt_drafts(clusters: DataFrame) -> DataFrame:
     head = F.concat(F.lit("---\ntitle: Recurring prompt — "), F.substring("exemplar", 1, 60), F.lit("\nkind: general\n---\n\n"))
     text = F.concat(F.lit("This question comes up repeatedly ("), F.col("n").cast("string"), F.lit(" times in recent sessions).\n\n- "), F.col("exemplar"), F.lit("\n"))
     return clusters.select(F.concat(F.lit("general/recurring-"), slug(F.col("exemplar")), F.lit(".md")).alias("path"), F.concat(head, text).alias("content"))
+
+
+def detected(calls: DataFrame, least: int = LEAST, limit: int = MOST) -> DataFrame:
+    """(kind, subject, n, id, path, content) of both detectors over calls (command, cwd, file_path, tool_name),
+    each with the note it would become."""
+    commands, files = repeated_commands(calls.where("command is not null"), least, limit), hot_files(calls, least, limit)
+    one = commands.select(F.lit("command").alias("kind"), F.col("command").alias("subject"), "n", "id", *drafts(commands, columns=True))
+    two = files.select(F.lit("file").alias("kind"), F.col("file_path").alias("subject"), "n", "id", *file_drafts(files, columns=True))
+    return one.unionByName(two)

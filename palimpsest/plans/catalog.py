@@ -591,3 +591,84 @@ def health_rows(spark, d):
 @query("SELECT date_trunc('hour', ts) AS hour, tool_name, count(*) AS n FROM activity GROUP BY ALL")
 def activity_hours(spark, d):
     return A.activity(spark, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "tool_name").agg(F.count("*").alias("n"))
+
+
+# --- provenance, tags and scalars of the write path ---
+
+
+@query("""SELECT path, count(DISTINCT session_key) AS n_sessions, coalesce(string_agg(DISTINCT session_key, ',' ORDER BY session_key), '') AS sessions
+FROM memory LEFT JOIN event ON conv_id = doc_id // 2 GROUP BY path""")
+def memory_sessions(spark, d):
+    bridge = A.event(spark, d).select((F.col("conv_id") * 2).alias("_even"), "session_key").distinct()
+    met = _memory(spark, d).withColumn("_even", F.col("doc_id") - F.col("doc_id") % 2).join(bridge, "_even", "left")
+    return met.groupBy("path").agg(F.count_distinct("session_key").alias("n_sessions"), F.array_join(F.sort_array(F.collect_set("session_key")), ",").alias("sessions"))
+
+
+@query("SELECT DISTINCT 'tools/merged.md' AS path, session_key FROM memory JOIN event ON conv_id = doc_id // 2 WHERE path IN ('tools/doc-41.md', 'profile/doc-40.md')")
+def merged_provenance(spark, d):
+    e = A.event(spark, d).select("conv_id", "session_key").distinct()
+    bridge = _memory(spark, d).join(e, F.floor(F.col("doc_id") / 2) == F.col("conv_id")).select("path", "session_key")
+    return consolidate.moved_provenance(bridge, ["tools/doc-41.md", "profile/doc-40.md"], "tools/merged.md")
+
+
+@query("SELECT path, CASE WHEN path LIKE 'profile/%' OR path LIKE 'tools/%' THEN NULL WHEN doc_id % 3 = 0 THEN 'new' ELSE project END AS project, access_count FROM memory")
+def project_tag_rule(spark, d):
+    from ..store import upserted
+
+    m = _memory(spark, d).withColumn("ingested_at", F.lit(A.NOW))
+    new = m.select("path", "content", F.lit(None).cast("int").alias("importance"), F.when(F.col("doc_id") % 3 == 0, "new").alias("project"), "status")
+    return upserted(m, new, A.NOW).select("path", "project", "access_count")
+
+
+@query("SELECT path, CASE WHEN doc_id % 15 = 3 THEN NULL ELSE greatest(1, least(10, doc_id % 15))::INT END AS importance FROM memory")
+def coerced_importance(spark, d):
+    told = F.when(F.col("doc_id") % 15 == 3, "high").otherwise((F.col("doc_id") % 15).cast("string"))
+    return _memory(spark, d).select("path", S.coerced_importance(told).alias("importance"))
+
+
+@query("""SELECT 'command' AS kind, command AS subject, n FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS command, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, command LIMIT 20)
+UNION ALL SELECT 'file', file_path, n FROM (SELECT file_path, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, file_path LIMIT 20)""")
+def all_patterns(spark, d):
+    return patterns.detected(A.activity(spark, d)).select("kind", "subject", "n")
+
+
+@query(f"SELECT project, sum(length(content))::BIGINT AS size, sum(length(content)) > 12000 AS paths_only FROM memory WHERE {_LIVE} GROUP BY project")
+def existing_sizes(spark, d):
+    return recall.sizes(_memory(spark, d), "project")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN trim(command) WHEN 1 THEN NULL END AS command, CASE event_id % 3 WHEN 1 THEN file_path WHEN 2 THEN concat(file_path, '.ipynb') END AS file FROM activity""")
+def tool_input_fields(spark, d):
+    a = A.activity(spark, d)
+    given = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.trim("command")).otherwise("").alias("command"), F.when(F.col("event_id") % 3 == 1, F.col("file_path")).alias("path"), F.when(F.col("event_id") % 3 == 2, F.concat("file_path", F.lit(".ipynb"))).alias("notebook_path")))
+    return a.select("event_id", X.command_of(given).alias("command"), X.file_of(given).alias("file"))
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 50 = 0 THEN 0 ELSE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) END, 6) AS cosine FROM embeddings a JOIN (SELECT vec_id - 1 AS vec_id, embedding FROM embeddings) b USING (vec_id)")
+def cosine_scores(spark, d):
+    e = A.table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("a"))
+    b = A.table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(b, "vec_id").select("vec_id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+@query("SELECT path, sha1(substr(path || chr(10) || chr(10) || content, 1, 6000)) AS body FROM memory WHERE content IS NOT NULL")
+def embedding_texts(spark, d):
+    return _memory(spark, d).where("content is not null").select("path", F.sha1(X.embedding_text(F.col("path"), F.col("content"))).alias("body"))
+
+
+@query("SELECT tool_name, count(*) AS n FROM activity WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 36 HOUR GROUP BY tool_name")
+def since_window(spark, d):
+    least = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz") - patterns.since("36h")
+    return A.activity(spark, d).where(F.col("ts") >= least).groupBy("tool_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT starts_with(lower(trim(prompt)), 'y') AS yes, count(*) AS n FROM event WHERE prompt IS NOT NULL GROUP BY 1")
+def yes_answers(spark, d):
+    return A.event(spark, d).where("prompt is not null").groupBy(X.is_yes(F.col("prompt")).alias("yes")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT session_key, seq, event_name IN ('UserPromptSubmit', 'PostToolUse') AS kept FROM event WHERE session_key IN (SELECT session_key FROM event WHERE conv_id % 3 = 0)")
+def ingested_check(spark, d):
+    e = A.event(spark, d)
+    seen = e.where("conv_id % 3 = 0").select("session_key").distinct()
+    return e.join(seen, "session_key", "left_semi").select("session_key", "seq", F.col("event_name").isin("UserPromptSubmit", "PostToolUse").alias("kept"))

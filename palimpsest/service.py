@@ -7,6 +7,7 @@ other than as a column expression or a pandas UDF of the caller's.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .functions import scoring
 from .functions import text as X
-from .operators import consolidate, gates, history
+from .operators import consolidate, gates, history, patterns
 from .operators import recall as retrieval
-from .schema import PATH, RESULT_STATUS
+from .schema import PATH, RESULT_STATUS, UNIQUE, backfill_session_keys, schemas, violations
+from .sources.spool import from_payload
 from .store import Store, revisions_on_change, upserted
 
 BEGIN, END = "<!-- BEGIN managed memory -->", "<!-- END managed memory -->"
@@ -70,6 +72,73 @@ class Engine:
         body = self.project_context(project)[0].strip() or "_(no memories distilled yet)_"
         return X.splice(existing, f"{BEGIN}\n{body}\n{END}", BEGIN, END)
 
+    def versions(self) -> DataFrame:
+        """All notes' bodies over time."""
+        now = self.store.read("memory").select("path", F.col("updated_at").alias("ts"), "content")
+        return history.timeline(now, self.store.read("memory_revision").select("path", "ts", "operation", "actor", F.col("content_snapshot").alias("content")))
+
+    def as_of(self, path: str, at: str) -> str | None:
+        """A note's body at an instant."""
+        ask = self.store.spark.createDataFrame([(path, at)], "path string, asof string")
+        revisions = self.store.read("memory_revision").select("path", "ts", F.col("content_snapshot").alias("content"))
+        row = history.content_as_of(self.store.read("memory").select("path", "content"), revisions, ask).first()
+        return row["content"] if row else None
+
+    def evaluate(self, golden: list[tuple[str, str]], k: int = 5) -> dict[str, float]:
+        """hit@k and mean reciprocal rank of full-text search over queries and the path that each should find."""
+        m, ranks = self._memory(), []
+        for text, path in golden:
+            found = [r["path"] for r in retrieval.fulltext_search(m, X.terms_of(text), k, 0.0).orderBy(F.desc("score"), "path").select("path").collect()]
+            ranks.append((found.index(path) + 1 if path in found else 0,))
+        return retrieval.hit_and_mrr(self.store.spark.createDataFrame(ranks, "rank int")).first().asDict()
+
+    # --- capture and upkeep ---
+
+    def record(self, payload: dict, client: str) -> dict:
+        """Appends a hook's event to its session's chain, which it begins if need be; a known event is skipped."""
+        store = self.store
+        filled = {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in payload.items()}
+        filled.setdefault("timestamp", self.now)
+        if not filled.get("session_id") or not filled.get("hook_event_name"):
+            raise ValueError("session_id and hook_event_name are needed")
+        event = from_payload(store.spark.createDataFrame([(json.dumps(filled),)], "value string"), client)
+        if "event_id" in filled:
+            event = event.withColumn("event_id", F.lit(filled["event_id"]))
+        event_id, key = event.select("event_id", "session_key").first()
+        old = store.read("event")
+        if old.where(F.col("event_id") == event_id).limit(1).count():
+            return {"ok": True, "event_id": event_id, "skipped": True}
+        last = old.where(F.col("session_key") == key).agg(F.max("seq")).first()[0]
+        store.append("event", event.withColumn("seq", F.lit(0 if last is None else last + 1)))
+        if not store.read("session").where(F.col("session_key") == key).limit(1).count():
+            new = [(key, filled["session_id"], client, filled["timestamp"])]
+            store.append("session", store.spark.createDataFrame(new, "session_key string, session_id string, client string, created_at string"))
+        return {"ok": True, "event_id": event_id, "skipped": False}
+
+    def patterns(self) -> DataFrame:
+        """Repeated commands and hot files, with the notes they would become."""
+        e = self.store.read("event")
+        return patterns.detected(e.select(X.command_of(F.col("tool_input")).alias("command"), X.file_of(F.col("tool_input")).alias("file_path"), "tool_name", "cwd"))
+
+    def promote(self, pattern: str, actor: str = "user") -> str | None:
+        """A pattern's note into the store; the path, or None where no pattern has the id."""
+        found = self.patterns().where(F.col("id") == pattern).select("path", "content", F.lit("active").alias("status"), F.lit(None).cast("int").alias("importance"), F.lit(None).cast("string").alias("project"))
+        row = found.first()
+        if row is None:
+            return None
+        old, new = self.store.read("memory"), self.store.spark.createDataFrame([row], found.schema)
+        self.store.append("memory_revision", revisions_on_change(old, new, actor, self.now))
+        self.store.merge("memory", upserted(old, new, self.now).withColumns({"created_by": F.lit(actor), "promoted_from_pattern": F.lit(pattern)}), "path")
+        return row["path"]
+
+    def migrate(self) -> dict[str, int]:
+        """Gives sessions their keys and every table its present columns; how many keys a table repeats or lacks."""
+        self.store.write("session", backfill_session_keys(self.store.read("session")))
+        for name in schemas():
+            if name != "session" and self.store.versions(name):
+                self.store.write(name, self.store.read(name))
+        return {name: violations(self.store.read(name), name).count() for name in UNIQUE}
+
     # --- mutations, each with its audit entry ---
 
     def _audit(self, rows: DataFrame, operation: str, actor: str) -> None:

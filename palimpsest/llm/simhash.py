@@ -168,7 +168,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose id names their class; of rows with that same id, one; rows without an id stay."""
-    kept = classes(docs, id_col, text_col, radius).where(F.col("id") == F.col("component_id"))
+    return kept_rows(docs, classes(docs, id_col, text_col, radius), id_col)
+
+
+def kept_rows(docs: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``named``, rows (id, component_id), keeps: as in ``one_per_class``."""
+    kept = named.where(F.col("id") == F.col("component_id"))
     ids = kept.select(F.col("id").alias("_id")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_key"))  # whatever its columns are called
     one = rows.join(ids, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"])

@@ -8,8 +8,8 @@ that it has, any other word -DRIFT. In one pass over a text every maximal scorin
 (Ruzzo and Tompa). Scores of unrelated texts follow an extreme-value law, so a segment of score S
 among n words has the expected number E = K n exp(-lambda S); lambda solves sum p exp(lambda s) = 1
 over other documents' words, K is fitted to their best segments. Segments with E below ``EXPECT``
-are significant. A text's evidence, minus the log of the probability that so good a best segment
-arises by chance, becomes a score by a logistic fit on labelled rows that the lexicon hasn't seen.
+are significant. A text's evidence, minus the log of the probability that so many segments so good
+arise by chance, the best one or any number of the best, becomes a score by a logistic fit on labelled rows that the lexicon hasn't seen.
 
 Defined results: null and empty texts have no segment and the score that goes with no evidence;
 repeated rows each keep their row; without labels of both kinds every score is 0; an empty table
@@ -71,12 +71,24 @@ class Model:
 
         return Memo()
 
-    def evidence(self, best: float, n: int) -> float:
-        """-log of the probability of a best segment of at least this score by chance."""
-        if best <= 0 or n == 0:
+    def evidence(self, scores: list[float], n: int) -> float:
+        """-log of the probability of such segments by chance: for each r, that r segments or more reach
+        the r-th best score, a Poisson tail, with 2 log r off for the choice of r; the greatest counts."""
+        if not scores or n == 0:
             return 0.0
-        log_e = math.log(self.k * n) - self.lam * best
-        return -math.log(-math.expm1(-math.exp(log_e))) if log_e > -30 else -log_e
+        most = 0.0
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            log_e = math.log(self.k * n) - self.lam * s
+            if r == 1:
+                most = -math.log(-math.expm1(-math.exp(min(log_e, 700.0)))) if log_e > -30 else -log_e
+            elif log_e < math.log(r):
+                e, term, total, i = math.exp(log_e), 1.0, 1.0, r
+                while term > 1e-12 * total:
+                    i += 1
+                    term *= e / i
+                    total += term
+                most = max(most, e - r * log_e + math.lgamma(r + 1) - math.log(total) - 2 * math.log(r))
+        return most
 
     def expected(self, score: float, n: int) -> float:
         return math.exp(min(700.0, math.log(self.k * n) - self.lam * score))
@@ -107,13 +119,13 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(f, e, float(h - lo)) for f, e, lo, h in stack]
 
 
-def scan(model: Model, memo, text: str | None) -> tuple[int, float, list[tuple[int, int, float]]]:
-    """(words, best score, significant segments in words)."""
+def scan(model: Model, memo, text: str | None) -> tuple[int, list[float], list[tuple[int, int, float]]]:
+    """(words, scores of all segments, significant segments in words)."""
     found = words(text)
     if not found:
-        return 0, 0.0, []
+        return 0, [], []
     all_ = segments(np.fromiter(map(memo.__getitem__, found), float, len(found)))
-    return len(found), max((s for *_, s in all_), default=0.0), [x for x in all_ if model.expected(x[2], len(found)) < EXPECT]
+    return len(found), [s for *_, s in all_], [x for x in all_ if model.expected(x[2], len(found)) < EXPECT]
 
 
 # --- training ---
@@ -204,12 +216,12 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
             for t in x.column(0).to_pylist():
                 s = np.fromiter(map(memo.__getitem__, w := words(t)), float, len(w))
                 hits = Counter(np.round(s[s > 0], 1).tolist())
-                rows.append((len(w), max((v for *_, v in segments(s)), default=0.0), list(hits), list(hits.values())))
+                rows.append((len(w), [v for *_, v in segments(s)], list(hits), list(hits.values())))
             n, b, h, k = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(b, pa.float64()), pa.array(h, pa.list_(pa.float64())), pa.array(k, pa.list_(pa.int64())), x.column(1), x.column(2)], names=["n", "best", "hit", "times", "toxic", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(b, pa.list_(pa.float64())), pa.array(h, pa.list_(pa.float64())), pa.array(k, pa.list_(pa.int64())), x.column(1), x.column(2)], names=["n", "scores", "hit", "times", "toxic", "part"])
 
     # as many rows as the bounded sample has
-    rows = sample.mapInArrow(best, "n long, best double, hit array<double>, times array<long>, toxic int, part int").collect()
+    rows = sample.mapInArrow(best, "n long, scores array<double>, hit array<double>, times array<long>, toxic int, part int").collect()
     other = [r for r in rows if not r["toxic"] and r["n"]]
     total, law = sum(r["n"] for r in other), Counter()
     for r in other:
@@ -224,13 +236,13 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
         over = sum(p * math.exp(min(700, mid * s)) for s, p in share.items()) + rest * math.exp(-mid * DRIFT) > 1
         low, high = (low, mid) if over else (mid, high)
     model.lam = low
-    spread = [model.lam * r["best"] - math.log(r["n"]) for r in other if r["best"] > 0]
+    spread = [model.lam * max(r["scores"]) - math.log(r["n"]) for r in other if r["scores"]]
     part = len(spread) / max(1, len(other))
     # best segments follow exp(-K n exp(-lambda S)); matched at the mean of those that have one, thinned by their share
     model.k = math.exp(float(np.mean(spread)) - 0.5772) * part if spread else 1 / max(1.0, float(np.mean([r["n"] for r in other])) if other else 1.0)
     model.k = max(model.k, 1e-9)
     fit_on = [r for r in rows if r["part"]] or rows
-    x = np.array([min(60.0, model.evidence(r["best"], r["n"])) for r in fit_on])
+    x = np.array([min(60.0, model.evidence(r["scores"], r["n"])) for r in fit_on])
     y = np.array([r["toxic"] for r in fit_on], float)
     model.a, model.b = _logistic(x, y)
     return model
@@ -260,8 +272,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for x in batches:
             score, found = [], []
             for t in x.column(1).to_pylist():
-                n, best, some = scan(model, memo, t)
-                score.append(model.probability(model.evidence(best, n)))
+                n, all_, some = scan(model, memo, t)
+                score.append(model.probability(model.evidence(all_, n)))
                 found.append([{"first": f, "end": e, "score": s, "e_value": model.expected(s, n)} for f, e, s in some])
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(score, pa.float64()), pa.array(found, passage)], names=["id", "score", "passages"])
 
@@ -286,8 +298,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: flo
         for x in batches:
             keep = []
             for t in x.column(where).to_pylist():
-                n, best, _ = scan(model, memo, t)
-                keep.append(model.probability(model.evidence(best, n)) < at)
+                n, all_, _ = scan(model, memo, t)
+                keep.append(model.probability(model.evidence(all_, n)) < at)
             yield pa.RecordBatch.from_arrays(x.filter(pa.array(keep, pa.bool_())).columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,13 +1,13 @@
 """Best-fit packing of tokenized documents into sequences, with swap-based local search.
 
 Lengths are at most the capacity, so that the plan needs only how many pieces there are of each
-length. On that histogram best-fit decreasing gives classes of equally filled bins; local search
-then takes bins that aren't full two classes at a time and moves a piece, exchanges one for one,
-two for one or one for two, always so that the fuller bin gains and thus the sum of squared fills
-grows, until bins are empty and leave, no exchange gains, or as few bins are left as the total
-needs. A move is applied to all bins of both classes at once. The plan's size depends on the
-capacity, not on the documents; pieces find their place in it by their rank among those of their
-length, which comes from a range-partitioned order and counts per partition and length.
+length. On that histogram best fit, lengths in no order of size, gives classes of equally filled bins;
+local search then lets bins that aren't full move a piece, exchange one for one, two for one or one
+for two, always so that the fuller bin gains and thus the sum of squared fills grows, until bins are
+empty and leave, no exchange gains, or as few bins are left as the total needs. An exchange is applied
+to all bins of both classes at once. The plan's size depends on the capacity, not on the documents;
+pieces find their place in it by their rank among those of their length, which comes from a
+range-partitioned order and counts per partition and length.
 
 Defined results: a null text is empty; every document ends with the end id, so an empty one has one
 piece of length 1; rows that repeat an id are packed each; an empty table gives no pieces; further
@@ -20,6 +20,7 @@ import os
 import re
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +114,13 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 class Plan:
-    """Classes of bins: contents, a sorted tuple of lengths, to how many bins hold just these."""
+    """Classes of bins: contents, a sorted tuple of lengths, to how many bins hold just these.
+
+    ``exchanges`` and ``emptied`` count what local search did: bins that took part, bins that left.
+    """
 
     def __init__(self, capacity: int):
-        self.capacity, self.classes = capacity, Counter()
+        self.capacity, self.classes, self.exchanges, self.emptied = capacity, Counter(), 0, 0
 
     def bins(self) -> int:
         return sum(self.classes.values())
@@ -124,14 +128,20 @@ class Plan:
     def squares(self) -> int:
         return sum(n * sum(c) ** 2 for c, n in self.classes.items())
 
+    def least(self) -> int:
+        """As many bins as the total needs, however it is packed."""
+        return -(-sum(n * sum(c) for c, n in self.classes.items()) // self.capacity)
 
-def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> Plan:
-    """Best-fit decreasing over a histogram: each piece goes to the fullest bin that has room.
+
+def best_fit(lengths: dict[int, int], capacity: int, order: list[int]) -> Plan:
+    """Best fit over a histogram, lengths in the given order: each piece goes to the fullest bin that
+    has room.
 
     A bin that took a piece is fuller than before and so takes the next of that length too, while
     it has room: bins of one class fill one after another and leave at most two classes.
     """
-    plan, by_room = Plan(capacity), defaultdict(Counter)
+    by_room: defaultdict = defaultdict(Counter)
+    done: Counter = Counter()
     rooms: list[int] = []  # sorted: the rooms for which there are bins
 
     def put(contents, n, room):
@@ -140,9 +150,9 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> Plan:
                 insort(rooms, room)
             by_room[room][contents] += n
         elif n:
-            plan.classes[contents] += n
+            done[contents] += n
 
-    for length in sorted(lengths, reverse=True):
+    for length in order:
         left = lengths[length]
         while left:
             i = bisect_left(rooms, length)
@@ -168,92 +178,148 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> Plan:
                 put((*contents, *(length,) * rest), 1, room - rest * length)
             left -= full * each + rest
     for room in rooms:
-        plan.classes.update(by_room[room])
-    plan.classes = Counter({k: n for k, n in plan.classes.items() if n > 0})
-    out = Plan(capacity)
-    for k, n in plan.classes.items():
-        out.classes[tuple(sorted(k, reverse=True))] += n
-    return out
+        done.update(by_room[room])
+    plan = Plan(capacity)
+    for contents, n in done.items():
+        plan.classes[tuple(sorted(contents, reverse=True))] += n
+    return plan
 
 
-def _without(contents: tuple, *pieces: int) -> list:
-    out = list(contents)
-    for p in pieces:
-        out.remove(p)
-    return out
+def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> Plan:
+    return best_fit(lengths, capacity, sorted(lengths, reverse=True))
+
+
+def best_fit_mixed(lengths: dict[int, int], capacity: int) -> Plan:
+    """Best fit with lengths in no order of size, as documents come."""
+    return best_fit(lengths, capacity, sorted(lengths, key=lambda x: (x * 0x9E3779B1 & 0xFFFFFFFF, x)))
+
+
+def _sums(contents: tuple) -> dict[int, tuple[int, int]]:
+    """The sums of two pieces of a bin, each with one such pair."""
+    many = Counter(contents)
+    kinds = sorted(many)
+    return {x + y: (x, y) for i, x in enumerate(kinds) for y in kinds[i:] if x != y or many[x] > 1}
 
 
-def best_exchange(giver: tuple, taker: tuple, room: int):
-    """(gain, given, taken) that fills the taker most, or None: a move (nothing taken), one for one,
-    one for two, or two for one. ``room`` is the taker's; 0 < gain <= room."""
-    gives, takes = sorted(set(giver)), sorted(set(taker))
-    best = None
-    mine = [((x,), x) for x in gives]
-    mine += [((x, y), x + y) for k, x in enumerate(gives) for y in gives[k:] if x != y or giver.count(x) > 1]
-    theirs = [((), 0)] + [((x,), x) for x in takes]
-    pairs = [((x, y), x + y) for k, x in enumerate(takes) for y in takes[k:] if x != y or taker.count(x) > 1]
-    for given, g in mine:
-        for taken, t in theirs + (pairs if len(given) == 1 else []):
-            if len(given) == 2 and not taken:
-                continue
-            gain = g - t
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = (gain, given, taken)
-                if gain == room:
-                    return best
-    return best
-
-
-def local_search(plan: Plan, effort: int = 50_000) -> Plan:
-    """Empties the least filled bins into those that have room. ``effort`` bounds how many pairs
-    of classes are tried; it bounds the planner's work, and every piece keeps a place."""
-    capacity = plan.capacity
-    total = sum(n * sum(c) for c, n in plan.classes.items())
-    least, tried = -(-total // capacity), 0
-    open_ = {c: n for c, n in plan.classes.items() if sum(c) < capacity}
-    full = Counter({c: n for c, n in plan.classes.items() if sum(c) == capacity})
-
-    def add(contents, n):
+class _Held:
+    """Which open class holds what: for each size of a given part the classes that have one, least
+    filled first, and all sizes as the bits of one number."""
+
+    def __init__(self, open_: dict):
+        self.open, self.heaps, self.bits = open_, defaultdict(list), 0
+
+    def add(self, size: int, fill: int, contents: tuple) -> None:
+        heappush(self.heaps[size], (fill, contents))
+        self.bits |= 1 << size
+
+    def below(self, most: int) -> int:
+        """The largest size up to ``most``, or -1."""
+        return (self.bits & ((2 << most) - 1)).bit_length() - 1
+
+    def giver(self, size: int, other_than: tuple | None) -> tuple[int, tuple] | None:
+        """(fill, contents) of the least filled class that has a part of this size."""
+        heap, aside = self.heaps[size], None
+        while heap:
+            if heap[0][1] not in self.open or (aside and heap[0] == aside):
+                heappop(heap)
+            elif heap[0][1] == other_than:
+                aside = heappop(heap)
+            else:
+                break
+        found = heap[0] if heap else None
+        if aside:
+            heappush(heap, aside)
+        if not heap:
+            self.bits &= ~(1 << size)
+        return found
+
+
+def local_search(plan: Plan) -> Plan:
+    """Exchanges between bins that aren't full, until as few are left as the total needs or none gains.
+
+    The fullest open bin comes first. It takes a piece, or one for one, two for one or one for two of
+    its own, from whichever other bin lets it fill up most, of these the least filled, so that the sum
+    of squared fills grows with every exchange and bins at the other end run empty. An exchange is
+    applied to all bins of both classes at once. What each class can give is indexed by its size, so
+    that no pair of classes is tried that has nothing to exchange; passes go on until one of them
+    changes nothing. No effort is capped: squares grow by at least 2 each time, and are bounded.
+    """
+    capacity, bound = plan.capacity, plan.least()
+    open_: dict = {}
+    out = Plan(capacity)
+    one, two = _Held(open_), _Held(open_)
+    bins = plan.bins()
+
+    def add(contents, n) -> int:
+        """The number of bins that are empty."""
         if not contents:
-            return
+            return n
         c = tuple(sorted(contents, reverse=True))
         if sum(c) == capacity:
-            full[c] += n
+            out.classes[c] += n
+        elif c in open_:
+            open_[c] += n
         else:
-            open_[c] = open_.get(c, 0) + n
-
-    def step() -> bool:
-        nonlocal tried
-        order = sorted(open_, key=sum)
-        for giver in order:
-            for taker in reversed(order):
-                if sum(taker) < sum(giver) or tried >= effort:
+            open_[c] = n
+            for size in set(c):
+                one.add(size, sum(c), c)
+            for size in _sums(c):
+                if size <= capacity:
+                    two.add(size, sum(c), c)
+        return 0
+
+    def best(taker: tuple, fill: int):
+        """(gain, giver, size given, whether of two pieces, pieces taken)."""
+        room, found = capacity - fill, None
+        own = taker if open_[taker] < 2 else None
+        takes = [((), 0), *(((x,), x) for x in sorted(set(taker)))]
+        ways = [(one, p, t) for p, t in takes] + [(two, p, t) for p, t in takes[1:]] + [(one, p, t) for t, p in _sums(taker).items()]
+        for held, taken, t in ways:
+            most = t + room
+            while (size := held.below(most)) - t > (found[0] if found else 0):
+                giver = held.giver(size, own)
+                if giver and giver[0] < fill + size - t:  # squares grow
+                    found = (size - t, giver[1], size, held is two, taken)
                     break
-                if taker == giver and open_[giver] < 2:
-                    continue
-                tried += 1
-                found = best_exchange(giver, taker, capacity - sum(taker))
-                if found:
-                    _, given, taken = found
-                    n = open_[giver] // 2 if taker == giver else min(open_[giver], open_[taker])
-                    for c in (giver, taker):
-                        open_[c] -= n
-                        if not open_[c]:
-                            del open_[c]
-                    add(_without(giver, *given) + list(taken), n)
-                    add(_without(taker, *taken) + list(given), n)
-                    return True
-        return False
-
-    while open_ and sum(full.values()) + sum(open_.values()) > least and step():
-        pass
-    out = Plan(capacity)
-    out.classes = full + Counter(open_)
+                most = size - 1
+            if found and found[0] == room:
+                break
+        return found
+
+    for contents, n in sorted(plan.classes.items()):
+        add(contents, n)
+    changed = True
+    while changed and bins > bound:
+        changed = False
+        for taker in sorted(open_, key=lambda c: (-sum(c), c)):
+            fill = sum(taker)
+            while bins > bound and taker in open_ and (found := best(taker, fill)):
+                _, giver, size, pair, taken = found
+                given = _sums(giver)[size] if pair else (size,)
+                n = open_[giver] // 2 if taker == giver else min(open_[giver], open_[taker])
+                for c in (giver, taker):
+                    open_[c] -= n
+                    if not open_[c]:
+                        del open_[c]
+                mine, theirs = Counter(taker), Counter(giver)
+                mine.subtract(taken)
+                mine.update(given)
+                theirs.subtract(given)
+                theirs.update(taken)
+                empty = add(tuple(theirs.elements()), n)
+                add(tuple(mine.elements()), n)
+                out.exchanges, out.emptied, bins, changed = out.exchanges + n, out.emptied + empty, bins - empty, True
+    out.classes.update(open_)
     return out
 
 
 def make_plan(lengths: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    return local_search(best_fit_decreasing(lengths, capacity))
+    """Local search from best fit of mixed lengths; where that leaves more bins than the total needs,
+    from best-fit decreasing as well, and the better of both."""
+    plan = local_search(best_fit_mixed(lengths, capacity))
+    if plan.bins() > plan.least():
+        plan = min(plan, local_search(best_fit_decreasing(lengths, capacity)), key=Plan.bins)
+    return plan
 
 
 def places(plan: Plan) -> dict[int, np.ndarray]:

@@ -2,14 +2,16 @@
 
 Training counts, in a bounded sample of labelled rows, in how many toxic and other documents a
 feature occurs: a word, or its first 4, 5 or 6 letters. Its log-odds are taken with an informative
-Dirichlet prior, whose shape is the feature's frequency in all documents; features whose odds are
-over zero by ``Z`` standard errors make the lexicon. A word scores by the lexicon's longest feature
-that it has, any other word -DRIFT. In one pass over a text every maximal scoring segment is found
-(Ruzzo and Tompa). Scores of unrelated texts follow an extreme-value law, so a segment of score S
-among n words has the expected number E = K n exp(-lambda S); lambda solves sum p exp(lambda s) = 1
-over other documents' words, K is fitted to their best segments. Segments with E below ``EXPECT``
-are significant. A text's evidence, minus the log of the probability that so many segments so good
-arise by chance, the best one or any number of the best, becomes a score by a logistic fit on labelled rows that the lexicon hasn't seen.
+Dirichlet prior, whose shape is the feature's frequency in all documents, and moved ``Z`` standard
+errors towards zero. A word scores by the best positive log-odds among its features; any other word
+-DRIFT, and its own log-odds as well where these are negative. In one pass over a text, linear in its
+words, every maximal scoring segment is found (Ruzzo and Tompa). Scores of unrelated texts follow an
+extreme-value law, so that segments of score S or more among n words number E = K n exp(-lambda S);
+lambda solves sum p exp(lambda s) = 1 over other documents' words, K is fitted to their best segments.
+Segments with E below ``EXPECT`` are significant. All of a text's segments are aggregated: its evidence
+is minus the log of the probability that so many segments so good arise by chance, the best one or
+any number of the best. A logistic fit makes it a score. Law and fit rest on rows that the log-odds
+haven't seen: each quarter of the sample is read with the log-odds of the other three.
 
 Defined results: null and empty texts have no segment and the score that goes with no evidence;
 repeated rows each keep their row; without labels of both kinds every score is 0; an empty table
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import settle, small_batches, table
 
-#: Labelled rows that the model is fitted on, at most; which, a hash of the id decides.
+#: Labelled rows that the model is fitted on, at most; which, a hash of the id decides. It bounds the
+#: features, too: they are those of the sample's words.
 LABELLED = 20_000
-#: Features in the lexicon at most, those with the clearest odds; it is sent to all executors.
-LEXICON = 20_000
-#: Standard errors, weight of the prior in counts, score of a word outside the lexicon, E of significance.
-Z, PRIOR, DRIFT, EXPECT = 3.0, 20.0, 0.4, 0.01
-#: A feature must occur in so many toxic documents, and lengths of the prefixes.
-LEAST, PREFIXES = 3, (6, 5, 4)
+#: Standard errors, weight of the prior as a share of the toxic rows, score of any other word, E of
+#: significance. Chosen by cross-validated log loss on the training rows of two tables; held-out rows
+#: had no part in it.
+Z, PRIOR, DRIFT, EXPECT = 1.5, 0.07, 0.4, 0.01
+#: Toxic documents that a feature for, other documents that a word against must occur in, the lengths
+#: of the prefixes, and into how many parts the sample is dealt.
+LEAST, LEAST_AGAINST, PREFIXES, PARTS = 3, 30, (6, 5, 4), 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,15 +62,20 @@ class Model:
     k: float = 1.0
     a: float = -30.0
     b: float = 0.0
+    against: dict[str, float] = field(default_factory=dict)  # words of negative log-odds
+
+    def word(self, word: str) -> float:
+        found = max((self.lexicon[f] for f in features(word) if f in self.lexicon), default=None)
+        return self.against.get(word, 0.0) - DRIFT if found is None else found
 
     def lookup(self) -> defaultdict:
-        lexicon = self.lexicon
+        score = self.word
 
         class Memo(defaultdict):
             def __missing__(self, word):
                 if len(self) > 500_000:
                     self.clear()
-                found = self[word] = next((lexicon[f] for f in features(word) if f in lexicon), -DRIFT)
+                found = self[word] = score(word)
                 return found
 
         return Memo()
@@ -99,24 +108,29 @@ class Model:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score), in one pass over the positive scores."""
+    """All maximal scoring segments (first, end, score), in one pass over the positive scores.
+
+    A candidate knows the nearest one to its left whose sum before it is lower. Whoever is passed over
+    in the search is behind such a link from then on, so that the time is linear.
+    """
     at = np.flatnonzero(scores > 0)
     if not len(at):
         return []
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    stack: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
-    for i in at.tolist():
-        first, end, low, high = i, i + 1, sums[i], sums[i + 1]
+    firsts, ends, lows, highs, left = [], [], [], [], []
+    for first, low, high in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist(), strict=True):
+        end, j = first + 1, len(firsts) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
-                stack.append((first, end, low, high))
+            while j >= 0 and lows[j] >= low:
+                j = left[j]
+            if j < 0 or highs[j] >= high:
                 break
-            first, low = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(f, e, float(h - lo)) for f, e, lo, h in stack]
+            first, low, k, j = firsts[j], lows[j], j, left[j]
+            for x in (firsts, ends, lows, highs, left):
+                del x[k:]
+        for x, v in ((firsts, first), (ends, end), (lows, low), (highs, high), (left, j)):
+            x.append(v)
+    return [(f, e, h - lo) for f, e, lo, h in zip(firsts, ends, lows, highs, strict=True)]
 
 
 def scan(model: Model, memo, text: str | None) -> tuple[int, list[float], list[tuple[int, int, float]]]:
@@ -143,43 +157,58 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(few), "_id")
 
 
-def _odds(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, prior: np.ndarray) -> np.ndarray:
-    """Log-odds less Z standard errors."""
+def log_odds(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, prior: np.ndarray) -> np.ndarray:
+    """Log-odds moved Z standard errors towards zero, and zero where they are within these."""
     a0 = prior.sum() + 1
-    one = np.log((y1 + prior) / (n1 + a0 - y1 - prior))
-    two = np.log((y0 + prior) / (n0 + a0 - y0 - prior))
-    return one - two - Z * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+    odds = np.log((y1 + prior) / (n1 + a0 - y1 - prior)) - np.log((y0 + prior) / (n0 + a0 - y0 - prior))
+    return np.sign(odds) * np.maximum(0.0, np.abs(odds) - Z * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)))
+
+
+def lexicon(names: list[str], y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, share: np.ndarray) -> Model:
+    """A model, yet without its law, from features' counts among n1 toxic and n0 other documents and
+    their shares of all documents."""
+    told = (y1 >= LEAST) & (2 * y1 * n0 > 3 * y0 * n1)
+    told |= (y0 >= LEAST_AGAINST) & (2 * y1 * n0 < y0 * n1) & np.array([not f.endswith("*") for f in names], bool)
+    at = np.flatnonzero(told)
+    odds = log_odds(y1[at], y0[at], n1, n0, 0.05 + PRIOR * n1 * share[at]).tolist() if len(at) and n1 and n0 else []
+    found = {names[i]: o for i, o in zip(at.tolist(), odds, strict=False)}
+    return Model({f: o for f, o in found.items() if o > 0}, against={f: o for f, o in found.items() if o < 0})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED) -> Model:
     small_batches(docs.sparkSession)
-    # part 0 makes the lexicon, part 1 the calibration; the text decides, so that copies are in one part
-    sample = settle(_labelled(docs, labels, id_col, text_col, rows).withColumn("part", (F.pmod(F.xxhash64("t"), F.lit(4)) == 3).cast("int")))
+    # the text decides on the part, so that copies are in one part
+    sample = settle(_labelled(docs, labels, id_col, text_col, rows).withColumn("part", F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int")))
+    columns = [f"y{y}_{k}" for y in (0, 1) for k in range(PARTS)]
 
     def count(batches):
-        seen: dict = defaultdict(lambda: [0, 0])
+        seen: dict = defaultdict(lambda: [0] * len(columns))
         for x in batches:
-            for t, y in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+            for t, y, k in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
                 for f in {f for w in set(words(t)) for f in features(w)}:
-                    seen[f][y] += 1
+                    seen[f][y * PARTS + k] += 1
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([n[y] for n in seen.values()], pa.int64()) for y in (0, 1))], names=["f", "y0", "y1"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array(c, pa.int64()) for c in zip(*seen.values(), strict=True))], names=["f", *columns])
 
-    part = sample.where("part = 0")
-    sizes = {r["toxic"]: r["n"] for r in part.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    n = np.zeros((2, PARTS), np.int64)
+    for r in sample.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect():
+        n[r["toxic"], r["part"]] = r["n"]
+    n0, n1 = n.sum(axis=1).tolist()
     if not n1 or not n0:
         return Model({})
-    counted = part.select("t", "toxic").mapInArrow(count, "f string, y0 long, y1 long").groupBy("f").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
-    odd = counted.where((F.col("y1") >= LEAST) & (F.col("y1") * n0 > 2 * F.col("y0") * n1))
-    got = odd.orderBy(F.desc(F.col("y1") / n1 - F.col("y0") / n0), "f").limit(LEXICON).collect()
-    if not got:
+    counted = sample.select("t", "toxic", "part").mapInArrow(count, "f string, " + ", ".join(f"{c} long" for c in columns)).groupBy("f").agg(*[F.sum(c).alias(c) for c in columns])
+    y0, y1 = (sum((F.col(f"y{y}_{k}") for k in range(PARTS)), F.lit(0)) for y in (0, 1))
+    # what may be told of any three parts; at most the words of the bounded sample and their prefixes
+    telling = ((y1 >= LEAST) & (y1 * n0 > y0 * n1)) | ((y0 >= LEAST_AGAINST) & (y1 * n0 < y0 * n1) & ~F.endswith("f", F.lit("*")))
+    got = counted.where(telling).orderBy("f").toArrow()
+    if not got.num_rows:
         return Model({})
-    names = [r["f"] for r in got]
+    names = got.column("f").to_pylist()
+    counts = np.stack([got.column(c).to_numpy() for c in columns]).reshape(2, PARTS, -1).astype(float)
     place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def background(batches):
-        at, seen, n = place.value, Counter(), 0
+        at, seen, n = place.value, np.zeros(len(place.value), np.int64), 0
         memo: dict = {}
         for x in batches:
             for t in x.column(0).to_pylist():
@@ -192,59 +221,74 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         found = memo[w] = tuple(at[f] for f in features(w) if f in at)
                     if found:
                         mine.update(found)
-                seen.update(mine)
-        keys = [-1, *seen]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([n, *(seen[k] for k in keys[1:])], pa.int64())], names=["i", "n"])
+                seen[list(mine)] += 1
+        keys = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1).astype(np.int32)), pa.array(np.append(seen[keys], n))], names=["i", "n"])
 
-    every = docs.select(F.col(text_col).alias("t")).mapInArrow(background, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    corpus = {r["i"]: r["n"] for r in every}
-    share = np.array([corpus.get(i, 0) for i in range(len(names))]) / max(1, corpus.get(-1, 0))
-    y1, y0 = (np.array([r[c] for r in got], float) for c in ("y1", "y0"))
-    odds = _odds(y1, y0, n1, n0, 0.05 + PRIOR * share)
-    model = Model({f: float(o) for f, o in zip(names, odds, strict=True) if o > 0})
-    return _calibrated(model, sample.select("t", "toxic", "part"))
+    every = docs.select(F.col(text_col).alias("t")).mapInArrow(background, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    at, times = every.column("i").to_numpy(), every.column("n").to_numpy()
+    share = np.zeros(len(names))
+    share[at[at >= 0]] = times[at >= 0]
+    share /= max(1, times[at < 0].sum())
 
+    def of(parts: list[int]) -> Model:
+        return lexicon(names, counts[1, parts].sum(axis=0), counts[0, parts].sum(axis=0), int(n[1, parts].sum()), int(n[0, parts].sum()), share)
 
-def _calibrated(model: Model, sample: DataFrame) -> Model:
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    return _calibrated(of(list(range(PARTS))), [of([j for j in range(PARTS) if j != k]) for k in range(PARTS)], sample.select("t", "toxic", "part"))
 
-    def best(batches):
-        model = shared.value
-        memo = model.lookup()
-        for x in batches:
-            rows = []
-            for t in x.column(0).to_pylist():
-                s = np.fromiter(map(memo.__getitem__, w := words(t)), float, len(w))
-                hits = Counter(np.round(s[s > 0], 1).tolist())
-                rows.append((len(w), [v for *_, v in segments(s)], list(hits), list(hits.values())))
-            n, b, h, k = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(b, pa.list_(pa.float64())), pa.array(h, pa.list_(pa.float64())), pa.array(k, pa.list_(pa.int64())), x.column(1), x.column(2)], names=["n", "scores", "hit", "times", "toxic", "part"])
-
-    # as many rows as the bounded sample has
-    rows = sample.mapInArrow(best, "n long, scores array<double>, hit array<double>, times array<long>, toxic int, part int").collect()
-    other = [r for r in rows if not r["toxic"] and r["n"]]
-    total, law = sum(r["n"] for r in other), Counter()
-    for r in other:
-        law.update(dict(zip(r["hit"], r["times"], strict=True)))
-    share = {s: (n + 0.0) / total for s, n in law.items()} if total else {}
-    # a word of the lexicon turns up by chance now and then, though the sample shows none
-    share[max(model.lexicon.values(), default=1.0)] = share.get(max(model.lexicon.values(), default=1.0), 0.0) + 1 / (total + 2)
-    rest = 1 - sum(share.values())
+
+def _law(law: Counter, most: float) -> float:
+    """lambda: the one positive root of sum p exp(lambda s) = 1 over words' scores s and their numbers."""
+    total = sum(law.values())
+    s, p = np.array([*law, most]), np.array([*law.values(), 1.0]) / (total + 1)  # the best word turns up by chance now and then
+    if not (s < 0).any():
+        return 1e-6
     low, high = 1e-6, 50.0
-    for _ in range(100):  # the one positive root of sum p exp(lambda s) = 1
+    for _ in range(100):
         mid = (low + high) / 2
-        over = sum(p * math.exp(min(700, mid * s)) for s, p in share.items()) + rest * math.exp(-mid * DRIFT) > 1
-        low, high = (low, mid) if over else (mid, high)
-    model.lam = low
-    spread = [model.lam * max(r["scores"]) - math.log(r["n"]) for r in other if r["scores"]]
-    part = len(spread) / max(1, len(other))
-    # best segments follow exp(-K n exp(-lambda S)); matched at the mean of those that have one, thinned by their share
-    model.k = math.exp(float(np.mean(spread)) - 0.5772) * part if spread else 1 / max(1.0, float(np.mean([r["n"] for r in other])) if other else 1.0)
-    model.k = max(model.k, 1e-9)
-    fit_on = [r for r in rows if r["part"]] or rows
-    x = np.array([min(60.0, model.evidence(r["scores"], r["n"])) for r in fit_on])
-    y = np.array([r["toxic"] for r in fit_on], float)
-    model.a, model.b = _logistic(x, y)
+        low, high = (low, mid) if (p * np.exp(np.minimum(700.0, mid * s))).sum() > 1 else (mid, high)
+    return low
+
+
+def _calibrated(model: Model, parts: list[Model], sample: DataFrame) -> Model:
+    """``model`` with its law and logistic fit, from each part of the sample under the model of the others."""
+    shared = sample.sparkSession.sparkContext.broadcast(parts)
+
+    def read(batches):
+        memos = [m.lookup() for m in shared.value]
+        for x in batches:
+            rows, law = [], Counter()
+            for t, y, k in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
+                w = words(t)
+                s = np.fromiter(map(memos[k].__getitem__, w), float, len(w))
+                rows.append((k, y, len(w), [v for *_, v in segments(s)], None, None))
+                if not y:
+                    for v, times in zip(*np.unique(np.round(s, 2), return_counts=True), strict=True):
+                        law[k, float(v)] += int(times)
+            rows.extend((k, None, None, None, v, times) for (k, v), times in law.items())
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "toxic", "n", "scores", "s", "times"])
+
+    # as many rows as the bounded sample has, and a few per part for the scores that words have
+    out = sample.mapInArrow(read, "part int, toxic int, n long, scores array<double>, s double, times long")
+    laws: list[Counter] = [Counter() for _ in parts]
+    rows = []
+    for r in out.collect():
+        if r["s"] is None:
+            rows.append(r)
+        else:
+            laws[r["part"]][r["s"]] += r["times"]
+    for k, (m, law) in enumerate(zip(parts, laws, strict=True)):
+        m.lam = _law(law, max(m.lexicon.values(), default=1.0))
+        other = [r for r in rows if r["part"] == k and not r["toxic"] and r["n"]]
+        spread = [m.lam * max(r["scores"]) - math.log(r["n"]) for r in other if r["scores"]]
+        # best segments follow exp(-K n exp(-lambda S)); matched at the mean of those that have one, thinned by their share
+        m.k = max(1e-9, math.exp(float(np.mean(spread)) - 0.5772) * len(spread) / len(other)) if spread else 1 / max(1.0, float(np.mean([r["n"] for r in other])) if other else 1.0)
+    model.lam = float(np.mean([m.lam for m in parts]))
+    model.k = math.exp(float(np.mean([math.log(m.k) for m in parts])))
+    x = np.array([min(60.0, parts[r["part"]].evidence(r["scores"], r["n"])) for r in rows])
+    model.a, model.b = _logistic(x, np.array([r["toxic"] for r in rows], float))
     return model
 
 

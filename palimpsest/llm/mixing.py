@@ -3,26 +3,30 @@
 Domains come from the labelled table: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic``. A
 classifier fitted on a bounded sample of labelled rows predicts for every document its posteriors
 p_d. It is a linear discriminant over shares of characters and words: class means and one pooled
-covariance, both sums of a single aggregation. A document of t tokens (words) then counts t p_d
-towards domain d, and nonnegative rates r, how often a document is used, are fitted so that the
+covariance, both sums of a single aggregation. A document of t tokens (words between white space and
+ASCII punctuation) then counts t p_d towards domain d, and nonnegative rates r, how often a document is used, are fitted so that the
 expected totals, the sums of r t p_d, match the targets. The least-squares problem is solved by
 projected gradient steps from r = 1, in the metric in which every token counts alike (a document's
 gradient t (p . residual) is divided by its t, so that long documents aren't repeated in place of
 many short ones) and scaled by the inverse Gram matrix of the rows whose rate isn't held at 0:
 r <- max(0, r - p . v), with v the scaled residual. A step is one distributed aggregation of as
-many numbers as there are domains; rates stay an expression over the steps' vectors.
+many numbers as there are domains; rates stay an expression over the steps' vectors. Steps end when
+the targets are met, or when they bring the totals no nearer: then the rates are the nearest, and the
+residual is returned with them. Steps that do neither raise an error.
 
 Defined results: a null or empty text has no tokens, its features are 0 and its rate stays 1;
 repeated rows each have a rate; without labels of a class that class has no mass, and targets are
 scaled over the classes that have; an empty table gives none; further columns pass through, but for
 those that are called like the results (``tokens``, ``p_<domain>``, ``rate``), which these replace. Rows of
 labels with nulls don't count, and several labels of a document make it toxic, poor or good, in
-that order.
+that order. Characters U+0001 to U+0003 of a text, which stand for classes of characters here, count
+towards its length alone.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +36,10 @@ from .common import settle, table
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the tokens that the mixture shall have.
 TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
-#: Labelled rows that the classifier is fitted on, words that tell toxic texts, and rounds, at most.
-LABELLED, WORDS, ROUNDS = 20_000, 200, 24
+#: Labelled rows that the classifier is fitted on, at most; they bound the words that tell toxic texts.
+LABELLED = 20_000
+#: Steps after which rates that still change are an error.
+ROUNDS = 200
 FEATURES = ("f_mark", "f_upper", "f_digit", "f_line", "f_toxic")
 #: Characters of mark-up and noise.
 MARKS = "|!%$&*#"
@@ -51,20 +57,22 @@ def _features(text: Column, toxic: list[str]) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1))
     # one pass turns each class of characters into one character, whose share is then cheap to take
     sets = {"\x01": MARKS, "\x02": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\x03": "0123456789"}
-    classed = F.translate(text, "".join(sets.values()), "".join(k * len(v) for k, v in sets.items()))
-    found = F.array_intersect(_words(text), F.array(*[F.lit(w) for w in toxic])) if toxic else F.array()
+    classed = F.translate(text, "".join(sets.values()) + "".join(sets), "".join(k * len(v) for k, v in sets.items()))
 
     def count(of: Column, c: str) -> Column:
         return F.length(of) - F.length(F.replace(of, F.lit(c), F.lit("")))
 
+    def found(words: Column) -> Column:
+        return F.size(F.array_distinct(F.filter(words, lambda w: w.isin(*toxic)))) if toxic else F.lit(0)
+
     return {
         "classed": classed,
-        "f_mark": lambda x: F.sqrt(count(x, "\x01") / chars),
-        "f_upper": lambda x: F.sqrt(count(x, "\x02") / chars),
-        "f_digit": lambda x: F.sqrt(count(x, "\x03") / chars),
+        "f_mark": lambda x, w: F.sqrt(count(x, "\x01") / chars),
+        "f_upper": lambda x, w: F.sqrt(count(x, "\x02") / chars),
+        "f_digit": lambda x, w: F.sqrt(count(x, "\x03") / chars),
         "f_line": F.sqrt(count(text, "\n") / chars),
-        "f_toxic": F.least(F.size(found) / F.lit(3.0), F.lit(1.0)),
-        "tokens": F.when(F.length(text) == 0, 0).otherwise(count(text, " ") + 1).cast("double"),
+        "f_toxic": lambda x, w: F.least(found(w) / F.lit(3.0), F.lit(1.0)),
+        "tokens": lambda x, w: F.size(F.array_remove(w, "")),
     }
 
 
@@ -72,7 +80,8 @@ def _feature_row(text: Column, toxic: list[str]) -> Column:
     """An array of one struct of the features."""
     f = _features(text, toxic)
     classed = f.pop("classed")
-    return F.transform(F.array(classed), lambda x: F.struct(*[(c(x) if callable(c) else c).cast("double").alias(k) for k, c in f.items()]))
+    both = F.array(F.struct(classed.alias("classed"), _words(text).alias("words")))
+    return F.transform(both, lambda x: F.struct(*[(c(x["classed"], x["words"]) if callable(c) else c).cast("double").alias(k) for k, c in f.items()]))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,14 +94,14 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
 
 
 def toxic_words(sample: DataFrame) -> list[str]:
-    """The words that occur in the most of the sample's toxic texts beyond their share of others."""
+    """The words that occur in toxic texts of the sample far beyond their share of others."""
     n = {r["y"]: r["n"] for r in sample.groupBy((F.col("y") == 2).alias("y")).agg(F.count("*").alias("n")).collect()}
     if not n.get(True) or not n.get(False):
         return []
     each = sample.select((F.col("y") == 2).alias("y"), F.explode(F.array_distinct(_words(F.col("t")))).alias("w")).where("w <> ''")
     by = each.groupBy("w").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b"))
     odd = by.where((F.col("a") >= 3) & (F.col("a") * n[False] > 8 * F.col("b") * n[True]))
-    return [r["w"] for r in odd.orderBy(F.desc(F.col("a") / n[True] - F.col("b") / n[False]), "w").limit(WORDS).select("w").collect()]
+    return [r["w"] for r in odd.orderBy("w").select("w").collect()]
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -167,8 +176,16 @@ SPARE = 1.02
 SCALE = 1000.0
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, close: float = 1e-6, spare: str | None = "good") -> list[list[float]]:
-    """The steps' vectors for rows (tokens, p_<domain>).
+@dataclass
+class Rates:
+    """The steps' vectors, and how far each domain's total stays from its target, in shares of the budget."""
+
+    steps: list[list[float]] = field(default_factory=list)
+    residual: dict[str, float] = field(default_factory=dict)
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, close: float = 1e-6, spare: str | None = "good") -> Rates:
+    """The rates of rows (tokens, p_<domain>), as steps, with the residual.
 
     The budget is the corpus's own tokens, and more where domain ``spare`` would else lose any.
     """
@@ -180,21 +197,24 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, round
     have = [g[f"t{i}"] or 0.0 for i in range(n)]
     live = [i for i in range(n) if have[i] > 1e-9 * max(1e-300, sum(have)) and targets.get(DOMAINS[i], 0) > 0]
     if not live:
-        return []
+        return Rates()
     share = {i: targets[DOMAINS[i]] / sum(targets[DOMAINS[j]] for j in live) for i in live}
     budget = sum(have[i] for i in live)
     if spare in DOMAINS and (s := DOMAINS.index(spare)) in live:
         budget = max(budget, SPARE * have[s] / share[s])
     want = [share.get(i, 0.0) * budget if i in live else have[i] for i in range(n)]
     steps: list[list[float]] = []
-    now, gram, best = have, g, None
+    now, gram = have, g
+    best, idle = Rates(), 0
+    nearest = math.inf
     for _ in range(rounds):
         short = [now[i] - want[i] for i in live]
-        far = max(abs(x) for x in short)
-        if best is None or far < best[0]:
-            best = (far, list(steps))
-        if far <= close * budget:
-            break
+        far = math.hypot(*short)
+        idle = 0 if far < nearest * (1 - 1e-4) else idle + 1
+        if far < nearest:
+            nearest, best = far, Rates(list(steps), {DOMAINS[i]: x / budget for i, x in zip(live, short, strict=True)})
+        if far <= close * budget or idle == 6:
+            return best
         # the Gram matrix of the rows that aren't held at 0
         least = 1e-9 * max(1e-300, *(g[f"g{k}_{k}"] for k in live))
         m = [[(gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0) + (least if i == j else 0.0) for j in live] for i in live]
@@ -203,23 +223,23 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, round
         at = members.withColumn("_r", rate(steps))
         gram = at.agg(*[F.sum(F.col("_r") * x).alias(f"t{i}") for i, x in enumerate(w)], *[F.sum(F.when(F.col("_r") > 0, x)).alias(k) for k, x in scale]).first()
         now = [gram[f"t{i}"] or 0.0 for i in range(n)]
-    return best[1] if best else steps
+    raise RuntimeError(f"rates still change after {rounds} steps")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``tokens``, ``p_<domain>`` and ``rate``; the text itself is read but once."""
     members = settle(posteriors(docs, labels, id_col, text_col).drop(text_col))
-    return members.withColumn("rate", rate(fit_rates(members, targets)))
+    return members.withColumn("rate", rate(fit_rates(members, targets).steps))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: the whole part, and once more with the
     chance of the rest, drawn from a hash of the row."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    with_p = posteriors(rows, labels, "_id", "_text")
-    members = settle(with_p.select("tokens", *[f"p_{d}" for d in DOMAINS]))
-    drawn = F.pmod(F.xxhash64(F.lit("mix"), "_id", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.floor(rate(fit_rates(members, targets)) + drawn).cast("int")
+    # settled with the rows, so that texts are read for their features but once
+    with_p = settle(posteriors(rows, labels, "_id", "_text").drop("_text"))
+    drawn = F.pmod(F.xxhash64(F.lit("mix"), "_id", F.col(f"_row.{text_col}")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(rate(fit_rates(with_p, targets).steps) + drawn).cast("int")
     return with_p.withColumn("_c", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
 
 

@@ -34,10 +34,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, so that lost executors don't recompute it.
 
-    Spark removes the files when nothing refers to them (``cleanCheckpoints``).
+    A session with ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes the files when nothing
+    refers to them any more; else they stay until the folder is removed.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -50,7 +57,7 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
 
 
 #: At most so many keys count as hot, which bounds what is broadcast.
-HOT_KEYS = 1000
+HOT_KEYS = 10_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: str) -> DataFrame:

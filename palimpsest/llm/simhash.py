@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, settle, small_batches, table
+from .common import HOT_KEYS, components, hot_join, settle, small_batches, table
 
 RADIUS = 4
 #: Fixed values of the contract: words a shingle, and XXH64's seed.
@@ -132,23 +132,27 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096) -> DataFrame
     """Edges (x, y) between distinct fingerprints ``fp`` that keep every component of the graph of
     pairs that differ in at most ``radius`` bits.
 
-    Buckets of over ``bucket`` fingerprints are hashed once more over the bits that their table
-    leaves out, with as many covering masks; such a bucket agrees in about 48 bits, so that it can't
-    hold more than about 2^16 fingerprints, whatever the input.
+    Buckets of over ``bucket`` fingerprints, a number that doesn't grow with the input, are hashed once
+    more over the bits that their table leaves out, with as many covering masks; such a bucket agrees in
+    about 48 bits, so that it can't hold more than about 2^16 fingerprints, whatever the input.
     """
     first = masks(radius, list(range(64)))
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k1")) for v, m in enumerate(first)]))
     one = fps.select("fp", tables.alias("t")).select("fp", F.col("t.v").alias("v"), F.col("t.k1").alias("k1"))
-    total = len(first) * fps.count()
-    limit = max(bucket, total // 10_000)
-    hot = one.groupBy("v", "k1").count().where(F.col("count") > limit).select(F.col("v").alias("hv"), F.col("k1").alias("hk"))
-    met = one.join(F.broadcast(hot), (F.col("v") == F.col("hv")) & (F.col("k1") == F.col("hk")), "left")
+    # a table's number and key as one number; what meets by chance is told apart by its bits
+    one = one.withColumn("k", F.xxhash64("v", "k1"))
+    hot = settle(one.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("k", F.lit(True).alias("hot"), "n"))
+    many = hot.count()
+    if many <= HOT_KEYS:  # few enough to be sent to every task, whatever the input
+        met = one.join(F.broadcast(hot.select("k", "hot")), "k", "left")
+    else:
+        met = hot_join(one, hot, "k", "n", len(first) * fps.count(), "fp")
     second = [masks(radius, [i for i in range(64) if not m >> i & 1]) for m in first]
     whole = F.array(F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("k2")))
     per_table = F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in second])
     finer = F.transform(F.element_at(per_table, F.col("v") + 1), lambda m, i: F.struct((i + 1).cast("long").alias("w"), F.col("fp").bitwiseAND(m).alias("k2")))
-    dealt = met.select("fp", "v", "k1", F.explode(F.when(F.col("hk").isNull(), whole).otherwise(finer)).alias("s"))
-    dealt = dealt.select(F.xxhash64("v", "k1").alias("k1"), F.xxhash64("s.w", "s.k2").alias("k2"), "fp")
+    dealt = met.select("fp", "k", F.explode(F.when(F.col("hot").isNull(), whole).otherwise(finer)).alias("s"))
+    dealt = dealt.select(F.col("k").alias("k1"), F.xxhash64("s.w", "s.k2").alias("k2"), "fp")
     return dealt.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp").mapInArrow(_bucket_edges(radius), "x long, y long")
 
 

@@ -10,26 +10,31 @@ independently, in units of a bounded number of home vectors against a bounded nu
 Copies are one class throughout. A unit gives sums of links and a forest of its links, never all
 pairs. Pivots are a bounded sample, which only decides how the work is divided.
 
-Defined results: vectors that are null, zero, of another dimension than most, or hold null or
-non-finite components link with nothing and are their own component, as are rows with a null id
-(component null); repeated rows each count as a vector; an empty table gives none; further columns
-don't matter.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing
+and are their own component, as are rows with a null id (component null); vectors of any other size,
+however large or small their components, are compared, with those of the same dimension, in double
+precision; repeated rows each count as a vector; an empty table gives none; further columns don't
+matter.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, hot_join, settle, small_batches, table
 
 COSINE = 0.95
 #: Home vectors of a unit, other vectors of a unit, and pivots, at most.
 HOME, OTHERS, PIVOTS = 4096, 32768, 512
+#: Rows of a batch of copies.
+ROWS = 8192
 _ROOM = 1e-6  # for rounding in what is only a bound
 
 
@@ -38,8 +43,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """In double precision, the largest component brought to between 1 and 2 by a power of two, which
+    rounds nothing, so that no square over- or underflows."""
     x = x.astype(np.float64)
+    return np.ldexp(x, 1 - np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -60,14 +72,14 @@ def join_unit(left: tuple[np.ndarray, np.ndarray], left_n: np.ndarray, others, c
     """Links between ``left`` (nodes, vectors) and each block of ``others`` (nodes, n, vectors), with those
     inside ``left`` if ``inner``. Yields pairs of arrays (nodes, links), and last the list of edges."""
     ids, x = left
-    norm = np.linalg.norm(x64 := x.astype(np.float64), axis=1)
+    norm = np.linalg.norm(x64 := _scaled(x), axis=1)
     x32 = (x64 / norm[:, None]).astype(np.float32)
     label, mine = np.arange(len(ids)), np.zeros(len(ids), np.int64)
     edges: list = []
 
     def linked(y: np.ndarray):
         """Blocks of rows of y that have a link, and with which."""
-        ynorm = np.linalg.norm(y64 := y.astype(np.float64), axis=1)
+        ynorm = np.linalg.norm(y64 := _scaled(y), axis=1)
         y32 = (y64 / ynorm[:, None]).astype(np.float32)
         for at in range(0, len(y), 1024):
             rows = at + np.flatnonzero((y32[at : at + 1024] @ x32.T).max(axis=1) >= cosine - 1e-5)
@@ -106,10 +118,11 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, pivots: int | None =
     spark = vectors.sparkSession
     small_batches(spark, rows=2000)
     e = math.sqrt(2 - 2 * cosine)
+    wide = not isinstance(vectors.schema["v"].dataType.elementType, T.FloatType)
     total = vectors.count()
     k = pivots or min(PIVOTS, max(1, math.ceil(math.sqrt(total) / 10)))
     chosen = vectors.select("node", "v").orderBy(F.xxhash64(F.lit(1), "node")).limit(k).collect()
-    shared = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen], np.float32)) if chosen else np.empty((0, 1)))
+    shared = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen], np.float64)) if chosen else np.empty((0, 1)))
 
     def sizes(batches):
         out = np.zeros((len(shared.value), 2), np.int64)
@@ -133,19 +146,24 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, pivots: int | None =
             v = _matrix(x.column(2))
             home, more = homes(_unit(v), shared.value, e)
             mixed = (nodes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            rows: list = []  # (index, cell, tile, chunk, whether of the home tile)
-            for i in range(len(nodes)):
-                c = home[i]
-                t = int(mixed[i] % np.uint64(tiles[c]))
-                rows.extend((i, c, t, u, 1) for u in range(chunks[c]))
-                u = int((mixed[i] >> np.uint64(12)) % np.uint64(chunks[c]))
-                rows.extend((i, c, s, u, 0) for s in range(t))
-                for d in np.flatnonzero(more[i]):
-                    u = int((mixed[i] >> np.uint64(12)) % np.uint64(chunks[d]))
-                    rows.extend((i, d, s, u, 0) for s in range(tiles[d]))
-            at, c, t, u, own = (np.array(y) for y in zip(*rows, strict=True))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(v[at].ravel()), v.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array((c.astype(np.int64) << 40) + (t << 20) + u, pa.int64()), pa.array(1 - own, pa.int32()), pa.array(nodes[at]), pa.array(n[at]), lists], names=["unit", "other", "node", "n", "v"])
+            tile = (mixed % tiles[home].astype(np.uint64)).astype(np.int64)
+            mixed >>= np.uint64(12)
+
+            def spread(i, c, times, own, first=None):
+                """Rows i to ``times`` tiles of cells c each (or, of their own, to all chunks of their tile)."""
+                at = np.repeat(np.arange(len(i)), times)
+                k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                t, u = (first[at], k) if own else (k, (mixed[i] % chunks[c].astype(np.uint64)).astype(np.int64)[at])
+                return i[at], (c[at].astype(np.int64) << 40) + (t << 20) + u, np.full(len(at), 0 if own else 1, np.int32)
+
+            every = np.arange(len(nodes))
+            i, d = np.nonzero(more)
+            parts = [spread(every, home, chunks[home], True, tile), spread(every, home, tile, False), spread(i, d, tiles[d], False)]
+            at, unit, other = (np.concatenate(y) for y in zip(*parts, strict=True))
+            for k in range(0, len(at), ROWS):
+                part = at[k : k + ROWS]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(v[part].ravel()), v.shape[1]).cast(pa.list_(pa.float64() if wide else pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(unit[k : k + ROWS]), pa.array(other[k : k + ROWS]), pa.array(nodes[part]), pa.array(n[part]), lists], names=["unit", "other", "node", "n", "v"])
 
     def join(batches):
         unit, ids, ns, vs = None, [], [], []
@@ -183,7 +201,7 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, pivots: int | None =
         if unit is not None:
             yield from solved()
 
-    dealt = vectors.select("node", F.col("n").cast("long").alias("n"), F.col("v").cast("array<float>").alias("v")).mapInArrow(deal, "unit long, other int, node long, n long, v array<float>")
+    dealt = vectors.select("node", F.col("n").cast("long").alias("n"), "v").mapInArrow(deal, f"unit long, other int, node long, n long, v array<{'double' if wide else 'float'}>")
     found = settle(dealt.repartition("unit").sortWithinPartitions("unit", "other").mapInArrow(join, "x long, links long, y long"))
     sums = found.where("links is not null").groupBy(F.col("x").alias("node")).agg(F.sum("links").alias("links"))
     return sums, found.where("y is not null").select("x", "y")
@@ -191,20 +209,35 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, pivots: int | None =
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id): a row for each row of ``vectors``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("d"), F.col(vector_col).cast("array<float>").alias("v"))
-    fine = F.col("id").isNotNull() & (F.size("d") > 0) & F.forall("d", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e30)) & F.exists("d", lambda c: F.abs(c) > 1e-30)
-    rows = rows.withColumn("node", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("v")))
-    dims = rows.where("node is not null").groupBy(F.size("d").alias("k")).count().orderBy(F.desc("count"), "k").limit(1).collect()
-    rows = rows.withColumn("node", F.when(F.size("d") == (dims[0]["k"] if dims else 0), F.col("node")))
-    distinct = settle(rows.where("node is not null").groupBy("node", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")))
-    links, edges = near_links(distinct, cosine)
-    parts = components(edges, "x", "y")
-    member = distinct.select("node", "n", "least").join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
+    wide = not isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>" if wide else "array<float>").alias("v"))
+    most = F.array_max(F.transform("v", F.abs)).cast("double")
+    fine = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c)) & (most > 0) & (most < float("inf"))
+    rows = rows.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(8), "v").alias("b"))))
+    # two keyed hashes stand for a vector once it is checked that no two vectors share both
+    known = rows.where("key is not null").groupBy("key", "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    distinct = settle(known.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
+    if distinct.groupBy("key").count().where("count > 1").limit(1).count():
+        raise RuntimeError("two vectors have the same 128-bit hash")
+    found = []
+    for d in sorted(r["dim"] for r in distinct.groupBy("dim").count().where("count > 1").select("dim").collect()):
+        found.append(near_links(distinct.where(F.col("dim") == d), cosine))
+    links, edges = (reduce(DataFrame.unionByName, x) if found else None for x in zip(*found, strict=True)) if found else (None, None)
+    if found:
+        parts = components(edges, "x", "y").withColumnRenamed("node", "_n")
+        named = distinct.join(parts, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        named = distinct.withColumn("root", F.col("node"))
+    member = named.select("key", "node", "n", "least", "root")
     total = vectors.count()
     name = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
-    named = hot_join(member, name, "root", "m", total, "node").join(links.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    named = settle(named.select("node", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    out = hot_join(rows.select("id", "node"), named, "node", "n", total, "id")
+    named = hot_join(member, name, "root", "m", total, "node")
+    if found:
+        named = named.join(links.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    else:
+        named = named.withColumn("links", F.lit(0))
+    named = settle(named.select("key", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    out = hot_join(rows.select("id", "key"), named, "key", "n", total, "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -6,7 +6,6 @@ that the expression matches, after ASCII letters are folded to lower case on bot
 
 from __future__ import annotations
 
-import re
 from itertools import product
 
 import numpy as np
@@ -173,6 +172,3 @@ def dictionary(queries) -> np.ndarray:
             wanted[_code(t)] = True
     return wanted
 
-
-def compiled(pattern: str, flags: int = 0) -> re.Pattern:
-    return re.compile(pattern, flags)

@@ -64,6 +64,9 @@ def test_secrets_match_brute_force(docs, none):
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_trigram_queries_hold_of_every_match(rule):
     samples = [f"say Api_Key='{'q' * 14}'", KEY, "00" * 9, "gh" + "p_" + "a" * 36, "xo" + "xb-" + "1" * 12, "sk" + "_live_" + "z" * 24, "ey" + "J" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "-----BEGIN " + "PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----", "Bearer " + "x" * 24, "https://me:pass" + "word@host"]
+    b64 = "aB3_" * 20
+    samples += ["gl" + "pat-" + b64[:20], "xo" + "xb-" + "1" * 10 + "-" + "z" * 14, "sk" + "_test_" + "z" * 30, "AI" + "za" + b64[:35], "S" + "G." + b64[:22] + "." + b64[:43], "np" + "m_" + "q" * 36, "ey" + "J" + "a" * 12 + ".ey" + "J" + "b" * 12 + "." + "c" * 24]
+    samples += ["-----BEGIN " + "RSA PRIVATE KEY-----\nMIIab+/=\n-----END RSA PRIVATE KEY-----", "bearer " + "t0k." * 7 + "==", "git" + "hub_pat_" + "q" * 22 + "_" + "z" * 59, "postgres://user:" + "p" * 400 + "@db/x"]
     found = [s for s in samples if re.search(rule.pattern, s, rule.flags)]
     assert found
     index = trigrams.Index([*found, "nothing here"])

@@ -11,8 +11,8 @@ written as response, the others as revisits that refer to it; all smaller ones a
 Defined results: a null payload is empty; a null id keeps its record, and is a group's response only
 if all the group's ids are null; rows that repeat an id are all written, and where they have the
 group's largest id all of them are responses; an empty table gives no files; further columns don't
-matter. Executors write each file under a temporary name and move it, and
-only files that a finished task reports are read, so a lost or repeated task leaves no trace.
+matter. Executors write each file under a temporary name and move it, and only files that a finished
+task reports are read: what a lost or repeated task wrote stays unread, and goes with ``unreported``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -109,8 +110,8 @@ def build_dictionary(records: list[bytes]) -> bytes | None:
     """A dictionary from records spread over the file, or None if they don't make one."""
     total = sum(map(len, records))
     step = max(1, -(-total // SAMPLE))
-    chosen = [r[:16384] for r in records[::step]]
-    samples = [r[i : i + 2048] for r in chosen for i in range(0, len(r), 2048)]
+    # every step-th piece of all records' pieces, wherever in its record it stands
+    samples = [r[i : i + 2048] for r, i in islice(((r, i) for r in records for i in range(0, len(r), 2048)), 0, None, step)]
     if len(samples) < 16:
         return None
     try:
@@ -195,6 +196,17 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, file_bytes: i
     return settle(marked.select("page_id", "url", "html", "winner").mapInArrow(run, "file string, records long, payload_bytes long"))
 
 
+def unreported(files: DataFrame, path: str) -> int:
+    """Deletes the files below ``path`` that no finished task has reported; how many these were."""
+    store, root = fs.FileSystem.from_uri(path)
+    there = [f.base_name for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    told = files.sparkSession.createDataFrame([(x,) for x in there], "file string").join(files.select("file"), "file", "left_anti")
+    gone = [r["file"] for r in told.collect()]
+    for name in gone:
+        store.delete_file(f"{root}/{name}")
+    return len(gone)
+
+
 def read_archives(files: DataFrame, path: str, payloads: bool = True) -> DataFrame:
     """The records of the files (column ``file``) below ``path``."""
     kinds = {"page_id": "long", "url": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "long", "payload": "binary"}

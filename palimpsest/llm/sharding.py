@@ -26,8 +26,8 @@ SHARDS, OVERHEAD, SPLIT = 40, 16, 0.005
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", split: float = SPLIT) -> DataFrame:
     """(id, size, text_crc32, shard, slot): a row per row."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    rows = settle(rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = settle(rows)  # with what tells rows apart that have all else in common, their ids too
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     if not total["n"]:
         return rows.select("id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -35,7 +35,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     # the groups over ``split`` of a shard number under shards / split, which bounds the broadcast
     large = rows.groupBy("h", "size", "text_crc32").agg(F.sum("size").alias("b")).where(F.col("b") > split * target).select(F.col("h").alias("_h"), F.col("size").alias("_z"), F.col("text_crc32").alias("_c"))
     marked = rows.join(F.broadcast(large), (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_z")) & (F.col("text_crc32") == F.col("_c")), "left")
-    marked = marked.select("id", "size", "text_crc32", "h", F.when(F.col("_h").isNull(), 0).otherwise(F.xxhash64("id")).alias("cut"))
+    marked = marked.select("id", "size", "text_crc32", "h", F.when(F.col("_h").isNull(), 0).otherwise(F.xxhash64("id", "row")).alias("cut"))
     key = ["h", "text_crc32", "size", "cut"]
     order = marked.repartitionByRange(*key).sortWithinPartitions(*key, "id")
     order = settle(order.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))

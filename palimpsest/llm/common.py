@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,20 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def grouped(batches, size: int):
+    """Record batches put together until they have ``size`` bytes."""
+    held, total = [], 0
+    for x in batches:
+        held.append(x)
+        total += x.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, total = [], 0
+    held = [x for x in held if x.num_rows]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 #: At most so many keys count as hot, which bounds what is broadcast.
 HOT_KEYS = 10_000
 

@@ -16,6 +16,7 @@ columns of the documents don't matter.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from bisect import bisect_left, insort
@@ -24,12 +25,15 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, table
+from .common import grouped, settle, small_batches, table
 
 CAPACITY, END = 2048, 0
+#: Bytes of texts that are split together; more of them have fewer distinct words in all.
+TOGETHER = 16 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,51 +46,80 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Tokens:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of texts as arrays of unsigned 32-bit integers.
 
-    The vocabulary splits texts at white space and into words before its merges, so that what stands
-    between white space is encoded once and looked up from then on. New words are encoded many at a
-    time: a word's last id, and no other, ends a word. Texts with characters outside a range in which
-    splitting is known to be the same here are encoded whole. The cache is emptied at ``most`` entries.
+    The vocabulary splits texts into words before its merges: at white space, around marks, and between
+    digits. So a batch is split in array operations, each distinct word is encoded once, many at a time
+    (a word's last id, and no other, ends a word), and all ids are gathered from one pool. Texts with
+    characters outside a range in which splitting is known to be the same here are encoded whole. What
+    is known is forgotten at ``most`` words.
     """
 
-    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    _MARKS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]+|[^\p{L}0-9\s]+)"
     _KNOWN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧]*")
 
-    def __init__(self, path: str, most: int = 2_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.whole, self.most = Tokenizer.from_file(path), most
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([""], pa.large_string())  # the empty one stands at a text's edges
+        self.first, self.size, self.pool, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1 << 16, "<u4"), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        split = [self._WORD.findall(c) for c in new]
-        words = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = self._ids(" ".join(part))
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-                self.known[w] = data[start:end]
-                start = end
-        get = self.known.__getitem__
-        for c, ws in zip(new, split, strict=True):
-            if len(ws) != 1:  # else it is a word, and known by now
-                self.known[c] = b"".join(map(get, ws))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or not self._KNOWN.fullmatch(t) else t.lower().split() for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        self._learn(list(set().union(*(s for s in split if s)).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else self._ids(t).tobytes() for s, t in zip(split, texts, strict=True)]
+    def _learn(self, new: pa.Array) -> None:
+        for at in range(0, len(new), 4096):
+            words = new.slice(at, 4096).to_pylist()
+            ids = self._ids(" ".join(words))
+            # every digit is a word of its own
+            n = np.fromiter((len(w) if "0" <= w[0] <= "9" else 1 for w in words), np.int64, len(words))
+            stop = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(n) - 1]
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.first = np.concatenate((self.first, self.used + np.concatenate(([0], stop[:-1]))))
+            self.size = np.concatenate((self.size, np.diff(stop, prepend=0)))
+            self.used += len(ids)
+        self.words = pa.concat_arrays([self.words, new])
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and self._KNOWN.fullmatch(t)]
+        out: list = [None] * len(texts)
+        if plain:
+            low = pa.array([texts[i].lower() for i in plain], pa.large_string())
+            parts = pc.ascii_split_whitespace(pc.replace_substring_regex(low, self._MARKS, r" \1 "))
+            words = parts.flatten().dictionary_encode()
+            if len(self.words) + len(words.dictionary) > self.most:
+                self._forget()
+            place = pc.index_in(words.dictionary, value_set=self.words)
+            if place.null_count:
+                new = words.dictionary.filter(pc.is_null(place))
+                at = len(self.words)
+                self._learn(new)
+                place = np.array(place.fill_null(-1))
+                place[place < 0] = np.arange(at, at + len(new))
+            place = np.asarray(place)[words.indices.to_numpy()]
+            size = self.size[place]
+            start = np.concatenate(([0], np.cumsum(size)))
+            ids = self.pool[np.repeat(self.first[place] - start[:-1], size) + np.arange(start[-1])]
+            cut = start[parts.offsets.to_numpy()].tolist()
+            for i, a, b in zip(plain, cut[:-1], cut[1:], strict=True):
+                out[i] = ids[a:b]
+        return [self._ids(t) if x is None else x for t, x in zip(texts, out, strict=True)]
+
+
+@functools.lru_cache(maxsize=1)
+def _tokens(path: str) -> Tokens:
+    """One per Python worker, which keeps what it has learned for the next task."""
+    return Tokens(path)
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -98,11 +131,11 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        tokens, last = Tokens(path or tokenizer_path()), np.array([end], "<u4").tobytes()
-        for x in batches:
+        tokens, last = _tokens(path or tokenizer_path()), np.array([end], "<u4").tobytes()
+        for x in grouped(batches, TOGETHER):
             rows: list = []
-            for i, ids in zip(x.column(0).to_pylist(), tokens.batch([t or "" for t in x.column(1).to_pylist()]), strict=True):
-                ids += last
+            for i, found in zip(x.column(0).to_pylist(), tokens.batch([t or "" for t in x.column(1).to_pylist()]), strict=True):
+                ids = found.tobytes() + last
                 rows.extend((i, k, at // 4, len(ids[at : at + 4 * capacity]) // 4, ids[at : at + 4 * capacity]) for k, at in enumerate(range(0, len(ids), 4 * capacity)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

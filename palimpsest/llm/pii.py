@@ -4,7 +4,8 @@ Entities are found by expressions: e-mail addresses, IPv4 addresses, payment car
 numbers, telephone numbers, and names after a title. Each is replaced by a keyed surrogate of the
 same type and format: digits stay digits in the same places, letters stay letters of the same script
 and case, a card keeps whether its check digit holds, an address its class of first octet, a listed
-given name becomes one of the same gender.
+given name becomes one of the same gender, and any other name keeps its title and its ending, which
+carries the gender.
 
 Distinctness holds by construction, so that no table of entities has to be shuffled: every type is
 mapped by a keyed permutation over the entities of one format: a Feistel network, then one digit or
@@ -12,21 +13,25 @@ letter moved on, then the network backwards. So it is a bijection, and no entity
 however many of a small format there are. As the map depends on nothing but key and entity, an entity has the same surrogate in
 every document (coreference), in whatever case or punctuation it is written. ``collisions`` checks
 both over a corpus: it lists surrogates that stand for more than one entity. What has no letter or
-digit of ALPHABETS (a name in another script) stays as it is.
+digit of ALPHABETS becomes letters drawn from its keyed hash. The key is the session's
+``spark.palimpsest.surrogate.key``; the default is for tests, and as public as this file.
 
 Defined results: a null text stays null, an empty one empty; texts without entities stay as they
 are; repeated rows are treated alike; an empty table gives none; further columns pass through, but for
-one called ``n_entities``, which the result replaces.
+one called ``n_entities``, which the result replaces. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-KEY = "palimpsest"
+KEY, KEY_SETTING = "palimpsest", "spark.palimpsest.surrogate.key"
 #: Titles by gender, and given names by gender; the lists are the range of surrogates, too.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Frau", "Sra"), "m": ("Mr", "Herr", "Sr", "Sir")}
 NAMES = {
@@ -34,16 +39,29 @@ NAMES = {
     "m": ("Adam", "Bruno", "Carlos", "David", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "James", "John", "Jorge", "Karl", "Louis", "Mark", "Martin", "Oscar", "Paul", "Peter", "Robert", "Simon", "Thomas", "Victor"),
 }
 #: Letters of a script and case; a letter is only ever replaced by one of its own line.
-ALPHABETS = (
+_COMMON = (
     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789",
     "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+
+
+def _further(known: str) -> list[str]:
+    """The other letters that have two cases, by script and row of 128, upper and lower case aligned."""
+    rows = defaultdict(list)
+    for c in map(chr, range(0xC0, 0x2C00)):
+        low = c.lower()
+        if c not in known and low not in known and len(low) == 1 and low.upper() == c and (unicodedata.category(c), unicodedata.category(low)) == ("Lu", "Ll"):
+            rows[unicodedata.name(c).split()[0], ord(c) >> 7].append((low, c))
+    return ["".join(x) for row in rows.values() if len(row) > 1 for x in zip(*row, strict=True)]
+
+
+ALPHABETS = (*_COMMON, *_further("".join(_COMMON)))
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 #: In the order in which they are tried at a place.
 KINDS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9À-ÿ](?:[\w.+À-ÿ-]{0,62}[\wÀ-ÿ])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,18}(?![\w@])",
+    "email": r"(?<![\w.+-])[A-Za-z0-9À-ÖØ-öø-ÿ](?:[\w.+À-ÖØ-öø-ÿ-]{0,62}[\wÀ-ÖØ-öø-ÿ])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,18}(?![\w@])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)",
@@ -87,6 +105,11 @@ def _rounds(text: Column, step, moved) -> Column:
     return _let(_let(_fold(pair(text), step, joined), moved), lambda x: _fold(pair(x), step, joined, back=True))
 
 
+def _drawn(text: Column, key: str, kind: str, n: int = 12) -> Column:
+    """``n`` letters from a keyed hash, the first a capital: for what has nothing to permute."""
+    return F.initcap(F.translate(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), text), 256), 1, n), "0123456789abcdef", "abcdefghijklmnop"))
+
+
 def _next(text: Column) -> Column:
     """The string with its first letter or digit replaced by the next of its alphabet, in a circle."""
     every, turned = "".join(ALPHABETS), "".join(x[1:] + x[0] for x in ALPHABETS)
@@ -216,13 +239,21 @@ def _email(m: Column, key: str) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     tail = F.regexp_extract(domain, r"(?i)((?:^|\.)example\.(?:com|org|net)|\.[a-z]+)$", 1)
     head = F.substring(domain, F.lit(1), F.length(domain) - F.length(tail))
-    return F.concat(_letters(local, key, "email", F.lower(domain)), F.lit("@"), _letters(head, key, "domain", F.lower(tail)), tail)
+    new = F.concat(_letters(local, key, "email", F.lower(domain)), F.lit("@"), _letters(head, key, "domain", F.lower(tail)), tail)
+    return _let(new, lambda x: F.when(x == m, F.concat(F.lower(_drawn(m, key, "email")), F.lit("@"), domain)).otherwise(x))
 
 
 def _word(w: Column, key: str) -> Column:
     listed = F.array(*[F.lit(x) for xs in NAMES.values() for x in xs])
+
+    def moved(x):  # all but the ending, under a key of that ending
+        cut = F.when(F.length(x) > 2, F.length(x) - 1).otherwise(F.length(x))
+        end = F.substring(x, cut + 1, F.lit(1))
+        return F.concat(_letters(F.substring(x, F.lit(1), cut), key, "name", F.lower(end)), end)
+
     # walks on until it is outside the lists, so that no unlisted name becomes a listed one
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(8)), w, lambda x, i: F.when((i == 1) | F.array_contains(listed, x), _letters(x, key, "name")).otherwise(x))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(8)), w, lambda x, i: F.when((i == 1) | F.array_contains(listed, x), moved(x)).otherwise(x))
+    out = _let(out, lambda x: F.when(x == w, _drawn(w, key, "name")).otherwise(x))
     for gender, xs in NAMES.items():
         names, n = F.array(*[F.lit(x) for x in xs]), F.lit(len(xs))
         at = F.array_position(names, w)
@@ -274,13 +305,25 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
+#: Stands around entities while they are cut out; a text that has it is cut in two passes.
+_MARK = "\ufdd0"
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces, every second one an entity; null where no entity can be."""
+    marked = F.split(F.regexp_replace(text, PATTERN, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    apart = F.flatten(F.zip_with(F.split(text, PATTERN, -1), found, lambda gap, m: F.array_compact(F.array(gap, m))))
+    return F.when(text.rlike(HINT), F.when(F.contains(text, F.lit(_MARK)), apart).otherwise(marked))
+
+
 def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and the number of entities in ``n_entities``."""
-    found = docs.withColumn("__found", entities(F.col(text_col)))
-    gaps = F.split(F.col(text_col), PATTERN, -1)
-    new = F.array_join(F.zip_with(gaps, "__found", lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(surrogate(m, key)))), "")
-    n = F.when(F.col("__found").isNull(), 0).otherwise(F.size("__found"))
-    return found.withColumn(text_col, F.when(n > 0, new).otherwise(F.col(text_col))).withColumn("n_entities", n.cast("long")).drop("__found")
+    mine = next(x for x in (f"_pieces{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    cut = docs.withColumn(mine, pieces(F.col(text_col)))
+    new = F.array_join(F.transform(mine, lambda x, i: F.when(i % 2 == 1, surrogate(x, key)).otherwise(x)), "")
+    n = F.when(F.col(mine).isNull(), 0).otherwise(F.floor(F.size(mine) / 2))
+    return cut.withColumn(text_col, F.when(n > 0, new).otherwise(F.col(text_col))).withColumn("n_entities", n.cast("long")).drop(mine)
 
 
 def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -293,14 +336,16 @@ def collisions(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
     return by.where("n > 1 or same").select("kind", "surrogate", F.when(F.col("same"), 0).otherwise(F.col("n")).alias("n"))
 
 
-def pseudonymized(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """``replaced`` under the first of the keys ``key``, ``key/1``, ... under which the corpus has no collision.
+def pseudonymized(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
+    """``replaced`` under the first of the keys ``key``, ``key/1``, ... under which no two entities of the
+    corpus share a surrogate and none stands for itself; an error if eight of them don't do.
 
     By construction the first key serves; the check is one pass over the distinct entities.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     for i in range(8):
         now = key if i == 0 else f"{key}/{i}"
-        if collisions(docs, text_col, now).where("n > 1").limit(1).count() == 0:
+        if collisions(docs, text_col, now).limit(1).count() == 0:
             return replaced(docs, text_col, now)
     raise ValueError("every key tried gives collisions")
 

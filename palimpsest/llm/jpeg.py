@@ -1,8 +1,11 @@
 """Baseline JPEG columns: markers, Huffman scans and DC-only luminance thumbnails, in numpy.
 
-Scans are decoded in lockstep: every restart segment of every image of a batch that shares tables
-and layout takes its next symbol at the same time, so that the work per symbol is a few array
-operations over all segments.
+Scans of many segments are decoded in lockstep: every restart segment of every image of a batch that
+shares tables and layout takes its next symbol at the same time, so that the work per symbol is a few
+array operations over all segments. Scans of few, as ordinary photographs have them, are decoded from
+every bit at once: for a window of the scan array operations tell, for each bit and table, where the
+symbol that begins there ends and what it skips, and what is left is to follow that chain. Both read
+whole scans; of several scans the one with the luminance is decoded.
 
 Bytes can be stored in a JPEG without loss, in the format's own unit, the quantized coefficient:
 coefficients of size category 8 are -255..-128 and 128..255, just as many as a byte has values, so
@@ -82,45 +85,76 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+@dataclass
+class Scan:
+    comps: list  # indices of the image's components, in the scan's order
+    dc: list  # Huffman specifications, one per component of the scan
+    ac: list
+    restart: int
+    data: bytes
+
+
 @dataclass
 class Image:
     width: int = 0
     height: int = 0
     quant: dict = field(default_factory=dict)
-    huff: dict = field(default_factory=dict)
-    comps: list = field(default_factory=list)  # (id, h, v, quantizer, DC table, AC table)
-    restart: int = 0
+    comps: list = field(default_factory=list)  # (id, h, v, quantizer)
     comment: bytes = b""
-    data: bytes = b""
-    order: list = field(default_factory=list)  # of the scan's components, as indices of comps
+    scan: Scan | None = None  # that of the first component
+
+    def _most(self) -> tuple[int, int]:
+        return max(c[1] for c in self.comps), max(c[2] for c in self.comps)
+
+    def size_of(self, k: int) -> tuple[int, int]:
+        """Blocks across and down that component k has, without padding."""
+        h, v = self._most()
+        return -(-(-(-self.width * self.comps[k][1] // h)) // 8), -(-(-(-self.height * self.comps[k][2] // v)) // 8)
 
     def mcus(self) -> tuple[int, int]:
-        """MCUs across and down."""
-        if len(self.comps) == 1:
-            return -(-self.width // 8), -(-self.height // 8)
-        h, v = max(c[1] for c in self.comps), max(c[2] for c in self.comps)
+        """MCUs of the scan across and down; with one component an MCU is a block."""
+        if len(self.scan.comps) == 1:
+            return self.size_of(self.scan.comps[0])
+        h, v = self._most()
         return -(-self.width // (8 * h)), -(-self.height // (8 * v))
 
     def blocks(self) -> list[int]:
-        """The component of each block of an MCU."""
-        return [0] if len(self.comps) == 1 else [k for k in self.order for _ in range(self.comps[k][1] * self.comps[k][2])]
+        """For each block of an MCU, which of the scan's components it is of."""
+        if len(self.scan.comps) == 1:
+            return [0]
+        return [i for i, k in enumerate(self.scan.comps) for _ in range(self.comps[k][1] * self.comps[k][2])]
+
+
+def _scan_end(data: bytes, at: int) -> int:
+    """Where the next marker is that doesn't belong to a scan's data."""
+    raw = np.frombuffer(data, np.uint8)
+    ff = at + np.flatnonzero(raw[at:-1] == 0xFF)
+    after = raw[ff + 1]
+    stop = ff[(after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7))]
+    if not len(stop):
+        raise ValueError("no EOI")
+    return int(stop[0])
 
 
 def parse(data: bytes) -> Image:
-    """Reads the markers; raises ValueError if it isn't a baseline JPEG of one scan."""
+    """Reads the markers; raises ValueError if it isn't a baseline JPEG. What follows EOI isn't read."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("no SOI")
-    image, at = Image(), 2
+    image, at, huff, restart, seen = Image(), 2, {}, 0, 0
     while True:
-        if at + 4 > len(data) or data[at] != 0xFF:
+        if at + 2 > len(data) or data[at] != 0xFF:
             raise ValueError("a marker is missing")
         marker = data[at + 1]
         if marker == 0xFF:
             at += 1
             continue
+        if marker == 0xD9:
+            if image.scan is None or seen < len(image.comps):
+                raise ValueError("scans are missing")
+            return image
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
-        if len(body) != size - 2:
+        if size < 2 or len(body) != size - 2:
             raise ValueError("a segment is cut off")
         at += 2 + size
         if marker == 0xDB:
@@ -131,32 +165,30 @@ def parse(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                image.huff[body[0]] = bytes(body[1 : 17 + n])
+                huff[body[0]] = bytes(body[1 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC0:
             if body[0] != 8:
                 raise ValueError("not 8 bits a sample")
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-            image.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i], 0, 0) for i in range(body[5])]
+            image.comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            if not image.width or not image.height or not image.comps or any(not (c[1] and c[2]) for c in image.comps):
+                raise ValueError("no dimensions")
         elif marker in (0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF):
             raise ValueError("not baseline")
         elif marker == 0xDD:
-            image.restart = int.from_bytes(body[:2], "big")
+            restart = int.from_bytes(body[:2], "big")
         elif marker == 0xFE:
             image.comment = body
         elif marker == 0xDA:
-            if not image.comps or body[0] != len(image.comps) or not image.width or not image.height:
-                raise ValueError("not one scan of all components")
+            if not image.comps:
+                raise ValueError("a scan without a frame")
             ids = [c[0] for c in image.comps]
-            for i in range(body[0]):
-                k = ids.index(body[1 + 2 * i])
-                image.order.append(k)
-                image.comps[k] = (*image.comps[k][:4], body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15)
-            end = data.rfind(b"\xff\xd9")
-            if end < at:
-                raise ValueError("no EOI")
-            image.data = data[at:end]
-            return image
+            picked = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
+            end = _scan_end(data, at)
+            if any(k == 0 for k, _ in picked):
+                image.scan = Scan([k for k, _ in picked], [huff[t >> 4] for _, t in picked], [huff[0x10 | t & 15] for _, t in picked], restart, data[at:end])
+            seen, at = seen + len(picked), end
 
 
 def _lookup(spec: bytes) -> np.ndarray:
@@ -171,9 +203,9 @@ def _lookup(spec: bytes) -> np.ndarray:
     return out
 
 
-def _segments(image: Image) -> tuple[np.ndarray, np.ndarray]:
+def _segments(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
     """The scan without stuffing, and where each restart segment starts in it (and the last ends)."""
-    raw = np.frombuffer(image.data, np.uint8)
+    raw = np.frombuffer(scan.data, np.uint8)
     ff = np.flatnonzero(raw[:-1] == 0xFF) if len(raw) else np.empty(0, np.int64)
     after = raw[ff + 1] if len(ff) else np.empty(0, np.uint8)
     marks = ff[(after >= 0xD0) & (after <= 0xD7)]
@@ -184,34 +216,10 @@ def _segments(image: Image) -> tuple[np.ndarray, np.ndarray]:
     return raw[keep], np.concatenate(([0], place[marks], [place[-1]])).astype(np.int64)
 
 
-def decode_scans(images: list[Image]) -> list[np.ndarray]:
-    """The quantized coefficients of images that share tables, layout of the MCU and restart interval:
-    for each an int16 array (MCUs, blocks of an MCU, 64), in zigzag order, DC differences summed up."""
-    kinds = images[0].blocks()
-    per = len(kinds)
-    tables = sorted({t for k in kinds for t in images[0].comps[k][4:6]})
-    luts = np.concatenate([_lookup(images[0].huff[t]) for t in tables])
-    dc = np.array([tables.index(images[0].comps[k][4]) << 16 for k in kinds])
-    ac = np.array([tables.index(images[0].comps[k][5]) << 16 for k in kinds])
-    datas, starts, ends, mcus, shift = [], [], [], [], 0
-    for im in images:
-        data, cuts = _segments(im)
-        across, down = im.mcus()
-        each = im.restart or across * down
-        n = -(-across * down // each)
-        if len(cuts) - 1 != n:
-            raise ValueError("restart segments are missing")
-        datas += [data]
-        starts.append(cuts[:-1] + shift)
-        ends.append(cuts[1:] + shift)
-        mcus.append(np.minimum(each, across * down - each * np.arange(n)))
-        shift += len(data)
-    flat = np.concatenate([*datas, np.zeros(8, np.uint8)]).astype(np.uint32)
-    word = flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
-    start, end, mcus = map(np.concatenate, (starts, ends, mcus))
-    first = np.concatenate(([0], np.cumsum(mcus * per)))  # of a segment's blocks
+def _lockstep(word, luts, dc, ac, pos, last, first) -> np.ndarray:
+    """Coefficients of all segments, each of which takes a symbol a step."""
+    per = len(dc)
     coef = np.zeros(int(first[-1]) * 64, np.int16)
-    pos, last = start * 8, end * 8
     base, stop = first[:-1] * 64, first[1:] * 64
     k = np.zeros(len(pos), np.int64)  # place in the block
     while len(pos):
@@ -229,11 +237,7 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
         pos = pos + length
         size = symbol & 15
         run = np.where(k == 0, 0, symbol >> 4)
-        at = pos >> 3
-        extra = (word[at] << (pos & 7).astype(np.uint32)) >> 16 >> (16 - size).astype(np.uint32)
-        extra = extra.astype(np.int64)
-        value = np.where(extra < (1 << size >> 1), extra - (1 << size) + 1, extra)
-        value[size == 0] = 0
+        value = _extra(word, pos, size)
         pos = pos + size
         zrl = (k > 0) & (size == 0) & (run == 15)
         eob = (k > 0) & (size == 0) & (run < 15)
@@ -253,6 +257,118 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
             live = base < stop
             if not live.all():
                 pos, last, base, stop, k = (x[live] for x in (pos, last, base, stop, k))
+    return coef
+
+
+def _extra(word, pos, size) -> np.ndarray:
+    """The signed values of the ``size`` bits from each position on; 0 for none."""
+    extra = ((word[pos >> 3] << (pos & 7).astype(np.uint32)) >> 16 >> (16 - size).astype(np.uint32)).astype(np.int64)
+    value = np.where(extra < (1 << size >> 1), extra - (1 << size) + 1, extra)
+    value[size == 0] = 0
+    return value
+
+
+#: Bits of a scan that are looked at together, from all of which decoding starts at once.
+WINDOW = 1 << 17
+
+
+def _chased(word, luts, dc, ac, pos, last, first) -> np.ndarray:
+    """Coefficients of segments one after another: each window's symbols by array operations, and the
+    chain of those that count by following where each ends."""
+    coef = np.zeros(int(first[-1]) * 64, np.int16)
+    tables = sorted({*dc.tolist(), *ac.tolist()})
+    rank = {t: i for i, t in enumerate(tables)}
+    dcs, acs, per = [rank[t] for t in dc.tolist()], [rank[t] for t in ac.tolist()], len(dc)
+    for at, end, block, stop in zip(pos.tolist(), last.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        k, done = 0, block  # place in the block; blocks finished
+        while done < stop:
+            if at > end:
+                raise ValueError("a scan is damaged")
+            low, high = at, min(at + WINDOW, end + 1)
+            bits = np.arange(low, high)
+            peek = word[bits >> 3] >> (16 - (bits & 7)).astype(np.uint32) & 0xFFFF
+            ends, skips, founds = [], [], []
+            for t in tables:
+                found = luts[t + peek]
+                size, run = found & 15, found >> 4 & 15
+                # what an AC symbol skips: run and its own place; 80 ends a block, 116 are sixteen zeros
+                skip = np.where(size > 0, run + 1, np.where(run == 15, 116, 80))
+                skip[found == 0] = 0
+                founds.append(found)
+                ends.append((bits + (found >> 8) + size).tolist())
+                skips.append(skip.tolist())
+            where, heads, whose = [], [], []
+            while at < high and done < stop:
+                t = dcs[done % per] if k == 0 else acs[done % per]
+                skip, ends_t = skips[t], ends[t]
+                if k == 0:
+                    if not skip[at - low]:
+                        raise ValueError("a scan is damaged")
+                    where.append(done * 64)
+                    heads.append(at)
+                    whose.append(t)
+                    at, k = ends_t[at - low], 1
+                    continue
+                while at < high:
+                    s = skip[at - low]
+                    if 0 < s < 17:
+                        k += s
+                        if k > 64:
+                            raise ValueError("a block is too long")
+                        where.append(done * 64 + k - 1)
+                        heads.append(at)
+                        whose.append(t)
+                    elif s == 80:
+                        k = 64
+                    elif s == 116:
+                        k += 16
+                        if k > 64:
+                            raise ValueError("a block is too long")
+                    else:
+                        raise ValueError("a scan is damaged")
+                    at = ends_t[at - low]
+                    if k == 64:
+                        k, done = 0, done + 1
+                        break
+            heads, whose = np.array(heads, np.int64), np.array(whose, np.int64)
+            found = np.stack(founds)[whose, heads - low] if len(heads) else np.empty(0, np.int64)
+            coef[np.array(where, np.int64)] = _extra(word, heads + (found >> 8), found & 15)
+        if at > end:
+            raise ValueError("a scan is damaged")
+    return coef
+
+
+#: Scans of fewer segments are followed bit by bit.
+FEW = 128
+
+
+def decode_scans(images: list[Image]) -> list[np.ndarray]:
+    """The quantized coefficients of images whose scans share tables, layout of the MCU and restart
+    interval: for each an int16 array (MCUs, blocks of an MCU, 64), in zigzag order, DC differences summed up."""
+    kinds, scan = images[0].blocks(), images[0].scan
+    per = len(kinds)
+    tables = sorted({*scan.dc, *scan.ac})
+    luts = np.concatenate([_lookup(t) for t in tables])
+    dc = np.array([tables.index(scan.dc[k]) << 16 for k in kinds])
+    ac = np.array([tables.index(scan.ac[k]) << 16 for k in kinds])
+    datas, starts, ends, mcus, shift = [], [], [], [], 0
+    for im in images:
+        data, cuts = _segments(im.scan)
+        across, down = im.mcus()
+        each = im.scan.restart or across * down
+        n = -(-across * down // each)
+        if len(cuts) - 1 != n:
+            raise ValueError("restart segments are missing")
+        datas += [data]
+        starts.append(cuts[:-1] + shift)
+        ends.append(cuts[1:] + shift)
+        mcus.append(np.minimum(each, across * down - each * np.arange(n)))
+        shift += len(data)
+    flat = np.concatenate([*datas, np.zeros(8, np.uint8)]).astype(np.uint32)
+    word = flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
+    start, end, mcus = map(np.concatenate, (starts, ends, mcus))
+    first = np.concatenate(([0], np.cumsum(mcus * per)))  # of a segment's blocks
+    coef = (_chased if len(start) < FEW else _lockstep)(word, luts, dc, ac, start * 8, end * 8, first)
     blocks = coef.reshape(-1, per, 64)
     # differences of DC are summed up within a segment, for each component on its own
     head = np.repeat(first[:-1] // per, mcus)
@@ -268,15 +384,13 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
 def thumbnail(image: Image, coefs: np.ndarray) -> np.ndarray:
     """The luminance at an eighth of the size, from DC coefficients alone."""
     across, down = image.mcus()
-    _, h, v, q, _, _ = image.comps[0]
-    if len(image.comps) == 1:
+    _, h, v, q = image.comps[0]
+    if len(image.scan.comps) == 1:
         h = v = 1
-    mine = [j for j, c in enumerate(image.blocks()) if c == 0]
+    mine = [j for j, c in enumerate(image.blocks()) if image.scan.comps[c] == 0]
     dc = coefs[:, mine, 0].astype(np.int64).reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-    top = max(c[2] for c in image.comps) if len(image.comps) > 1 else 1
-    side = max(c[1] for c in image.comps) if len(image.comps) > 1 else 1
-    dc = dc[: -(-image.height * v // (8 * top)), : -(-image.width * h // (8 * side))]
-    return np.clip((dc * int(image.quant[q][0]) + 4) // 8 + 128, 0, 255).astype(np.uint8)
+    wide, high = image.size_of(0)
+    return np.clip((dc[:high, :wide] * int(image.quant[q][0]) + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
 def hashes(thumb: np.ndarray) -> tuple[str, str]:
@@ -286,6 +400,9 @@ def hashes(thumb: np.ndarray) -> tuple[str, str]:
     return hashlib.sha1(np.array(thumb.shape, "<u4").tobytes() + thumb.tobytes()).hexdigest(), np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
+DAMAGE = (ValueError, IndexError, KeyError)
+
+
 def decode_all(files: list[bytes]) -> list[tuple[Image, np.ndarray] | str]:
     """Each file's image and coefficients, or what is wrong with it."""
     out: list = [None] * len(files)
@@ -293,19 +410,19 @@ def decode_all(files: list[bytes]) -> list[tuple[Image, np.ndarray] | str]:
     for i, f in enumerate(files):
         try:
             image = parse(f or b"")
-            used = tuple((c[1], c[2], image.huff[c[4]], image.huff[c[5]]) for c in image.comps)
-            alike[used, tuple(image.order), image.restart].append((i, image))
-        except (ValueError, IndexError, KeyError) as e:
+            scan = image.scan
+            alike[tuple(c[1:3] for c in image.comps), tuple(scan.comps), *scan.dc, *scan.ac, scan.restart].append((i, image))
+        except DAMAGE as e:
             out[i] = str(e) or "damaged"
     for group in alike.values():
         try:
             for (i, image), c in zip(group, decode_scans([im for _, im in group]), strict=True):
                 out[i] = (image, c)
-        except (ValueError, IndexError, KeyError):
+        except DAMAGE:
             for i, image in group:  # one is damaged: each on its own
                 try:
                     out[i] = (image, decode_scans([image])[0])
-                except (ValueError, IndexError, KeyError) as e:
+                except DAMAGE as e:
                     out[i] = str(e) or "damaged"
     return out
 

@@ -47,15 +47,15 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): a row per row, fp the fingerprint as a signed long."""
+    """(id, row, fp): a row per row, row a hash of the text, fp the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for x in batches:
-            fps = np.array([fingerprint(t) for t in x.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t) for t in x.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(fps)], names=["id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("t")).mapInArrow(run, "id long, row long, fp long")
 
 
 def masks(radius: int, bits: list[int]) -> list[int]:
@@ -157,7 +157,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096) -> DataFrame
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) for every row: component_id is the least id reachable by links."""
+    """(id, fp, component_id, root, row) for every row: component_id is the least id reachable by links,
+    root the class, row a hash of the text."""
     prints = settle(fingerprints(docs, id_col, text_col))
     total = prints.count()
     groups = settle(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
@@ -166,22 +167,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     # roots are fingerprints; the component's name is the least id of all its fingerprints
     member = groups.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     name = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
-    named = hot_join(member, name, "root", "m", total, "fp").select("fp", "n", "component_id")
-    return hot_join(prints, settle(named), "fp", "n", total, "id")
+    named = hot_join(member, name, "root", "m", total, "fp").select("fp", "n", "component_id", "root")
+    return hot_join(prints, settle(named), "fp", "n", total, "id").select("id", "fp", "component_id", "root", "row")
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id names their class; of rows with that same id, one; rows without an id stay."""
-    return kept_rows(docs, classes(docs, id_col, text_col, radius), id_col)
-
-
-def kept_rows(docs: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``named``, rows (id, component_id), keeps: as in ``one_per_class``."""
-    kept = named.where(F.col("id") == F.col("component_id"))
-    ids = kept.select(F.col("id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_key"))  # whatever its columns are called
-    one = rows.join(ids, F.col("_key") == F.col("_id"), "left_semi").dropDuplicates(["_key"])
-    return one.unionByName(rows.where("_key is null")).select("_row.*")
+    """Of each class one row of ``docs``: one whose id names the class, and where several texts have that
+    id, the one with the least hash. Texts of several classes stay though they share an id; rows without
+    an id stay."""
+    return kept_rows(docs, classes(docs, id_col, text_col, radius), id_col, text_col)
+
+
+#: Rows that go are named to every task up to so many; beyond, rows that stay are joined.
+NAMED = 500_000
+
+
+def kept_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``named``, rows (id, component_id, root, row), keeps: as in ``one_per_class``."""
+    named = settle(named.where("id is not null").groupBy("id", "row", "root", "component_id").agg(F.count("*").alias("n")))
+    stay = named.where(F.col("id") == F.col("component_id")).groupBy("id", "root").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("row"))
+    stay = settle(stay.select("id", "row", "n"))
+    gone = named.select("id", "row").join(stay.select("id", "row"), ["id", "row"], "left_anti")
+    # whatever the columns of docs are called
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"))
+    if gone.count() <= NAMED and not stay.where("n > 1").limit(1).count():
+        some = F.broadcast(gone.select(F.col("id").alias("_i"), F.col("row").alias("_r")))
+        return rows.join(some, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_r")), "left_anti").select("_row.*")
+    some = stay.select(F.col("id").alias("_i"), F.col("row").alias("_r"))
+    one = rows.join(some, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_r")), "left_semi").dropDuplicates(["_id", "_h"])
+    return one.unionByName(rows.where("_id is null")).select("_row.*")
 
 
 def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:

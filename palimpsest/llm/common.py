@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -57,6 +58,25 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Words that a Python worker remembers at once in one of its look-ups.
+MEMO = 100_000
+
+
+def tidied(run):
+    """``run``, a function for mapInArrow, that gives freed memory back to the system at its end: Python
+    workers live on and go from task to task."""
+
+    def go(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return go
+
+
 def grouped(batches, size: int):
     """Record batches put together until they have ``size`` bytes."""
     held, total = [], 0

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, settle, small_batches, table
+from .common import grouped, settle, small_batches, table, tidied
 
 CAPACITY, END = 2048, 0
 #: Bytes of texts that are split together; more of them have fewer distinct words in all.
@@ -140,7 +140,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, piece int, start long, length long, ids binary")
 
 
 # --- the plan: classes of bins with equal contents ---
@@ -401,7 +401,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     schema = order.drop("_part", "_at").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    return order.mapInArrow(run, schema)
+    return order.mapInArrow(tidied(run), schema)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

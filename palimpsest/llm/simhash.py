@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, components, hot_join, settle, small_batches, table
+from .common import HOT_KEYS, components, hot_join, settle, small_batches, table, tidied
 
 RADIUS = 4
 #: Fixed values of the contract: words a shingle, and XXH64's seed.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in x.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(fps)], names=["id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("t")).mapInArrow(run, "id long, row long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, row long, fp long")
 
 
 def masks(radius: int, bits: list[int]) -> list[int]:
@@ -153,7 +153,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = 4096) -> DataFrame
     finer = F.transform(F.element_at(per_table, F.col("v") + 1), lambda m, i: F.struct((i + 1).cast("long").alias("w"), F.col("fp").bitwiseAND(m).alias("k2")))
     dealt = met.select("fp", "k", F.explode(F.when(F.col("hot").isNull(), whole).otherwise(finer)).alias("s"))
     dealt = dealt.select(F.col("k").alias("k1"), F.xxhash64("s.w", "s.k2").alias("k2"), "fp")
-    return dealt.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp").mapInArrow(_bucket_edges(radius), "x long, y long")
+    return dealt.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp").mapInArrow(tidied(_bucket_edges(radius)), "x long, y long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, table
+from .common import MEMO, settle, small_batches, table, tidied
 
 #: Labelled rows that the model is fitted on, at most; which, a hash of the id decides. It bounds the
 #: features, too: they are those of the sample's words.
@@ -73,7 +73,7 @@ class Model:
 
         class Memo(defaultdict):
             def __missing__(self, word):
-                if len(self) > 500_000:
+                if len(self) > MEMO:
                     self.clear()
                 found = self[word] = score(word)
                 return found
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = n.sum(axis=1).tolist()
     if not n1 or not n0:
         return Model({})
-    counted = sample.select("t", "toxic", "part").mapInArrow(count, "f string, " + ", ".join(f"{c} long" for c in columns)).groupBy("f").agg(*[F.sum(c).alias(c) for c in columns])
+    counted = sample.select("t", "toxic", "part").mapInArrow(tidied(count), "f string, " + ", ".join(f"{c} long" for c in columns)).groupBy("f").agg(*[F.sum(c).alias(c) for c in columns])
     y0, y1 = (sum((F.col(f"y{y}_{k}") for k in range(PARTS)), F.lit(0)) for y in (0, 1))
     # what may be told of any three parts; at most the words of the bounded sample and their prefixes
     telling = ((y1 >= LEAST) & (y1 * n0 > y0 * n1)) | ((y0 >= LEAST_AGAINST) & (y1 * n0 < y0 * n1) & ~F.endswith("f", F.lit("*")))
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 mine: set = set()
                 for w in set(words(t)):
                     if (found := memo.get(w)) is None:
-                        if len(memo) > 500_000:
+                        if len(memo) > MEMO:
                             memo = {}
                         found = memo[w] = tuple(at[f] for f in features(w) if f in at)
                     if found:
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         keys = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1).astype(np.int32)), pa.array(np.append(seen[keys], n))], names=["i", "n"])
 
-    every = docs.select(F.col(text_col).alias("t")).mapInArrow(background, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    every = docs.select(F.col(text_col).alias("t")).mapInArrow(tidied(background), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     at, times = every.column("i").to_numpy(), every.column("n").to_numpy()
     share = np.zeros(len(names))
     share[at[at >= 0]] = times[at >= 0]
@@ -271,7 +271,7 @@ def _calibrated(model: Model, parts: list[Model], sample: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "toxic", "n", "scores", "s", "times"])
 
     # as many rows as the bounded sample has, and a few per part for the scores that words have
-    out = sample.mapInArrow(read, "part int, toxic int, n long, scores array<double>, s double, times long")
+    out = sample.mapInArrow(tidied(read), "part int, toxic int, n long, scores array<double>, s double, times long")
     laws: list[Counter] = [Counter() for _ in parts]
     rows = []
     for r in out.collect():
@@ -321,7 +321,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 found.append([{"first": f, "end": e, "score": s, "e_value": model.expected(s, n)} for f, e, s in some])
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(score, pa.float64()), pa.array(found, passage)], names=["id", "score", "passages"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, score double, passages array<struct<first: int, end: int, score: double, e_value: double>>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, score double, passages array<struct<first: int, end: int, score: double, e_value: double>>")
 
 
 def op5_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,4 +346,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: flo
                 keep.append(model.probability(model.evidence(all_, n)) < at)
             yield pa.RecordBatch.from_arrays(x.filter(pa.array(keep, pa.bool_())).columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -2,42 +2,135 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD, PER_LEFT, TOP, STALE_DAYS = 0.92, 5, 10, 60
-#: Rows of a block, which bounds what a task holds.
-BLOCK = 4096
+#: Rows of a block, which bounds what a task holds, and pivots at most.
+BLOCK, PIVOTS = 4096, 256
+
+
+def _matrix(column) -> np.ndarray:
+    m = np.array(column.tolist(), float)
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.where(norm == 0, 1, norm)[:, None]
+
+
+def _cells(notes: DataFrame, threshold: float) -> DataFrame:
+    """Rows (unit, own, path, v): unit vectors dealt so that every pair over the threshold meets in a unit.
+
+    A vector's home is the cell of the nearest of a few pivots. Vectors at cosine c are sqrt(2 - 2c)
+    apart, so that by the triangle inequality a partner is at home where the vector is at most that far
+    beyond the plane between the two pivots; there it goes as well. Cells are cut into tiles of BLOCK
+    vectors at home, each of which meets all of its cell.
+    """
+    spark = notes.sparkSession
+    total, e = notes.count(), math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    k = min(PIVOTS, max(1, total // 256))
+    pivots = _matrix(pd.Series([r[0] for r in notes.orderBy(F.xxhash64(F.lit(3), "path")).limit(k).select("embedding").collect()])) if total else np.zeros((0, 1))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+
+    def near(m):
+        dots = m @ pivots.T
+        home = dots.argmax(axis=1)
+        return home, dots.max(axis=1)[:, None] - dots <= e * apart[home]
+
+    def sizes(parts):
+        n = np.zeros(len(pivots), np.int64)
+        for pdf in parts:
+            if len(pdf):
+                n += np.bincount(near(_matrix(pdf["embedding"]))[0], minlength=len(n))
+        yield pd.DataFrame({"cell": np.arange(len(n)), "n": n})
+
+    # a row per pivot
+    at_home = {r["cell"]: r["n"] for r in notes.select("embedding").mapInPandas(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    tiles = np.array([max(1, -(-at_home.get(c, 0) // BLOCK)) for c in range(len(pivots))])
+
+    def deal(parts):
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            m, path = _matrix(pdf["embedding"]), pdf["path"].to_numpy()
+            home, also = near(m)
+            mine = np.array([zlib.crc32(p.encode()) for p in path], np.int64) % tiles[home]
+            i, c = np.nonzero(also)
+            at = np.repeat(np.arange(len(i)), tiles[c])
+            t = np.arange(len(at)) - np.repeat(np.cumsum(tiles[c]) - tiles[c], tiles[c])
+            i, c = i[at], c[at]
+            own = (home[i] == c) & (mine[i] == t)
+            for k in range(0, len(i), BLOCK):
+                s = slice(k, k + BLOCK)
+                yield pd.DataFrame({"unit": c[s] * (1 << 20) + t[s], "own": own[s], "path": path[i[s]], "v": list(m[i[s]])})
+
+    return notes.select("path", "embedding").mapInPandas(deal, "unit long, own boolean, path string, v array<double>")
 
 
 def similar_pairs(notes: DataFrame, threshold: float = THRESHOLD, per_left: int = PER_LEFT) -> DataFrame:
     """(a, b, score), a < b: pairs over the threshold, each left note's ``per_left`` best.
 
-    Exact: notes (path, embedding) are dealt into blocks, and every pair of blocks is one matrix
-    product in a task of bounded size.
+    Exact: every pair meets in a unit of ``_cells``, whose home vectors, at most about BLOCK, are held
+    while all others of the cell stream by.
     """
-    total = notes.count()
-    k = max(1, -(-total // BLOCK))
-    rows = notes.where("embedding is not null").select("path", "embedding", F.pmod(F.xxhash64("path"), F.lit(k)).cast("int").alias("g"))
-    left = rows.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("path", "embedding", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), "g")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(pdf["embedding"].tolist(), float)
-        norm = np.linalg.norm(m, axis=1)
-        m = m / np.where(norm == 0, 1, norm)[:, None]
-        path, g = pdf["path"].to_numpy(), pdf["g"].to_numpy()
-        one, two = np.flatnonzero(g == pdf["x"].iloc[0]), np.flatnonzero(g == pdf["y"].iloc[0])
-        s = np.round(m[one] @ m[two].T, 6)
-        i, j = np.nonzero(s > threshold)
-        a, b = path[one[i]], path[two[j]]
-        keep = a < b if pdf["x"].iloc[0] == pdf["y"].iloc[0] else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[i, j][keep]})
-
-    pairs = left.groupBy("x", "y").applyInPandas(join, "a string, b string, score double")
+    rows = _cells(notes.where("embedding is not null"), threshold)
+
+    def join(parts):
+        unit, held, names = None, [], []
+        m, own_path = None, None
+        for pdf in parts:
+            for u, group in pdf.groupby("unit", sort=False):
+                if u != unit:
+                    unit, held, names, m = u, [], [], None
+                mine = group["own"].to_numpy()
+                if mine.any():
+                    held.append(np.array(group["v"][mine].tolist()))
+                    names.append(group["path"][mine].to_numpy())
+                    m = None
+                group = group[~mine]
+                if not held or not len(group):
+                    continue
+                if m is None:
+                    m, own_path = np.concatenate(held), np.concatenate(names)
+                path = group["path"].to_numpy()
+                s = np.round(m @ np.array(group["v"].tolist()).T, 6)
+                i, j = np.nonzero(s > threshold)
+                keep = own_path[i] < path[j]
+                yield pd.DataFrame({"a": own_path[i[keep]], "b": path[j[keep]], "score": s[i[keep], j[keep]]})
+
+    # the unit's own vectors come first, and again among all: a pair within a tile is met from its left end
+    both = rows.where("own").withColumn("_o", F.lit(0)).unionByName(rows.withColumn("own", F.lit(False)).withColumn("_o", F.lit(1)))
+    met = both.repartition("unit").sortWithinPartitions("unit", "_o").drop("_o").mapInPandas(join, "a string, b string, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_left)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_left)
+
+
+def nearest(new: DataFrame, notes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(path, other, score): for each of a few new notes (path, embedding), collected, its ``k`` nearest of
+    ``notes`` over the threshold, itself left out. One pass over the notes."""
+    few = new.select("path", "embedding").limit(BLOCK + 1).collect()
+    if len(few) > BLOCK:  # as many as a table of notes: the symmetric join serves both ends
+        pairs = similar_pairs(notes, threshold, k)
+        both = pairs.select(F.col("a").alias("path"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("path"), F.col("a").alias("other"), "score"))
+        found = both.join(new.select("path"), "path", "left_semi")
+    else:
+        names = np.array([r["path"] for r in few])
+        wanted = _matrix(pd.Series([r["embedding"] for r in few])) if few else None
+
+        def near(parts):
+            for pdf in parts:
+                if wanted is None or not len(pdf):
+                    continue
+                s, other = np.round(wanted @ _matrix(pdf["embedding"]).T, 6), pdf["path"].to_numpy()
+                i, j = np.nonzero((s > threshold) & (names[:, None] != other[None, :]))
+                yield pd.DataFrame({"path": names[i], "other": other[j], "score": s[i, j]})
+
+        found = notes.where("embedding is not null").select("path", "embedding").mapInPandas(near, "path string, other string, score double")
+    order = Window.partitionBy("path").orderBy(F.desc("score"), "other")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def best_pairs(pairs: DataFrame, k: int = TOP) -> DataFrame:
@@ -53,6 +146,13 @@ def stale(memory: DataFrame, cutoff: Column) -> DataFrame:
     )
 
 
+def moved_rows(memory_session: DataFrame, moves: DataFrame) -> DataFrame:
+    """The bridge rows that merged notes take over: ``moves`` (path, to_path) says from whom."""
+    met = memory_session.join(moves.distinct(), "path")
+    return met.select(F.col("to_path").alias("path"), "session_key").distinct()
+
+
 def moved_provenance(memory_session: DataFrame, sources: list[str], to: str) -> DataFrame:
-    """The bridge rows that a merged note takes over from its sources."""
-    return memory_session.where(F.col("path").isin(*sources)).select(F.lit(to).alias("path"), "session_key").distinct()
+    """``moved_rows`` of one merged note."""
+    moves = memory_session.sparkSession.createDataFrame([(p, to) for p in sources], "path string, to_path string")
+    return moved_rows(memory_session, moves)

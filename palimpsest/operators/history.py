@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +56,9 @@ def diffs(versions: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("ts", "label")
     pairs = versions.withColumn("old", F.lag("content").over(order)).withColumn("old_label", F.lag("label").over(order)).where("old_label is not null")
 
-    @F.udf("string")
-    def diff(a, b, x, y):
-        return unified_diff(a, b, x, y)
+    @F.pandas_udf("string")
+    def diff(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([unified_diff(*v) for v in zip(a, b, x, y, strict=True)], index=a.index)
 
     return pairs.select("path", "label", diff("old", "content", "old_label", "label").alias("diff"))
 

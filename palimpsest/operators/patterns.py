@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, pattern_id, slug
+from ..schema import PROMPT_EVENTS
 
-LEAST, MOST, SIMILAR, PROMPTS, SHORT = 3, 20, 0.8, 500, 8
+LEAST, MOST, SIMILAR, PROMPTS, SHORT, SAMPLES = 3, 20, 0.8, 500, 8, 5
 
 
 def since(text: str) -> Column:
@@ -25,8 +26,10 @@ def since(text: str) -> Column:
 def repeated_commands(calls: DataFrame, least: int = LEAST, limit: int = MOST) -> DataFrame:
     """Calls (command, cwd) by normalized command; ties by the command."""
     c = calls.withColumn("command", collapse(F.col("command"))).where("command <> ''")
-    by = c.groupBy("command").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("cwd")).alias("cwds"))
-    by = by.where(F.col("n") >= least).orderBy(F.desc("n"), "command").limit(limit)
+    # counted by folder first, so that a hot command is combined map-side; only the top ones gather folders
+    two = c.groupBy("command", "cwd").agg(F.count("*").alias("k"))
+    top = two.groupBy("command").agg(F.sum("k").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "command").limit(limit)
+    by = two.join(F.broadcast(top), "command").groupBy("command", "n").agg(F.sort_array(F.collect_set("cwd")).alias("cwds")).orderBy(F.desc("n"), "command")
     return by.withColumn("id", pattern_id(F.lit("command"), F.col("command")))
 
 
@@ -44,10 +47,17 @@ def dominant_project(cwds: DataFrame, order: str = "seq") -> DataFrame:
     return n.groupBy("session").agg(F.max_by("project", F.struct("n", -F.col("first"))).alias("project"), F.max("n").alias("n"))
 
 
-def prompt_clusters(prompts: DataFrame, least: int = LEAST, similar: float = SIMILAR, newest: int = PROMPTS) -> DataFrame:
-    """Greedy first-fit clusters of the ``newest`` rows (event_id, ts, prompt, embedding), by cosine to
-    the seed. The order decides, so the rows, whose number is the parameter, are taken as one group."""
-    few = prompts.where("prompt is not null").orderBy(F.desc("ts"), "event_id").limit(newest).where(F.length(F.trim("prompt")) >= SHORT)
+def newest_prompts(events: DataFrame, newest: int = PROMPTS) -> DataFrame:
+    """(event_id, ts, prompt) of the ``newest`` prompt events; of these, those that are long enough."""
+    asked = events.where(F.col("prompt").isNotNull() & F.col("event_name").isin(*PROMPT_EVENTS))
+    few = asked.orderBy(F.desc("ts"), "event_id").limit(newest).select("event_id", "ts", F.trim("prompt").alias("prompt"))
+    return few.where(F.length("prompt") >= SHORT)
+
+
+def prompt_clusters(prompts: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
+    """Greedy first-fit clusters of rows (event_id, ts, prompt, embedding), newest first: a prompt joins
+    the first cluster whose seed is more alike than ``similar``. The order decides, so that the rows,
+    as many as ``newest_prompts`` lets through, are taken as one group."""
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"], ascending=[False, True])
@@ -57,24 +67,29 @@ def prompt_clusters(prompts: DataFrame, least: int = LEAST, similar: float = SIM
             v = np.asarray(v, float)
             norm = np.linalg.norm(v)
             v = v / norm if norm else v
-            near = next((k for k, s in enumerate(seeds) if float(s @ v) >= similar), None)
+            near = next((k for k, s in enumerate(seeds) if round(float(s @ v), 9) > similar), None)
             if near is None:
                 seeds.append(v)
                 members.append([i])
             else:
                 members[near].append(i)
-        rows = [(pdf["prompt"].iloc[m[0]], len(m), [str(pdf["event_id"].iloc[j]) for j in m]) for m in members if len(m) >= least]
-        return pd.DataFrame(rows, columns=["exemplar", "n", "events"])
+        rows = [(pdf["prompt"].iloc[m[0]], len(m), [str(pdf["event_id"].iloc[j]) for j in m], [pdf["prompt"].iloc[j] for j in m[:SAMPLES]]) for m in members if len(m) >= least]
+        return pd.DataFrame(rows, columns=["exemplar", "n", "events", "samples"])
+
+    found = prompts.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(cluster, "exemplar string, n int, events array<string>, samples array<string>")
+    return found.withColumn("id", pattern_id(F.lit("prompt"), F.col("exemplar")))
+
 
-    return few.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(cluster, "exemplar string, n int, events array<string>")
+# The notes that patterns become, with the fields' places.
+COMMAND_DRAFT = "---\ntitle: %s usage\nkind: tool\npromoted_from_pattern: %s\n---\n\nFrequently-run command (observed %dx across sessions):\n\n```\n%s\n```\n"
+FILE_DRAFT = "---\ntitle: Hot file — %s\nkind: project\npromoted_from_pattern: %s\n---\n\n`%s` is touched repeatedly (%dx; %s). Likely a hot path worth dedicated attention or a project-level note.\n"
+PROMPT_DRAFT = "---\ntitle: Recurring prompt — %s\nkind: general\npromoted_from_pattern: %s\n---\n\nThis question / topic comes up repeatedly (%d times in recent sessions). Consider memorializing the canonical answer here so future sessions skip the lookup.\n\n## Sample prompts\n%s\n"
 
 
 def drafts(patterns: DataFrame, columns: bool = False):
     """Note drafts (path, content) from command patterns (id, command, n), or just their columns."""
     binary = F.coalesce(F.nullif(F.regexp_replace(F.substring_index("command", " ", 1), "[^A-Za-z0-9_-]", ""), F.lit("")), F.lit("tool"))
-    head = F.concat(F.lit("---\ntitle: "), binary, F.lit(" usage\nkind: tool\npromoted_from_pattern: "), F.col("id"), F.lit("\n---\n\n"))
-    text = F.concat(F.lit("Frequently-run command (observed "), F.col("n").cast("string"), F.lit("x across sessions):\n\n```\n"), F.col("command"), F.lit("\n```\n"))
-    out = (F.concat(F.lit("tools/"), binary, F.lit("/usage.md")).alias("path"), F.concat(head, text).alias("content"))
+    out = (F.concat(F.lit("tools/"), binary, F.lit("/usage.md")).alias("path"), F.format_string(COMMAND_DRAFT, binary, "id", "n", "command").alias("content"))
     return out if columns else patterns.select(*out)
 
 
@@ -82,23 +97,26 @@ def file_drafts(patterns: DataFrame, columns: bool = False):
     """Note drafts from file patterns (id, file_path, n, tools)."""
     name = F.substring_index("file_path", "/", -1)
     tools = F.array_join(F.transform(F.map_entries("tools"), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
-    head = F.concat(F.lit("---\ntitle: Hot file — "), name, F.lit("\nkind: project\npromoted_from_pattern: "), F.col("id"), F.lit("\n---\n\n"))
-    text = F.concat(F.lit("`"), F.col("file_path"), F.lit("` is touched repeatedly ("), F.col("n").cast("string"), F.lit("x; "), tools, F.lit(").\n"))
-    out = (F.concat(F.lit("project/hot-file-"), slug(F.regexp_replace(name, r"\.[^.]*$", "")), F.lit(".md")).alias("path"), F.concat(head, text).alias("content"))
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    out = (F.concat(F.lit("project/hot-file-"), slug(stem), F.lit(".md")).alias("path"), F.format_string(FILE_DRAFT, name, "id", "file_path", "n", tools).alias("content"))
     return out if columns else patterns.select(*out)
 
 
-def prompt_drafts(clusters: DataFrame) -> DataFrame:
-    """Note drafts from prompt clusters (exemplar, n, events)."""
-    head = F.concat(F.lit("---\ntitle: Recurring prompt — "), F.substring("exemplar", 1, 60), F.lit("\nkind: general\n---\n\n"))
-    text = F.concat(F.lit("This question comes up repeatedly ("), F.col("n").cast("string"), F.lit(" times in recent sessions).\n\n- "), F.col("exemplar"), F.lit("\n"))
-    return clusters.select(F.concat(F.lit("general/recurring-"), slug(F.col("exemplar")), F.lit(".md")).alias("path"), F.concat(head, text).alias("content"))
+def prompt_drafts(clusters: DataFrame, columns: bool = False):
+    """Note drafts from prompt clusters (id, exemplar, n, samples)."""
+    listed = F.array_join(F.transform("samples", lambda x: F.concat(F.lit("- "), x)), "\n")
+    out = (F.concat(F.lit("general/recurring-"), slug(F.col("exemplar")), F.lit(".md")).alias("path"), F.format_string(PROMPT_DRAFT, F.substring("exemplar", 1, 60), "id", "n", listed).alias("content"))
+    return out if columns else clusters.select(*out)
 
 
-def detected(calls: DataFrame, least: int = LEAST, limit: int = MOST) -> DataFrame:
-    """(kind, subject, n, id, path, content) of both detectors over calls (command, cwd, file_path, tool_name),
-    each with the note it would become."""
+def detected(calls: DataFrame, least: int = LEAST, limit: int = MOST, prompts: DataFrame | None = None) -> DataFrame:
+    """(kind, subject, n, id, path, content) of the detectors over calls (command, cwd, file_path, tool_name)
+    and prompts (event_id, ts, prompt, embedding), each with the note it would become."""
     commands, files = repeated_commands(calls.where("command is not null"), least, limit), hot_files(calls, least, limit)
     one = commands.select(F.lit("command").alias("kind"), F.col("command").alias("subject"), "n", "id", *drafts(commands, columns=True))
     two = files.select(F.lit("file").alias("kind"), F.col("file_path").alias("subject"), "n", "id", *file_drafts(files, columns=True))
-    return one.unionByName(two)
+    both = one.unionByName(two)
+    if prompts is None:
+        return both
+    asked = prompt_clusters(prompts, least)
+    return both.unionByName(asked.select(F.lit("prompt").alias("kind"), F.col("exemplar").alias("subject"), F.col("n").cast("long").alias("n"), "id", *prompt_drafts(asked, columns=True)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import settle
+
 
 def chain(event: DataFrame) -> DataFrame:
     """Each event with the one that follows it in append order."""
@@ -32,15 +34,16 @@ def walk_links(links: DataFrame, first: str) -> DataFrame:
     stopped at a repeat. Doubling: after round i each event knows who comes 2^i steps later."""
     step = links.select(F.col("event_id").alias("a"), F.col("next_event_id").alias("b")).where("b is not null").groupBy("a").agg(F.min("b").alias("b"))
     found = links.sparkSession.createDataFrame([(first, 0)], "event_id string, depth int")
-    jump, n = step, 1
+    jump, n, have = settle(step), 1, 1
     for _ in range(40):
         more = found.join(jump, found["event_id"] == jump["a"]).select(F.col("b").alias("event_id"), (F.col("depth") + n).alias("depth"))
-        both = found.unionByName(more).groupBy("event_id").agg(F.min("depth").alias("depth"))
-        if both.count() == found.count():
+        both = settle(found.unionByName(more).groupBy("event_id").agg(F.min("depth").alias("depth")))
+        now = both.count()
+        if now == have:
             return both
-        found, n = both, 2 * n
+        found, n, have = both, 2 * n, now
         other = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jump = jump.join(other, "b").select("a", F.col("c").alias("b"))
+        jump = settle(jump.join(other, "b").select("a", F.col("c").alias("b")))
     raise ValueError("the chain is longer than 2^40")
 
 
@@ -83,3 +86,13 @@ def transcript(event: DataFrame, text: str, budget: int = 16_000) -> DataFrame:
 
     done = items.withColumn("acc", F.aggregate("items", zero, step))
     return done.select("session_key", F.col("acc.used").alias("used"), F.size("acc.kept").alias("n_kept"), (F.col("n") - F.size("acc.kept")).alias("n_omitted"), F.sort_array("acc.kept").alias("kept"))
+
+
+def transcript_texts(event: DataFrame, budget: int = 16_000) -> DataFrame:
+    """(session_key, transcript) of events with ``rendered`` texts: those that ``transcript`` keeps, in
+    their order, with a note of how many are left out. What is put together is bounded by the budget."""
+    kept = transcript(event, "rendered", budget)
+    chosen = kept.select("session_key", F.explode("kept").alias("event_id"))
+    lines = event.join(chosen, ["session_key", "event_id"]).groupBy("session_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rendered"))), lambda x: x["rendered"]), "\n").alias("_t"))
+    note = F.when(F.col("n_omitted") > 0, F.format_string("\n[... %d events left out for the budget of %d characters ...]", F.col("n_omitted"), F.lit(budget)))
+    return kept.join(lines, "session_key", "left").select("session_key", F.concat_ws("\n", "_t", note).alias("transcript"))

@@ -15,6 +15,12 @@ def totals(memory: DataFrame) -> DataFrame:
     )
 
 
+def everything(memory: DataFrame, session: DataFrame, event: DataFrame) -> DataFrame:
+    """``totals`` with the numbers of sessions and events, in one row."""
+    n = session.agg(F.count("*").alias("sessions")).join(event.agg(F.count("*").alias("events")), F.lit(True))
+    return totals(memory).join(n, F.lit(True))
+
+
 def by_kind(memory: DataFrame) -> DataFrame:
     return memory.groupBy(kind_of(F.col("path")).alias("kind")).agg(F.count("*").alias("n"))
 

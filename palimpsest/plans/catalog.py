@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from .. import adapters as A
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import consolidate, gates, history, patterns, recall, sessions, stats
+from ..operators.index import TextIndex
+from ..shared import fresh_dir, spread
 from ..sources import backup, spool
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,23 +30,26 @@ TERMS = X.terms_of(PROMPT)
 PROJECT = "src6"
 
 
-def query(sql: str | None = None, ctes: str = ""):
+def query(sql: str | None = None, ctes: str = "", recursive: bool = False):
     """Registers a query under its name; ``sql`` may use memory, event and activity."""
 
     def put(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _ORACLES[f.__name__] = f"WITH {A.CTE}{ctes}\n{sql}"
+            _ORACLES[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{A.CTE}{ctes}\n{sql}"
         return f
 
     return put
 
 
 def queries() -> dict[str, Query]:
+    from . import changes, edges  # noqa: F401  they register theirs
+
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 
@@ -73,11 +79,25 @@ bm AS (SELECT k, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 # --- recall ---
 
 
+@functools.lru_cache(maxsize=8)
+def _indexed(context: str, d: str, name: str) -> str:
+    """The folder of a table's index, which all queries of a session share."""
+    spark = SparkSession.active()
+    texts = A.memory(spark, d).select("path", "content") if name == "memory" else A.event(spark, d).select("event_id", recall.event_text())
+    index = TextIndex(spark, fresh_dir(spark, f"index-{name}"))
+    index.add(texts, *texts.columns)
+    return index.root
+
+
+def _index(spark, d, name: str = "memory") -> TextIndex:
+    return TextIndex(spark, _indexed(spark.sparkContext.applicationId, d, name))
+
+
 @query(f"""SELECT path, round(score * {_IMP} * {_REC}, 6) AS score
 FROM bm JOIN memory ON k = path WHERE score > 0.5 ORDER BY score * {_IMP} * {_REC} DESC, path LIMIT 20""", _bm25("memory", "path", "content", _LIVE))
 def recall_fulltext_topk(spark, d):
     m = _memory(spark, d)
-    hits = recall.bm25(m.where(recall.live()), "path", "content", TERMS).where("score > 0.5")
+    hits = _index(spark, d).search(TERMS, m.where(recall.live()).select("path")).where("score > 0.5").withColumnRenamed("key", "path")
     score = F.col("score") * S.importance_factor(F.col("importance")) * S.recency_factor(F.col("path"), F.col("seen"), _now())
     return recall.top(m.join(hits, "path").select("path", score.alias("score")), 20, "path").select("path", F.round("score", 6).alias("score"))
 
@@ -109,18 +129,18 @@ f AS (SELECT path, sum(s) AS rrf FROM r GROUP BY path)"""
 @query(f"SELECT path, project, round(rrf * {_IMP} * {_REC}, 9) AS score FROM f JOIN memory USING (path) ORDER BY 3 DESC, path LIMIT 5", _FUSE)
 def recall_hybrid_rrf(spark, d):
     m, (e, q) = _memory(spark, d), _vector(spark, d)
-    return recall.hybrid_merge(recall.fulltext_search(m, TERMS), recall.vector_search(e, q), m, None, _now())
+    return recall.hybrid_merge(recall.fulltext_search(m, TERMS, index=_index(spark, d)), recall.vector_search(e, q), m, None, _now())
 
 
 @query(f"SELECT path, project, round((rrf + CASE WHEN project = '{PROJECT}' THEN 0.025 ELSE 0 END) * {_IMP} * {_REC}, 9) AS score FROM f JOIN memory USING (path) ORDER BY 3 DESC, path LIMIT 5", _FUSE)
 def recall_project_boost(spark, d):
     m, (e, q) = _memory(spark, d), _vector(spark, d)
-    return recall.hybrid_merge(recall.fulltext_search(m, TERMS), recall.vector_search(e, q), m, PROJECT, _now())
+    return recall.hybrid_merge(recall.fulltext_search(m, TERMS, index=_index(spark, d)), recall.vector_search(e, q), m, PROJECT, _now())
 
 
 @query("SELECT event_id, event_name, substr(trim(regexp_replace(coalesce(prompt, tool_response, ''), '\\s+', ' ', 'g')), 1, 200) AS snippet, round(score, 6) AS score FROM bm JOIN event ON k = event_id WHERE score > 1.0 ORDER BY score DESC, event_id LIMIT 3", _bm25("event", "event_id", "coalesce(prompt, tool_response, '')"))
 def event_fulltext_search(spark, d):
-    return recall.event_search(A.event(spark, d), TERMS)
+    return recall.event_search(A.event(spark, d), TERMS, index=_index(spark, d, "event"))
 
 
 @query(f"""SELECT * FROM (SELECT 1 AS section, path FROM memory WHERE {_LIVE} AND path LIKE 'profile/%' ORDER BY age_hours, path LIMIT 5)
@@ -130,11 +150,11 @@ def session_start_buckets(spark, d):
     return recall.session_start(_memory(spark, d), PROJECT).select("section", "path")
 
 
-@query(f"SELECT path, round({_IMP} * {_REC} / greatest(length(content), 1), 9) AS density FROM memory WHERE {_LIVE} ORDER BY {_IMP} * {_REC} / greatest(length(content), 1) DESC, path LIMIT 50")
+@query(f"SELECT path, round({_IMP} * {_REC} / greatest(length(content), 1), 9) AS density FROM memory WHERE {_LIVE}")
 def value_density_rank(spark, d):
     m = _memory(spark, d).where(recall.live())
     v = S.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), _now())
-    return m.select("path", v.alias("density")).orderBy(F.desc("density"), "path").limit(50).select("path", F.round("density", 9).alias("density"))
+    return m.select("path", v.alias("density")).orderBy(F.desc("density"), "path").select("path", F.round("density", 9).alias("density"))
 
 
 @query(f"""SELECT path, size, used FROM (SELECT path, length(content) AS size, sum(length(content)) OVER (ORDER BY length(content), path ROWS UNBOUNDED PRECEDING)::BIGINT AS used
@@ -143,26 +163,42 @@ def existing_context_budget(spark, d):
     return recall.within_budget(recall.scoped_existing(_memory(spark, d), PROJECT)).select("path", F.col("size").cast("long").alias("size"), "used")
 
 
-@query()
+_PACKED = f""",
+bucket AS (SELECT * FROM (SELECT 1 AS section, * FROM memory WHERE {_LIVE} AND path LIKE 'profile/%' ORDER BY age_hours, path LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 2, * FROM memory WHERE {_LIVE} AND project = '{PROJECT}' ORDER BY age_hours, path LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 3, * FROM memory WHERE {_LIVE} AND path LIKE 'tools/%' ORDER BY age_hours, path LIMIT 5)),
+item AS (SELECT row_number() OVER (ORDER BY section, {_IMP} * {_REC} / greatest(length(content), 1) DESC, path) AS i, section, path,
+  CASE section WHEN 1 THEN 11 WHEN 2 THEN 14 + length('{PROJECT}') ELSE 9 END AS head, length(path) + length(content) + 6 AS size FROM bucket),
+fold AS (SELECT 0 AS i, {len(recall.TITLE)}::BIGINT AS used, 0 AS open, 0 AS closed, ''::VARCHAR AS path, 0 AS omitted UNION ALL
+  SELECT x.i, w + CASE WHEN fits AND NOT passed THEN x.size ELSE 0 END, x.section, CASE WHEN fits OR passed THEN x.closed ELSE x.section END, CASE WHEN fits AND NOT passed THEN x.path ELSE '' END, CASE WHEN fits OR passed THEN 0 ELSE 1 END
+  FROM (SELECT n.*, f.closed, f.used + CASE WHEN n.section <> f.open THEN n.head ELSE 0 END AS w, f.used + CASE WHEN n.section <> f.open THEN n.head ELSE 0 END + n.size <= 4000 OR f.open = 0 AS fits, n.section = f.closed AS passed
+        FROM fold f JOIN item n ON n.i = f.i + 1) x),
+whole AS (SELECT max(used) + sum(omitted) * {len(recall.OMITTED % recall.CHAR_BUDGET)} + (SELECT count(DISTINCT section) FROM item) + count(*) FILTER (path <> '') + sum(omitted) AS chars FROM fold)"""
+
+
+@query("SELECT row_number() OVER (ORDER BY i)::INT - 1 AS place, path, chars::INT AS chars FROM fold, whole WHERE path <> ''", _PACKED, recursive=True)
 def session_start_packing(spark, d):
     rows = recall.session_start(_memory(spark, d), PROJECT).withColumn("density", S.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), _now()))
-    text, paths = recall.render_session_start(rows.select("section", "path", "content", "density").collect(), PROJECT)
-    return spark.createDataFrame([(i, p, len(text)) for i, p in enumerate(paths)], "place int, path string, chars int")
+    return recall.packed_session_start(rows, PROJECT).select(F.posexplode("paths").alias("place", "path"), F.length("text").alias("chars"))
 
 
-@query()
+@query("""SELECT session_key, max(used)::INT AS used, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept AND i > 0) AS n_omitted, list_sort(list(event_id) FILTER (kept)) AS kept FROM fold GROUP BY session_key""", """,
+item AS (SELECT session_key, event_id, row_number() OVER (PARTITION BY session_key ORDER BY prompt IS NULL, seq DESC) AS i, length(coalesce(prompt, tool_response, '')) + 1 AS size FROM event),
+fold AS (SELECT DISTINCT session_key, ''::VARCHAR AS event_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS kept FROM event UNION ALL
+  SELECT n.session_key, n.event_id, n.i, f.used + CASE WHEN f.used + n.size <= 1500 THEN n.size ELSE 0 END, f.used + n.size <= 1500 FROM fold f JOIN item n ON n.session_key = f.session_key AND n.i = f.i + 1)""", recursive=True)
 def transcript_budget(spark, d):
     e = A.event(spark, d)
-    return sessions.transcript(e, F.coalesce("prompt", "tool_response", F.lit("")), 1500)
+    got = sessions.transcript(e, F.coalesce("prompt", "tool_response", F.lit("")), 1500)
+    return got.withColumns({"n_kept": F.col("n_kept").cast("long"), "n_omitted": F.col("n_omitted").cast("long")})
 
 
 # --- lists and counts ---
 
 
-@query(f"SELECT path, project, {_UPDATED} AS updated_at FROM memory WHERE path LIKE 'project/%' AND project = '{PROJECT}' ORDER BY 3 DESC, path LIMIT 20")
+@query(f"SELECT path, project, {_UPDATED} AS updated_at FROM memory WHERE path LIKE 'project/%' AND project = '{PROJECT}'")
 def memory_list(spark, d):
     m = _memory(spark, d).where(F.startswith("path", F.lit("project/")) & (F.col("project") == PROJECT))
-    return m.select("path", "project", "updated_at").orderBy(F.desc("updated_at"), "path").limit(20)
+    return m.select("path", "project", "updated_at").orderBy(F.desc("updated_at"), "path")
 
 
 @query("SELECT path, length(content)::INT AS n FROM memory WHERE path = 'tools/doc-41.md'")
@@ -170,10 +206,11 @@ def memory_show(spark, d):
     return _memory(spark, d).where("path = 'tools/doc-41.md'").select("path", F.length("content").alias("n"))
 
 
-@query(f"SELECT count(*) AS memories, count(*) FILTER (archived) AS archived, count(*) FILTER (coalesce(status, 'active') = 'active') AS active, count(vec_id) AS embedded, max({_UPDATED}) AS newest FROM memory LEFT JOIN embeddings ON vec_id = doc_id")
+@query(f"SELECT count(*) AS memories, count(*) FILTER (archived) AS archived, count(*) FILTER (coalesce(status, 'active') = 'active') AS active, count(vec_id) AS embedded, max({_UPDATED}) AS newest, (SELECT count(DISTINCT session_key) FROM event) AS sessions, (SELECT count(*) FROM event) AS events FROM memory LEFT JOIN embeddings ON vec_id = doc_id")
 def memory_stats(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return stats.totals(_memory(spark, d).join(e, "doc_id", "left"))
+    event = A.event(spark, d)
+    return stats.everything(_memory(spark, d).join(e, "doc_id", "left"), event.select("session_key").distinct(), event)
 
 
 @query("SELECT split_part(path, '/', 1) AS kind, count(*) AS n FROM memory GROUP BY 1")
@@ -210,10 +247,10 @@ session AS (SELECT session_key, any_value(client) AS client, min(minute) AS crea
 latest AS (SELECT session_key, arg_max(minute, seq) AS m FROM event GROUP BY session_key)"""
 
 
-@query("SELECT session_key, client, count(DISTINCT event_id) AS n_events FROM session LEFT JOIN event USING (session_key, client) GROUP BY ALL ORDER BY max(created) DESC LIMIT 200", _SESSION)
+@query("SELECT session_key, client, count(DISTINCT event_id) AS n_events FROM session LEFT JOIN event USING (session_key, client) GROUP BY ALL ORDER BY max(created) DESC, session_key LIMIT 200", _SESSION)
 def session_event_counts(spark, d):
     s = _session(spark, d)
-    return sessions.with_counts(s, A.event(spark, d)).orderBy(F.desc("created")).limit(200).select("session_key", "client", "n_events")
+    return sessions.with_counts(s, A.event(spark, d)).orderBy(F.desc("created"), "session_key").limit(200).select("session_key", "client", "n_events")
 
 
 @query("SELECT event_id, seq, event_name FROM event WHERE session_key = 'codex:5' ORDER BY seq")
@@ -232,14 +269,11 @@ def event_next_links(spark, d):
 
 
 @query(""", walk AS (SELECT event_id, 0 AS depth FROM event WHERE event_id = '5-0' UNION ALL SELECT l.n, w.depth + 1 FROM walk w JOIN l ON l.event_id = w.event_id WHERE l.n IS NOT NULL)
-SELECT event_id, depth FROM walk""", """, l AS (SELECT event_id, lead(event_id) OVER (PARTITION BY session_key ORDER BY seq) AS n FROM event)""")
+SELECT event_id, depth FROM walk""", """, l AS (SELECT event_id, lead(event_id) OVER (PARTITION BY session_key ORDER BY seq) AS n FROM event)""", recursive=True)
 def chain_walk_links(spark, d):
     return sessions.walk_links(sessions.chain(A.event(spark, d)).select("event_id", "next_event_id"), "5-0")
 
 
-_ORACLES["chain_walk_links"] = _ORACLES["chain_walk_links"].replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query("SELECT session_key FROM session WHERE last_dreamed_at IS NULL", _SESSION)
 def undreamed_sessions(spark, d):
     return sessions.undreamed(_session(spark, d), A.event(spark, d)).select("session_key")
@@ -255,9 +289,11 @@ def late_events(spark, d):
     return sessions.late(A.event(spark, d), _session(spark, d), "minute").groupBy("session_key").agg(F.count("*").alias("n_late"))
 
 
-@query("SELECT count(*) AS n FROM session WHERE session_key = '5' OR split_part(session_key, ':', 2) = '5'", _SESSION)
+@query("SELECT session_key, client, wanted FROM session, (SELECT unnest(['5', 'codex:5', '7', 'nobody']) AS wanted) WHERE session_key = wanted OR split_part(session_key, ':', 2) = wanted", _SESSION)
 def session_resolve(spark, d):
-    return sessions.resolve(_session(spark, d), "5").agg(F.count("*").alias("n"))
+    s = _session(spark, d)
+    parts = [sessions.resolve(s, w).select("session_key", "client", F.lit(w).alias("wanted")) for w in ("5", "codex:5", "7", "nobody")]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # --- patterns ---
@@ -282,15 +318,33 @@ def dominant_project(spark, d):
     return patterns.dominant_project(a)
 
 
-@query()
+_CLUSTER = """,
+asked AS (SELECT doc_id, age_hours, trim(content) AS prompt, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v
+  FROM memory JOIN embeddings ON vec_id = doc_id WHERE content IS NOT NULL ORDER BY age_hours DESC, doc_id LIMIT 500),
+p AS (SELECT row_number() OVER (ORDER BY age_hours DESC, doc_id) AS i, * FROM asked WHERE length(prompt) >= 8),
+w AS (SELECT 0::BIGINT AS i, 0::BIGINT AS at, [{'k': 0::BIGINT, 'v': [0.0::DOUBLE]}][:0] AS seeds UNION ALL
+  SELECT x.i, coalesce(x.near, x.i), CASE WHEN x.near IS NULL THEN list_append(x.seeds, {'k': x.i, 'v': x.v}) ELSE x.seeds END
+  FROM (SELECT p.i, p.v, w.seeds, list_filter(w.seeds, lambda s: round(list_dot_product(s.v, p.v), 9) > 0.35)[1].k AS near FROM w JOIN p ON p.i = w.i + 1) x)"""
+
+
+@query("""SELECT sha1(any_value(e.prompt)) AS exemplar, count(*)::INT AS n, string_agg(p.doc_id::VARCHAR, ',' ORDER BY p.i) AS events, substr(sha1('prompt|' || any_value(e.prompt)), 1, 6) AS id
+FROM w JOIN p ON p.i = w.i JOIN p e ON e.i = w.at GROUP BY w.at HAVING count(*) >= 3""", _CLUSTER, recursive=True)
 def prompt_clusters(spark, d):
-    e = A.embedded(spark, d).select(F.col("doc_id").alias("event_id"), F.col("age_hours").alias("ts"), F.substring("content", 1, 60).alias("prompt"), "embedding")
-    return patterns.prompt_clusters(e, similar=0.35)
+    e = A.embedded(spark, d).select(F.col("doc_id").alias("event_id"), F.col("age_hours").alias("ts"), F.col("content").alias("prompt"), "embedding", F.lit("UserPromptSubmit").alias("event_name"))
+    asked = patterns.newest_prompts(e).join(e.select("event_id", "embedding"), "event_id")
+    return patterns.prompt_clusters(asked, similar=0.35).select(F.sha1("exemplar").alias("exemplar"), "n", F.array_join("events", ",").alias("events"), "id")
 
 
-@query("""SELECT 'tools/run/usage.md' AS path, count(*) AS n FROM (SELECT 1 FROM activity GROUP BY trim(regexp_replace(command, '\\s+', ' ', 'g')) HAVING count(*) >= 3 LIMIT 20)""")
+@query("""SELECT 'tools/run/usage.md' AS path, sha1(concat('---\ntitle: run usage\nkind: tool\npromoted_from_pattern: ', substr(sha1('command|' || c), 1, 6), '\n---\n\nFrequently-run command (observed ', n, 'x across sessions):\n\n```\n', c, '\n```\n')) AS content
+FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS c, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, c LIMIT 20)""")
 def pattern_drafts(spark, d):
-    return patterns.drafts(patterns.repeated_commands(A.activity(spark, d))).groupBy("path").agg(F.count("content").alias("n"))
+    return patterns.drafts(patterns.repeated_commands(A.activity(spark, d))).select("path", F.sha1("content").alias("content"))
+
+
+@query("""SELECT concat('project/hot-file-', split_part(f, '.', 1), '.md') AS path, sha1(concat('---\ntitle: Hot file — ', f, '\nkind: project\npromoted_from_pattern: ', substr(sha1('file|' || file_path), 1, 6), '\n---\n\n`', file_path, '` is touched repeatedly (', n, 'x; ', tools, '). Likely a hot path worth dedicated attention or a project-level note.\n')) AS content
+FROM (SELECT file_path, split_part(file_path, '/', -1) AS f, sum(k)::BIGINT AS n, string_agg(tool_name || '=' || k, ', ' ORDER BY tool_name) AS tools FROM (SELECT file_path, tool_name, count(*) AS k FROM activity GROUP BY ALL) GROUP BY file_path HAVING sum(k) >= 3 ORDER BY n DESC, file_path LIMIT 20)""")
+def file_pattern_drafts(spark, d):
+    return patterns.file_drafts(patterns.hot_files(A.activity(spark, d))).select("path", F.sha1("content").alias("content"))
 
 
 # --- text ---
@@ -308,12 +362,12 @@ def _sql_scrub(e: str, patterns_) -> str:
 
 @query(f"SELECT doc_id, sha1({_sql_scrub(_SECRETED, X.HIGH_CONFIDENCE + X.HEURISTIC)}) AS scrubbed FROM documents")
 def scrub_text(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.sha1(X.scrub(F.expr(_SECRETED))).alias("scrubbed"))
+    return spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha1(X.scrub(F.expr(_SECRETED))).alias("scrubbed"))
 
 
 @query(f"SELECT doc_id, {_sql_scrub(_SECRETED, X.HIGH_CONFIDENCE)} <> {_SECRETED} AS leaks FROM documents")
 def secret_leak_flag(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", X.leaks(F.expr(_SECRETED)).alias("leaks"))
+    return spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.leaks(F.expr(_SECRETED)).alias("leaks"))
 
 
 @query("SELECT event_id FROM activity WHERE NOT (cwd = '/work/3' OR starts_with(cwd, '/work/3/') OR cwd = '/work/7')")
@@ -339,7 +393,7 @@ _FM = "regexp_extract(c, '(?s)^---\\s*\n(.*?)\n---\\s*\n', 1)"
 
 
 def _note(spark, d):
-    return _memory(spark, d).withColumn("c", F.expr(_NOTE.replace("text", "content").replace("\n", "\\n")))
+    return spread(_memory(spark, d).select("doc_id", "path", "content")).withColumn("c", F.expr(_NOTE.replace("text", "content").replace("\n", "\\n")))
 
 
 @query(f"SELECT path, nullif(trim(regexp_extract({_FM}, '(?m)^title:[ \t]*(\\S.*)$', 1)), '') AS title, nullif(lower(regexp_extract({_FM}, '(?m)^kind:[ \t]*(\\S+)', 1)), '') AS kind FROM note", _NOTES)
@@ -368,9 +422,9 @@ def slug_and_pattern_id(spark, d):
     return _memory(spark, d).select("path", X.slug(F.col("path")).alias("slug"), X.pattern_id(F.lit("file"), F.col("path")).alias("id"))
 
 
-@query("SELECT event_id, len(list_filter(regexp_extract_all(lower(prompt), '[a-zA-Z][a-zA-Z0-9_-]+'), lambda x: length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")))::INT AS n_terms FROM event WHERE prompt IS NOT NULL")
-def query_term_counts(spark, d):
-    return A.event(spark, d).where("prompt is not null").select("event_id", F.size(X.query_terms(F.col("prompt"))).alias("n_terms"))
+@query("SELECT event_id, coalesce(array_to_string(list_filter(regexp_extract_all(lower(prompt), '[a-zA-Z][a-zA-Z0-9_-]+'), lambda x: length(x) >= 3 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")), ' '), '') AS terms FROM event WHERE prompt IS NOT NULL")
+def query_terms(spark, d):
+    return A.event(spark, d).where("prompt is not null").select("event_id", F.array_join(X.query_terms(F.col("prompt")), " ").alias("terms"))
 
 
 @query("SELECT event_id, CASE WHEN length(tool_response) > 200 THEN substr(tool_response, 1, 200) || '...[truncated ' || (length(tool_response) - 200) || ' chars]' ELSE tool_response END AS cut FROM event WHERE tool_response IS NOT NULL")
@@ -386,36 +440,35 @@ _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]{{4,}}'))"
 @query(f""", g AS (SELECT a.path, {_TOK.format('a.content')} AS m, {_TOK.format('b.content')} AS s FROM memory a JOIN memory b ON b.doc_id = a.doc_id + 1)
 SELECT path, round(CASE WHEN len(m) = 0 THEN 1.0 ELSE len(list_intersect(m, s))::DOUBLE / len(m) END, 6) AS grounding FROM g""")
 def grounding_scores(spark, d):
-    m = _memory(spark, d)
+    m = spread(_memory(spark, d).select("doc_id", "path", "content"))
     s = m.select((F.col("doc_id") - 1).alias("doc_id"), F.col("content").alias("source"))
-    return m.join(s, "doc_id").select("path", F.round(gates.grounding(F.col("content"), F.col("source")), 6).alias("grounding"))
+    return gates.grounding_of(m, s, "doc_id").select("path", F.round("grounding", 6).alias("grounding"))
 
 
-_NOV = f""", mine AS (SELECT path, unnest({_TOK.format('content')}) AS token FROM memory WHERE doc_id % 10 = 0),
-known AS (SELECT DISTINCT unnest({_TOK.format('content')}) AS token FROM memory WHERE doc_id % 10 <> 0),
-nov AS (SELECT m.path, CASE WHEN count(mine.token) = 0 THEN 0.0 ELSE 1 - count(known.token)::DOUBLE / count(mine.token) END AS novelty FROM (SELECT path FROM memory WHERE doc_id % 10 = 0) m LEFT JOIN mine ON mine.path = m.path LEFT JOIN known ON known.token = mine.token GROUP BY m.path)"""
+_NOV = f""", mine AS (SELECT path, unnest({_TOK.format('content')}) AS token FROM memory),
+n AS (SELECT token, count(*) AS n FROM mine GROUP BY token),
+nov AS (SELECT m.path, CASE WHEN count(mine.token) = 0 THEN 0.0 ELSE count(*) FILTER (n.n = 1)::DOUBLE / count(mine.token) END AS novelty FROM memory m LEFT JOIN mine ON mine.path = m.path LEFT JOIN n ON n.token = mine.token GROUP BY m.path)"""
 
 
 @query("SELECT path, round(novelty, 6) AS novelty FROM nov", _NOV)
 def novelty_scores(spark, d):
-    m = _memory(spark, d)
-    return gates.novelty(m.where("doc_id % 10 = 0"), m.where("doc_id % 10 <> 0")).select("path", F.round("novelty", 6).alias("novelty"))
+    return gates.novelty_among(spread(_memory(spark, d).select("path", "content"))).select("path", F.round("novelty", 6).alias("novelty"))
 
 
-@query("SELECT path, (" + " OR ".join(f"contains(lower(content), '{x.replace(chr(39), chr(39) * 2)}')" for x in X.DIRECTIVES) + ") AND doc_id % 8 < 5 AND novelty >= 0.6 AS risk FROM nov JOIN memory USING (path)", _NOV)
+@query("SELECT path, (" + " OR ".join(f"contains(lower(content), '{x.replace(chr(39), chr(39) * 2)}')" for x in X.DIRECTIVES) + ") AND doc_id % 8 < 5 AND novelty >= 0.1 AS risk FROM nov JOIN memory USING (path)", _NOV)
 def poisoning_quarantine(spark, d):
-    m = _memory(spark, d)
-    n = gates.novelty(m.where("doc_id % 10 = 0"), m.where("doc_id % 10 <> 0"))
-    return m.join(n, "path").select("path", gates.poisoning(F.col("content"), F.col("doc_id") % 8, F.col("novelty")).alias("risk"))
+    m = spread(_memory(spark, d).select("doc_id", "path", "content"))
+    n = gates.novelty_among(m)
+    return m.join(n, "path").select("path", gates.poisoning(F.col("content"), F.col("doc_id") % 8, F.col("novelty"), 0.1).alias("risk"))
 
 
-@query(f""", n AS (SELECT DISTINCT session_key, concat('general/', replace(session_key, ':', '-'), '.md') AS path, unnest({_TOK.format('prompt')}) AS token FROM event WHERE seq = 1 AND prompt IS NOT NULL),
+@query(f""", n AS (SELECT DISTINCT session_key, concat('general/', replace(session_key, ':', '-'), '-', seq, '.md') AS path, unnest({_TOK.format('prompt')}) AS token FROM event WHERE prompt IS NOT NULL),
 e AS (SELECT session_key, event_id, seq, unnest({_TOK.format("coalesce(prompt, tool_response, '')")}) AS token FROM event),
 b AS (SELECT path, event_id, seq, count(*) AS n_shared FROM n JOIN e USING (session_key, token) GROUP BY ALL HAVING count(*) >= 2)
 SELECT path, event_id, n_shared, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n_shared DESC, seq) AS rank FROM b) WHERE rank <= 3""")
 def attribute_events_topk(spark, d):
     e = A.event(spark, d).withColumn("body", F.coalesce("prompt", "tool_response", F.lit("")))
-    notes = e.where("seq = 1 and prompt is not null").select("session_key", F.concat(F.lit("general/"), F.replace("session_key", F.lit(":"), F.lit("-")), F.lit(".md")).alias("path"), F.col("prompt").alias("content"))
+    notes = e.where("prompt is not null").select("session_key", F.concat(F.lit("general/"), F.replace("session_key", F.lit(":"), F.lit("-")), F.lit("-"), F.col("seq").cast("string"), F.lit(".md")).alias("path"), F.col("prompt").alias("content"))
     return gates.attribution(notes, e)
 
 
@@ -467,21 +520,13 @@ def content_as_of(spark, d):
     return history.content_as_of(m, _revisions(spark, d), ask).select("path", "asof", F.sha1("content").alias("body"))
 
 
-@query("SELECT b AS path, 'contradicts' AS edge FROM (SELECT a.path AS a, b.path AS b FROM memory a JOIN memory b ON b.doc_id = a.doc_id + 1) WHERE a = 'tools/doc-41.md' UNION SELECT a, 'contradicts' FROM (SELECT a.path AS a, b.path AS b FROM memory a JOIN memory b ON b.doc_id = a.doc_id + 1) WHERE b = 'tools/doc-41.md' UNION SELECT 'profile/doc-40.md', 'supersedes'")
-def memory_lineage(spark, d):
-    m = _memory(spark, d)
-    n = m.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("b"))
-    pairs = m.join(n, "doc_id").select(F.col("path").alias("a"), "b")
-    links = pairs.select(F.col("a").alias("from_path"), F.col("b").alias("to_path"))
-    ev = spark.createDataFrame([], "event_id string, timestamp string")
-    got = history.lineage(spark.createDataFrame([], "path string, event_id string"), ev, links, pairs, "tools/doc-41.md")
-    return got["contradicts"].withColumn("edge", F.lit("contradicts")).unionByName(got["supersedes"].withColumn("edge", F.lit("supersedes")))
-
-
-@query("SELECT m.path, count(r.ts) AS n_entries, min(r.ts) AS first FROM memory m LEFT JOIN revision r ON r.path = m.path GROUP BY m.path", _REV)
+@query("""SELECT m.path, m.status, coalesce(string_agg(CASE WHEN r.ts IS NOT NULL THEN concat_ws('|', r.ts, r.operation, r.actor, coalesce(r.prior_status, '-'), coalesce(CASE r.operation WHEN 'approve' THEN 'active' ELSE r.prior_status END, '-')) END, ';' ORDER BY r.ts), '') AS entries
+FROM memory m LEFT JOIN (SELECT * REPLACE (CASE WHEN ts LIKE '2024-02%' THEN 'approve' ELSE operation END AS operation) FROM revision) r ON r.path = m.path GROUP BY m.path, m.status""", _REV)
 def audit_trail(spark, d):
-    t = history.trail(_memory(spark, d), _revisions(spark, d))
-    return t.select("path", F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n_entries"), F.element_at("entries", 1)["ts"].alias("first")).withColumn("n_entries", F.greatest("n_entries", F.lit(0)))
+    r = _revisions(spark, d).withColumn("operation", F.when(F.col("ts").startswith("2024-02"), "approve").otherwise(F.col("operation")))
+    t = history.trail(_memory(spark, d), r)
+    line = F.transform("entries", lambda x: F.concat_ws("|", x["ts"], x["operation"], x["actor"], F.coalesce(x["prior_status"], F.lit("-")), F.coalesce(x["result_status"], F.lit("-"))))
+    return t.select("path", "status", F.coalesce(F.array_join(line, ";"), F.lit("")).alias("entries"))
 
 
 @query("SELECT path, ts, operation, actor FROM revision ORDER BY ts DESC, path LIMIT 20", _REV)
@@ -525,7 +570,7 @@ def archive_candidates(spark, d):
 # --- mutations, ingest, backup ---
 
 
-@query("SELECT path, 'dream_update' AS operation, status AS prior_status, sha1(content) AS was FROM memory WHERE doc_id % 2 = 0 AND doc_id % 4 = 0")
+@query("SELECT path, 'dream_update' AS operation, coalesce(status, 'active') AS prior_status, sha1(content) AS was FROM memory WHERE doc_id % 2 = 0 AND doc_id % 4 = 0")
 def upsert_with_revision(spark, d):
     from ..store import revisions_on_change
 
@@ -573,19 +618,45 @@ def backup_validation_errors(spark, d):
     return backup.error_columns(m).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query("SELECT round(avg(CASE WHEN doc_id % 6 > 0 THEN 1.0 ELSE 0 END), 6) AS hit, round(avg(CASE WHEN doc_id % 6 > 0 THEN 1.0 / (doc_id % 6) ELSE 0 END), 6) AS mrr FROM memory")
+_GOLDEN = f""",
+tok AS (SELECT path AS k, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w, importance FROM memory WHERE {_LIVE}),
+ask AS (SELECT DISTINCT k AS query, unnest(w[2:5]) AS token FROM tok WHERE importance = 10),
+num AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM tok),
+ex AS (SELECT k, len(w) AS dl, unnest(w) AS token FROM tok),
+tf AS (SELECT k, token, dl, count(*) AS tf FROM ex WHERE token IN (SELECT token FROM ask) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+sc AS (SELECT query, k, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM ask JOIN tf USING (token) JOIN df USING (token), num GROUP BY query, k),
+rk AS (SELECT query, k, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, k) AS r FROM sc),
+res AS (SELECT q.k, coalesce(max(rk.r) FILTER (rk.k = q.k AND rk.r <= 5), 0) AS r FROM (SELECT k FROM tok WHERE importance = 10) q LEFT JOIN rk ON rk.query = q.k GROUP BY q.k)"""
+
+
+@query("SELECT round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 6) AS hit, round(avg(CASE WHEN r > 0 THEN 1.0 / r ELSE 0 END), 6) AS mrr FROM res", _GOLDEN)
 def retrieval_eval_hit_mrr(spark, d):
-    r = recall.hit_and_mrr(_memory(spark, d).select((F.col("doc_id") % 6).alias("rank")))
+    """Every live note of the highest importance is asked for by a few words of its own."""
+    m = _memory(spark, d).where(recall.live())
+    index, keys = _index(spark, d), m.select(F.col("path").alias("key"))
+    golden = m.where("importance = 10")
+    words = golden.select(F.col("path").alias("query"), F.explode(F.slice(X.index_tokens(F.col("content")), 2, 4)).alias("token"))
+    numbers = index.texts().join(keys, "key", "left_semi").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    hits = recall.search_many(index.postings().join(keys, "key", "left_semi"), numbers, words)
+    own = golden.select("path").join(hits, (F.col("path") == F.col("query")) & (F.col("path") == F.col("key")), "left")
+    r = recall.hit_and_mrr(own.select(F.coalesce("rank", F.lit(0)).alias("rank")))
     return r.select(F.round("hit", 6).alias("hit"), F.round("mrr", 6).alias("mrr"))
 
 
-@query("""SELECT level, count(*) AS n FROM (SELECT 'ok' AS level UNION ALL SELECT CASE WHEN count(*) FILTER (vec_id IS NULL) > 0 THEN 'warn' ELSE 'ok' END FROM memory LEFT JOIN embeddings ON vec_id = doc_id
-UNION ALL SELECT CASE WHEN count(*) FILTER (last_dreamed_at IS NULL) > 0 THEN 'warn' ELSE 'ok' END FROM session UNION ALL SELECT 'ok' UNION ALL SELECT 'ok' UNION ALL SELECT 'warn') GROUP BY level""", _SESSION)
+@query("""SELECT 'freshness' AS name, CASE WHEN age > 7 THEN 'warn' ELSE 'ok' END AS level, age::VARCHAR AS detail FROM (SELECT min(age_hours) // 24 AS age FROM memory)
+UNION ALL SELECT 'embeddings', CASE WHEN n > 0 THEN 'warn' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) FILTER (vec_id IS NULL) AS n FROM memory LEFT JOIN embeddings ON vec_id = doc_id)
+UNION ALL SELECT 'undreamed', CASE WHEN n > 0 THEN 'warn' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) FILTER (last_dreamed_at IS NULL) AS n FROM session)
+UNION ALL SELECT 'rehearsal', CASE WHEN NOT ok THEN 'fail' WHEN age > 30 THEN 'warn' ELSE 'ok' END, day FROM (SELECT arg_max(ok, ts) AS ok, strftime(max(ts), '%Y-%m-%d') AS day, date_diff('day', max(ts), TIMESTAMP '2024-07-01') AS age FROM run)
+UNION ALL SELECT 'dead_letters', CASE WHEN n > 0 THEN 'warn' ELSE 'ok' END, n::VARCHAR FROM (SELECT count(*) FILTER (event_id % 50 <= 1) AS n FROM activity)
+UNION ALL SELECT 'backlog', 'ok', count(*)::VARCHAR FROM activity""", _SESSION + ", run AS (SELECT date_trunc('day', ts) AS ts, bool_and(value >= 0) AS ok FROM activity GROUP BY 1)")
 def health_rows(spark, d):
+    """Rehearsals are the days of activity, good ones without a negative value."""
+    a = A.activity(spark, d)
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    runs = spark.createDataFrame([("2024-06-20T00:00:00Z", True), ("2024-05-01T00:00:00Z", False)], "ts string, ok boolean")
-    rows = stats.health(_memory(spark, d).join(e, "doc_id", "left"), sessions.undreamed(_session(spark, d), A.event(spark, d)), runs, "2024-07-01 00:00:00", dlq=2)
-    return stats.levels(rows)
+    runs = a.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("ts")).agg(F.bool_and(F.col("value") >= 0).alias("ok"))
+    waiting = spool.waiting(A.table(spark, d, "events").select(F.expr(_LINES).alias("value"))).first()
+    return stats.health(_memory(spark, d).join(e, "doc_id", "left"), sessions.undreamed(_session(spark, d), A.event(spark, d)), runs, "2024-07-01 00:00:00", dlq=waiting["dead"], backlog=waiting["backlog"])
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, tool_name, count(*) AS n FROM activity GROUP BY ALL")
@@ -604,13 +675,6 @@ def memory_sessions(spark, d):
     return met.groupBy("path").agg(F.count_distinct("session_key").alias("n_sessions"), F.array_join(F.sort_array(F.collect_set("session_key")), ",").alias("sessions"))
 
 
-@query("SELECT DISTINCT 'tools/merged.md' AS path, session_key FROM memory JOIN event ON conv_id = doc_id // 2 WHERE path IN ('tools/doc-41.md', 'profile/doc-40.md')")
-def merged_provenance(spark, d):
-    e = A.event(spark, d).select("conv_id", "session_key").distinct()
-    bridge = _memory(spark, d).join(e, F.floor(F.col("doc_id") / 2) == F.col("conv_id")).select("path", "session_key")
-    return consolidate.moved_provenance(bridge, ["tools/doc-41.md", "profile/doc-40.md"], "tools/merged.md")
-
-
 @query("SELECT path, CASE WHEN path LIKE 'profile/%' OR path LIKE 'tools/%' THEN NULL WHEN doc_id % 3 = 0 THEN 'new' ELSE project END AS project, access_count FROM memory")
 def project_tag_rule(spark, d):
     from ..store import upserted
@@ -667,8 +731,9 @@ def yes_answers(spark, d):
     return A.event(spark, d).where("prompt is not null").groupBy(X.is_yes(F.col("prompt")).alias("yes")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT session_key, seq, event_name IN ('UserPromptSubmit', 'PostToolUse') AS kept FROM event WHERE session_key IN (SELECT session_key FROM event WHERE conv_id % 3 = 0)")
+@query("SELECT event_id, conv_id % 3 = 0 AS known FROM event")
 def ingested_check(spark, d):
+    """Of every event whether it was ingested before."""
     e = A.event(spark, d)
-    seen = e.where("conv_id % 3 = 0").select("session_key").distinct()
-    return e.join(seen, "session_key", "left_semi").select("session_key", "seq", F.col("event_name").isin("UserPromptSubmit", "PostToolUse").alias("kept"))
+    known = e.where("conv_id % 3 = 0").select("event_id", F.lit(True).alias("known"))
+    return e.join(known, "event_id", "left").select("event_id", F.coalesce("known", F.lit(False)).alias("known"))

@@ -1,8 +1,8 @@
-"""The engine over a store of snapshot tables: recall, review, distillation, lifecycle.
+"""The engine over a store of tables: recall, review, distillation, lifecycle.
 
 Models are injected: ``embed`` maps a text column to an embedding column, ``judge`` two text columns
-to a Boolean one, ``distill`` a transcript to candidate notes. None of them is called within a plan
-other than as a column expression or a pandas UDF of the caller's.
+to a Boolean one, and a distiller (see ``providers``) a session's transcript to candidate notes. All
+of them run within plans, as column expressions, pandas UDFs or over batches.
 """
 
 from __future__ import annotations
@@ -17,15 +17,21 @@ from pyspark.sql import functions as F
 
 from .functions import scoring
 from .functions import text as X
-from .operators import consolidate, gates, history, patterns
+from .operators import consolidate, gates, history, lifecycle, patterns, sessions
 from .operators import recall as retrieval
-from .schema import PATH, RESULT_STATUS, UNIQUE, backfill_session_keys, schemas, violations
+from .operators.index import TextIndex
+from .providers import distilled
+from .schema import UNIQUE, backfill_session_keys, schemas, violations
+from .shared import settle
 from .sources.spool import from_payload
 from .store import Store, revisions_on_change, upserted
 
 BEGIN, END = "<!-- BEGIN managed memory -->", "<!-- END managed memory -->"
-#: Files that a rendered block goes to, by client.
-TARGETS = {"agents": "AGENTS.md", "claude": "CLAUDE.md", "gemini": "GEMINI.md", "cursor": ".cursor/rules/memory.mdc"}
+#: Files that a rendered block goes to, by client, and what a new one begins with.
+TARGETS = {
+    "agents": ("AGENTS.md", ""), "claude": ("CLAUDE.md", ""), "gemini": ("GEMINI.md", ""),
+    "cursor": (".cursor/rules/memory.mdc", "---\ndescription: Notes distilled from earlier sessions\nalwaysApply: true\n---\n\n"),
+}
 
 
 def utc_now() -> str:
@@ -33,8 +39,23 @@ def utc_now() -> str:
 
 
 class Engine:
-    def __init__(self, store: Store, embed: Callable[[Column], Column] | None = None, now: str | None = None):
-        self.store, self.embed, self._now = store, embed, now
+    def __init__(
+        self, store: Store, embed: Callable[[Column], Column] | None = None, now: str | None = None, model: str = "hashed", dim: int = 64,
+        optout: tuple[str, ...] = (), sensitive: tuple[str, ...] = (), transcripts: bool = False,
+    ):
+        """``optout`` and ``sensitive`` are folders whose events are dropped, or marked; ``transcripts``
+        lets capture read the files that payloads name."""
+        self.store, self.embed, self._now, self.model, self.dim = store, embed, now, model, dim
+        self.optout, self.sensitive, self.transcripts = list(optout), list(sensitive), transcripts
+        self._index, self._indexed = TextIndex(store.spark, f"{store.root}/_index/memory"), None
+
+    def index(self) -> TextIndex:
+        """The notes' inverted index, up to date with the last commit that changed them."""
+        parts = self.store.parts("memory")
+        if parts != self._indexed:
+            self._index.refresh(self.store.read("memory"), "path", "content")
+            self._indexed = parts
+        return self._index
 
     @property
     def now(self) -> str:
@@ -51,7 +72,7 @@ class Engine:
             return []
         m, at = self._memory(), F.lit(self.now).cast("timestamp")
         terms = X.terms_of(prompt) or re.findall("[a-z0-9_]+", prompt.lower())
-        fulltext = retrieval.fulltext_search(m, terms, k, least)
+        fulltext = retrieval.fulltext_search(m, terms, k, least, self.index())
         vector = self.store.spark.createDataFrame([], "path string, score double")
         if self.embed:
             query = self.store.spark.createDataFrame([(prompt,)], "t string").select(self.embed(F.col("t"))).first()[0]
@@ -59,13 +80,15 @@ class Engine:
         hits = retrieval.hybrid_merge(fulltext, vector, m, project, at, k)
         rows = [r.asDict() for r in hits.join(m.select("path", "content"), "path").orderBy(F.desc("score"), "path").collect()]
         if rows:
-            self.store.update("memory", F.col("path").isin(*[r["path"] for r in rows]), access_count=F.coalesce("access_count", F.lit(0)) + 1, last_accessed_at=F.lit(self.now))
+            keys = self.store.spark.createDataFrame([(r["path"],) for r in rows], "path string")
+            self.store.commit(write={"memory": lifecycle.bumped(self.store.read("memory"), keys, self.now)}, unique=False)
         return [r | {"score": round(r["score"], 6)} for r in rows]
 
     def project_context(self, project: str | None = None, budget: int = retrieval.CHAR_BUDGET) -> tuple[str, list[str]]:
         at = F.lit(self.now).cast("timestamp")
         rows = retrieval.session_start(self._memory(), project).withColumn("density", scoring.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), at))
-        return retrieval.render_session_start([r.asDict() for r in rows.select("section", "path", "content", "density").collect()], project, budget)
+        got = retrieval.packed_session_start(rows, project, budget).first()
+        return got["text"], got["paths"]
 
     def rendered(self, existing: str, project: str | None = None) -> str:
         """A file's text with its managed block brought up to date."""
@@ -86,51 +109,77 @@ class Engine:
 
     def evaluate(self, golden: list[tuple[str, str]], k: int = 5) -> dict[str, float]:
         """hit@k and mean reciprocal rank of full-text search over queries and the path that each should find."""
-        m, ranks = self._memory(), []
-        for text, path in golden:
-            found = [r["path"] for r in retrieval.fulltext_search(m, X.terms_of(text), k, 0.0).orderBy(F.desc("score"), "path").select("path").collect()]
-            ranks.append((found.index(path) + 1 if path in found else 0,))
-        return retrieval.hit_and_mrr(self.store.spark.createDataFrame(ranks, "rank int")).first().asDict()
+        spark, live = self.store.spark, self._memory().where(retrieval.live()).select(F.col("path").alias("key"))
+        asked = spark.createDataFrame(list(enumerate(golden)), "query long, g struct<text: string, path: string>").select("query", "g.*")
+        index = self.index()
+        texts = index.texts().join(live, "key", "left_semi")
+        numbers = texts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        words = asked.select("query", F.explode(X.query_terms(F.col("text"))).alias("token"))
+        hits = retrieval.search_many(index.postings().join(live, "key", "left_semi"), numbers, words, k)
+        ranks = asked.join(hits, (asked["query"] == hits["query"]) & (F.col("path") == F.col("key")), "left")
+        return retrieval.hit_and_mrr(ranks.select(F.coalesce("rank", F.lit(0)).alias("rank"))).first().asDict()
 
     # --- capture and upkeep ---
 
     def record(self, payload: dict, client: str) -> dict:
-        """Appends a hook's event to its session's chain, which it begins if need be; a known event is skipped."""
+        """Appends a hook's event to its session's chain, which it begins if need be; a known event is
+        skipped, and so is one from a folder that is opted out."""
         store = self.store
         filled = {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in payload.items()}
         filled.setdefault("timestamp", self.now)
         if not filled.get("session_id") or not filled.get("hook_event_name"):
             raise ValueError("session_id and hook_event_name are needed")
-        event = from_payload(store.spark.createDataFrame([(json.dumps(filled),)], "value string"), client)
+        event = from_payload(store.spark.createDataFrame([(json.dumps(filled),)], "value string"), client, self.sensitive, self.transcripts)
+        event = gates.without_optouts(event, self.optout)
         if "event_id" in filled:
             event = event.withColumn("event_id", F.lit(filled["event_id"]))
-        event_id, key = event.select("event_id", "session_key").first()
-        old = store.read("event")
-        if old.where(F.col("event_id") == event_id).limit(1).count():
+        event = settle(event)
+        row = event.select("event_id", "session_key").first()
+        if row is None:
+            return {"ok": True, "event_id": None, "skipped": True}
+        event_id, key = row
+        old = store.read("event").where(F.col("session_key") == key)
+        if store.read("event").where(F.col("event_id") == event_id).limit(1).count():
             return {"ok": True, "event_id": event_id, "skipped": True}
-        last = old.where(F.col("session_key") == key).agg(F.max("seq")).first()[0]
-        store.append("event", event.withColumn("seq", F.lit(0 if last is None else last + 1)))
+        rows = {"event": lifecycle.placed(event, old)}
         if not store.read("session").where(F.col("session_key") == key).limit(1).count():
             new = [(key, filled["session_id"], client, filled["timestamp"])]
-            store.append("session", store.spark.createDataFrame(new, "session_key string, session_id string, client string, created_at string"))
+            rows["session"] = store.spark.createDataFrame(new, "session_key string, session_id string, client string, created_at string")
+        store.commit(append=rows, unique=False)
         return {"ok": True, "event_id": event_id, "skipped": False}
 
-    def patterns(self) -> DataFrame:
-        """Repeated commands and hot files, with the notes they would become."""
+    def patterns(self, since: str | None = None) -> DataFrame:
+        """Repeated commands, hot files and, with an embedding, recurring prompts, with the notes they would become."""
         e = self.store.read("event")
-        return patterns.detected(e.select(X.command_of(F.col("tool_input")).alias("command"), X.file_of(F.col("tool_input")).alias("file_path"), "tool_name", "cwd"))
+        if since:
+            cutoff = F.date_format(F.lit(self.now).cast("timestamp") - patterns.since(since), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+            e = e.where(F.col("timestamp") >= cutoff)
+        calls = e.select(X.command_of(F.col("tool_input")).alias("command"), X.file_of(F.col("tool_input")).alias("file_path"), "tool_name", "cwd")
+        prompts = None
+        if self.embed:
+            asked = patterns.newest_prompts(e.select("event_id", F.col("timestamp").alias("ts"), "event_name", "prompt"))
+            prompts = asked.withColumn("embedding", self.embed(F.col("prompt")))
+        return patterns.detected(calls, prompts=prompts)
 
     def promote(self, pattern: str, actor: str = "user") -> str | None:
         """A pattern's note into the store; the path, or None where no pattern has the id."""
-        found = self.patterns().where(F.col("id") == pattern).select("path", "content", F.lit("active").alias("status"), F.lit(None).cast("int").alias("importance"), F.lit(None).cast("string").alias("project"))
+        found = self.patterns().where(F.col("id") == pattern).select("path", "content", F.lit("active").alias("status"), F.lit(None).cast("string").alias("project"), F.col("id").alias("promoted_from_pattern"))
         row = found.first()
         if row is None:
             return None
         old, new = self.store.read("memory"), self.store.spark.createDataFrame([row], found.schema)
-        self.store.append("memory_revision", revisions_on_change(old, new, actor, self.now))
-        self.store.merge("memory", upserted(old, new, self.now).withColumns({"created_by": F.lit(actor), "promoted_from_pattern": F.lit(pattern)}), "path")
+        self._upsert(old, new, actor, actor)
         return row["path"]
 
+    def _upsert(self, old: DataFrame, new: DataFrame, actor: str, created_by: str, more: dict[str, DataFrame] | None = None, write: dict[str, DataFrame] | None = None) -> None:
+        """Candidates with their vectors, revisions and further rows, in one commit."""
+        if self.embed:
+            text = X.embedding_text(F.col("path"), F.col("content"))
+            new = new.withColumns({"embedding": self.embed(text), "embedding_model": F.lit(self.model), "embedding_dim": F.lit(self.dim)})
+        new = settle(new)
+        notes = self.store.merged("memory", upserted(old, new, self.now, created_by), "path")
+        self.store.commit(append={"memory_revision": revisions_on_change(old, new, actor, self.now)} | (more or {}), write={"memory": notes} | (write or {}), unique=False)
+
     def migrate(self) -> dict[str, int]:
         """Gives sessions their keys and every table its present columns; how many keys a table repeats or lacks."""
         self.store.write("session", backfill_session_keys(self.store.read("session")))
@@ -141,85 +190,105 @@ class Engine:
 
     # --- mutations, each with its audit entry ---
 
-    def _audit(self, rows: DataFrame, operation: str, actor: str) -> None:
-        entry = history.audit_entry(F.col("path"), operation, actor, F.col("status"), F.col("content"), F.lit(self.now))
-        self.store.append("memory_revision", rows.select(entry.alias("e")).select("e.*"))
+    def _keys(self, *paths: str) -> DataFrame:
+        return self.store.spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def _audited(self, keys: DataFrame, operation: str, actor: str) -> DataFrame:
+        return lifecycle.audited(self.store.read("memory"), keys, operation, actor, self.now)
 
     def propose(self, path: str, content: str, created_by: str = "mcp") -> dict:
-        """A pending note; refused where an active one has the path, or the path is outside the schema."""
-        if not re.match(PATH.replace(r"\z", r"\Z"), path):
-            return {"ok": False, "error": "bad path"}
-        if self.store.read("memory").where((F.col("path") == path) & (F.coalesce("status", F.lit("active")) == "active")).limit(1).count():
-            return {"ok": False, "error": "active note exists"}
-        row = [(path, content, "pending_review", created_by, self.now, self.now)]
-        self.store.merge("memory", self.store.spark.createDataFrame(row, "path string, content string, status string, created_by string, updated_at string, ingested_at string"), "path")
+        """A pending note; refused where an active one has the path, the path is outside the schema, or
+        there is no body."""
+        asked = self.store.spark.createDataFrame([(path, content)], "path string, content string")
+        memory = self.store.read("memory")
+        error = lifecycle.proposals(memory, asked).first()["error"]
+        if error:
+            return {"ok": False, "error": error}
+        self.store.commit(write={"memory": lifecycle.proposed(memory, asked, created_by, self.now)}, unique=False)
         return {"ok": True, "status": "pending_review"}
 
     def transition(self, operation: str, path: str, actor: str = "user") -> int:
         """approve, reject, quarantine and the like; how many notes changed."""
-        rows = self.store.read("memory").where(F.col("path") == path)
-        n = rows.count()
+        memory, keys = self.store.read("memory"), self._keys(path)
+        n = memory.where(F.col("path") == path).count()
         if n:
-            self._audit(rows, operation, actor)
-            self.store.update("memory", F.col("path") == path, status=F.lit(RESULT_STATUS[operation]), reviewed_at=F.lit(self.now))
+            self.store.commit(append={"memory_revision": self._audited(keys, operation, actor)}, write={"memory": lifecycle.transitioned(memory, keys, operation, self.now)}, unique=False)
         return n
 
     def supersede(self, winner: str, loser: str, actor: str = "user") -> None:
-        self.transition("supersede", loser, actor)
-        self.transition("approve", winner, actor)
-        self.store.append("memory_supersedes", self.store.spark.createDataFrame([(loser, winner)], "from_path string, to_path string"))
-        pair = ((F.col("a") == winner) & (F.col("b") == loser)) | ((F.col("a") == loser) & (F.col("b") == winner))
-        self.store.delete("memory_contradicts", pair)
+        self._supersede(self.store.spark.createDataFrame([(winner, loser)], "winner string, loser string"), actor)
+
+    def _supersede(self, pairs: DataFrame, actor: str) -> None:
+        memory = self.store.read("memory")
+        audit = self._audited(pairs.select(F.col("loser").alias("path")), "supersede", actor).unionByName(self._audited(pairs.select(F.col("winner").alias("path")), "approve", actor))
+        links = pairs.select(F.col("loser").alias("from_path"), F.col("winner").alias("to_path"))
+        left = lifecycle.without_pairs(self.store.read("memory_contradicts"), pairs)
+        self.store.commit(append={"memory_revision": audit, "memory_supersedes": links}, write={"memory": lifecycle.superseded(memory, pairs, self.now), "memory_contradicts": left}, unique=False)
 
     def flag(self, a: str, b: str, new_only: bool = False) -> None:
         """Marks a contradiction; both notes wait for review, or with ``new_only`` just b."""
-        for path in (b,) if new_only else (a, b):
-            self.transition("flag_contradiction", path)
-        self.store.append("memory_contradicts", self.store.spark.createDataFrame([(a, b)], "a string, b string"))
+        self._flag(self.store.spark.createDataFrame([(a, b)], "a string, b string"), new_only)
+
+    def _flag(self, pairs: DataFrame, new_only: bool) -> None:
+        keys = pairs.select(F.col("b").alias("path"))
+        keys = keys if new_only else keys.unionByName(pairs.select(F.col("a").alias("path")))
+        notes = lifecycle.flagged(self.store.read("memory"), pairs, self.now, new_only)
+        self.store.commit(append={"memory_revision": self._audited(keys, "flag_contradiction", "user"), "memory_contradicts": pairs}, write={"memory": notes}, unique=False)
 
     def auto_resolve(self) -> int:
-        """Pair after pair in order of a: earlier outcomes count for later pairs."""
-        pairs = history.canonical_pairs(self.store.read("memory_contradicts"))
-        rows = history.winners(pairs, self.store.read("memory")).orderBy("a", "b").collect()
-        gone: set = set()
-        for r in rows:
-            if r["winner"] not in gone and r["loser"] not in gone:
-                self.supersede(r["winner"], r["loser"], "auto")
-                gone.add(r["loser"])
-        return len(gone)
+        """Pair after pair in order of a: earlier outcomes count for later pairs. One commit."""
+        pairs = history.winners(self.store.read("memory_contradicts"), self.store.read("memory"))
+        done = lifecycle.in_order(pairs, settle).select("winner", "loser")
+        n = done.count()
+        if n:
+            self._supersede(done, "auto")
+        return n
+
+    def check_contradictions(self, judge: Callable[[Column, Column], Column], paths: list[str] | None = None, k: int = 5, threshold: float = 0.85) -> int:
+        """Notes (new ones, or all) against the active notes most like them: where ``judge`` affirms a
+        contradiction, the new note waits for review and the established one stays active."""
+        m = self.store.read("memory").where(retrieval.live() & F.col("embedding").isNotNull())
+        new = m if paths is None else m.join(self._keys(*paths), "path", "left_semi")
+        near = consolidate.nearest(new.select("path", "embedding"), m.select("path", "embedding"), k, threshold)
+        pairs = near.select(F.col("path").alias("b"), F.col("other").alias("a"))
+        if paths is None:
+            pairs = pairs.where("a < b")
+        pairs = settle(history.contradictions(m, pairs, judge))
+        n = pairs.count()
+        if n:
+            self._flag(pairs, True)
+        return n
 
     def edit(self, path: str, content: str, actor: str = "user") -> int:
-        rows = self.store.read("memory").where((F.col("path") == path) & (F.col("content") != content))
-        n = rows.count()
+        memory = self.store.read("memory")
+        edits = self.store.spark.createDataFrame([(path, content)], "path string, content string")
+        n = memory.where((F.col("path") == path) & (F.col("content") != content)).count()
         if n:
-            self._audit(rows, "edit", actor)
-            self.store.update("memory", F.col("path") == path, content=F.lit(content), updated_at=F.lit(self.now))
+            self.store.commit(append={"memory_revision": self._audited(edits, "edit", actor)}, write={"memory": lifecycle.edited(memory, edits, self.now)}, unique=False)
         return n
 
     def delete(self, path: str) -> None:
-        self.store.delete("memory", F.col("path") == path)
+        self.store.commit(write={"memory": lifecycle.deleted(self.store.read("memory"), self._keys(path))}, unique=False)
 
     def archive(self, days: int = consolidate.STALE_DAYS, dry_run: bool = False) -> int:
         cutoff = F.date_format(F.lit(self.now).cast("timestamp") - F.make_dt_interval(F.lit(days)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        old = consolidate.stale(self.store.read("memory"), cutoff).select("path")
-        paths = [r.path for r in old.collect()]  # a review list, which a person reads
-        if paths and not dry_run:
-            self.set_archived(paths, True)
-        return len(paths)
+        old = settle(consolidate.stale(self.store.read("memory"), cutoff).select("path"))
+        n = old.count()
+        if n and not dry_run:
+            self.store.commit(write={"memory": lifecycle.archived(self.store.read("memory"), old, True, self.now)}, unique=False)
+        return n
 
     def set_archived(self, paths: list[str], on: bool) -> None:
-        stamp = {"archived_at" if on else "unarchived_at": F.lit(self.now)}
-        self.store.update("memory", F.col("path").isin(*paths), archived=F.lit(on), **stamp)
+        self.store.commit(write={"memory": lifecycle.archived(self.store.read("memory"), self._keys(*paths), on, self.now)}, unique=False)
 
     def backfill_embeddings(self, model: str, dim: int, force: bool = False) -> int:
         """Embeds notes that lack one, or whose model or dimension differs (reindex), or all."""
         if self.embed is None:
             raise ValueError("no embedding function")
         m = self.store.read("memory")
-        todo = F.lit(force) | F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(model) | ~F.col("embedding_dim").eqNullSafe(dim)
-        n = m.where(todo).count()
+        n = m.where(lifecycle.needs_embedding(model, dim, force)).count()
         if n:
-            self.store.update("memory", todo, embedding=self.embed(X.embedding_text(F.col("path"), F.col("content"))), embedding_model=F.lit(model), embedding_dim=F.lit(dim))
+            self.store.commit(write={"memory": lifecycle.embedded(m, self.embed, model, dim, force)}, unique=False)
         return n
 
     # --- distillation ---
@@ -229,33 +298,54 @@ class Engine:
 
         Invalid ones are dropped; badly grounded ones that aren't active yet, and directives from a
         thin source that nothing known supports, wait for review; changed bodies leave a revision.
-        The bookmark moves on in any case.
+        The bookmark moves on in any case. All of it is one commit.
         """
         store, ts = self.store, self.now
         events = store.read("event").where(F.col("session_key") == session_key)
-        n_events = events.count()
-        body = F.concat_ws(" ", "prompt", "tool_input", "tool_response")
-        source = events.agg(F.array_join(F.collect_list(body), " ").alias("source"))  # one session's text
         old = store.read("memory")
-        good = candidates.where(F.size(X.validation_errors(F.col("path"), F.col("content"))) == 0).dropDuplicates(["path"])
-        active = old.where(F.coalesce("status", F.lit("active")) == "active").select("path", F.lit(True).alias("known"))
-        novel = gates.novelty(good, old.join(good.select("path"), "path", "left_anti"))
-        gated = good.join(F.broadcast(source), F.lit(True)).join(active, "path", "left").join(novel, "path")
-        thin = (gates.grounding(F.col("content"), F.col("source")) < gates.GROUNDED) & F.col("known").isNull()
-        poison = gates.poisoning(F.col("content"), F.lit(n_events), F.col("novelty"))
-        rows = gated.select("path", "content", scoring.coerced_importance(F.col("importance").cast("string")).alias("importance"), F.lit(project).alias("project"), F.when(thin | poison, "pending_review").otherwise("active").alias("status"))
+        rows = lifecycle.admitted(old, candidates, events)
+        rows = settle(rows.select("path", "content", scoring.coerced_importance(F.col("importance").cast("string")).alias("importance"), F.lit(project).alias("project"), "status"))
         n = rows.count()
-        if n:
-            store.append("memory_revision", revisions_on_change(old, rows, f"dream_{provider}", ts))
-            store.merge("memory", upserted(old, rows, ts).withColumn("created_by", F.lit(f"dream_{provider}")).withColumn("valid_from", F.lit(ts)), "path")
-            store.append("memory_session", rows.select("path", F.lit(session_key).alias("session_key")))
-            links = gates.attribution(rows.withColumn("session_key", F.lit(session_key)), events.withColumn("body", body))
-            store.append("memory_event", links.select("path", "event_id"))
-        run = [(f"{session_key}@{ts}", ts, provider, model)]
-        store.append("dream_run", store.spark.createDataFrame(run, "run_id string, ts string, provider string, model string"))
-        store.update("session", F.col("session_key") == session_key, last_dreamed_at=F.lit(watermark))
+        sessions_ = store.read("session")
+        marks = store.spark.createDataFrame([(session_key, watermark)], "session_key string, watermark string")
+        run = store.spark.createDataFrame([(f"{session_key}@{ts}", ts, provider, model)], "run_id string, ts string, provider string, model string")
+        moved = {"session": lifecycle.marked(sessions_, marks)}
+        if not n:
+            store.commit(append={"dream_run": run}, write=moved, unique=False)
+            return 0
+        body = F.concat_ws(" ", "prompt", "tool_input", "tool_response")
+        # links have both ends: only sessions and events that are there are linked to
+        told = rows.withColumn("session_key", F.lit(session_key))
+        bridge = told.select("path", "session_key").join(sessions_.select("session_key"), "session_key", "left_semi").select("path", "session_key")
+        links = gates.attribution(told, events.withColumn("body", body)).select("path", "event_id")
+        new_bridge = bridge.join(store.read("memory_session"), ["path", "session_key"], "left_anti")
+        new_links = links.join(store.read("memory_event"), ["path", "event_id"], "left_anti")
+        by = f"dream_{provider}"
+        self._upsert(old, rows, by, by, {"memory_session": new_bridge, "memory_event": new_links, "dream_run": run}, moved)
         return n
 
+    def distill(self, provider: Callable[[str, str], list[dict]], name: str, model: str, budget: int = 16_000, allowed: bool = False) -> int:
+        """Transcripts of all sessions with something new to the distiller, and what it gives into the
+        store; the number of notes written. A sensitive session isn't sent to a remote provider unless ``allowed``."""
+        event, session = self.store.read("event"), self.store.read("session")
+        fresh = sessions.after_bookmark(event, session, "timestamp")
+        blocked = event.groupBy("session_key").agg(F.bool_or(F.coalesce(F.col("sensitivity") == "high", F.lit(False))).alias("_s")).where(gates.egress_blocked(F.lit(name), F.col("_s"), F.lit(allowed)))
+        fresh = fresh.join(blocked.select("session_key"), "session_key", "left_anti")
+        asked = sessions.transcript_texts(fresh.withColumn("rendered", X.rendered_event()), budget)
+        latest = event.groupBy("session_key").agg(F.max_by("timestamp", "seq").alias("watermark"))
+        existing = self.existing()
+        got = settle(distilled(asked.join(latest, "session_key"), provider, existing))
+        written = 0
+        for r in got.select("session_key", "watermark").distinct().toLocalIterator():
+            notes = got.where((F.col("session_key") == r["session_key"]) & F.col("path").isNotNull()).select("path", "content", "importance")
+            written += self.write_candidates(r["session_key"], notes, r["watermark"], name, model)
+        return written
+
+    def existing(self, project: str | None = None, most: int = 12_000) -> str:
+        """What a distiller is told of the notes that exist: whole notes where they fit, else paths."""
+        kept = retrieval.within_budget(retrieval.scoped_existing(self._memory(), project), most)
+        return retrieval.existing_text([r.asDict() for r in kept.select("path", "content").collect()], most)
+
     def consolidate(self, merge: Callable[[str, str], tuple[str, str]], threshold: float = consolidate.THRESHOLD, rounds: int = 10) -> int:
         """Merges the most alike pair of active notes, round after round; sources are superseded, never lost."""
         tried: set = set()
@@ -270,15 +360,11 @@ class Engine:
             bodies = {r.path: r.content for r in m.where(F.col("path").isin(a, b)).select("path", "content").collect()}
             path, content = merge(bodies[a], bodies[b])
             sources = [p for p in (a, b) if p != path]
-            if path in (a, b):
-                self.edit(path, content, "consolidate")
-            else:
-                new = self.store.spark.createDataFrame([(path, content, "active", "consolidate", self.now, self.now, [a, b])], "path string, content string, status string, created_by string, updated_at string, ingested_at string, consolidated_from array<string>")
-                self.store.merge("memory", new, "path")
-            self.store.append("memory_session", consolidate.moved_provenance(self.store.read("memory_session"), sources, path))
-            for p in sources:
-                self.transition("supersede", p, "consolidate")
-                self.store.append("memory_supersedes", self.store.spark.createDataFrame([(p, path)], "from_path string, to_path string"))
+            pair = self.store.spark.createDataFrame([(a, b, path)], "a string, b string, path string")
+            tables = lifecycle.merged_pairs(self.store.read("memory"), pair, lambda x, y, c=content: F.lit(c), self.now)
+            moved = consolidate.moved_provenance(self.store.read("memory_session"), sources, path).join(self.store.read("memory_session"), ["path", "session_key"], "left_anti")
+            more = {"memory_session": moved, "memory_supersedes": tables["memory_supersedes"], "memory_revision": tables["memory_revision"]}
+            self.store.commit(append=more, write={"memory": tables["memory"]}, unique=False)
             done += 1
         return done
 

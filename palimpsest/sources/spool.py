@@ -38,26 +38,48 @@ def events(good: DataFrame) -> DataFrame:
     return good.select(F.concat_ws(":", "rec.client", "rec.session_id").alias("session_key"), F.col("rec.client").alias("client"), F.col("rec.session_id").alias("session_id"), *[p[n].alias(n) for n in names])
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """Lines (file, line, value) of whole files (file, value); line counts from 0 within its file."""
+    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of the spool with file and place, in order of both."""
-    lines = spark.read.text(os.path.join(folder, "events-*.jsonl")).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
-    return parsed(lines).orderBy("file", "line")
+    """All lines of the spool with file and place, in order of both. A day's file is one record."""
+    files = spark.read.text(os.path.join(folder, "events-*.jsonl"), wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    return parsed(numbered(files)).orderBy("file", "line")
+
+
+def waiting(lines: DataFrame) -> DataFrame:
+    """One row: how many lines (value) aren't blank, and how many of these would be dead letters."""
+    return parsed(lines).agg(F.count("*").alias("backlog"), F.count("error").alias("dead"))
 
 
 def backlog(spark: SparkSession, folder: str) -> int:
     return spark.read.text(os.path.join(folder, "events-*.jsonl")).where(F.trim("value") != "").count()
 
 
+def dead_count(spark: SparkSession, folder: str) -> int:
+    """The dead letters in a folder of them, which need not be there yet."""
+    if not os.path.isdir(folder):
+        return 0
+    return spark.read.text(folder).where(F.trim("value") != "").count()
+
+
 def dead_letters(parsed_lines: DataFrame) -> DataFrame:
     return parsed_lines.where("error is not null").select("error", F.col("value").alias("raw"))
 
 
-def from_payload(payload: DataFrame, client: str) -> DataFrame:
-    """Hook payloads (value: JSON) as events, with id, truncation and the fields both spellings have."""
+def from_payload(payload: DataFrame, client: str, sensitive: list[str] | None = None, transcripts: bool = False) -> DataFrame:
+    """Hook payloads (value: JSON) as events: ids, fields cut and scrubbed, those from ``sensitive``
+    folders marked, and with ``transcripts`` the files that they name."""
     from ..functions.text import scrub, truncated_response
+    from ..operators.gates import under
+    from .files import transcript_of
 
-    schema = "session_id string, hook_event_name string, timestamp string, cwd string, prompt string, tool_name string, tool_use_id string, tool_input string, tool_response string, model string, source string, transcript_path string"
+    schema = "session_id string, hook_event_name string, timestamp string, cwd string, prompt string, tool_name string, tool_use_id string, tool_input string, tool_response string, model string, source string, turn_id string, last_assistant_message string, stop_hook_active boolean, transcript_path string"
     p = payload.select(F.from_json("value", schema).alias("p")).select("p.*")
+    p = p.withColumn("sensitivity", F.when(under(F.col("cwd"), sensitive or []), "high"))
+    p = p.withColumn("transcript", scrub(transcript_of(F.col("transcript_path"))) if transcripts else F.lit(None).cast("string"))
     key = F.concat_ws("_", F.lit(client), "session_id", "timestamp", "hook_event_name")
-    out = p.withColumns({c: scrub(F.col(c)) for c in ("prompt", "tool_input")} | {"tool_response": scrub(truncated_response(F.col("tool_response")))})
+    out = p.withColumns({c: scrub(F.col(c)) for c in ("prompt", "tool_input", "last_assistant_message")} | {"tool_response": scrub(truncated_response(F.col("tool_response")))})
     return out.select(key.alias("event_id"), F.concat_ws(":", F.lit(client), "session_id").alias("session_key"), F.lit(client).alias("client"), F.col("hook_event_name").alias("event_name"), *[c for c in out.columns if c not in ("session_id", "hook_event_name")])

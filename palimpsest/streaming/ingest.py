@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lifecycle
 from ..sources.spool import dead_letters, events, parsed
 from ..store import Store
 
@@ -20,8 +21,9 @@ def report(batch: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def drain(spark: SparkSession, folder: str, store: Store, checkpoint: str, dlq: str) -> None:
-    """Reads what is new in the spool and stops. A batch that is repeated after a failure finds its
-    events in the store, so that they aren't written twice, and its dead letters by their hash."""
+    """Reads what is new in the spool and stops. Events and their sessions are one commit: a batch that
+    is repeated after a failure finds all of it in the store, or nothing. Dead letters are known by
+    their hash."""
     lines = spark.readStream.text(folder)
 
     def sink(batch: DataFrame, _: int) -> None:
@@ -29,14 +31,12 @@ def drain(spark: SparkSession, folder: str, store: Store, checkpoint: str, dlq:
         good = events(got.where("error is null")).dropDuplicates(["event_id"])
         old = store.read("event")
         new = good.join(old.select("event_id"), "event_id", "left_anti")
-        if new.limit(1).count():
-            from pyspark.sql import Window
-
-            last = old.groupBy("session_key").agg(F.max("seq").alias("_last"))
-            placed = new.join(last, "session_key", "left").withColumn("seq", F.coalesce("_last", F.lit(-1)) + F.row_number().over(Window.partitionBy("session_key").orderBy("timestamp", "event_id")))
-            store.append("event", placed)
-            first = new.groupBy("session_key", "session_id", "client").agg(F.min("timestamp").alias("created_at"))
-            store.append("session", first.join(store.read("session").select("session_key"), "session_key", "left_anti"))
+        event = lifecycle.placed(new, old)
+        # sessions come from the events themselves, stored and new, so that a repeated batch finds those it lacks
+        every = old.select("session_key", "client", "timestamp").unionByName(new.select("session_key", "client", "timestamp"))
+        session = lifecycle.sessions_of(every, store.read("session"))
+        if new.limit(1).count() or session.limit(1).count():
+            store.commit(append={"event": event, "session": session}, unique=False)
         bad = dead_letters(got).withColumn("hash", F.sha1("raw")).dropDuplicates(["hash"])
         if bad.limit(1).count():
             try:

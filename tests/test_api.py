@@ -100,7 +100,7 @@ def test_upkeep_and_files(spark, engine, tmp_path):
     assert open(path).read() == first
     (tmp_path / "log.txt").write_text("a\n\nb\nc\nd\n")
     assert files.log_tail(spark, str(tmp_path / "log.txt")) == ["b", "c", "d"]
-    assert [len(r.transcript) for r in files.transcripts(spark, str(tmp_path / "log.txt"), 3).collect()] == [3]
+    assert [r.transcript for r in files.transcripts(spark, str(tmp_path / "log.txt"), 3).collect()] == ["a\n\n...[truncated 6 chars]"]
     root = engine.store.root
     assert cli.run(spark, root, "migrate", []) == {"session": 0, "event": 0, "memory": 0}
     assert cli.run(spark, root, "patterns", []).count() == 0 and cli.run(spark, root, "embed-backfill", []) == 2

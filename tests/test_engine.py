@@ -49,11 +49,15 @@ def test_recency(spark):
     assert one(spark, f, p="project/x.md", t=NOW) == 1.0 and one(spark, f, p="project/x.md", t="bad") == 1.0 and one(spark, f, p="x", t="2027-01-01T00:00:00Z") == 1.0
 
 
-def test_packing_a_session_start():
-    rows = [{"section": 1, "path": f"profile/{i}.md", "content": "x" * 500, "density": -i} for i in range(10)]
-    text, paths = recall.render_session_start(rows, None, 600)
-    assert "further memories omitted" in text and 0 < len(paths) < 10
-    assert recall.render_session_start([], None) == ("", []) and recall.render_prompt([]) == ("", [])
+def test_packing_a_session_start(spark):
+    kind = "section int, path string, content string, density double"
+    pack = lambda rows, project, budget: recall.packed_session_start(spark.createDataFrame(rows, kind), project, budget).first()
+    text, paths = pack([(1, f"profile/{i}.md", "x" * 500, float(-i)) for i in range(10)], None, 600)
+    assert "further memories omitted" in text and 0 < len(paths) < 10 and text.startswith("# Memory") and paths[0] == "profile/0.md"
+    # a full section doesn't close the next one, and the first entry goes in whatever its size
+    text, paths = pack([(1, "profile/a.md", "x" * 700, 2.0), (1, "profile/b.md", "x" * 9, 1.0), (2, "project/c.md", "y", 1.0), (3, "tools/d.md", "z" * 99, 1.0)], "p", 830)
+    assert paths == ["profile/a.md", "profile/b.md", "project/c.md"] and "## Project (p)" in text and text.count("omitted") == 1 and "## Tools" in text
+    assert tuple(pack([], None, 600)) == ("", []) and recall.render_prompt([]) == ("", [])
     assert recall.render_prompt([{"path": "a.md", "content": "c"}])[0].endswith("_memory used: a.md_")
 
 

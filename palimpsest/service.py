@@ -116,7 +116,7 @@ class Engine:
         numbers = texts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
         words = asked.select("query", F.explode(X.query_terms(F.col("text"))).alias("token"))
         hits = retrieval.search_many(index.postings().join(live, "key", "left_semi"), numbers, words, k)
-        ranks = asked.join(hits, (asked["query"] == hits["query"]) & (F.col("path") == F.col("key")), "left")
+        ranks = asked.join(hits.withColumnRenamed("query", "_q"), (F.col("query") == F.col("_q")) & (F.col("path") == F.col("key")), "left")
         return retrieval.hit_and_mrr(ranks.select(F.coalesce("rank", F.lit(0)).alias("rank"))).first().asDict()
 
     # --- capture and upkeep ---

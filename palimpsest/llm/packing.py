@@ -33,7 +33,7 @@ from .common import grouped, settle, small_batches, table, tidied
 
 CAPACITY, END = 2048, 0
 #: Bytes of texts that are split together; more of them have fewer distinct words in all.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -73,11 +73,12 @@ class Api:
         read = self.engine.store.read
         memory = lambda: read("memory").select("path", "project", "status", "archived", "updated_at")
         return {
-            "": lambda _, q: _rows(stats.totals(read("memory"))),
+            "": lambda _, q: _rows(stats.everything(read("memory"), read("session"), read("event"))),
             "memories": lambda _, q: _rows(memory().orderBy(F.desc_nulls_last("updated_at"), "path")),
             "memory": lambda path, q: _rows(read("memory").where(F.col("path") == path).drop("embedding").join(read("memory_session").groupBy("path").agg(F.sort_array(F.collect_set("session_key")).alias("sessions")), "path", "left")),
             "history": lambda path, q: _rows(self.engine.versions().where(F.col("path") == path)),
-            "sessions": lambda _, q: _rows(sessions.with_counts(read("session"), read("event"))),
+            "diff": lambda path, q: _rows(history.diffs(self.engine.versions().where(F.col("path") == path))),
+            "sessions": lambda _, q: _rows(sessions.with_counts(read("session"), read("event")).orderBy(F.desc_nulls_last("created_at"), "session_key")),
             "session": lambda key, q: _rows(sessions.walk(read("event"), key)),
             "search": lambda _, q: self.recall({"query": q.get("q", "")})["memories"],
             "review": lambda _, q: _rows(history.pending(read("memory")).select("path", "created_by", "updated_at")),

@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import providers
 from .api import Api, serve_tools, server
 from .functions.embedding import hashed
 from .operators import history, sessions, stats
@@ -24,6 +25,7 @@ COMMANDS = {
     "patterns": "", "archive": "days", "unarchive": "path", "backup": "folder", "restore": "folder", "rehearse-restore": "folder", "edit": "path content", "delete": "path",
     "propose": "path content", "render": "file", "health": "", "diff": "path",
     "render-to": "folder target", "as-of": "path at", "promote": "pattern", "embed-backfill": "", "reindex": "model dim", "consolidate": "", "migrate": "", "eval-retrieval": "file", "log": "file", "serve": "port", "tools": "",
+    "distill": "provider model", "check-contradictions": "provider model", "restore-file": "file", "vacuum": "", "patterns-since": "age",
 }
 
 
@@ -51,10 +53,14 @@ def run(spark: SparkSession, root: str, command: str, args: list[str]):
         "supersede": engine.supersede, "flag": engine.flag, "auto-resolve": engine.auto_resolve,
         "ingest": lambda folder: drain(spark, folder, store, f"{root}/_checkpoint", f"{root}/_dlq"),
         "write-event": lambda folder, text: spool.append(folder, json.loads(text), engine.now[:10]),
-        "sessions": lambda: sessions.with_counts(read("session"), read("event")).orderBy(F.desc("created_at")).limit(20),
+        "sessions": lambda: sessions.with_counts(read("session"), read("event")).orderBy(F.desc("created_at"), "session_key").limit(20),
         "session": lambda key: sessions.walk(read("event"), key),
-        "stats": lambda: stats.totals(read("memory")),
-        "patterns": engine.patterns, "promote": engine.promote, "as-of": engine.as_of, "migrate": engine.migrate,
+        "stats": lambda: stats.everything(read("memory"), read("session"), read("event")),
+        "patterns": engine.patterns, "patterns-since": engine.patterns, "vacuum": store.vacuum,
+        "distill": lambda name, model: engine.distill(providers.chosen(providers.DISTILLERS, name)(model), name, model),
+        "check-contradictions": lambda name, model: engine.check_contradictions(providers.judging(providers.chosen(providers.JUDGES, name)(model))),
+        "restore-file": lambda file: backup.restore_file(store, file),
+        "promote": engine.promote, "as-of": engine.as_of, "migrate": engine.migrate,
         "embed-backfill": lambda: engine.backfill_embeddings("hashed", 64),
         "reindex": lambda model, dim: engine.backfill_embeddings(model, int(dim)),
         "consolidate": lambda: engine.consolidate(joined),
@@ -70,7 +76,7 @@ def run(spark: SparkSession, root: str, command: str, args: list[str]):
         "rehearse-restore": lambda folder: backup.rehearse(store, f"{folder}/backup", Store(spark, f"{folder}/scratch")),
         "edit": engine.edit, "delete": engine.delete, "propose": engine.propose,
         "render": lambda file: engine.rendered(open(file, encoding="utf-8").read()),
-        "health": lambda: stats.health(read("memory"), sessions.undreamed(read("session"), read("event")), read("rehearsal_run"), engine.now),
+        "health": lambda: stats.health(read("memory"), sessions.undreamed(read("session"), read("event")), read("rehearsal_run"), engine.now, dlq=spool.dead_count(spark, f"{root}/_dlq".removeprefix("file://"))),
     }
     return table[command](*args)
 

@@ -73,11 +73,20 @@ def resolve(session: DataFrame, wanted: str) -> DataFrame:
     return session.where((F.col("session_key") == wanted) | (F.col("session_id") == wanted))
 
 
-def transcript(event: DataFrame, text: str, budget: int = 16_000) -> DataFrame:
+def transcript(event: DataFrame, text: Column | str, budget: int = 16_000) -> DataFrame:
     """Of each session the events that a transcript keeps: newest prompts first, then the newest
-    others; what doesn't fit is skipped and the search goes on. A fold over the session's sizes."""
-    item = F.struct(F.when(F.col("prompt").isNotNull(), 0).otherwise(1).alias("tier"), (-F.col("seq")).alias("back"), (F.length(text) + 1).alias("size"), F.col("event_id"))
-    items = event.groupBy("session_key").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("n"))
+    others; what doesn't fit is skipped and the search goes on. A fold over sizes.
+
+    Once an event of some length doesn't fit, none of that length will: so that of each length only the
+    first that could fit together are folded, at most about budget x ln(budget), however long a session is.
+    """
+    text = text if isinstance(text, Column) else F.col(text)
+    sized = event.select("session_key", "event_id", F.when(F.col("prompt").isNotNull(), 0).otherwise(1).alias("tier"), (-F.col("seq")).alias("back"), (F.length(text) + 1).alias("size"))
+    rank = F.row_number().over(Window.partitionBy("session_key", "size").orderBy("tier", "back"))
+    few = sized.where(F.col("size") <= budget).withColumn("_n", rank).where((F.col("_n") <= budget) & (F.col("_n") * F.col("size") <= budget))
+    counts = event.groupBy("session_key").agg(F.count("*").alias("n"))
+    lists = few.groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("tier", "back", "size", "event_id"))).alias("items"))
+    items = counts.join(lists, "session_key", "left").withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
     zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc, x):

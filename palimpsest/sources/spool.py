@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "schema_version int, client string, session_id string, app_id string, event_props map<string,string>"
@@ -38,15 +38,21 @@ def events(good: DataFrame) -> DataFrame:
     return good.select(F.concat_ws(":", "rec.client", "rec.session_id").alias("session_key"), F.col("rec.client").alias("client"), F.col("rec.session_id").alias("session_id"), *[p[n].alias(n) for n in names])
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """Lines (file, line, value) of whole files (file, value); line counts from 0 within its file."""
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines (file, line, value), line counted from 0 within its file, of lines (file, block, at, value):
+    block is where a split begins in its file, at counts on within the split. A row per split is joined."""
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    met = lines.join(splits, ["file", "block"]).select("file", (F.col("at") + F.col("_shift")).alias("line"), "value")
+    return met.where(F.trim("value") != "")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of the spool with file and place, in order of both. A day's file is one record."""
-    files = spark.read.text(os.path.join(folder, "events-*.jsonl"), wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    return parsed(numbered(files)).orderBy("file", "line")
+    """All lines of the spool with file and place, in order of both, however the files are split."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(os.path.join(folder, "events-*.jsonl")).select("value", meta["file_name"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    return parsed(numbered(lines)).orderBy("file", "line")
 
 
 def waiting(lines: DataFrame) -> DataFrame:

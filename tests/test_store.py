@@ -204,3 +204,18 @@ def test_registries():
     assert providers.object_in('Here: {"a": {"b": 1}} done') == {"a": {"b": 1}}
     with pytest.raises(ValueError):
         providers.object_in("none")
+
+
+def test_command_line_and_pages_over_the_new_parts(spark, store, tmp_path, monkeypatch):
+    from palimpsest import cli
+    from palimpsest.api import Api
+
+    (tmp_path / "b.json").write_text(json.dumps({"memories": [{"path": "tools/z.md", "content": BODY, "status": "active"}], "sessions": [{"client": "codex", "session_id": "1", "events": [{"event_id": "e", "timestamp": "2026-05-01", "prompt": "zorblax compiler quendrite flag for builds"}]}]}))
+    run = lambda *a: cli.run(spark, store.root, a[0], list(a[1:]))
+    assert run("restore-file", str(tmp_path / "b.json"))["memories"] == 1
+    monkeypatch.setitem(providers.DISTILLERS, "stub", lambda model: lambda t, e: [{"path": "tools/z.md", "content": BODY + model}])
+    assert run("distill", "stub", " again") == 1 and run("patterns-since", "36h").count() == 0
+    monkeypatch.setitem(providers.JUDGES, "stub", lambda model: lambda a, b: True)
+    assert run("check-contradictions", "stub", "m") == 0 and run("stats").first().events == 1 and run("vacuum") > 0
+    status, _, page = Api(Engine(store, now=NOW)).get("/diff/tools/z.md")
+    assert status == 200 and "builds again" in page and run("health").count() == 6

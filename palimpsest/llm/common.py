@@ -62,17 +62,22 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
 MEMO = 100_000
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def tidied(run):
-    """``run``, a function for mapInArrow, that gives freed memory back to the system at its end: Python
-    workers live on and go from task to task."""
+    """``run``, a function for mapInArrow, that tidies at its end: Python workers live on and go from task
+    to task."""
 
     def go(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library
+        tidy()
 
     return go
 

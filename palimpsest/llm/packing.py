@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, settle, small_batches, table, tidied
+from .common import grouped, settle, small_batches, table, tidied, tidy
 
 CAPACITY, END = 2048, 0
 #: Bytes of texts that are split together; more of them have fewer distinct words in all.
-TOGETHER = 8 << 20
+TOGETHER = 6 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,7 +58,7 @@ class Tokens:
     _MARKS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]+|[^\p{L}0-9\s]+)"
     _KNOWN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧]*")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,6 +96,7 @@ class Tokens:
         if plain:
             low = pa.array([texts[i].lower() for i in plain], pa.large_string())
             parts = pc.ascii_split_whitespace(pc.replace_substring_regex(low, self._MARKS, r" \1 "))
+            del low
             words = parts.flatten().dictionary_encode()
             if len(self.words) + len(words.dictionary) > self.most:
                 self._forget()
@@ -106,10 +107,12 @@ class Tokens:
                 self._learn(new)
                 place = np.array(place.fill_null(-1))
                 place[place < 0] = np.arange(at, at + len(new))
-            place = np.asarray(place)[words.indices.to_numpy()]
+            place = np.asarray(place).astype(np.int32)[words.indices.to_numpy()]
             size = self.size[place]
             start = np.concatenate(([0], np.cumsum(size)))
-            ids = self.pool[np.repeat(self.first[place] - start[:-1], size) + np.arange(start[-1])]
+            at = np.repeat((self.first[place] - start[:-1]).astype(np.int32), size)
+            at += np.arange(len(at), dtype=np.int32)
+            ids = self.pool[at]
             cut = start[parts.offsets.to_numpy()].tolist()
             for i, a, b in zip(plain, cut[:-1], cut[1:], strict=True):
                 out[i] = ids[a:b]
@@ -139,6 +142,8 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 rows.extend((i, k, at // 4, len(ids[at : at + 4 * capacity]) // 4, ids[at : at + 4 * capacity]) for k, at in enumerate(range(0, len(ids), 4 * capacity)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            del rows, x
+            tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, piece int, start long, length long, ids binary")
 

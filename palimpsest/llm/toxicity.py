@@ -22,16 +22,16 @@ toxic if one of them says so; labels that are null don't count.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO, settle, small_batches, table, tidied
+from .common import grouped, settle, small_batches, table, tidied
 
 #: Labelled rows that the model is fitted on, at most; which, a hash of the id decides. It bounds the
 #: features, too: they are those of the sample's words.
@@ -43,11 +43,50 @@ Z, PRIOR, DRIFT, EXPECT = 1.5, 0.07, 0.4, 0.01
 #: Toxic documents that a feature for, other documents that a word against must occur in, the lengths
 #: of the prefixes, and into how many parts the sample is dealt.
 LEAST, LEAST_AGAINST, PREFIXES, PARTS = 3, 30, (6, 5, 4), 4
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+#: Bytes of texts that are looked at together.
+TOGETHER = 6 << 20
+
+
+class Words:
+    """The words of some texts, lower-cased runs of letters and digits: the distinct ones, and as their
+    numbers, one text after another, all of them."""
+
+    def __init__(self, texts: list[str | None]):
+        low = pa.array([(t or "").lower() for t in texts], pa.large_string())
+        # what stands between words gives way to spaces; spaces themselves needn't
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(low, r"[^\p{L}\p{N}\s]+", " "))
+        all_ = parts.flatten().dictionary_encode()
+        self.distinct = all_.dictionary
+        at, cut = all_.indices.to_numpy(), parts.offsets.to_numpy()
+        empty = pc.index(self.distinct, "").as_py()  # at a text's edges
+        if empty >= 0:
+            real = at != empty
+            cut = np.concatenate(([0], np.cumsum(real)))[cut]
+            at = at[real]
+        self.at, self.cut = at, cut
+
+    def each(self):
+        """The numbers of each text's words."""
+        for a, b in zip(self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True):
+            yield self.at[a:b]
+
+
+class Found:
+    """Which of some features words have: for a word and each of its prefixes the feature's place, or -1."""
+
+    def __init__(self, names: list[str]):
+        kinds: dict = {0: [], **{k: [] for k in PREFIXES}}
+        for i, f in enumerate(names):
+            kinds[len(f) - 1 if f.endswith("*") else 0].append((f.removesuffix("*"), i))
+        self.kinds = [(k, pa.array([f for f, _ in fs], pa.large_string()), np.array([i for _, i in fs], np.int64)) for k, fs in kinds.items() if fs]
+
+    def of(self, words: pa.Array) -> list[np.ndarray]:
+        out, length = [], pc.utf8_length(words).to_numpy()
+        for k, known, place in self.kinds:
+            some = pc.utf8_slice_codeunits(words, 0, k) if k else words
+            at = np.array(pc.index_in(some, value_set=known).fill_null(-1))
+            out.append(np.where((at >= 0) & (length > k), place[at], -1))
+        return out
 
 
 def features(word: str) -> list[str]:
@@ -64,21 +103,23 @@ class Model:
     b: float = 0.0
     against: dict[str, float] = field(default_factory=dict)  # words of negative log-odds
 
-    def word(self, word: str) -> float:
-        found = max((self.lexicon[f] for f in features(word) if f in self.lexicon), default=None)
-        return self.against.get(word, 0.0) - DRIFT if found is None else found
-
-    def lookup(self) -> defaultdict:
-        score = self.word
+    def scorer(self):
+        """A function from distinct words to their scores."""
+        odds = Found(list(self.lexicon))
+        value = np.array([*self.lexicon.values(), -np.inf])  # the last is for features that aren't there
+        less = Found(list(self.against))
+        minus = np.array([*self.against.values(), 0.0])
 
-        class Memo(defaultdict):
-            def __missing__(self, word):
-                if len(self) > MEMO:
-                    self.clear()
-                found = self[word] = score(word)
-                return found
+        def score(words: pa.Array) -> np.ndarray:
+            best = np.full(len(words), -np.inf)
+            for at in odds.of(words):
+                best = np.maximum(best, value[at])
+            other = np.full(len(words), -DRIFT)
+            for at in less.of(words):
+                other += minus[at]
+            return np.where(best > 0, best, other)
 
-        return Memo()
+        return score
 
     def evidence(self, scores: list[float], n: int) -> float:
         """-log of the probability of such segments by chance: for each r, that r segments or more reach
@@ -133,13 +174,13 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(f, e, h - lo) for f, e, lo, h in zip(firsts, ends, lows, highs, strict=True)]
 
 
-def scan(model: Model, memo, text: str | None) -> tuple[int, list[float], list[tuple[int, int, float]]]:
-    """(words, scores of all segments, significant segments in words)."""
-    found = words(text)
-    if not found:
-        return 0, [], []
-    all_ = segments(np.fromiter(map(memo.__getitem__, found), float, len(found)))
-    return len(found), [s for *_, s in all_], [x for x in all_ if model.expected(x[2], len(found)) < EXPECT]
+def scans(score, texts: list[str | None]):
+    """For each text the scores of its words and all its maximal segments."""
+    words = Words(texts)
+    value = score(words.distinct)
+    for at in words.each():
+        s = value[at]
+        yield s, segments(s)
 
 
 # --- training ---
@@ -182,13 +223,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     columns = [f"y{y}_{k}" for y in (0, 1) for k in range(PARTS)]
 
     def count(batches):
-        seen: dict = defaultdict(lambda: [0] * len(columns))
-        for x in batches:
-            for t, y, k in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
-                for f in {f for w in set(words(t)) for f in features(w)}:
-                    seen[f][y * PARTS + k] += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array(c, pa.int64()) for c in zip(*seen.values(), strict=True))], names=["f", *columns])
+        for x in grouped(batches, TOGETHER):
+            words, seen = Words(x.column(0).to_pylist()), {}
+            distinct = words.distinct.to_pylist()
+            for at, y, k in zip(words.each(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
+                for f in {f for i in np.unique(at).tolist() for f in features(distinct[i])}:
+                    seen.setdefault(f, [0] * len(columns))[y * PARTS + k] += 1
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array(c, pa.int64()) for c in zip(*seen.values(), strict=True))], names=["f", *columns])
 
     n = np.zeros((2, PARTS), np.int64)
     for r in sample.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect():
@@ -205,23 +247,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({})
     names = got.column("f").to_pylist()
     counts = np.stack([got.column(c).to_numpy() for c in columns]).reshape(2, PARTS, -1).astype(float)
-    place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def background(batches):
-        at, seen, n = place.value, np.zeros(len(place.value), np.int64), 0
-        memo: dict = {}
-        for x in batches:
-            for t in x.column(0).to_pylist():
-                n += 1
-                mine: set = set()
-                for w in set(words(t)):
-                    if (found := memo.get(w)) is None:
-                        if len(memo) > MEMO:
-                            memo = {}
-                        found = memo[w] = tuple(at[f] for f in features(w) if f in at)
-                    if found:
-                        mine.update(found)
-                seen[list(mine)] += 1
+        found, seen, n = Found(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for x in grouped(batches, TOGETHER):
+            words = Words(x.column(0).to_pylist())
+            n += x.num_rows
+            # a word counts once in a text, and so does a feature
+            size = max(1, len(words.distinct))
+            pairs = np.unique(np.repeat(np.arange(x.num_rows), np.diff(words.cut)) * size + words.at)
+            doc, word = pairs // size, pairs % size
+            for at in found.of(words.distinct):
+                f = at[word]
+                both = np.unique(doc[f >= 0] * len(seen) + f[f >= 0])
+                seen += np.bincount(both % len(seen), minlength=len(seen))
         keys = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1).astype(np.int32)), pa.array(np.append(seen[keys], n))], names=["i", "n"])
 
@@ -255,16 +295,17 @@ def _calibrated(model: Model, parts: list[Model], sample: DataFrame) -> Model:
     shared = sample.sparkSession.sparkContext.broadcast(parts)
 
     def read(batches):
-        memos = [m.lookup() for m in shared.value]
-        for x in batches:
+        scorers = [m.scorer() for m in shared.value]
+        for x in grouped(batches, TOGETHER):
             rows, law = [], Counter()
-            for t, y, k in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
-                w = words(t)
-                s = np.fromiter(map(memos[k].__getitem__, w), float, len(w))
-                rows.append((k, y, len(w), [v for *_, v in segments(s)], None, None))
-                if not y:
-                    for v, times in zip(*np.unique(np.round(s, 2), return_counts=True), strict=True):
-                        law[k, float(v)] += int(times)
+            texts, toxic, part = (x.column(i).to_pylist() for i in range(3))
+            for k, scorer in enumerate(scorers):
+                mine = [i for i, p in enumerate(part) if p == k]
+                for i, (s, found) in zip(mine, scans(scorer, [texts[i] for i in mine]), strict=True):
+                    rows.append((k, toxic[i], len(s), [v for *_, v in found], None, None))
+                    if not toxic[i]:
+                        for v, times in zip(*np.unique(np.round(s, 2), return_counts=True), strict=True):
+                            law[k, float(v)] += int(times)
             rows.extend((k, None, None, None, v, times) for (k, v), times in law.items())
             if rows:
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
@@ -312,13 +353,13 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         model = shared.value
-        memo = model.lookup()
-        for x in batches:
+        scorer = model.scorer()
+        for x in grouped(batches, TOGETHER):
             score, found = [], []
-            for t in x.column(1).to_pylist():
-                n, all_, some = scan(model, memo, t)
-                score.append(model.probability(model.evidence(all_, n)))
-                found.append([{"first": f, "end": e, "score": s, "e_value": model.expected(s, n)} for f, e, s in some])
+            for s, all_ in scans(scorer, x.column(1).to_pylist()):
+                score.append(model.probability(model.evidence([v for *_, v in all_], len(s))))
+                some = [(f, e, v, model.expected(v, len(s))) for f, e, v in all_]
+                found.append([{"first": f, "end": e, "score": v, "e_value": x_} for f, e, v, x_ in some if x_ < EXPECT])
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(score, pa.float64()), pa.array(found, passage)], names=["id", "score", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, score double, passages array<struct<first: int, end: int, score: double, e_value: double>>")
@@ -338,12 +379,9 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: flo
 
     def run(batches):
         model = shared.value
-        memo = model.lookup()
-        for x in batches:
-            keep = []
-            for t in x.column(where).to_pylist():
-                n, all_, _ = scan(model, memo, t)
-                keep.append(model.probability(model.evidence(all_, n)) < at)
+        scorer = model.scorer()
+        for x in grouped(batches, TOGETHER):
+            keep = [model.probability(model.evidence([v for *_, v in all_], len(s))) < at for s, all_ in scans(scorer, x.column(where).to_pylist())]
             yield pa.RecordBatch.from_arrays(x.filter(pa.array(keep, pa.bool_())).columns, names=names)
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -10,11 +10,11 @@ from palimpsest.llm import toxicity  # noqa: E402
 
 def test_evidence_counts_every_passage():
     model = toxicity.Model({"bad": 3.0}, lam=1.0, k=0.1, a=-4.0, b=1.0)
-    memo, gap = model.lookup(), " fine" * 50
+    score, gap = model.scorer(), " fine" * 50
 
     def evidence(passages):
-        n, scores, _ = toxicity.scan(model, memo, " ".join(["bad" + gap] * passages + ["fine" + gap] * (60 - passages)))
-        return n, model.evidence(scores, n)
+        s, found = next(toxicity.scans(score, [" ".join(["bad" + gap] * passages + ["fine" + gap] * (60 - passages))]))
+        return len(s), model.evidence([v for *_, v in found], len(s))
 
     n, one = evidence(1)
     e = 0.1 * n * math.exp(-3.0)

@@ -191,3 +191,26 @@ def test_very_long_payloads_and_unreported_files(spark, tmp_path):
     got = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to) for r in warc.read_archives(files, path).collect()}
     assert got == {1: ("revisit", len(long), 2), 2: ("response", len(long), None), 3: ("response", 5, None)}
     assert warc.unreported(files, path) == 1 and warc.read_archives(files, path).count() == 3
+
+
+def test_words_are_runs_of_letters_and_digits():
+    import re
+
+    texts = [f"ab{chr(c)}cd {chr(c)}" for c in range(0x20, 0x3000)] + [None, "", " x ", "A_b  c"]
+    words = toxicity.Words(texts)
+    distinct = words.distinct.to_pylist()
+    for t, at in zip(texts, words.each(), strict=True):
+        assert [distinct[i] for i in at] == re.findall(r"[^\W_]+", (t or "").lower())
+
+
+def test_tokens_are_the_vocabularys_own_on_every_known_character():
+    from tokenizers import Tokenizer
+
+    tokens, whole = packing.Tokens(packing.tokenizer_path(), most=500), Tokenizer.from_file(packing.tokenizer_path())
+    known = [chr(c) for c in range(0x2100) if tokens._KNOWN.fullmatch(chr(c))]
+    texts = [f"{a}{x}{b} {x} 1{x}2{x}'s '{x}t" for x in known for a, b in (("ab", "cd"), ("", "'ll"), ("--", "?!"))]
+    texts += ["don't they're we'VE 'sword o'clock 12's --'s ''s _'d_ a'b", "\n\t x", "<|endoftext|> y", "日本 İx ʼs"]
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        for t, ids in zip(part, tokens.batch(part), strict=True):
+            assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t

@@ -100,16 +100,16 @@ def grouped(batches, size: int):
 HOT_KEYS = 10_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: str) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: str, most: int = HOT_KEYS) -> DataFrame:
     """``left`` left-joined with ``right`` on ``key``, whatever share of ``left`` one key holds.
 
     ``right`` has a row per key, and in ``weight`` how many rows of ``left`` have it; ``total`` is
-    at least the sum of the weights. Keys with over ``total / HOT_KEYS`` rows number under
-    HOT_KEYS: they are broadcast, and their rows of ``left``, dealt out by ``spread``, need no
-    partner. All other keys are small and meet in a shuffle.
+    at least the sum of the weights. Keys with over ``total / most`` rows number under ``most``:
+    they are broadcast, and their rows of ``left``, dealt out by ``spread``, need no partner. All
+    other keys are small and meet in a shuffle. ``most`` is less where a row of ``right`` is large.
     """
     values = [c for c in right.columns if c not in (key, weight)]
-    limit = max(1000, total // HOT_KEYS)
+    limit = max(1000, total // most)
     packed = right.select(F.col(key).alias("_k"), F.struct(*values).alias("_v"), F.col(weight).alias("_w"))
     hot = packed.where(F.col("_w") > limit).select(F.col("_k").alias("_hk"), F.col("_v").alias("_hv"))
     cold = packed.where(F.col("_w") <= limit).select(F.col("_k").alias("_ck"), F.col("_v").alias("_cv"), F.lit(0).alias("_cs"))

@@ -9,13 +9,15 @@ says which version counts. Nothing is rewritten but by ``compact``.
 
 from __future__ import annotations
 
+import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens
-from ..shared import spread
+from ..shared import settle, spread
 from .recall import bm25_scores
 
 #: Folders of postings, and into how many parts a folder's rows are dealt when they are written, so that
@@ -27,6 +29,36 @@ def bucket_of(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
 
+_TOKEN = re.compile("[a-z0-9_]+")
+
+
+def _counted(batches):
+    """Rows (key, t, mark) to postings (key, token, tf, bucket) and a row (key, dl, mark) of each text; the
+    tokens are ``index_tokens``."""
+    kinds = [("key", pa.string()), ("token", pa.string()), ("tf", pa.int64()), ("bucket", pa.int32()), ("dl", pa.int32()), ("mark", pa.int64())]
+    schema, bucket = pa.schema(kinds), {}
+    for x in batches:
+        keys, texts = x.column(0), x.column(1).to_pylist()
+        found = [None if t is None else _TOKEN.findall(t.lower()) for t in texts]
+        n = pa.array([None if f is None else len(f) for f in found], pa.int32())
+        none = [pa.nulls(len(keys), t) for _, t in kinds[1:4]]
+        yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), *none, n, x.column(2)], schema=schema)
+        all_ = pa.array([w for f in found if f for w in f], pa.string()).dictionary_encode()
+        if not len(all_):
+            continue
+        words = all_.dictionary.to_pylist()
+        doc = np.repeat(np.arange(len(found)), [len(f or ()) for f in found])
+        pairs, tf = np.unique(doc * len(words) + all_.indices.to_numpy(), return_counts=True)
+        doc, word = pairs // len(words), pairs % len(words)
+        if len(bucket) > 200_000:
+            bucket = {}
+        at = np.array([bucket[w] if w in bucket else bucket.setdefault(w, bucket_of(w)) for w in words], np.int32)
+        for i in range(0, len(pairs), 50_000):
+            part = slice(i, i + 50_000)
+            columns = [keys.take(pa.array(doc[part])).cast(pa.string()), all_.dictionary.take(pa.array(word[part])), pa.array(tf[part].astype(np.int64)), pa.array(at[word[part]])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.int64())], schema=schema)
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,14 +86,15 @@ class TextIndex:
     def add(self, docs: DataFrame, key: str, text: str) -> None:
         """Texts that are new, or have changed."""
         version = (self._read("texts", "key string, version long, dl int, mark long").agg(F.max("version")).first()[0] or 0) + 1
-        rows = spread(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")))
-        cut = rows.select("key", F.xxhash64("t").alias("mark"), index_tokens(F.col("t")).alias("tokens")).withColumn("dl", F.when(F.col("tokens").isNotNull(), F.size("tokens")))
-        each = cut.select("key", F.explode("tokens").alias("token")).withColumn("bucket", (F.crc32(F.col("token").cast("binary")) % BUCKETS).cast("int"))
-        each = each.withColumn("_s", F.pmod(F.hash("key"), F.lit(SALT))).repartition("bucket", "_s")
-        found = each.groupBy("bucket", "_s", "token", "key").agg(F.count("*").alias("tf")).withColumn("version", F.lit(version).cast("long"))
-        found.select("token", "key", "version", "tf", "bucket").sortWithinPartitions("bucket", "token").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/postings")
+        rows = spread(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t"), F.xxhash64(text).alias("mark")))
+        # a text's tokens are counted where the text is: what is shuffled is its postings, once
+        counted = settle(rows.mapInArrow(_counted, "key string, token string, tf long, bucket int, dl int, mark long"))
+        found = counted.where("token is not null").select("token", "key", F.lit(version).cast("long").alias("version"), "tf", "bucket")
+        dealt = found.repartition("bucket", F.pmod(F.hash("key"), F.lit(SALT))).sortWithinPartitions("bucket", "token")
+        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/postings")
         # texts come last: until then no posting of this version counts
-        cut.select("key", F.lit(version).cast("long").alias("version"), "dl", "mark").write.mode("append").parquet(f"{self.root}/texts")
+        texts = counted.where("token is null").select("key", F.lit(version).cast("long").alias("version"), "dl", "mark")
+        texts.write.mode("append").parquet(f"{self.root}/texts")
 
     def remove(self, keys: DataFrame) -> None:
         """Texts (key) that are gone."""

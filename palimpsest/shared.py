@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster that is an
+    error, as executors couldn't see it.
+    """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if at is None:
@@ -25,7 +29,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, so that what comes after doesn't compute it again."""
+    """``df`` computed once into the shared folder, so that lost executors don't recompute it.
+
+    A session with ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes the files when nothing
+    refers to them any more; else they stay until the folder is removed.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -3,55 +3,25 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_dir, settle, shared_dir  # noqa: F401  used by all operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table. Only Spark opens the path, so it may be in any store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a
-    temporary folder of its own; on a cluster that is an error, as executors couldn't see it.
-    """
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if at is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Removes a folder that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, so that lost executors don't recompute it.
-
-    A session with ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes the files when nothing
-    refers to them any more; else they stay until the folder is removed.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bounds what a Python worker holds at once, by rows and by bytes, for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -129,12 +129,19 @@ def _digits(text: Column, key: str, kind: str) -> Column:
     return _rounds(text, step, _next)
 
 
+#: Where each alphabet starts among all letters, and how many it has; as SQL, which is one call to build.
+_STARTS = [1 + sum(map(len, ALPHABETS[:k])) for k in range(len(ALPHABETS))]
+_LINES = "array(" + ", ".join(f"named_struct('start', {x}, 'n', {len(y)})" for x, y in zip(_STARTS, ALPHABETS, strict=True)) + ")"
+
+
+def _strings(values) -> Column:
+    return F.expr("array(" + ", ".join(f"'{x}'" for x in values) + ")")
+
+
 def _shift(text: Column, by: Column, sign: int) -> Column:
     """Each letter or digit moved within its alphabet by a number drawn from ``by`` and its place."""
 
-    every = "".join(ALPHABETS)
-    starts = [1 + sum(map(len, ALPHABETS[:k])) for k in range(len(ALPHABETS))]
-    lines = F.array(*[F.struct(F.lit(x).alias("start"), F.lit(len(y)).alias("n")) for x, y in zip(starts, ALPHABETS, strict=True)])
+    every, lines = "".join(ALPHABETS), F.expr(_LINES)
 
     def one(c, i):
         def moved(at):
@@ -244,7 +251,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _word(w: Column, key: str) -> Column:
-    listed = F.array(*[F.lit(x) for xs in NAMES.values() for x in xs])
+    listed = _strings(x for xs in NAMES.values() for x in xs)
 
     def moved(x):  # all but the ending, under a key of that ending
         cut = F.when(F.length(x) > 2, F.length(x) - 1).otherwise(F.length(x))
@@ -255,7 +262,7 @@ def _word(w: Column, key: str) -> Column:
     out = F.aggregate(F.sequence(F.lit(1), F.lit(8)), w, lambda x, i: F.when((i == 1) | F.array_contains(listed, x), moved(x)).otherwise(x))
     out = _let(out, lambda x: F.when(x == w, _drawn(w, key, "name")).otherwise(x))
     for gender, xs in NAMES.items():
-        names, n = F.array(*[F.lit(x) for x in xs]), F.lit(len(xs))
+        names, n = _strings(xs), F.lit(len(xs))
         at = F.array_position(names, w)
         out = F.when(at > 0, F.element_at(names, (F.pmod(at - 1 + 1 + F.pmod(_hash(key, F.lit(gender)), n - 1), n) + 1).cast("int"))).otherwise(out)
     return out

@@ -33,7 +33,7 @@ from .common import grouped, settle, small_batches, table, tidied, tidy
 
 CAPACITY, END = 2048, 0
 #: Bytes of texts that are split together; more of them have fewer distinct words in all.
-TOGETHER = 6 << 20
+TOGETHER = 4 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,7 +58,7 @@ class Tokens:
     _MARKS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]+|[^\p{L}0-9\s]+)"
     _KNOWN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧]*")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, settle, small_batches, table, tidied
+from .common import grouped, settle, small_batches, table, tidied, tidy
 
 #: Labelled rows that the model is fitted on, at most; which, a hash of the id decides. It bounds the
 #: features, too: they are those of the sample's words.
@@ -44,7 +44,7 @@ Z, PRIOR, DRIFT, EXPECT = 1.5, 0.07, 0.4, 0.01
 #: of the prefixes, and into how many parts the sample is dealt.
 LEAST, LEAST_AGAINST, PREFIXES, PARTS = 3, 30, (6, 5, 4), 4
 #: Bytes of texts that are looked at together.
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 
 
 class Words:
@@ -65,6 +65,12 @@ class Words:
             at = at[real]
         self.at, self.cut = at, cut
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and the words that they have, each pair once."""
+        size = max(1, len(self.distinct))
+        both = np.unique(np.repeat(np.arange(len(self.cut) - 1), np.diff(self.cut)) * size + self.at)
+        return both // size, both % size
+
     def each(self):
         """The numbers of each text's words."""
         for a, b in zip(self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True):
@@ -89,9 +95,11 @@ class Found:
         return out
 
 
-def features(word: str) -> list[str]:
-    """From the most telling on; a prefix is marked, as it isn't the word of that spelling."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+def features_of(words: pa.Array) -> list[tuple[int, pa.Array]]:
+    """The features of words: themselves, and marked, as it isn't the word of that spelling, each prefix.
+    With each kind the length that a word must exceed."""
+    mark, none = (pa.scalar(x, words.type) for x in ("*", ""))
+    return [(0, words), *((k, pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), mark, none)) for k in PREFIXES)]
 
 
 @dataclass
@@ -224,13 +232,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches):
         for x in grouped(batches, TOGETHER):
-            words, seen = Words(x.column(0).to_pylist()), {}
-            distinct = words.distinct.to_pylist()
-            for at, y, k in zip(words.each(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
-                for f in {f for i in np.unique(at).tolist() for f in features(distinct[i])}:
-                    seen.setdefault(f, [0] * len(columns))[y * PARTS + k] += 1
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array(c, pa.int64()) for c in zip(*seen.values(), strict=True))], names=["f", *columns])
+            words, size = Words(x.column(0).to_pylist()), 2 * PARTS
+            column = x.column(1).to_numpy() * PARTS + x.column(2).to_numpy()
+            if not len(words.distinct):
+                continue
+            # a word's features are in the same order in each of these, and the shorter ones have none
+            named, length = features_of(words.distinct), pc.utf8_length(words.distinct).to_numpy()
+            coded = pa.concat_arrays([f for _, f in named]).dictionary_encode()
+            codes = coded.indices.to_numpy().reshape(len(named), -1)
+            doc, word = words.pairs()
+            both = [doc[ok] * len(coded.dictionary) + codes[i][word[ok]] for i, (k, _) in enumerate(named) for ok in [length[word] > k]]
+            pairs = np.unique(np.concatenate(both))
+            n = np.bincount(pairs % len(coded.dictionary) * size + column[pairs // len(coded.dictionary)], minlength=len(coded.dictionary) * size).reshape(-1, size)
+            there = np.flatnonzero(n.any(axis=1))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(there)).cast(pa.string()), *(pa.array(n[there, i]) for i in range(size))], names=["f", *columns])
+            del words, named, coded, codes, both, pairs, n
+            tidy()
 
     n = np.zeros((2, PARTS), np.int64)
     for r in sample.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect():
@@ -254,14 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for x in grouped(batches, TOGETHER):
             words = Words(x.column(0).to_pylist())
             n += x.num_rows
-            # a word counts once in a text, and so does a feature
-            size = max(1, len(words.distinct))
-            pairs = np.unique(np.repeat(np.arange(x.num_rows), np.diff(words.cut)) * size + words.at)
-            doc, word = pairs // size, pairs % size
+            doc, word = words.pairs()  # a word counts once in a text, and so does a feature
             for at in found.of(words.distinct):
                 f = at[word]
                 both = np.unique(doc[f >= 0] * len(seen) + f[f >= 0])
                 seen += np.bincount(both % len(seen), minlength=len(seen))
+            del words, doc, word
+            tidy()
         keys = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1).astype(np.int32)), pa.array(np.append(seen[keys], n))], names=["i", "n"])
 

@@ -311,7 +311,9 @@ def local_search(plan: Plan) -> Plan:
         room, found = capacity - fill, None
         own = taker if open_[taker] < 2 else None
         takes = [((), 0), *(((x,), x) for x in sorted(set(taker)))]
-        ways = [(one, p, t) for p, t in takes] + [(two, p, t) for p, t in takes[1:]] + [(one, p, t) for t, p in _sums(taker).items()]
+        ways = [(one, p, t) for p, t in takes] + [(two, p, t) for p, t in takes] + [(one, p, t) for t, p in _sums(taker).items()]
+        # large pieces change places first, small ones are spared for what room is left, and moves come last
+        ways = sorted((w for w in ways if w[1]), key=lambda w: -w[2]) + [(one, (), 0)]
         for held, taken, t in ways:
             most = t + room
             while (size := held.below(most)) - t > (found[0] if found else 0):

@@ -44,7 +44,7 @@ Z, PRIOR, DRIFT, EXPECT = 1.5, 0.07, 0.4, 0.01
 #: of the prefixes, and into how many parts the sample is dealt.
 LEAST, LEAST_AGAINST, PREFIXES, PARTS = 3, 30, (6, 5, 4), 4
 #: Bytes of texts that are looked at together.
-TOGETHER = 3 << 20
+TOGETHER = 2 << 20
 
 
 class Words:
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     columns = [f"y{y}_{k}" for y in (0, 1) for k in range(PARTS)]
 
     def count(batches):
-        for x in grouped(batches, TOGETHER):
+        for x in grouped(batches, TOGETHER // 2):
             words, size = Words(x.column(0).to_pylist()), 2 * PARTS
             column = x.column(1).to_numpy() * PARTS + x.column(2).to_numpy()
             if not len(words.distinct):
@@ -377,6 +377,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 some = [(f, e, v, model.expected(v, len(s))) for f, e, v in all_]
                 found.append([{"first": f, "end": e, "score": v, "e_value": x_} for f, e, v, x_ in some if x_ < EXPECT])
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(score, pa.float64()), pa.array(found, passage)], names=["id", "score", "passages"])
+            tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, score double, passages array<struct<first: int, end: int, score: double, e_value: double>>")
 
@@ -399,5 +400,6 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: flo
         for x in grouped(batches, TOGETHER):
             keep = [model.probability(model.evidence([v for *_, v in all_], len(s))) < at for s, all_ in scans(scorer, x.column(where).to_pylist())]
             yield pa.RecordBatch.from_arrays(x.filter(pa.array(keep, pa.bool_())).columns, names=names)
+            tidy()
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import fresh_dir, settle, shared_dir  # noqa: F401  used by all operators
@@ -121,3 +122,40 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def first_ranked(rows: DataFrame, by: list[str], order: list, k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each group in the given order, numbered from 1 in ``name``.
+
+    Rows are ranked twice: within 64 parts of a group, then among the firsts of these, so that however large
+    a group is, one task sees no more than 64 times ``k`` of its rows.
+    """
+    parts = [*by, "_part"]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(64)))
+    some = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col(name) <= k)
+    return some.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k).drop("_part")
+
+
+class Bits:
+    """A set of 64-bit hashes as a bitmap that never lacks one of them, and may let others through.
+
+    It has about 16 bits a hash, and at most 2^26 (8 MB) whatever the input: a fuller map lets more through,
+    which is work for its user, never a wrong result.
+    """
+
+    def __init__(self, hashes: DataFrame, col: str, most: int = 26):
+        n = hashes.count()
+        self.bits = min(most, max(16, (16 * n).bit_length()))
+        at = F.col(col).bitwiseAND(F.lit((1 << self.bits) - 1))
+        # 32,768 bits, 4 KB, a row
+        rows = hashes.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("map"))
+        whole = np.zeros((1 << self.bits) >> 3, np.uint8)
+        for r in rows.toLocalIterator():
+            found = np.frombuffer(bytes(r["map"]), np.uint8)
+            whole[r["part"] << 12 : (r["part"] << 12) + len(found)] = found
+        self.map = whole
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Of unsigned hashes, which may be in the set."""
+        at = hashes & np.uint64((1 << self.bits) - 1)
+        return (self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

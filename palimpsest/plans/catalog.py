@@ -83,7 +83,7 @@ bm AS (SELECT k, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 def _indexed(context: str, d: str, name: str) -> str:
     """The folder of a table's index, which all queries of a session share."""
     spark = SparkSession.active()
-    texts = A.memory(spark, d).select("path", "content") if name == "memory" else A.event(spark, d).select("event_id", recall.event_text())
+    texts = A.memory(spark, d).select("path", recall.note_text()) if name == "memory" else A.event(spark, d).select("event_id", recall.event_text())
     index = TextIndex(spark, fresh_dir(spark, f"index-{name}"))
     index.add(texts, *texts.columns)
     return index.root
@@ -94,12 +94,13 @@ def _index(spark, d, name: str = "memory") -> TextIndex:
 
 
 @query(f"""SELECT path, round(score * {_IMP} * {_REC}, 6) AS score
-FROM bm JOIN memory ON k = path WHERE score > 0.5 ORDER BY score * {_IMP} * {_REC} DESC, path LIMIT 20""", _bm25("memory", "path", "content", _LIVE))
+FROM bm JOIN memory ON k = path WHERE score > 0.5 AND {_LIVE} ORDER BY score * {_IMP} * {_REC} DESC, path LIMIT 20""", _bm25("memory", "path", "concat_ws(' ', path, content)"))
 def recall_fulltext_topk(spark, d):
-    m = _memory(spark, d)
-    hits = _index(spark, d).search(TERMS, m.where(recall.live()).select("path")).where("score > 0.5").withColumnRenamed("key", "path")
-    score = F.col("score") * S.importance_factor(F.col("importance")) * S.recency_factor(F.col("path"), F.col("seen"), _now())
-    return recall.top(m.join(hits, "path").select("path", score.alias("score")), 20, "path").select("path", F.round("score", 6).alias("score"))
+    m = _memory(spark, d).where(recall.live())
+    factor = S.importance_factor(F.col("importance")) * S.recency_factor(F.col("path"), F.col("seen"), _now())
+    # importance at most doubles a score, recency never raises it
+    hits = _index(spark, d).top(TERMS, 20, m.select("path", factor.alias("factor")), least=0.5, most=2.0)
+    return hits.select(F.col("key").alias("path"), F.round("total", 6).alias("score"))
 
 
 def _vector(spark, d) -> tuple[DataFrame, list[float]]:
@@ -119,8 +120,8 @@ def recall_vector_topk(spark, d):
     return recall.vector_search(e, q)
 
 
-_FUSE = _bm25("memory", "path", "content", _LIVE) + _VEC + f""",
-ft AS (SELECT k AS path, score FROM bm WHERE score > 0.5 ORDER BY score DESC, path LIMIT 15),
+_FUSE = _bm25("memory", "path", "concat_ws(' ', path, content)") + _VEC + f""",
+ft AS (SELECT k AS path, score FROM bm JOIN memory ON k = path WHERE score > 0.5 AND {_LIVE} ORDER BY score DESC, path LIMIT 15),
 r AS (SELECT path, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, path)) AS s FROM ft
       UNION ALL SELECT path, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, path)) FROM v),
 f AS (SELECT path, sum(s) AS rrf FROM r GROUP BY path)"""
@@ -619,15 +620,15 @@ def backup_validation_errors(spark, d):
 
 
 _GOLDEN = f""",
-tok AS (SELECT path AS k, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w, importance FROM memory WHERE {_LIVE}),
-ask AS (SELECT DISTINCT k AS query, unnest(w[2:5]) AS token FROM tok WHERE importance = 10),
+tok AS (SELECT path AS k, regexp_extract_all(lower(concat_ws(' ', path, content)), '[a-z0-9_]+') AS w, regexp_extract_all(lower(content), '[a-z0-9_]+') AS said, importance, {_LIVE} AS live FROM memory),
+ask AS (SELECT DISTINCT k AS query, unnest(said[2:5]) AS token FROM tok WHERE importance = 10 AND live),
 num AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM tok),
-ex AS (SELECT k, len(w) AS dl, unnest(w) AS token FROM tok),
-tf AS (SELECT k, token, dl, count(*) AS tf FROM ex WHERE token IN (SELECT token FROM ask) GROUP BY ALL),
+ex AS (SELECT k, len(w) AS dl, unnest(w) AS token, live FROM tok),
+tf AS (SELECT k, token, dl, live, count(*) AS tf FROM ex WHERE token IN (SELECT token FROM ask) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-sc AS (SELECT query, k, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM ask JOIN tf USING (token) JOIN df USING (token), num GROUP BY query, k),
+sc AS (SELECT query, k, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM ask JOIN tf USING (token) JOIN df USING (token), num WHERE live GROUP BY query, k),
 rk AS (SELECT query, k, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, k) AS r FROM sc),
-res AS (SELECT q.k, coalesce(max(rk.r) FILTER (rk.k = q.k AND rk.r <= 5), 0) AS r FROM (SELECT k FROM tok WHERE importance = 10) q LEFT JOIN rk ON rk.query = q.k GROUP BY q.k)"""
+res AS (SELECT q.k, coalesce(max(rk.r) FILTER (rk.k = q.k AND rk.r <= 5), 0) AS r FROM (SELECT k FROM tok WHERE importance = 10 AND live) q LEFT JOIN rk ON rk.query = q.k GROUP BY q.k)"""
 
 
 @query("SELECT round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 6) AS hit, round(avg(CASE WHEN r > 0 THEN 1.0 / r ELSE 0 END), 6) AS mrr FROM res", _GOLDEN)
@@ -637,8 +638,7 @@ def retrieval_eval_hit_mrr(spark, d):
     index, keys = _index(spark, d), m.select(F.col("path").alias("key"))
     golden = m.where("importance = 10")
     words = golden.select(F.col("path").alias("query"), F.explode(F.slice(X.index_tokens(F.col("content")), 2, 4)).alias("token"))
-    numbers = index.texts().join(keys, "key", "left_semi").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = recall.search_many(index.postings().join(keys, "key", "left_semi"), numbers, words)
+    hits = recall.search_many(index.postings(), index.numbers(), words, among=keys)
     own = golden.select("path").join(hits, (F.col("path") == F.col("query")) & (F.col("path") == F.col("key")), "left")
     r = recall.hit_and_mrr(own.select(F.coalesce("rank", F.lit(0)).alias("rank")))
     return r.select(F.round("hit", 6).alias("hit"), F.round("mrr", 6).alias("mrr"))

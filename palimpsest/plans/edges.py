@@ -194,18 +194,17 @@ def index_refreshed(spark, d):
 
 
 @query(f"SELECT query, path, round(s, 6) AS score, r::INT AS rank FROM (SELECT query, k AS path, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, k) AS r FROM sc) WHERE r <= 5", """,
-tok AS (SELECT path AS k, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM memory),
-ask AS (SELECT DISTINCT concat('b', item_id) AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')[1:12]) AS token FROM benchmark),
+tok AS (SELECT path AS k, regexp_extract_all(lower(concat_ws(' ', path, content)), '[a-z0-9_]+') AS w FROM memory),
+ask AS (SELECT DISTINCT concat('b', item_id) AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM benchmark),
 num AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM tok),
 ex AS (SELECT k, len(w) AS dl, unnest(w) AS token FROM tok),
 tf AS (SELECT k, token, dl, count(*) AS tf FROM ex WHERE token IN (SELECT token FROM ask) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 sc AS (SELECT query, k, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM ask JOIN tf USING (token) JOIN df USING (token), num GROUP BY query, k)""")
 def recall_many(spark, d):
-    """The notes that each benchmark passage recalls by its first words."""
+    """The notes that each benchmark passage recalls by its words."""
     from .catalog import _index
 
     index = _index(spark, d)
-    b = A.table(spark, d, "benchmark").select(F.format_string("b%d", "item_id").alias("query"), F.explode(F.slice(X.index_tokens(F.col("text")), 1, 12)).alias("token"))
-    numbers = index.texts().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return recall.search_many(index.postings(), numbers, b).select("query", F.col("key").alias("path"), F.round("score", 6).alias("score"), "rank")
+    b = A.table(spark, d, "benchmark").select(F.format_string("b%d", "item_id").alias("query"), F.explode(X.index_tokens(F.col("text"))).alias("token"))
+    return recall.search_many(index.postings(), index.numbers(), b).select("query", F.col("key").alias("path"), F.round("score", 6).alias("score"), "rank")

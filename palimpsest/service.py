@@ -53,7 +53,7 @@ class Engine:
         """The notes' inverted index, up to date with the last commit that changed them."""
         parts = self.store.parts("memory")
         if parts != self._indexed:
-            self._index.refresh(self.store.read("memory"), "path", "content")
+            self._index.refresh(self.store.read("memory").select("path", retrieval.note_text().alias("t")), "path", "t")
             self._indexed = parts
         return self._index
 
@@ -112,10 +112,8 @@ class Engine:
         spark, live = self.store.spark, self._memory().where(retrieval.live()).select(F.col("path").alias("key"))
         asked = spark.createDataFrame(list(enumerate(golden)), "query long, g struct<text: string, path: string>").select("query", "g.*")
         index = self.index()
-        texts = index.texts().join(live, "key", "left_semi")
-        numbers = texts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
         words = asked.select("query", F.explode(X.query_terms(F.col("text"))).alias("token"))
-        hits = retrieval.search_many(index.postings().join(live, "key", "left_semi"), numbers, words, k)
+        hits = retrieval.search_many(index.postings(), index.numbers(), words, k, live)
         ranks = asked.join(hits.withColumnRenamed("query", "_q"), (F.col("query") == F.col("_q")) & (F.col("path") == F.col("key")), "left")
         return retrieval.hit_and_mrr(ranks.select(F.coalesce("rank", F.lit(0)).alias("rank"))).first().asDict()
 

@@ -40,6 +40,8 @@ ACTIVITY = {
     "command": "concat('run  step ', CAST(event_id % 97 AS STRING), ' ')",
     "file_path": "concat('/work/', CAST(user_id % 20 AS STRING), '/mod', CAST(event_id % 53 AS STRING), '.py')",
     "cwd": "concat('/work/', CAST(user_id % 20 AS STRING))",
+    "event_name": "CASE event_id % 5 WHEN 4 THEN 'PostToolUse' ELSE 'PreToolUse' END",
+    "tool": "CASE event_id % 7 WHEN 0 THEN 'Bash' WHEN 1 THEN 'shell' WHEN 2 THEN 'run_shell_command' WHEN 3 THEN 'Read' WHEN 4 THEN 'MultiEdit' WHEN 5 THEN 'write_file' ELSE 'WebFetch' END",
 }
 
 

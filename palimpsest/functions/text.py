@@ -133,7 +133,8 @@ def title(content: Column) -> Column:
 
 
 def kind_field(content: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(frontmatter(content), r"(?md)^kind:[ \t]*(\S+)", 1)), F.lit(""))
+    """One word alone on its line; null where there is none, or more."""
+    return F.nullif(F.lower(F.regexp_extract(frontmatter(content), r"(?md)^kind:\s*([A-Za-z]+)\s*$", 1)), F.lit(""))
 
 
 def collapse(text: Column) -> Column:

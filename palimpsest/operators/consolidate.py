@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import settle
+
 THRESHOLD, PER_LEFT, TOP, STALE_DAYS = 0.92, 5, 10, 60
 #: Rows of a block, which bounds what a task holds, and pivots at most.
 BLOCK, PIVOTS = 4096, 256
@@ -74,7 +76,8 @@ def similar_pairs(notes: DataFrame, threshold: float = THRESHOLD, per_left: int
     """(a, b, score), a < b: pairs over the threshold, each left note's ``per_left`` best.
 
     Exact: every pair meets in a unit of ``_cells``, whose home vectors, at most about BLOCK, are held
-    while all others of the cell stream by.
+    while all others of the cell stream by. A unit passes on ``per_left`` pairs for each note and block, and these
+    are cut once more before the shuffle, so that what is shuffled grows with the notes, not with their pairs.
     """
     rows = _cells(notes.where("embedding is not null"), threshold)
 
@@ -99,7 +102,9 @@ def similar_pairs(notes: DataFrame, threshold: float = THRESHOLD, per_left: int
                 s = np.round(m @ np.array(group["v"].tolist()).T, 6)
                 i, j = np.nonzero(s > threshold)
                 keep = own_path[i] < path[j]
-                yield pd.DataFrame({"a": own_path[i[keep]], "b": path[j[keep]], "score": s[i[keep], j[keep]]})
+                met = pd.DataFrame({"a": own_path[i[keep]], "b": path[j[keep]], "score": s[i[keep], j[keep]]})
+                # no more of a note's pairs can be among its best than of each block
+                yield met.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(per_left)
 
     # the unit's own vectors come first, and again among all: a pair within a tile is met from its left end
     both = rows.where("own").withColumn("_o", F.lit(0)).unionByName(rows.withColumn("own", F.lit(False)).withColumn("_o", F.lit(1)))
@@ -133,6 +138,31 @@ def nearest(new: DataFrame, notes: DataFrame, k: int, threshold: float) -> DataF
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def matching(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """The pairs (a, b, score) that a loop would take best first, each note in one pair at most.
+
+    Rounds: a pair that is the best one left for both its ends is taken, whatever the others are, and the pairs
+    of its ends go. The order is total (score, then a, then b), so that this takes the same pairs as the loop;
+    a round settles every pair that has no better neighbour, wherever it lies.
+    """
+    left, taken = settle(pairs.select("a", "b", "score")), None
+    for _ in range(rounds):
+        ends = left.select(F.col("a").alias("end"), "score", "a", "b").unionByName(left.select(F.col("b").alias("end"), "score", "a", "b"))
+        # the least of (-score, a, b) is the first in order
+        first = ends.groupBy("end").agg(F.min(F.struct((-F.col("score")).alias("s"), "a", "b")).alias("m"))
+        won = first.groupBy("m").agg(F.count("*").alias("n")).where("n = 2").select("m.a", "m.b", (-F.col("m.s")).alias("score"))
+        won = settle(won)
+        if not won.limit(1).count():
+            break
+        taken = won if taken is None else taken.unionByName(won)
+        gone = won.select(F.col("a").alias("end")).unionByName(won.select(F.col("b").alias("end")))
+        left = settle(left.join(gone.withColumnRenamed("end", "a"), "a", "left_anti").join(gone.withColumnRenamed("end", "b"), "b", "left_anti").select("a", "b", "score"))
+    else:
+        if left.limit(1).count():
+            raise RuntimeError(f"pairs are left after {rounds} rounds")
+    return left.limit(0) if taken is None else taken
+
+
 def best_pairs(pairs: DataFrame, k: int = TOP) -> DataFrame:
     return pairs.orderBy(F.desc("score"), "a", "b").limit(k)
 

@@ -148,12 +148,12 @@ def with_session_events(event: DataFrame, given: DataFrame, keys: DataFrame) ->
     return kept.unionByName(given.dropDuplicates(["event_id"]), allowMissingColumns=True)
 
 
-def merged_pairs(memory: DataFrame, pairs: DataFrame, merge: Callable[[Column, Column], Column], ts: str) -> dict[str, DataFrame]:
-    """Disjoint pairs (a, b, path): a new note of both bodies under ``path``; its sources are superseded,
-    never lost. The tables ``memory``, ``memory_supersedes`` and ``memory_revision``."""
+def merged_pairs(memory: DataFrame, pairs: DataFrame, merge: Callable[[Column, Column], Column] | None, ts: str) -> dict[str, DataFrame]:
+    """Disjoint pairs (a, b, path): a new note under ``path``, of both bodies or, without ``merge``, with the pair's
+    ``body``; its sources are superseded, never lost. The tables ``memory``, ``memory_supersedes`` and ``memory_revision``."""
     bodies = memory.select("path", "content")
     met = pairs.join(bodies.select(F.col("path").alias("a"), F.col("content").alias("_ca")), "a").join(bodies.select(F.col("path").alias("b"), F.col("content").alias("_cb")), "b")
-    values = {"path": F.col("path"), "content": merge(F.col("_ca"), F.col("_cb")), "status": F.lit("active"), "created_by": F.lit("consolidate"), "updated_at": F.lit(ts), "ingested_at": F.lit(ts), "valid_from": F.lit(ts), "consolidated_from": F.array("a", "b")}
+    values = {"path": F.col("path"), "content": merge(F.col("_ca"), F.col("_cb")) if merge else F.col("body"), "status": F.lit("active"), "created_by": F.lit("consolidate"), "updated_at": F.lit(ts), "ingested_at": F.lit(ts), "valid_from": F.lit(ts), "consolidated_from": F.array("a", "b")}
     kinds = {f.name: f.dataType for f in schemas()["memory"]}
     new = met.select(*[values.get(c, F.lit(None)).cast(kinds[c] if c in kinds else memory.schema[c].dataType).alias(c) for c in memory.columns])
     sources = pairs.select(F.col("a").alias("from_path"), F.col("path").alias("to_path")).unionByName(pairs.select(F.col("b").alias("from_path"), F.col("path").alias("to_path")))
@@ -164,26 +164,33 @@ def merged_pairs(memory: DataFrame, pairs: DataFrame, merge: Callable[[Column, C
 
 
 def admitted(memory: DataFrame, candidates: DataFrame, event: DataFrame, n_events: int | None = None) -> DataFrame:
-    """Candidates (path, content, ...) of one session that are valid, with ``status`` after the gates.
+    """Candidates (path, content, ...) that are valid, with ``status`` after the gates: of one session, whose events
+    are given, or with a column ``session_key`` of many at once, each against its own events.
 
     A note that isn't active yet waits for review if its tokens are hardly grounded in the session's
     events, or if it is a directive from a thin session that active notes of its kind don't support.
     Tokens meet in joins; no session's text is put together.
     """
-    good = candidates.where(F.size(X.validation_errors(F.col("path"), F.col("content"))) == 0).dropDuplicates(["path"])
+    many = "session_key" in candidates.columns
+    good = candidates.where(F.size(X.validation_errors(F.col("path"), F.col("content"))) == 0)
+    if many:
+        good = good.dropDuplicates(["session_key", "path"])
+        mine, event = good.withColumn("_session", F.col("session_key")), event.withColumn("_session", F.col("session_key"))
+    else:
+        good = good.dropDuplicates(["path"])
+        mine, event = good.withColumn("_session", F.lit("")), event.withColumn("_session", F.lit(""))
     body = F.concat_ws(" ", "prompt", "tool_input", "tool_response")
-    told = event.select(body.alias("content")).where(F.trim("content") != "")
-    ground = gates.novelty(good, told)  # the share that isn't found; without any source all is taken as grounded
+    told = event.select("_session", body.alias("content")).where(F.trim("content") != "")
+    mine = mine.withColumn("_id", F.to_json(F.array("_session", "path")))
+    ground = gates.novelty_by(mine, told, "_session", "_id")  # the share that isn't found
     active = memory.where(F.coalesce("status", F.lit("active")) == "active")
-    known = active.join(good.select("path"), "path", "left_semi").select("path", F.lit(True).alias("_known"))
+    known = active.join(good.select("path").distinct(), "path", "left_semi").select("path", F.lit(True).alias("_known"))
     others = active.where("content is not null").join(good.select("path"), "path", "left_anti").withColumn("_kind", X.kind_of(F.col("path")))
     few = others.withColumn("_n", F.row_number().over(Window.partitionBy("_kind").orderBy("path"))).where(F.col("_n") <= CORPUS)
-    new = gates.novelty_by(good.withColumn("_kind", X.kind_of(F.col("path"))), few, "_kind")
-    n = event.count() if n_events is None else n_events
-    sourced = told.limit(1).count() > 0
-    rows = good.join(ground.withColumnRenamed("novelty", "_unfounded"), "path").join(new.withColumnRenamed("novelty", "_novel"), "path").join(known, "path", "left")
-    thin = (F.lit(1.0) - F.col("_unfounded") < gates.GROUNDED) if sourced else F.lit(False)
-    risky = gates.poisoning(F.col("content"), F.lit(n), F.col("_novel")) if n else F.lit(False)
-    held = F.col("_known").isNull() & (thin | risky)
+    new = gates.novelty_by(mine.withColumn("_kind", X.kind_of(F.col("path"))), few, "_kind", "_id")
+    sizes = event.groupBy("_session").agg((F.count("*") if n_events is None else F.lit(n_events)).alias("_events"), F.count(F.when(F.trim(body) != "", 1)).alias("_told"))
+    rows = mine.join(ground.withColumnRenamed("novelty", "_unfounded"), "_id").join(new.withColumnRenamed("novelty", "_novel"), "_id").join(known, "path", "left").join(sizes, "_session", "left")
+    thin = (F.col("_told") > 0) & (F.lit(1.0) - F.col("_unfounded") < gates.GROUNDED)  # without any source all is taken as grounded
+    risky = (F.col("_events") > 0) & gates.poisoning(F.col("content"), F.col("_events"), F.col("_novel"))
+    held = F.col("_known").isNull() & (F.coalesce(thin, F.lit(False)) | F.coalesce(risky, F.lit(False)))
     return rows.withColumn("status", F.when(held, "pending_review").otherwise("active")).select(*good.columns, "status")
-

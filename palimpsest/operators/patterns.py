@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, pattern_id, slug
-from ..schema import PROMPT_EVENTS
+from ..schema import CALL_EVENT, FILE_TOOLS, PROMPT_EVENTS, SHELL_TOOLS
 
 LEAST, MOST, SIMILAR, PROMPTS, SHORT, SAMPLES = 3, 20, 0.8, 500, 8, 5
 
@@ -23,19 +23,24 @@ def since(text: str) -> Column:
     return F.expr(f"INTERVAL {int(m[1])} {dict(h='HOUR', d='DAY', m='MINUTE')[m[2]]}")
 
 
+def _called(calls: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """What was captured before a tool of these ran: a call that is captured afterwards as well counts once."""
+    return calls.where((F.col("event_name") == CALL_EVENT) & F.col("tool_name").isin(*tools))
+
+
 def repeated_commands(calls: DataFrame, least: int = LEAST, limit: int = MOST) -> DataFrame:
-    """Calls (command, cwd) by normalized command; ties by the command."""
-    c = calls.withColumn("command", collapse(F.col("command"))).where("command <> ''")
+    """Shell calls (event_name, tool_name, command, cwd) by normalized command; ties by the command."""
+    c = _called(calls, SHELL_TOOLS).withColumn("command", collapse(F.col("command"))).where("command <> ''")
     # counted by folder first, so that a hot command is combined map-side; only the top ones gather folders
     two = c.groupBy("command", "cwd").agg(F.count("*").alias("k"))
     top = two.groupBy("command").agg(F.sum("k").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "command").limit(limit)
     by = two.join(F.broadcast(top), "command").groupBy("command", "n").agg(F.sort_array(F.collect_set("cwd")).alias("cwds")).orderBy(F.desc("n"), "command")
-    return by.withColumn("id", pattern_id(F.lit("command"), F.col("command")))
+    return by.withColumn("id", pattern_id(F.lit("cmd"), F.col("command")))
 
 
 def hot_files(calls: DataFrame, least: int = LEAST, limit: int = MOST) -> DataFrame:
-    """Calls (file_path, tool_name): counts in two levels, so that a hot file is combined map-side."""
-    two = calls.where("file_path is not null").groupBy("file_path", "tool_name").agg(F.count("*").alias("k"))
+    """File calls (event_name, tool_name, file_path): counts in two levels, so that a hot file is combined map-side."""
+    two = _called(calls, FILE_TOOLS).where("file_path is not null").groupBy("file_path", "tool_name").agg(F.count("*").alias("k"))
     by = two.groupBy("file_path").agg(F.sum("k").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool_name", "k")))).alias("tools"))
     by = by.where(F.col("n") >= least).orderBy(F.desc("n"), "file_path").limit(limit)
     return by.withColumn("id", pattern_id(F.lit("file"), F.col("file_path")))
@@ -110,7 +115,7 @@ def prompt_drafts(clusters: DataFrame, columns: bool = False):
 
 
 def detected(calls: DataFrame, least: int = LEAST, limit: int = MOST, prompts: DataFrame | None = None) -> DataFrame:
-    """(kind, subject, n, id, path, content) of the detectors over calls (command, cwd, file_path, tool_name)
+    """(kind, subject, n, id, path, content) of the detectors over calls (event_name, tool_name, command, cwd, file_path)
     and prompts (event_id, ts, prompt, embedding), each with the note it would become."""
     commands, files = repeated_commands(calls.where("command is not null"), least, limit), hot_files(calls, least, limit)
     one = commands.select(F.lit("command").alias("kind"), F.col("command").alias("subject"), "n", "id", *drafts(commands, columns=True))

@@ -300,16 +300,20 @@ def session_resolve(spark, d):
 # --- patterns ---
 
 
-@query("""SELECT command, n, cwds, substr(sha1('command|' || command), 1, 6) AS id FROM (
-SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS command, count(*) AS n, array_to_string(list_sort(list_distinct(list(cwd))), ',') AS cwds FROM activity GROUP BY 1) WHERE n >= 3 ORDER BY n DESC, command LIMIT 20""")
+def _calls(spark, d) -> DataFrame:
+    return A.activity(spark, d).withColumn("tool_name", F.col("tool"))
+
+
+@query("""SELECT command, n, cwds, substr(sha1('cmd|' || command), 1, 6) AS id FROM (
+SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS command, count(*) AS n, array_to_string(list_sort(list_distinct(list(cwd))), ',') AS cwds FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Bash', 'BashOutput', 'run_shell_command', 'shell') GROUP BY 1) WHERE n >= 3 ORDER BY n DESC, command LIMIT 20""")
 def repeated_commands(spark, d):
-    return patterns.repeated_commands(A.activity(spark, d)).withColumn("cwds", F.array_join("cwds", ","))
+    return patterns.repeated_commands(_calls(spark, d)).withColumn("cwds", F.array_join("cwds", ","))
 
 
-@query("""SELECT file_path, sum(k)::BIGINT AS n, string_agg(tool_name || '=' || k, ',' ORDER BY tool_name) AS tools, substr(sha1('file|' || file_path), 1, 6) AS id
-FROM (SELECT file_path, tool_name, count(*) AS k FROM activity GROUP BY ALL) GROUP BY file_path HAVING sum(k) >= 3 ORDER BY n DESC, file_path LIMIT 20""")
+@query("""SELECT file_path, sum(k)::BIGINT AS n, string_agg(tool || '=' || k, ',' ORDER BY tool) AS tools, substr(sha1('file|' || file_path), 1, 6) AS id
+FROM (SELECT file_path, tool, count(*) AS k FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Read', 'Edit', 'Write', 'NotebookEdit', 'MultiEdit', 'edit', 'write_file', 'replace') GROUP BY ALL) GROUP BY file_path HAVING sum(k) >= 3 ORDER BY n DESC, file_path LIMIT 20""")
 def hot_files(spark, d):
-    return patterns.hot_files(A.activity(spark, d)).withColumn("tools", F.array_join(F.transform(F.map_entries("tools"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+    return patterns.hot_files(_calls(spark, d)).withColumn("tools", F.array_join(F.transform(F.map_entries("tools"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("""SELECT session, project, n FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, first) AS r FROM (
@@ -336,16 +340,16 @@ def prompt_clusters(spark, d):
     return patterns.prompt_clusters(asked, similar=0.35).select(F.sha1("exemplar").alias("exemplar"), "n", F.array_join("events", ",").alias("events"), "id")
 
 
-@query("""SELECT 'tools/run/usage.md' AS path, sha1(concat('---\ntitle: run usage\nkind: tool\npromoted_from_pattern: ', substr(sha1('command|' || c), 1, 6), '\n---\n\nFrequently-run command (observed ', n, 'x across sessions):\n\n```\n', c, '\n```\n')) AS content
-FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS c, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, c LIMIT 20)""")
+@query("""SELECT 'tools/run/usage.md' AS path, sha1(concat('---\ntitle: run usage\nkind: tool\npromoted_from_pattern: ', substr(sha1('cmd|' || c), 1, 6), '\n---\n\nFrequently-run command (observed ', n, 'x across sessions):\n\n```\n', c, '\n```\n')) AS content
+FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS c, count(*) AS n FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Bash', 'BashOutput', 'run_shell_command', 'shell') GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, c LIMIT 20)""")
 def pattern_drafts(spark, d):
-    return patterns.drafts(patterns.repeated_commands(A.activity(spark, d))).select("path", F.sha1("content").alias("content"))
+    return patterns.drafts(patterns.repeated_commands(_calls(spark, d))).select("path", F.sha1("content").alias("content"))
 
 
 @query("""SELECT concat('project/hot-file-', split_part(f, '.', 1), '.md') AS path, sha1(concat('---\ntitle: Hot file — ', f, '\nkind: project\npromoted_from_pattern: ', substr(sha1('file|' || file_path), 1, 6), '\n---\n\n`', file_path, '` is touched repeatedly (', n, 'x; ', tools, '). Likely a hot path worth dedicated attention or a project-level note.\n')) AS content
-FROM (SELECT file_path, split_part(file_path, '/', -1) AS f, sum(k)::BIGINT AS n, string_agg(tool_name || '=' || k, ', ' ORDER BY tool_name) AS tools FROM (SELECT file_path, tool_name, count(*) AS k FROM activity GROUP BY ALL) GROUP BY file_path HAVING sum(k) >= 3 ORDER BY n DESC, file_path LIMIT 20)""")
+FROM (SELECT file_path, split_part(file_path, '/', -1) AS f, sum(k)::BIGINT AS n, string_agg(tool || '=' || k, ', ' ORDER BY tool) AS tools FROM (SELECT file_path, tool, count(*) AS k FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Read', 'Edit', 'Write', 'NotebookEdit', 'MultiEdit', 'edit', 'write_file', 'replace') GROUP BY ALL) GROUP BY file_path HAVING sum(k) >= 3 ORDER BY n DESC, file_path LIMIT 20)""")
 def file_pattern_drafts(spark, d):
-    return patterns.file_drafts(patterns.hot_files(A.activity(spark, d))).select("path", F.sha1("content").alias("content"))
+    return patterns.file_drafts(patterns.hot_files(_calls(spark, d))).select("path", F.sha1("content").alias("content"))
 
 
 # --- text ---
@@ -388,7 +392,7 @@ def egress_policy(spark, d):
     return s.select("session", gates.egress_blocked(provider, F.col("sensitive"), F.col("session") % 3 == 0).alias("blocked"))
 
 
-_NOTE = "CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN concat('---\ntitle: t', CAST(doc_id AS STRING), '\nkind: Tool\n---\n', text) WHEN 2 THEN concat('---\nkind: rule\n---\n', text) WHEN 3 THEN concat('---\ntitle: open\n', text) ELSE concat('---\ntitle: x\n---\n\n', text) END"
+_NOTE = "CASE WHEN doc_id % 10 = 7 THEN concat('---\ntitle: x\nkind: tool and more\n---\n', text) ELSE CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN concat('---\ntitle: t', CAST(doc_id AS STRING), '\nkind: Tool\n---\n', text) WHEN 2 THEN concat('---\nkind: rule\n---\n', text) WHEN 3 THEN concat('---\ntitle: open\n', text) ELSE concat('---\ntitle: x\n---\n\n', text) END END"
 _NOTES = f", note AS (SELECT doc_id, path, {_NOTE.replace('AS STRING', 'AS VARCHAR').replace('text', 'content')} AS c FROM memory)"
 _FM = "regexp_extract(c, '(?s)^---\\s*\n(.*?)\n---\\s*\n', 1)"
 
@@ -397,7 +401,7 @@ def _note(spark, d):
     return spread(_memory(spark, d).select("doc_id", "path", "content")).withColumn("c", F.expr(_NOTE.replace("text", "content").replace("\n", "\\n")))
 
 
-@query(f"SELECT path, nullif(trim(regexp_extract({_FM}, '(?m)^title:[ \t]*(\\S.*)$', 1)), '') AS title, nullif(lower(regexp_extract({_FM}, '(?m)^kind:[ \t]*(\\S+)', 1)), '') AS kind FROM note", _NOTES)
+@query(f"SELECT path, nullif(trim(regexp_extract({_FM}, '(?m)^title:[ \t]*(\\S.*)$', 1)), '') AS title, nullif(lower(regexp_extract({_FM}, '(?m)^kind:\\s*([A-Za-z]+)\\s*$', 1)), '') AS kind FROM note", _NOTES)
 def frontmatter_parse(spark, d):
     return _note(spark, d).select("path", X.title(F.col("c")).alias("title"), X.kind_field(F.col("c")).alias("kind"))
 
@@ -407,7 +411,7 @@ CASE WHEN length(c) < 30 THEN 'too short' END, CASE WHEN length(c) > 20000 THEN
 CASE WHEN NOT m THEN 'missing frontmatter' END,
 CASE WHEN m AND t IS NULL THEN 'missing title' END, CASE WHEN m AND k IS NULL THEN 'missing kind' END,
 CASE WHEN m AND k NOT IN ('profile', 'tool', 'project', 'general') THEN 'bad kind' END], lambda x: x IS NOT NULL)) AS error
-FROM (SELECT c, regexp_matches(c, '(?s)^---\\s*\n(.*?)\n---\\s*\n') AS m, nullif(trim(regexp_extract({_FM}, '(?m)^title:[ \t]*(\\S.*)$', 1)), '') AS t, nullif(lower(regexp_extract({_FM}, '(?m)^kind:[ \t]*(\\S+)', 1)), '') AS k FROM note)) GROUP BY error""", _NOTES)
+FROM (SELECT c, regexp_matches(c, '(?s)^---\\s*\n(.*?)\n---\\s*\n') AS m, nullif(trim(regexp_extract({_FM}, '(?m)^title:[ \t]*(\\S.*)$', 1)), '') AS t, nullif(lower(regexp_extract({_FM}, '(?m)^kind:\\s*([A-Za-z]+)\\s*$', 1)), '') AS k FROM note)) GROUP BY error""", _NOTES)
 def validate_memories(spark, d):
     e = _note(spark, d).select(F.explode(X.validation_errors(F.col("path"), F.col("c"))).alias("error"))
     return e.groupBy("error").agg(F.count("*").alias("n"))
@@ -690,10 +694,10 @@ def coerced_importance(spark, d):
     return _memory(spark, d).select("path", S.coerced_importance(told).alias("importance"))
 
 
-@query("""SELECT 'command' AS kind, command AS subject, n FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS command, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, command LIMIT 20)
-UNION ALL SELECT 'file', file_path, n FROM (SELECT file_path, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, file_path LIMIT 20)""")
+@query("""SELECT 'command' AS kind, command AS subject, n FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS command, count(*) AS n FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Bash', 'BashOutput', 'run_shell_command', 'shell') GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, command LIMIT 20)
+UNION ALL SELECT 'file', file_path, n FROM (SELECT file_path, count(*) AS n FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Read', 'Edit', 'Write', 'NotebookEdit', 'MultiEdit', 'edit', 'write_file', 'replace') GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, file_path LIMIT 20)""")
 def all_patterns(spark, d):
-    return patterns.detected(A.activity(spark, d)).select("kind", "subject", "n")
+    return patterns.detected(_calls(spark, d)).select("kind", "subject", "n")
 
 
 @query(f"SELECT project, sum(length(content))::BIGINT AS size, sum(length(content)) > 12000 AS paths_only FROM memory WHERE {_LIVE} GROUP BY project")

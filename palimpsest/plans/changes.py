@@ -11,7 +11,7 @@ from .. import adapters as A
 from ..functions import text as X
 from ..operators import consolidate, gates, history, lifecycle, patterns, sessions
 from ..providers import distilled
-from ..schema import violations
+from ..schema import conform, schemas, violations
 from ..shared import fresh_dir, settle, spread
 from ..store import Store, revisions_on_change, upserted
 from .catalog import _LIVE, _PAIRS, _RANK, _SESSION, _TOK, _UPDATED, _memory, _now, _pairs, _session, _sql_scrub, query
@@ -224,6 +224,31 @@ def backup_restored(spark, d):
     return functools.reduce(DataFrame.unionByName, [got[k].select(F.lit(k).alias("name"), F.col(v).alias("key")) for k, v in keys.items()])
 
 
+_LINEAGE = """concat('{"version":2,"memories":[{"path":"', path, '"', CASE WHEN doc_id % 2 = 0 THEN ',"content":"body","importance":null' ELSE ',"content":null,"project":"px","embedding":[1.0]' END, '}],"memory_revisions":[{"path":"',
+CASE WHEN doc_id % 3 = 0 THEN 'general/none.md' ELSE path END, '","ts":"2024-01-0', doc_id % 3, '","content_snapshot":"was","status":"active","operation":"edit"},7],"supersessions":[{"from_path":"', path, '","to_path":"',
+CASE WHEN doc_id % 4 = 0 THEN 'general/none.md' ELSE path END, '"},{"from_path":""}]}')"""
+
+
+@query("""SELECT 'note' AS kind, path AS key, concat(CASE WHEN doc_id % 2 = 0 THEN 'body' END, '|', CASE WHEN doc_id % 2 = 0 THEN project ELSE 'px' END, '|', CASE WHEN doc_id % 2 = 1 THEN importance END) AS value FROM memory
+UNION ALL SELECT 'revision', path, concat('2024-01-0', doc_id % 3, 'active') FROM memory WHERE doc_id % 3 > 0 UNION ALL SELECT 'supersedes', path, path FROM memory WHERE doc_id % 4 > 0""")
+def lineage_restored(spark, d):
+    """A backup of all notes comes back over them, twice: fields that it names, revisions and supersessions."""
+    from ..sources import backup
+
+    m = _memory(spark, d)
+    docs = m.select(F.expr(_LINEAGE).alias("value"))
+    new = backup.restored(backup.entries(docs.unionByName(docs)))
+    old = conform(m, "memory")
+    notes = backup.patched(old, new["memory"], "path", nulls=True)
+    none = {k: spark.createDataFrame([], schemas()[k]) for k in ("memory_revision", "memory_supersedes")}
+    told = backup.lineage(notes, *none.values(), new)
+    told = backup.lineage(notes, *told.values(), new)
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("content", "project", "importance")]
+    rows = notes.select(F.lit("note").alias("kind"), F.col("path").alias("key"), F.concat_ws("|", *said).alias("value"))
+    rows = rows.unionByName(told["memory_revision"].select(F.lit("revision").alias("kind"), F.col("path").alias("key"), F.concat("ts", "prior_status").alias("value")))
+    return rows.unionByName(told["memory_supersedes"].select(F.lit("supersedes").alias("kind"), F.col("from_path").alias("key"), F.col("to_path").alias("value")))
+
+
 @query("""SELECT path, concat('{"path":"', path, '"', CASE WHEN project IS NULL THEN '' ELSE concat(',"project":"', project, '"') END, CASE WHEN status IS NULL THEN '' ELSE concat(',"status":"', status, '"') END, '}') AS line FROM memory""")
 def backup_lines(spark, d):
     """A line of a backup leaves out what is null."""
@@ -329,9 +354,9 @@ def pairs_merged(spark, d):
     return after.select("path", "status", F.sha1("content").alias("body"))
 
 
-@query("""SELECT 'tools/run/usage.md' AS path, 'user' AS created_by, substr(sha1('command|' || c), 1, 6) AS promoted_from_pattern, 'active' AS status FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS c, count(*) AS n FROM activity GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, c LIMIT 1)""")
+@query("""SELECT 'tools/run/usage.md' AS path, 'user' AS created_by, substr(sha1('cmd|' || c), 1, 6) AS promoted_from_pattern, 'active' AS status FROM (SELECT trim(regexp_replace(command, '\\s+', ' ', 'g')) AS c, count(*) AS n FROM activity WHERE event_name = 'PreToolUse' AND tool IN ('Bash', 'BashOutput', 'run_shell_command', 'shell') GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, c LIMIT 1)""")
 def pattern_promoted(spark, d):
-    top = patterns.repeated_commands(A.activity(spark, d)).orderBy(F.desc("n"), "command").limit(1)
+    top = patterns.repeated_commands(A.activity(spark, d).withColumn("tool_name", F.col("tool"))).orderBy(F.desc("n"), "command").limit(1)
     new = top.select(*patterns.drafts(top, columns=True), F.col("id").alias("promoted_from_pattern"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("project"))
     return upserted(_memory(spark, d), new, TS, "user").select("path", "created_by", "promoted_from_pattern", "status")
 

@@ -15,7 +15,9 @@ RESULT_STATUS = {"approve": "active", "reject": "rejected", "supersede": "supers
 MODES = ("session_start", "prompt_context", "tool_context")
 PATH = r"^(profile|tools|project|general)/[A-Za-z0-9._/-]+\.md\z"
 PROMPT_EVENTS = ("UserPromptSubmit", "BeforeAgent")
-TOOL_EVENTS = ("PreToolUse", "BeforeTool")
+CALL_EVENT = "PreToolUse"
+SHELL_TOOLS = ("Bash", "BashOutput", "run_shell_command", "shell")
+FILE_TOOLS = ("Read", "Edit", "Write", "NotebookEdit", "MultiEdit", "edit", "write_file", "replace")
 
 
 def _of(**fields: str) -> T.StructType:

@@ -152,7 +152,7 @@ class Engine:
         if since:
             cutoff = F.date_format(F.lit(self.now).cast("timestamp") - patterns.since(since), "yyyy-MM-dd'T'HH:mm:ss'Z'")
             e = e.where(F.col("timestamp") >= cutoff)
-        calls = e.select(X.command_of(F.col("tool_input")).alias("command"), X.file_of(F.col("tool_input")).alias("file_path"), "tool_name", "cwd")
+        calls = e.select("event_name", X.command_of(F.col("tool_input")).alias("command"), X.file_of(F.col("tool_input")).alias("file_path"), "tool_name", "cwd")
         prompts = None
         if self.embed:
             asked = patterns.newest_prompts(e.select("event_id", F.col("timestamp").alias("ts"), "event_name", "prompt"))
@@ -292,34 +292,43 @@ class Engine:
     # --- distillation ---
 
     def write_candidates(self, session_key: str, candidates: DataFrame, watermark: str, provider: str, model: str, project: str | None = None) -> int:
-        """Candidates (path, content, importance) of a session through all gates into the store.
+        """Candidates (path, content, importance) of a session through all gates into the store."""
+        told = candidates.select(F.lit(session_key).alias("session_key"), F.lit(watermark).alias("watermark"), "path", "content", "importance")
+        marks = self.store.spark.createDataFrame([(session_key, watermark)], "session_key string, watermark string")
+        return self.write_sessions(told, marks, provider, model, project)
+
+    def write_sessions(self, candidates: DataFrame, marks: DataFrame, provider: str, model: str, project: str | None = None) -> int:
+        """Candidates (session_key, watermark, path, content, importance) of any number of sessions through all gates into
+        the store, in one plan and one commit; how many are taken.
 
         Invalid ones are dropped; badly grounded ones that aren't active yet, and directives from a
-        thin source that nothing known supports, wait for review; changed bodies leave a revision.
-        The bookmark moves on in any case. All of it is one commit.
+        thin source that nothing known supports, wait for review; changed bodies leave a revision. The bookmarks of all
+        sessions of ``marks`` (session_key, watermark) move on, whatever came of them. A note that several sessions tell
+        of has the last one's body, is active if any of them makes it so, and is linked to all.
         """
         store, ts = self.store, self.now
-        events = store.read("event").where(F.col("session_key") == session_key)
+        events = store.read("event").join(marks.select("session_key"), "session_key", "left_semi")
         old = store.read("memory")
-        rows = lifecycle.admitted(old, candidates, events)
-        rows = settle(rows.select("path", "content", scoring.coerced_importance(F.col("importance").cast("string")).alias("importance"), F.lit(project).alias("project"), "status"))
-        n = rows.count()
+        told = lifecycle.admitted(old, candidates, events)
+        told = settle(told.select("session_key", "watermark", "path", "content", scoring.coerced_importance(F.col("importance").cast("string")).alias("importance"), F.lit(project).alias("project"), "status"))
+        n = told.count()
         sessions_ = store.read("session")
-        marks = store.spark.createDataFrame([(session_key, watermark)], "session_key string, watermark string")
-        run = store.spark.createDataFrame([(f"{session_key}@{ts}", ts, provider, model)], "run_id string, ts string, provider string, model string")
+        run = marks.select(F.concat("session_key", F.lit(f"@{ts}")).alias("run_id"), F.lit(ts).alias("ts"), F.lit(provider).alias("provider"), F.lit(model).alias("model"))
         moved = {"session": lifecycle.marked(sessions_, marks)}
         if not n:
             store.commit(append={"dream_run": run}, write=moved, unique=False)
             return 0
         body = F.concat_ws(" ", "prompt", "tool_input", "tool_response")
         # links have both ends: only sessions and events that are there are linked to
-        told = rows.withColumn("session_key", F.lit(session_key))
         bridge = told.select("path", "session_key").join(sessions_.select("session_key"), "session_key", "left_semi").select("path", "session_key")
         links = gates.attribution(told, events.withColumn("body", body)).select("path", "event_id")
         new_bridge = bridge.join(store.read("memory_session"), ["path", "session_key"], "left_anti")
         new_links = links.join(store.read("memory_event"), ["path", "event_id"], "left_anti")
         by = f"dream_{provider}"
-        self._upsert(old, rows, by, by, {"memory_session": new_bridge, "memory_event": new_links, "dream_run": run}, moved)
+        last = F.max_by(F.struct("content", "importance", "project"), F.struct("watermark", "session_key")).alias("_l")
+        held = F.when(F.bool_or(F.col("status") == "active"), "active").otherwise("pending_review").alias("status")
+        notes = told.groupBy("path").agg(last, held).select("path", "_l.*", "status")
+        self._upsert(old, notes, by, by, {"memory_session": new_bridge, "memory_event": new_links, "dream_run": run}, moved)
         return n
 
     def distill(self, provider: Callable[[str, str], list[dict]], name: str, model: str, budget: int = 16_000, allowed: bool = False) -> int:
@@ -333,11 +342,10 @@ class Engine:
         latest = event.groupBy("session_key").agg(F.max_by("timestamp", "seq").alias("watermark"))
         existing = self.existing()
         got = settle(distilled(asked.join(latest, "session_key"), provider, existing))
-        written = 0
-        for r in got.select("session_key", "watermark").distinct().toLocalIterator():
-            notes = got.where((F.col("session_key") == r["session_key"]) & F.col("path").isNotNull()).select("path", "content", "importance")
-            written += self.write_candidates(r["session_key"], notes, r["watermark"], name, model)
-        return written
+        marks = got.select("session_key", "watermark").distinct()
+        if not marks.limit(1).count():
+            return 0
+        return self.write_sessions(got.where("path is not null").select("session_key", "watermark", "path", "content", "importance"), marks, name, model)
 
     def existing(self, project: str | None = None, most: int = 12_000) -> str:
         """What a distiller is told of the notes that exist: whole notes where they fit, else paths."""
@@ -345,25 +353,39 @@ class Engine:
         return retrieval.existing_text([r.asDict() for r in kept.select("path", "content").collect()], most)
 
     def consolidate(self, merge: Callable[[str, str], tuple[str, str]], threshold: float = consolidate.THRESHOLD, rounds: int = 10) -> int:
-        """Merges the most alike pair of active notes, round after round; sources are superseded, never lost."""
-        tried: set = set()
+        """Merges alike pairs of active notes, the best first; sources are superseded, never lost. How many pairs.
+
+        A round is one similarity join and one commit: all pairs that a loop over the best would take, as far as each
+        note's listed partners go, are merged where they lie. Two that would write one path, or one that would write
+        another's source, wait for the next round. A merged note has no vector until it gets its own.
+        """
         done = 0
         for _ in range(rounds):
+            memory = self.store.read("memory")
             m = self._memory().where(retrieval.live() & F.col("embedding").isNotNull())
-            pairs = [r for r in consolidate.best_pairs(consolidate.similar_pairs(m.select("path", "embedding"), threshold)).collect() if (r["a"], r["b"]) not in tried]
-            if not pairs:
+            pairs = consolidate.matching(consolidate.similar_pairs(m.select("path", "embedding"), threshold))
+            bodies = m.select(F.col("path").alias("_p"), F.coalesce("content", F.lit("")).alias("_c"))
+            both = pairs.join(bodies.toDF("a", "ca"), "a").join(bodies.toDF("b", "cb"), "b")
+
+            def run(parts):
+                for pdf in parts:
+                    made = [merge(x, y) for x, y in zip(pdf["ca"], pdf["cb"], strict=True)]
+                    yield pdf[["a", "b", "score"]].assign(path=[p for p, _ in made], body=[c for _, c in made])
+
+            told = settle(both.mapInPandas(run, "a string, b string, score double, path string, body string"))
+            told = told.groupBy("path").agg(F.max_by(F.struct("a", "b", "score", "body"), F.struct("score", "a", "b")).alias("_l")).select("_l.a", "_l.b", "path", "_l.body")
+            ends = told.select(F.col("a").alias("path"), F.struct("a", "b").alias("_of")).unionByName(told.select(F.col("b").alias("path"), F.struct("a", "b").alias("_of")))
+            other = told.join(ends, "path").where(F.struct("a", "b") != F.col("_of")).select("a", "b")
+            told = settle(told.join(other, ["a", "b"], "left_anti"))
+            n = told.count()
+            if not n:
                 break
-            a, b = pairs[0]["a"], pairs[0]["b"]
-            tried.add((a, b))
-            bodies = {r.path: r.content for r in m.where(F.col("path").isin(a, b)).select("path", "content").collect()}
-            path, content = merge(bodies[a], bodies[b])
-            sources = [p for p in (a, b) if p != path]
-            pair = self.store.spark.createDataFrame([(a, b, path)], "a string, b string, path string")
-            tables = lifecycle.merged_pairs(self.store.read("memory"), pair, lambda x, y, c=content: F.lit(c), self.now)
-            moved = consolidate.moved_provenance(self.store.read("memory_session"), sources, path).join(self.store.read("memory_session"), ["path", "session_key"], "left_anti")
+            tables = lifecycle.merged_pairs(memory, told, None, self.now)
+            moves = tables["memory_supersedes"].select(F.col("from_path").alias("path"), "to_path")
+            moved = consolidate.moved_rows(self.store.read("memory_session"), moves).join(self.store.read("memory_session"), ["path", "session_key"], "left_anti")
             more = {"memory_session": moved, "memory_supersedes": tables["memory_supersedes"], "memory_revision": tables["memory_revision"]}
             self.store.commit(append=more, write={"memory": tables["memory"]}, unique=False)
-            done += 1
+            done += n
         return done
 
 

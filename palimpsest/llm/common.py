@@ -6,7 +6,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import fresh_dir, settle, shared_dir  # noqa: F401  used by all operators
@@ -23,6 +23,11 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever they are called: names may hold dots and backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bounds what a Python worker holds at once, by rows and by bytes, for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import columns_of, settle, table
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the tokens that the mixture shall have.
@@ -154,7 +154,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     bound = F.element_at(F.transform(F.transform(features, logs), shares), 1)
     own = {"tokens", *(f"p_{d}" for d in DOMAINS)}
-    return docs.select(*[c for c in docs.columns if c not in own], bound.alias("_m")).select(*[c for c in docs.columns if c not in own], "_m.*")
+    kept = [x for c, x in zip(docs.columns, columns_of(docs), strict=True) if c not in own]
+    return docs.select(*kept, bound.alias("_m")).select(*kept, "_m.*")
 
 
 def rate(steps: list[list[float]]) -> Column:
@@ -235,7 +236,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: the whole part, and once more with the
     chance of the rest, drawn from a hash of the row."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # settled with the rows, so that texts are read for their features but once
     with_p = settle(posteriors(rows, labels, "_id", "_text").drop("_text"))
     drawn = F.pmod(F.xxhash64(F.lit("mix"), "_id", F.col(f"_row.{text_col}")), F.lit(1 << 30)) / F.lit(float(1 << 30))

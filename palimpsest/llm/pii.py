@@ -1,7 +1,9 @@
 """Surrogates for personal data, in DataFrame functions alone.
 
 Entities are found by expressions: e-mail addresses, IPv4 addresses, payment cards, social security
-numbers, telephone numbers, and names after a title. Each is replaced by a keyed surrogate of the
+numbers, telephone numbers, and names: after a title, after words that announce one, or a listed given name with a
+surname. Where a text has named a person once, the person's given name and surname go wherever they stand
+alone in it, each with the surrogate that it has in the full name. Each entity is replaced by a keyed surrogate of the
 same type and format: digits stay digits in the same places, letters stay letters of the same script
 and case, a card keeps whether its check digit holds, an address its class of first octet, a listed
 given name becomes one of the same gender, and any other name keeps its title and its ending, which
@@ -17,7 +19,8 @@ digit of ALPHABETS becomes letters drawn from its keyed hash. The key is the ses
 ``spark.palimpsest.surrogate.key``; the default is for tests, and as public as this file.
 
 Defined results: a null text stays null, an empty one empty; texts without entities stay as they
-are; repeated rows are treated alike; an empty table gives none; further columns pass through, but for
+are; of a name its first mention with a title, a listed given name or an announcement counts in ``n_entities``,
+what stands alone doesn't; repeated rows are treated alike; an empty table gives none; further columns pass through, but for
 one called ``n_entities``, which the result replaces. Very long texts are read whole.
 """
 
@@ -59,6 +62,10 @@ def _further(known: str) -> list[str]:
 
 ALPHABETS = (*_COMMON, *_further("".join(_COMMON)))
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_GIVEN = "|".join(x for xs in NAMES.values() for x in xs)
+#: What announces a name.
+SAID = ("[Mm]y name is", "[Nn]ame:", "[Dd]ear", "[Ss]igned by", "[Rr]egards,", "[Ss]incerely,")
+_CAPITAL = r"\p{Lu}\p{Ll}+"
 #: In the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9À-ÖØ-öø-ÿ](?:[\w.+À-ÖØ-öø-ÿ-]{0,62}[\wÀ-ÖØ-öø-ÿ])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,18}(?![\w@])",
@@ -66,11 +73,13 @@ KINDS = {
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\d)",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w]|[.-]\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w]|[.-]\d)",
-    "name": rf"(?<!\w)(?:{_TITLE})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?(?!\w)",
+    "name": rf"(?<!\w)(?:{_TITLE})\.?\x20{_CAPITAL}(?:\x20{_CAPITAL})?(?!\w)|(?<![\p{{L}}\w])(?:{_GIVEN})\x20{_CAPITAL}(?!\w)|(?<=\b(?:{'|'.join(SAID)})\x20){_CAPITAL}(?:\x20{_CAPITAL})?(?!\w)",
 }
 PATTERN = "|".join(KINDS.values())
 #: The text that any entity has somewhere; what lacks it isn't searched.
-HINT = rf"@|\d\d|\d\.\d\.|\b(?:{_TITLE})\b"
+HINT = rf"@|\d\d|\d\.\d\.|\b(?:{_TITLE}|{'|'.join(SAID)})(?!\w)|\b(?:{_GIVEN})\x20\p{{Lu}}"
+#: A word by itself.
+_ALONE = r"(?<![\p{L}\p{N}_])(?=\p{Lu})(?:%s)(?![\p{L}\p{N}_])"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -268,9 +277,13 @@ def _word(w: Column, key: str) -> Column:
     return out
 
 
+def _named(m: Column) -> Column:
+    """The words of a name, without its title."""
+    return F.split(F.regexp_replace(m, rf"^(?:{_TITLE})\.?\x20", ""), " ")
+
+
 def _name(m: Column, key: str) -> Column:
-    parts = F.split(m, " ")
-    return F.concat_ws(" ", F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda w: _word(w, key)))
+    return F.concat(F.regexp_extract(m, rf"^(?:(?:{_TITLE})\.?\x20)?", 0), F.array_join(F.transform(_named(m), lambda w: _word(w, key)), " "))
 
 
 def kind_of(m: Column) -> Column:
@@ -278,7 +291,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
-        .when(m.rlike(rf"^(?:{_TITLE})\b"), "name")
+        .when(m.rlike(r"^\p{Lu}\p{Ll}+\.?(?:\x20|$)"), "name")
         .when(m.rlike(r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})$"), "card")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .otherwise("phone")
@@ -303,7 +316,7 @@ def canonical(m: Column) -> Column:
 
     def plain(kind):
         digits = F.when(kind.isin("card", "ssn"), _only_digits(m)).when(kind == "phone", _subscriber(m))
-        return digits.when(kind == "name", F.regexp_replace(m, r"^\S+ ", "")).otherwise(F.lower(m))
+        return digits.when(kind == "name", F.array_join(_named(m), " ")).otherwise(F.lower(m))
 
     return _let(kind_of(m), plain)
 
@@ -328,7 +341,19 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFra
     """``docs`` with surrogates in ``text_col``, and the number of entities in ``n_entities``."""
     mine = next(x for x in (f"_pieces{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
     cut = docs.withColumn(mine, pieces(F.col(text_col)))
-    new = F.array_join(F.transform(mine, lambda x, i: F.when(i % 2 == 1, surrogate(x, key)).otherwise(x)), "")
+    names = F.filter(mine, lambda x, i: (i % 2 == 1) & (kind_of(x) == "name"))
+    words = F.array_distinct(F.flatten(F.transform(names, _named)))
+
+    def again(x, alone):
+        """What lies between entities, with the names that the text has given replaced where they stand alone."""
+        found = F.regexp_extract_all(x, alone, F.lit(0))
+        return F.when(F.size(found) == 0, x).otherwise(F.array_join(F.zip_with(F.split(x, alone, -1), found, lambda gap, w: F.concat(gap, F.when(w.isNull(), "").otherwise(_word(w, key)))), ""))
+
+    def joined(ws):
+        alone = F.format_string(_ALONE.replace("%s", "%1$s"), F.array_join(ws, "|"))
+        return F.array_join(F.transform(mine, lambda x, i: F.when(i % 2 == 1, surrogate(x, key)).when(F.size(ws) == 0, x).otherwise(again(x, alone))), "")
+
+    new = _let(words, joined)
     n = F.when(F.col(mine).isNull(), 0).otherwise(F.floor(F.size(mine) / 2))
     return cut.withColumn(text_col, F.when(n > 0, new).otherwise(F.col(text_col))).withColumn("n_entities", n.cast("long")).drop(mine)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, components, hot_join, settle, small_batches, table, tidied
+from .common import HOT_KEYS, columns_of, components, hot_join, settle, small_batches, table, tidied
 
 RADIUS = 4
 #: Fixed values of the contract: words a shingle, and XXH64's seed.
@@ -189,7 +189,7 @@ def kept_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) ->
     stay = settle(stay.select("id", "row", "n"))
     gone = named.select("id", "row").join(stay.select("id", "row"), ["id", "row"], "left_anti")
     # whatever the columns of docs are called
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"))
     if gone.count() <= NAMED and not stay.where("n > 1").limit(1).count():
         some = F.broadcast(gone.select(F.col("id").alias("_i"), F.col("row").alias("_r")))
         return rows.join(some, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_r")), "left_anti").select("_row.*")

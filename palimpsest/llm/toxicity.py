@@ -392,7 +392,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: flo
     """The rows of ``docs``, all columns, whose text scores below ``at``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
-    names, where = docs.columns, docs.columns.index(text_col)
+    where, plain = docs.columns.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever they are called
+    names = plain.columns
 
     def run(batches):
         model = shared.value
@@ -402,4 +403,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: flo
             yield pa.RecordBatch.from_arrays(x.filter(pa.array(keep, pa.bool_())).columns, names=names)
             tidy()
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*docs.columns)

@@ -13,7 +13,7 @@ WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
 
 def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "pii", "mixing", "packing"]
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_takes_effect(spark, sf, tmp_path):
@@ -44,9 +44,9 @@ def odd(spark):
     rng = np.random.default_rng(2)
     long = " ".join(rng.choice(WORDS, 60_000))
     texts = [None, "", " \n", "one", long, "Mrs. Maria Smith wrote to a.b@example.com from 10.1.2.3", "É ß 日本 naïve text of a few more words", "same text here for two rows of it", "same text here for two rows of it", None]
-    rows = [(i, t, "en", "s", None if t is None else len(t), "x", 1.5) for i, t in enumerate(texts)]
-    rows += [(7, "another text under the id of the same text above", "en", "s", 1, "x", 1.5), (None, "a text without an id but with words", "en", "s", 1, "x", None), rows[6]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, score double").repartition(3)
+    rows = [(i, t, "en", "s", None if t is None else len(t), "x", 1.5, "y", 2) for i, t in enumerate(texts)]
+    rows += [(7, "another text under the id of the same text above", "en", "s", 1, "x", 1.5, "y", 2), (None, "a text without an id but with words", "en", "s", 1, "x", None, "y", 2), rows[6]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, score double, `a.b` string, `c``d e` int").repartition(3)
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES, ids=lambda x: x if isinstance(x, str) else "")

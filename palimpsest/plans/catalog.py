@@ -13,6 +13,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import consolidate, gates, history, patterns, recall, sessions, stats
 from ..operators.index import TextIndex
+from ..operators.vectors import VectorIndex
 from ..shared import fresh_dir, spread
 from ..sources import backup, spool
 
@@ -120,6 +121,15 @@ def recall_vector_topk(spark, d):
     return recall.vector_search(e, q)
 
 
+@query("SELECT * FROM v", _VEC)
+def recall_vector_indexed(spark, d):
+    """The same from stored lists, all of them."""
+    e, q = _vector(spark, d)
+    index = VectorIndex(spark, fresh_dir(spark, "vectors"))
+    index.refresh(e.select("path", "embedding"))
+    return index.search(q, recall.overfetch(recall.HITS), e.where(recall.live()).select("path"), exact=True)
+
+
 _FUSE = _bm25("memory", "path", "concat_ws(' ', path, content)") + _VEC + f""",
 ft AS (SELECT k AS path, score FROM bm JOIN memory ON k = path WHERE score > 0.5 AND {_LIVE} ORDER BY score DESC, path LIMIT 15),
 r AS (SELECT path, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, path)) AS s FROM ft

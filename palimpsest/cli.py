@@ -76,7 +76,7 @@ def run(spark: SparkSession, root: str, command: str, args: list[str]):
         "rehearse-restore": lambda folder: backup.rehearse(store, f"{folder}/backup", Store(spark, f"{folder}/scratch")),
         "edit": engine.edit, "delete": engine.delete, "propose": engine.propose,
         "render": lambda file: engine.rendered(open(file, encoding="utf-8").read()),
-        "health": lambda: stats.health(read("memory"), sessions.undreamed(read("session"), read("event")), read("rehearsal_run"), engine.now, dlq=spool.dead_count(spark, f"{root}/_dlq".removeprefix("file://"))),
+        "health": lambda: stats.health(read("memory"), sessions.undreamed(read("session"), read("event")), read("rehearsal_run"), engine.now, dlq=spool.dead_count(spark, f"{root}/_dlq")),
     }
     return table[command](*args)
 

@@ -26,10 +26,19 @@ def timeline(memory: DataFrame, revision: DataFrame, changes_only: bool = False)
 
 def content_as_of(memory: DataFrame, revision: DataFrame, at: DataFrame) -> DataFrame:
     """For requests (path, asof): the snapshot of the first revision after that time, else the
-    current body. One join and an aggregation, however many times are asked for."""
-    later = at.join(revision, "path").where(F.col("ts") > F.col("asof")).groupBy("path", "asof").agg(F.min_by("content", "ts").alias("snapshot"), F.min("ts").alias("until"))
-    out = at.join(later, ["path", "asof"], "left").join(memory.select("path", F.col("content").alias("current")), "path")
-    return out.select("path", "asof", F.coalesce("snapshot", "current").alias("content"), F.col("until").isNull().alias("is_current"))
+    current body.
+
+    One sorted pass: requests and revisions of a note lie in one order, newest first, and each request takes the
+    revision that came last before it. What is shuffled grows with both, never with their product; a request
+    at a revision's own time doesn't see it, and of revisions at one time the least body counts.
+    """
+    asked = at.select("path", F.col("asof").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("struct<ts:string,content:string>").alias("_r"))
+    told = revision.select("path", F.col("ts").alias("_t"), F.lit(1).alias("_kind"), F.struct("ts", "content").cast("struct<ts:string,content:string>").alias("_r"))
+    newest = Window.partitionBy("path").orderBy(F.desc("_t"), "_kind", F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = asked.unionByName(told.where("_t is not null")).withColumn("_r", F.last("_r", ignorenulls=True).over(newest)).where("_kind = 0")
+    seen = seen.withColumn("_r", F.when(F.col("_t").isNotNull(), F.col("_r")))
+    out = seen.join(memory.select("path", F.col("content").alias("current")), "path")
+    return out.select("path", F.col("_t").alias("asof"), F.coalesce("_r.content", "current").alias("content"), F.col("_r").isNull().alias("is_current"))
 
 
 def lineage(memory_event: DataFrame, event: DataFrame, supersedes: DataFrame, contradicts: DataFrame, path: str, k: int = 25) -> dict[str, DataFrame]:

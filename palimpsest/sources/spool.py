@@ -65,8 +65,9 @@ def backlog(spark: SparkSession, folder: str) -> int:
 
 
 def dead_count(spark: SparkSession, folder: str) -> int:
-    """The dead letters in a folder of them, which need not be there yet."""
-    if not os.path.isdir(folder):
+    """The dead letters in a folder of them, a path or a URI, which need not be there yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return 0
     return spark.read.text(folder).where(F.trim("value") != "").count()
 

@@ -5,9 +5,9 @@ import json
 import numpy as np
 import pytest
 from palimpsest.functions import text as X
-from palimpsest.operators import consolidate, patterns
+from palimpsest.operators import consolidate, history
 from palimpsest.service import Engine
-from palimpsest.sources import backup
+from palimpsest.sources import backup, spool
 from palimpsest.store import Store
 from pyspark.sql import functions as F
 
@@ -123,3 +123,25 @@ def test_many_sessions_are_one_commit(spark, store):
     assert got["tools/z0.md"] == ("active", "2") and got["tools/z1.md"] == ("active", "1") and got["tools/alien.md"][0] == "pending_review"
     assert {r.last_dreamed_at for r in store.read("session").collect()} == {f"2026-05-0{i + 1}" for i in range(3)} and store.read("dream_run").count() == 3
     assert {tuple(r) for r in store.read("memory_session").collect()} == {("tools/z0.md", "codex:0"), ("tools/z0.md", "codex:2"), ("tools/z1.md", "codex:1"), ("tools/alien.md", "codex:0")}
+
+
+def test_as_of_thousands_of_times_a_note(spark):
+    rng = np.random.default_rng(6)
+    stamp = lambda n: f"2026-01-01T{n // 3600:02d}:{n // 60 % 60:02d}:{n % 60:02d}Z"
+    revisions = [("a", stamp(t), f"body {t}") for t in sorted(rng.choice(9000, 400, replace=False).tolist())] + [("b", stamp(5), "was")]
+    asked = [("a", stamp(t)) for t in rng.integers(0, 9500, 3000).tolist()] + [("b", stamp(5)), ("b", stamp(4)), ("b", None), ("c", stamp(1)), ("none", stamp(1))]
+    memory = spark.createDataFrame([("a", "now a"), ("b", "now b"), ("c", None)], "path string, content string")
+    got = history.content_as_of(memory, spark.createDataFrame(revisions, "path string, ts string, content string"), spark.createDataFrame(asked, "path string, asof string"))
+    want = []
+    for p, t in asked:
+        later = [(ts, c) for q, ts, c in revisions if q == p and t is not None and ts > t]
+        if p != "none":
+            want.append((p, t, min(later)[1] if later else {"a": "now a", "b": "now b"}.get(p), not later))
+    order = lambda rows: sorted(map(repr, rows))
+    assert order(tuple(r) for r in got.collect()) == order(want)
+
+
+def test_dead_letters_are_counted_by_uri(spark, tmp_path):
+    spark.createDataFrame([("one",), ("two",), (" ",)], "value string").write.text(f"{tmp_path}/dlq")
+    assert spool.dead_count(spark, f"file://{tmp_path}/dlq") == spool.dead_count(spark, f"{tmp_path}/dlq") == 2
+    assert spool.dead_count(spark, f"file://{tmp_path}/none") == 0

@@ -15,6 +15,8 @@ from ..shared import settle
 THRESHOLD, PER_LEFT, TOP, STALE_DAYS = 0.92, 5, 10, 60
 #: Rows of a block, which bounds what a task holds, and pivots at most.
 BLOCK, PIVOTS = 4096, 256
+#: Rows that wait still when ``first_fit`` leaves the rest to one task.
+TAIL = 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -113,6 +115,75 @@ def similar_pairs(notes: DataFrame, threshold: float = THRESHOLD, per_left: int
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_left)
 
 
+def first_fit(rows: DataFrame, similar: float) -> DataFrame:
+    """(place, seed) of rows (place, embedding): in the order of their places each joins the first seed that is
+    more alike than ``similar``, and where there is none becomes a seed, which has its own place as seed.
+
+    What a loop over all rows would give, in rounds. A row looks for the first one before it that is alike,
+    members of clusters left out: if there is none it is a seed, if that is a seed it is the first of them, and if
+    that one waits, so does the row. Each round settles the first of those that wait, at least; rows in no
+    particular order take a number of rounds that grows with its logarithm. The last ``TAIL`` are settled at
+    once. Units of ``_cells`` pass on two places a row and block, never pairs. A null embedding is like no other.
+    """
+    key = F.col("place").cast("string").alias("path")
+    cells = _cells(rows.where("embedding is not null").select(key, "embedding"), similar)
+    dealt = settle(cells.select("unit", "own", F.col("path").cast("long").alias("place"), "v"))
+    state = settle(rows.select("place", F.lit(None).cast("long").alias("seed")))
+
+    def before(parts):
+        unit, held, places, m, place = None, [], [], None, None
+        for pdf in parts:
+            for u, group in pdf.groupby("unit", sort=False):
+                if u != unit:
+                    unit, held, places, m = u, [], [], None
+                asks = group["asks"].to_numpy()
+                if asks.any():
+                    held.append(np.array(group["v"][asks].tolist()))
+                    places.append(group["place"][asks].to_numpy())
+                    m = None
+                group = group[~asks].sort_values("place")
+                if not held or not len(group):
+                    continue
+                if m is None:
+                    m, place = np.concatenate(held), np.concatenate(places)
+                for k in range(0, len(group), 1024):
+                    some = group.iloc[k : k + 1024]
+                    other, seeds = some["place"].to_numpy(), some["settled"].to_numpy()
+                    met = (np.round(m @ np.array(some["v"].tolist()).T, 9) > similar) & (other < place[:, None])
+                    hit = np.flatnonzero(met.any(axis=1))
+                    met = met[hit]
+                    seed = pd.array(other[(met & seeds).argmax(axis=1)], "Int64")
+                    seed[~(met & seeds).any(axis=1)] = pd.NA
+                    yield pd.DataFrame({"place": place[hit], "first": other[met.argmax(axis=1)], "seed_": seed})
+
+    def rest(parts):
+        places, vectors = [], []
+        for pdf in parts:
+            out = []
+            for place, seed, v in zip(pdf["place"], pdf["seed_"], pdf["embedding"], strict=True):
+                mine = None if v is None else _matrix(pd.Series([v]))[0]
+                like = [] if mine is None else (p for p, w in zip(places, vectors, strict=True) if round(float(w @ mine), 9) > similar)
+                out.append(int(min([*([] if pd.isna(seed) else [seed]), *list(like)[:1]], default=place)))
+                if out[-1] == place and mine is not None:
+                    places.append(place)
+                    vectors.append(mine)
+            yield pd.DataFrame({"place": pdf["place"], "seed": out})
+
+    while waiting := state.where("seed is null").count():
+        # what waits asks, and comes first in its unit; all but members are looked at
+        met = dealt.join(state.where("seed is null or seed = place").select("place", F.col("seed").isNotNull().alias("settled")), "place")
+        both = met.where("own and not settled").withColumn("asks", F.lit(True)).unionByName(met.withColumn("asks", F.lit(False)))
+        found = both.drop("own").repartition("unit").sortWithinPartitions("unit", F.desc("asks")).mapInPandas(before, "place long, first long, seed_ long")
+        asked = state.join(found.groupBy("place").agg(F.min("first").alias("first"), F.min("seed_").alias("seed_")), "place", "left")
+        if waiting <= TAIL:
+            last = asked.where("seed is null").join(rows.select("place", "embedding"), "place").select("place", "seed_", "embedding")
+            last = last.repartition(1).sortWithinPartitions("place").mapInPandas(rest, "place long, seed long")
+            return settle(state.where("seed is not null").unionByName(last))
+        now = F.when(F.col("first").isNull(), F.col("place")).when(F.col("first") == F.col("seed_"), F.col("first"))
+        state = settle(asked.select("place", F.coalesce("seed", now).alias("seed")))
+    return state
+
+
 def nearest(new: DataFrame, notes: DataFrame, k: int, threshold: float) -> DataFrame:
     """(path, other, score): for each of a few new notes (path, embedding), collected, its ``k`` nearest of
     ``notes`` over the threshold, itself left out. One pass over the notes."""

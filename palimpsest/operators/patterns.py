@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, pattern_id, slug
 from ..schema import CALL_EVENT, FILE_TOOLS, PROMPT_EVENTS, SHELL_TOOLS
+from ..shared import settle
+from .consolidate import first_fit
 
 LEAST, MOST, SIMILAR, PROMPTS, SHORT, SAMPLES = 3, 20, 0.8, 500, 8, 5
 
@@ -61,27 +61,14 @@ def newest_prompts(events: DataFrame, newest: int = PROMPTS) -> DataFrame:
 
 def prompt_clusters(prompts: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """Greedy first-fit clusters of rows (event_id, ts, prompt, embedding), newest first: a prompt joins
-    the first cluster whose seed is more alike than ``similar``. The order decides, so that the rows,
-    as many as ``newest_prompts`` lets through, are taken as one group."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], ascending=[False, True])
-        seeds: list[np.ndarray] = []
-        members: list[list[int]] = []
-        for i, v in enumerate(pdf["embedding"]):
-            v = np.asarray(v, float)
-            norm = np.linalg.norm(v)
-            v = v / norm if norm else v
-            near = next((k for k, s in enumerate(seeds) if round(float(s @ v), 9) > similar), None)
-            if near is None:
-                seeds.append(v)
-                members.append([i])
-            else:
-                members[near].append(i)
-        rows = [(pdf["prompt"].iloc[m[0]], len(m), [str(pdf["event_id"].iloc[j]) for j in m], [pdf["prompt"].iloc[j] for j in m[:SAMPLES]]) for m in members if len(m) >= least]
-        return pd.DataFrame(rows, columns=["exemplar", "n", "events", "samples"])
-
-    found = prompts.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(cluster, "exemplar string, n int, events array<string>, samples array<string>")
+    the first cluster whose seed is more alike than ``similar``. See ``consolidate.first_fit``."""
+    # ids that grow from partition to partition are places in the order, once they are settled
+    placed = settle(prompts.orderBy(F.desc("ts"), "event_id").withColumn("place", F.monotonically_increasing_id()))
+    rows = placed.drop("embedding").join(first_fit(placed.select("place", "embedding"), similar), "place")
+    clusters = rows.groupBy("seed").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("place", F.col("event_id").cast("string").alias("id")))).alias("events")).where(F.col("n") >= least)
+    few = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("seed").orderBy("place"))).where(F.col("_rank") <= SAMPLES)
+    samples = few.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("place", "prompt")))["prompt"].alias("samples"))
+    found = clusters.join(samples, "seed").select(F.col("samples")[0].alias("exemplar"), "n", F.col("events.id").alias("events"), "samples")
     return found.withColumn("id", pattern_id(F.lit("prompt"), F.col("exemplar")))
 
 

@@ -40,6 +40,11 @@ def schemas() -> dict[str, T.StructType]:
     }
 
 
+def stored() -> dict[str, T.StructType]:
+    """What a store holds: the tables, and the log of accesses that reading folds into the notes."""
+    return schemas() | {"access": _of(path="string", ts="string")}
+
+
 #: Keys that are unique in their table.
 UNIQUE = {"session": "session_key", "event": "event_id", "memory": "path"}
 
@@ -47,7 +52,7 @@ UNIQUE = {"session": "session_key", "event": "event_id", "memory": "path"}
 def conform(df: DataFrame, name: str) -> DataFrame:
     """``df`` with all columns of the table, in order; absent ones are null."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas()[name]])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored()[name]])
 
 
 def violations(df: DataFrame, name: str) -> DataFrame:

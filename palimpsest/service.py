@@ -80,8 +80,8 @@ class Engine:
         hits = retrieval.hybrid_merge(fulltext, vector, m, project, at, k)
         rows = [r.asDict() for r in hits.join(m.select("path", "content"), "path").orderBy(F.desc("score"), "path").collect()]
         if rows:
-            keys = self.store.spark.createDataFrame([(r["path"],) for r in rows], "path string")
-            self.store.commit(write={"memory": lifecycle.bumped(self.store.read("memory"), keys, self.now)}, unique=False)
+            seen = self.store.spark.createDataFrame([(r["path"], self.now) for r in rows], "path string, ts string")
+            self.store.changed(lambda at: self.store.commit(append={"access": seen}, unique=False, at=at))
         return [r | {"score": round(r["score"], 6)} for r in rows]
 
     def project_context(self, project: str | None = None, budget: int = retrieval.CHAR_BUDGET) -> tuple[str, list[str]]:
@@ -121,7 +121,7 @@ class Engine:
 
     def record(self, payload: dict, client: str) -> dict:
         """Appends a hook's event to its session's chain, which it begins if need be; a known event is
-        skipped, and so is one from a folder that is opted out."""
+        skipped, and so is one from a folder that is opted out. Of several at once all find their place."""
         store = self.store
         filled = {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in payload.items()}
         filled.setdefault("timestamp", self.now)
@@ -136,15 +136,19 @@ class Engine:
         if row is None:
             return {"ok": True, "event_id": None, "skipped": True}
         event_id, key = row
-        old = store.read("event").where(F.col("session_key") == key)
-        if store.read("event").where(F.col("event_id") == event_id).limit(1).count():
-            return {"ok": True, "event_id": event_id, "skipped": True}
-        rows = {"event": lifecycle.placed(event, old)}
-        if not store.read("session").where(F.col("session_key") == key).limit(1).count():
-            new = [(key, filled["session_id"], client, filled["timestamp"])]
-            rows["session"] = store.spark.createDataFrame(new, "session_key string, session_id string, client string, created_at string")
-        store.commit(append=rows, unique=False)
-        return {"ok": True, "event_id": event_id, "skipped": False}
+
+        def put(at: int) -> bool:
+            events, begun = store.read("event", at - 1), store.read("session", at - 1)
+            if events.where(F.col("event_id") == event_id).limit(1).count():
+                return True
+            rows = {"event": lifecycle.placed(event, events.where(F.col("session_key") == key))}
+            if not begun.where(F.col("session_key") == key).limit(1).count():
+                new = [(key, filled["session_id"], client, filled["timestamp"])]
+                rows["session"] = store.spark.createDataFrame(new, "session_key string, session_id string, client string, created_at string")
+            store.commit(append=rows, unique=False, at=at)
+            return False
+
+        return {"ok": True, "event_id": event_id, "skipped": store.changed(put)}
 
     def patterns(self, since: str | None = None) -> DataFrame:
         """Repeated commands, hot files and, with an embedding, recurring prompts, with the notes they would become."""

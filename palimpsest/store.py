@@ -4,8 +4,9 @@ A part is a folder of parquet that is written once. A commit is a file of the lo
 table, its parts; it is created only if no file of its number exists, so that of two writers one fails
 and nothing is lost. One commit may change several tables: readers see all of it or nothing. Appending
 writes what is new and no more; once ``WIDTH`` parts of a tier have come together they become one part
-of the next, so that a row is rewritten about once per tier. Old parts stay readable by version until
-``vacuum``. The folder's file system must create files exclusively, as HDFS and local disks do.
+of the next, so that a row is rewritten about once per tier. Accesses to notes are appended to a log of
+their own, which reading notes folds in and whichever commit next writes the notes ends. Old parts stay
+readable by version until ``vacuum``. The folder's file system must create files exclusively, as HDFS and local disks do.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import UNIQUE, conform, schemas, violations
+from .schema import UNIQUE, conform, schemas, stored, violations
 
 #: Parts of one tier that are merged into one of the next.
 WIDTH = 8
@@ -63,30 +65,54 @@ class Store:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The table as of a commit, by default the last."""
-        done = self.commits()
-        parts = self._manifest((done[-1] if done else None) if version is None else version).get(name)
+        if version is None:
+            version = self._next() - 1
+        manifest = self._manifest(version if version >= 0 else None)
+        parts = manifest.get(name)
         if not parts:
-            return self.spark.createDataFrame([], schemas()[name])
-        return self.spark.read.schema(schemas()[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+            return self.spark.createDataFrame([], stored()[name])
+        rows = self._of(name, parts)
+        return accessed(rows, self._of("access", manifest["access"])) if name == "memory" and manifest.get("access") else rows
 
     def parts(self, name: str) -> tuple[str, ...]:
         """The parts of the last commit: they differ whenever the table does."""
         done = self.commits()
         return tuple(self._manifest(done[-1] if done else None).get(name, ()))
 
+    def _next(self) -> int:
+        """The number of the commit to come."""
+        done = self.commits()
+        return done[-1] + 1 if done else 0
+
+    def changed(self, change: Callable[[int], object], tries: int = 10):
+        """What ``change`` gives for the number of its commit; it reads the tables as of the one before and commits
+        under that number, and is called anew if another writer was first."""
+        for left in reversed(range(tries)):
+            try:
+                return change(self._next())
+            except Conflict:
+                if not left:
+                    raise
+
     def _part(self, name: str, df: DataFrame, tier: int) -> str:
         part = f"t{tier}-{uuid.uuid4().hex}"
         conform(df, name).write.parquet(f"{self.root}/{name}/{part}")
         return part
 
-    def commit(self, append: dict[str, DataFrame] | None = None, write: dict[str, DataFrame] | None = None, unique: bool = True) -> int:
+    def commit(self, append: dict[str, DataFrame] | None = None, write: dict[str, DataFrame] | None = None, unique: bool = True, at: int | None = None) -> int:
         """Appends rows to some tables and replaces others whole, in one step.
 
-        With ``unique`` rows that repeat or lack the key of a table that has one are refused.
+        With ``unique`` rows that repeat or lack the key of a table that has one are refused. With ``at`` the
+        commit has that number, or there is a conflict.
         """
         done = self.commits()
         last = done[-1] if done else None
+        number = 0 if last is None else last + 1
+        if at is not None and at != number:
+            raise Conflict(f"commit {at} is another writer's")
         manifest, new = self._manifest(last), {}
+        if "memory" in (write or {}):
+            manifest.pop("access", None)  # what is written has them
         for name, df in (write or {}).items():
             part = self._part(name, df, 0)
             new[name] = [part]
@@ -99,12 +125,11 @@ class Store:
             self._check(new, manifest, write or {})
         for name in append or {}:
             manifest[name] = self._compacted(name, manifest[name])
-        number = 0 if last is None else last + 1
-        at = self._path(f"{self.root}/_log/{number:012d}.json")
+        file = self._path(f"{self.root}/_log/{number:012d}.json")
         try:
-            out = self._fs.create(at, False)
+            out = self._fs.create(file, False)
         except Exception as e:
-            if self._fs.exists(at):
+            if self._fs.exists(file):
                 raise Conflict(f"commit {number} is another writer's") from e
             raise
         out.write(bytearray(json.dumps(manifest).encode()))
@@ -124,7 +149,7 @@ class Store:
                 raise ValueError(f"{name}: {UNIQUE[name]} {bad[0][UNIQUE[name]]!r} is missing or not unique")
 
     def _of(self, name: str, parts: list[str]) -> DataFrame:
-        return self.spark.read.schema(schemas()[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+        return self.spark.read.schema(stored()[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def _compacted(self, name: str, parts: list[str]) -> list[str]:
         tier = 0
@@ -140,7 +165,7 @@ class Store:
         done = self.commits()
         kept = {(name, p) for n in done[-keep:] for name, ps in self._manifest(n).items() for p in ps}
         gone = 0
-        for name in schemas():
+        for name in stored():
             at = self._path(f"{self.root}/{name}")
             for part in [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []:
                 if (name, part) not in kept:
@@ -185,6 +210,15 @@ class Store:
         return self.commit(write={name: self.read(name).where(~F.coalesce(where, F.lit(False)))}, unique=False)
 
 
+def accessed(memory: DataFrame, access: DataFrame) -> DataFrame:
+    """``memory`` with the rows (path, ts) of a log: a row is one access more, and the last one is when a note was seen.
+    Counted before the join, however often a note is found."""
+    log = access.groupBy("path").agg(F.count("*").alias("_n"), F.max("ts").alias("_at"))
+    count = F.when(F.col("_n").isNull(), F.col("access_count")).otherwise((F.coalesce("access_count", F.lit(0)) + F.col("_n")).cast("int"))
+    rows = memory.join(log, "path", "left").withColumns({"access_count": count, "last_accessed_at": F.coalesce("_at", "last_accessed_at")})
+    return rows.select(*memory.columns)
+
+
 def revisions_on_change(old: DataFrame, new: DataFrame, actor: str, ts: str) -> DataFrame:
     """Snapshots of the bodies that ``new`` (path, content) replaces; equal ones leave none."""
     met = old.select("path", F.coalesce("status", F.lit("active")).alias("status"), F.col("content").alias("was")).join(new.select("path", "content"), "path")

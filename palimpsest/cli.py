@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import providers
 from .api import Api, serve_tools, server
 from .functions.embedding import hashed
+from .functions.text import preview
 from .operators import history, sessions, stats
 from .service import Engine
 from .sources import backup, files, spool
@@ -28,19 +29,30 @@ COMMANDS = {
     "distill": "provider model", "check-contradictions": "provider model", "restore-file": "file", "vacuum": "", "patterns-since": "age",
 }
 
+#: Options by command: their names, and what argparse is told of them.
+OPTIONS = {
+    "list": {"kind": {}, "project": {}, "since": {"help": "36h, 7d or 30m"}, "limit": {"type": int, "default": 0}, "include-archived": {"action": "store_true"}},
+}
+
 
 def joined(a: str, b: str) -> tuple[str, str]:
     """The merge of two notes that needs no model: both bodies, one after the other."""
     return f"general/merged-{hashlib.sha1(f'{a}|{b}'.encode()).hexdigest()[:6]}.md", f"{a}\n\n{b}"
 
 
-def run(spark: SparkSession, root: str, command: str, args: list[str]):
+def listed(engine: Engine, kind=None, project=None, since=None, limit=0, include_archived=False):
+    """Paths with the first lines of their notes."""
+    rows = engine.listed(kind, project, since, limit, include_archived)
+    return rows.select("path", "project", "status", "updated_at", preview(F.col("content"), 50).alias("preview"))
+
+
+def run(spark: SparkSession, root: str, command: str, args: list[str], **options):
     store = Store(spark, root)
     engine = Engine(store, embed=hashed)
     read = store.read
     versions = engine.versions
     table = {
-        "list": lambda: read("memory").select("path", "project", "status", "updated_at").orderBy(F.desc_nulls_last("updated_at"), "path"),
+        "list": lambda **o: listed(engine, **o),
         "show": lambda path: read("memory").where(F.col("path") == path),
         "search": lambda prompt: engine.recall(prompt),
         "recall": lambda prompt: engine.recall(prompt),
@@ -78,7 +90,7 @@ def run(spark: SparkSession, root: str, command: str, args: list[str]):
         "render": lambda file: engine.rendered(open(file, encoding="utf-8").read()),
         "health": lambda: stats.health(read("memory"), sessions.undreamed(read("session"), read("event")), read("rehearsal_run"), engine.now, dlq=spool.dead_count(spark, f"{root}/_dlq")),
     }
-    return table[command](*args)
+    return table[command](*args, **options)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -89,9 +101,11 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         for a in args.split():
             s.add_argument(a)
+        for option, told in OPTIONS.get(name, {}).items():
+            s.add_argument(f"--{option}", **told)
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    out = run(spark, a.store, a.command, [getattr(a, x) for x in COMMANDS[a.command].split()])
+    out = run(spark, a.store, a.command, [getattr(a, x) for x in COMMANDS[a.command].split()], **{x: getattr(a, x) for x in (o.replace("-", "_") for o in OPTIONS.get(a.command, {}))})
     for row in out.toJSON().toLocalIterator() if hasattr(out, "toJSON") else [json.dumps(out, default=str)]:
         print(row)
     return 0

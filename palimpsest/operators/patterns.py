@@ -23,6 +23,11 @@ def since(text: str) -> Column:
     return F.expr(f"INTERVAL {int(m[1])} {dict(h='HOUR', d='DAY', m='MINUTE')[m[2]]}")
 
 
+def cutoff(now: Column, age: str) -> Column:
+    """The instant, as stored, that lies ``age`` before ``now``."""
+    return F.date_format(now.cast("timestamp") - since(age), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def _called(calls: DataFrame, tools: tuple[str, ...]) -> DataFrame:
     """What was captured before a tool of these ran: a call that is captured afterwards as well counts once."""
     return calls.where((F.col("event_name") == CALL_EVENT) & F.col("tool_name").isin(*tools))

@@ -212,6 +212,11 @@ def memory_list(spark, d):
     return m.select("path", "project", "updated_at").orderBy(F.desc("updated_at"), "path")
 
 
+@query(f"SELECT path, {_UPDATED} AS updated_at FROM memory WHERE NOT archived AND path LIKE 'tools/%' AND age_hours <= 200 * 24 ORDER BY age_hours, path LIMIT 30")
+def memories_listed(spark, d):
+    return recall.listed(_memory(spark, d), "tools", since=patterns.cutoff(_now(), "200d"), limit=30).select("path", "updated_at")
+
+
 @query("SELECT path, length(content)::INT AS n FROM memory WHERE path = 'tools/doc-41.md'")
 def memory_show(spark, d):
     return _memory(spark, d).where("path = 'tools/doc-41.md'").select("path", F.length("content").alias("n"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions import text as X
 from ..operators import consolidate, gates, history, lifecycle, patterns, sessions
-from ..providers import distilled
+from ..providers import distilled, for_sql
 from ..schema import conform, schemas, violations
 from ..shared import fresh_dir, settle, spread
-from ..store import Store, revisions_on_change, upserted
+from ..store import Store, accessed, revisions_on_change, upserted
 from .catalog import _LIVE, _PAIRS, _RANK, _SESSION, _TOK, _UPDATED, _memory, _now, _pairs, _session, _sql_scrub, query
 
 TS = A.NOW
@@ -98,6 +98,15 @@ def notes_deleted(spark, d):
     return lifecycle.deleted(m, _paths(m.where("doc_id % 7 = 0"))).select("path")
 
 
+@query("""SELECT path, (access_count + coalesce(n, 0))::INT AS access_count, last AS last_accessed_at FROM memory
+LEFT JOIN (SELECT user_id, count(*) AS n, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last FROM events GROUP BY user_id) ON user_id = doc_id""")
+def accesses_folded(spark, d):
+    """Every event is an access to a note, in the log that reading folds in."""
+    log = A.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts")).select(F.expr(A.MEMORY["path"]).alias("path"), "ts")
+    m = _memory(spark, d).withColumn("last_accessed_at", F.lit(None).cast("string"))
+    return accessed(m, log).select("path", "access_count", "last_accessed_at")
+
+
 @query(f"SELECT path, access_count + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS access_count, CASE WHEN doc_id % 6 = 0 THEN '{TS}' END AS last_accessed_at FROM memory")
 def access_bumps(spark, d):
     m = _memory(spark, d)
@@ -406,6 +415,15 @@ def sessions_distilled(spark, d):
     return distilled(told, _first_line, "none").drop("watermark")
 
 
+@query("""SELECT session_key, CASE WHEN length(transcript) > 600 THEN concat('general/len-', length(transcript) % 7, '.md') END AS path, CASE WHEN length(transcript) > 600 THEN concat(length(transcript), ' of none') END AS content,
+length(transcript) % 2 = 1 AS odd FROM script""", _FOLD, recursive=True)
+def distilled_by_sql(spark, d):
+    """A distiller as a table function of SQL, a judge as a function of it."""
+    for_sql(spark, "first_line", distiller=_first_line, existing="none")
+    for_sql(spark, "odd_length", judge=lambda a, b: len(a + b) % 2 == 1)
+    return spark.sql("SELECT session_key, path, content, odd_length(transcript, '') AS odd FROM {told}, LATERAL first_line(transcript)", told=sessions.transcript_texts(_shown(spark, d), 900))
+
+
 @query("""SELECT concat('codex:', user_id) AS session_key, concat('id', event_id) AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S'), concat('id', event_id)) - 1 AS seq FROM events WHERE event_id % 50 > 1""")
 def ingest_replay(spark, d):
     """The spool is drained, and once more after all of its lines have come again: every event is there

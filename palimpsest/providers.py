@@ -14,7 +14,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Distiller = Callable[[str, str], list[dict]]
@@ -142,6 +142,33 @@ def judging(judge: Judge) -> Callable[[Column, Column], Column]:
     return run
 
 
+def _notes(distiller: Distiller, text: str, existing: str) -> list[tuple]:
+    """(path, content, importance) of what a distiller gives; nothing where it fails."""
+    try:
+        found = [x for x in distiller(text, existing) if isinstance(x, dict)]
+    except (OSError, KeyError, ValueError):
+        return []
+    return [(x.get("path"), x.get("content"), None if x.get("importance") is None else str(x["importance"])) for x in found]
+
+
+def for_sql(spark: SparkSession, name: str, distiller: Distiller | None = None, judge: Judge | None = None, embedder: Embedder | None = None, existing: str = "") -> None:
+    """Gives SQL a distiller as the table function ``name(transcript)``, with a row (path, content, importance) per
+    note, and one of nulls where there is none, for LATERAL joins; or a judge as the function ``name(a, b)``; or an embedder as ``name(text)``."""
+    if sum(x is not None for x in (distiller, judge, embedder)) != 1:
+        raise ValueError("one of distiller, judge and embedder is needed")
+    if judge:
+        spark.udf.register(name, judging(judge))
+    elif embedder:
+        spark.udf.register(name, embedding(embedder))
+    else:
+
+        class Notes:
+            def eval(self, transcript: str):
+                yield from _notes(distiller, transcript, existing) or [(None, None, None)]
+
+        spark.udtf.register(name, F.udtf(Notes, returnType="path string, content string, importance string", useArrow=True))
+
+
 def distilled(transcripts: DataFrame, distiller: Distiller, existing: str = "") -> DataFrame:
     """(session_key, watermark, path, content, importance) for rows (session_key, watermark, transcript):
     a row per note, and one of nulls for a session that gave none, or whose distiller failed."""
@@ -150,11 +177,7 @@ def distilled(transcripts: DataFrame, distiller: Distiller, existing: str = "")
         for pdf in parts:
             rows = []
             for key, mark, text in zip(pdf["session_key"], pdf["watermark"], pdf["transcript"], strict=True):
-                try:
-                    notes = [x for x in distiller(text, existing) if isinstance(x, dict)]
-                except (OSError, KeyError, ValueError):
-                    notes = []
-                rows += [(key, mark, x.get("path"), x.get("content"), None if x.get("importance") is None else str(x["importance"])) for x in notes] or [(key, mark, None, None, None)]
+                rows += [(key, mark, *x) for x in _notes(distiller, text, existing)] or [(key, mark, None, None, None)]
             yield pd.DataFrame(rows, columns=["session_key", "watermark", "path", "content", "importance"], dtype=object)
 
     return transcripts.select("session_key", "watermark", "transcript").mapInPandas(run, "session_key string, watermark string, path string, content string, importance string")

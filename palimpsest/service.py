@@ -84,6 +84,10 @@ class Engine:
             self.store.changed(lambda at: self.store.commit(append={"access": seen}, unique=False, at=at))
         return [r | {"score": round(r["score"], 6)} for r in rows]
 
+    def listed(self, kind: str | None = None, project: str | None = None, since: str | None = None, limit: int = 0, archived: bool = False) -> DataFrame:
+        """Notes by kind, project and age (``36h``, ``7d``, ``30m``), the last changed first."""
+        return retrieval.listed(self.store.read("memory"), kind, project, patterns.cutoff(F.lit(self.now), since) if since else None, limit, archived)
+
     def project_context(self, project: str | None = None, budget: int = retrieval.CHAR_BUDGET) -> tuple[str, list[str]]:
         at = F.lit(self.now).cast("timestamp")
         rows = retrieval.session_start(self._memory(), project).withColumn("density", scoring.value_density(F.col("path"), F.col("importance"), F.col("seen"), F.col("content"), at))
@@ -154,8 +158,7 @@ class Engine:
         """Repeated commands, hot files and, with an embedding, recurring prompts, with the notes they would become."""
         e = self.store.read("event")
         if since:
-            cutoff = F.date_format(F.lit(self.now).cast("timestamp") - patterns.since(since), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-            e = e.where(F.col("timestamp") >= cutoff)
+            e = e.where(F.col("timestamp") >= patterns.cutoff(F.lit(self.now), since))
         calls = e.select("event_name", X.command_of(F.col("tool_input")).alias("command"), X.file_of(F.col("tool_input")).alias("file_path"), "tool_name", "cwd")
         prompts = None
         if self.embed:

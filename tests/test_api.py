@@ -35,6 +35,11 @@ def test_record_is_a_chain(engine):
     assert engine.store.read("session").count() == 1
     with pytest.raises(ValueError):
         engine.record({"session_id": "s"}, "codex")
+    # only what was captured before a shell ran counts, and the chain's events name no tool
+    assert engine.patterns().count() == 0
+    for i in range(3):
+        for name in ("PreToolUse", "PostToolUse"):
+            engine.record({"session_id": "s", "hook_event_name": name, "timestamp": f"2026-06-01T00:01:0{i}Z", "tool_name": "Bash", "tool_input": {"command": "make  test"}}, "codex")
     found = engine.patterns().collect()
     assert [(p.kind, p.subject, p.n) for p in found] == [("command", "make test", 3)]
     assert engine.promote(found[0].id) == "tools/make/usage.md" and engine.promote("nope") is None

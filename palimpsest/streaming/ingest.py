@@ -11,13 +11,14 @@ from ..store import Store
 
 
 def report(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Of parsed lines: how many were processed, skipped as known or repeated, and dead."""
-    good = events(batch.where("error is null"))
-    n = good.agg(F.count("*").alias("n")).first()["n"]
-    new = good.dropDuplicates(["event_id"]).join(known.select("event_id"), "event_id", "left_anti")
-    k = new.count()
-    dead = batch.where("error is not null").count()
-    return batch.sparkSession.createDataFrame([("processed", k), ("skipped", n - k), ("dlq", dead)], "outcome string, n long")
+    """Of parsed lines: how many were processed, skipped as known or repeated, and dead. The lines are read once, and
+    counted by event before known ones are looked up."""
+    lines = batch.select(F.col("error").isNotNull().alias("dead"), F.when(F.col("error").isNull(), F.col("rec.event_props")["event_id"]).alias("event_id"))
+    seen = known.select("event_id").distinct().withColumn("known", F.lit(True))
+    each = lines.groupBy("dead", "event_id").agg(F.count("*").alias("n")).join(seen, "event_id", "left")
+    new = F.count_if(~F.col("dead") & F.col("known").isNull()).alias("new")
+    sums = each.agg(new, F.coalesce(F.sum(F.when(~F.col("dead"), F.col("n"))), F.lit(0)).alias("good"), F.coalesce(F.sum(F.when(F.col("dead"), F.col("n"))), F.lit(0)).alias("bad"))
+    return sums.select(F.expr("stack(3, 'processed', new, 'skipped', good - new, 'dlq', bad) AS (outcome, n)"))
 
 
 def drain(spark: SparkSession, folder: str, store: Store, checkpoint: str, dlq: str) -> None:

@@ -96,37 +96,59 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return out.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: Rows a partition of a small table, and rows of a table that is sent to every task at most.
+A_PART, SENT = 50_000, 200_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, settled and of ``n`` rows, read in as many partitions as these fill, or cores there are.
+
+    A settled table has as many parts as its last shuffle had, however few rows; a shuffle of it writes files for each.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1 + n // A_PART))
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table of short rows, settled, as ``few`` reads it, and its number of rows."""
+    n = few(df := settle(df), 0).count()
+    return few(df, n), n
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, sent: int = SENT) -> DataFrame:
     """Connected components of undirected ``edges`` over long ids: rows (node, root), root the least id.
 
     Alternating large-star and small-star steps; each keeps the components and brings nodes to
     their least neighbour, so that it ends with a star around each least id. No neighbour lists:
-    hubs are combined before the shuffle, and their rows joined by ``hot_join``. Every round is
-    settled in the shared folder. Nodes without an edge have no row.
+    hubs are combined before the shuffle, and their rows joined by ``hot_join``; nodes are sent to every
+    task instead while there are at most ``sent``. Every round is settled in the shared folder. Nodes without
+    an edge have no row.
     """
+
+    def met(left, near, total, nodes):
+        # near is grouped by u in the same plan, so that Spark knows it to be unique: else it takes a join's size for a
+        # product, and settled tables keep that
+        if nodes <= sent:
+            some = F.broadcast(near.select(F.col("u").alias("_k"), "m"))
+            return left.join(some, F.col("u") == F.col("_k"), "left").select("u", "v", "m")
+        return hot_join(left, near.select("u", "m", "n"), "u", "n", total, "v")
+
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = settle(now)
-    n = now.count()
-    before = None
+    now, n = settled(now)
     for _ in range(rounds):
-        if n == 0:
+        up = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = now.withColumn("below", F.lit(1)).unionByName(up.withColumn("below", F.lit(0)))
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"), F.sum("below").alias("below"))
+        if not near.agg(F.count_if((F.col("below") > 0) & (F.col("n") > 1))).first()[0]:  # a star around each node with none below
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
         # u's greater neighbours, here v, go to u's least
-        large = hot_join(now.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", "n", 2 * n, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settle(large)
+        near = near.withColumn("m", F.least("m", "u"))
+        large, n = settled(met(up, near, 2 * n, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = hot_join(large, least, "u", "n", n, "v")
-        small = met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = settle(small)
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == before:
-            break
-        before, n = (row.n, row.h), row.n
+        small = met(large, least, n, n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now, n = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return near.select(F.col("u").alias("node"), F.least("m", "u").alias("root"))
 
 
 def first_ranked(rows: DataFrame, by: list[str], order: list, k: int, name: str) -> DataFrame:
@@ -155,7 +177,7 @@ class Bits:
         # 32,768 bits, 4 KB, a row
         rows = hashes.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("map"))
         whole = np.zeros((1 << self.bits) >> 3, np.uint8)
-        for r in rows.toLocalIterator():
+        for r in rows.collect():
             found = np.frombuffer(bytes(r["map"]), np.uint8)
             whole[r["part"] << 12 : (r["part"] << 12) + len(found)] = found
         self.map = whole

@@ -408,6 +408,28 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("sent", [{}, {"sent": 0}])
+def test_components_of_a_small_graph_take_few_tasks(spark, sent):
+    """A shuffle of a small table isn't made from as many parts as the shuffle before it had."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    edges = [(5000 + i, 77) for i in range(300)] + [(77, 3)] + [(i, i + 1) for i in range(9000, 9005)]
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup(group := f"components{len(sent)}", "")
+    try:
+        got = {r["node"]: r["root"] for r in rows(common.components(spark.createDataFrame(edges, "a long, b long"), **sent))}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {5000 + i: 3 for i in range(300)} | {77: 3, 3: 3} | {i: 9000 for i in range(9000, 9006)}
+    tracker = sc.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks < 3000
+
+
 # --- 10 ---
 
 
